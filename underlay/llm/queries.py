@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import lm_scoring
+from . import lm_scoring, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.query,
+    "op2_toxicity": toxicity.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
