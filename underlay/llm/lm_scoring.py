@@ -39,7 +39,8 @@ from . import kernel as K
 from .common import fold, keep, partitions, table
 
 U64 = np.uint64
-GROUP_BYTES = 64 << 20
+GROUP_BYTES = 16 << 20
+SCORED_BYTES = 6 << 20
 FLUSH_TOKENS = 2_000_000
 LOW40 = U64((1 << 40) - 1)
 MAX_LEVEL = 48
@@ -276,41 +277,38 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [token_stream(d, o) for _, _, d, o in K.chunks(batch.column(len(fields)))]
-            if not parts:
-                continue
-            tokens, first, counts = (np.concatenate(x) for x in zip(*parts))
-            del parts
-            types, which = np.unique(tokens, return_inverse=True)
-            seen = np.zeros(len(types), np.int64)
-            for keys, known in _held(vocabulary):
-                at = np.minimum(np.searchsorted(keys, types), len(keys) - 1)
-                hit = keys[at] == types
-                seen[hit] = known[at[hit]]
-            c = seen[which]
-            context = np.empty_like(c)
-            context[1:] = c[:-1]
-            context[first] = documents
-            pair = bigram_keys(tokens, first)
-            order = np.argsort(pair)
-            pair = pair[order]
-            cuts = np.searchsorted(bucket_of(pair, buckets), np.arange(buckets + 1))
-            pair &= LOW40
-            found = np.zeros(len(pair), np.uint8)
-            for group in _held(filters):
-                for b, m, k, bits in group:
-                    lo, hi = cuts[b], cuts[b + 1]
-                    found[lo:hi] = probe_filter(bits, m, k, pair[lo:hi])
-            level = np.empty_like(found)
-            level[order] = found
-            # The middle of a level's range stands for its counts: 1, 3, 6, 12, ..
-            about = np.where(level > 1, 0.75 * np.exp2(level.astype(np.float64)), level)
-            about = np.minimum(np.minimum(about, context), c)
-            single = (c + 1) / (n + v + 1)
-            p = np.where(context > 0, (1 - unseen) * about / np.maximum(context, 1) + unseen * single, single)
-            starts = np.cumsum(counts) - counts
-            out = [counts, np.add.reduceat((c > 0).astype(np.int64), starts), np.add.reduceat(np.log10(single), starts), np.add.reduceat(np.log10(p), starts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], *(pa.array(x, f.type) for x, f in zip(out, _SCORED))], names=[*(f.name for f in fields), *_SCORED.names])
+            for lo_row, hi_row, data, offsets in K.chunks(batch.column(len(fields)), SCORED_BYTES):
+                tokens, first, counts = token_stream(data, offsets)
+                types, which = np.unique(tokens, return_inverse=True)
+                seen = np.zeros(len(types), np.int64)
+                for keys, known in _held(vocabulary):
+                    at = np.minimum(np.searchsorted(keys, types), len(keys) - 1)
+                    hit = keys[at] == types
+                    seen[hit] = known[at[hit]]
+                c = seen[which]
+                context = np.empty_like(c)
+                context[1:] = c[:-1]
+                context[first] = documents
+                pair = bigram_keys(tokens, first)
+                order = np.argsort(pair)
+                pair = pair[order]
+                cuts = np.searchsorted(bucket_of(pair, buckets), np.arange(buckets + 1))
+                pair &= LOW40
+                found = np.zeros(len(pair), np.uint8)
+                for group in _held(filters):
+                    for b, m, k, bits in group:
+                        lo, hi = cuts[b], cuts[b + 1]
+                        found[lo:hi] = probe_filter(bits, m, k, pair[lo:hi])
+                level = np.empty_like(found)
+                level[order] = found
+                # The middle of a level's range stands for its counts: 1, 3, 6, 12, ..
+                about = np.where(level > 1, 0.75 * np.exp2(level.astype(np.float64)), level)
+                about = np.minimum(np.minimum(about, context), c)
+                single = (c + 1) / (n + v + 1)
+                p = np.where(context > 0, (1 - unseen) * about / np.maximum(context, 1) + unseen * single, single)
+                starts = np.cumsum(counts) - counts
+                out = [counts, np.add.reduceat((c > 0).astype(np.int64), starts), np.add.reduceat(np.log10(single), starts), np.add.reduceat(np.log10(p), starts)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo_row, hi_row - lo_row).columns[: len(fields)], *(pa.array(x, f.type) for x, f in zip(out, _SCORED))], names=[*(f.name for f in fields), *_SCORED.names])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_tokens long, n_known long, base_score double, score double"
     return docs.select(*carry, F.col(text_col)).mapInArrow(run, ddl)
