@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import lm_scoring, toxicity
+from . import decontamination, line_dedup, lm_scoring, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.query,
     "op2_toxicity": toxicity.query,
+    "op8_decontamination": decontamination.query,
+    "op10_line_dedup": line_dedup.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": decontamination.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
+}
