@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, line_dedup, lm_scoring, toxicity
+from . import ann, bpe, decontamination, line_dedup, lm_scoring, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.query,
     "op2_toxicity": toxicity.query,
+    "op5_ann": ann.query,
     "op7_bpe": bpe.query,
     "op8_decontamination": decontamination.query,
     "op10_line_dedup": line_dedup.query,
