@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, decontamination, line_dedup, lm_scoring, toxicity
+from . import ann, bpe, decontamination, line_dedup, lm_scoring, sharding, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_ann": ann.query,
     "op7_bpe": bpe.query,
     "op8_decontamination": decontamination.query,
+    "op9_sharding": sharding.query,
     "op10_line_dedup": line_dedup.query,
 }
 
