@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, decontamination, line_dedup, lm_scoring, sharding, toxicity
+from . import ann, bpe, decontamination, license_scan, line_dedup, lm_scoring, sharding, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.query,
     "op2_toxicity": toxicity.query,
+    "op3_license_scan": license_scan.query,
     "op5_ann": ann.query,
     "op7_bpe": bpe.query,
     "op8_decontamination": decontamination.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": license_scan.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
