@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, decontamination, license_scan, line_dedup, lm_scoring, sharding, toxicity
+from . import ann, bpe, decontamination, license_scan, line_dedup, lm_scoring, pii, sharding, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.query,
     "op2_toxicity": toxicity.query,
     "op3_license_scan": license_scan.query,
     "op5_ann": ann.query,
+    "op6_pii": pii.query,
     "op7_bpe": bpe.query,
     "op8_decontamination": decontamination.query,
     "op9_sharding": sharding.query,
