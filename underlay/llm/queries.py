@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, decontamination, license_scan, line_dedup, lm_scoring, pii, sharding, toxicity
+from . import ann, bpe, decontamination, jaccard_join, license_scan, line_dedup, lm_scoring, pii, sharding, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.query,
     "op2_toxicity": toxicity.query,
     "op3_license_scan": license_scan.query,
+    "op4_jaccard_join": jaccard_join.query,
     "op5_ann": ann.query,
     "op6_pii": pii.query,
     "op7_bpe": bpe.query,
