@@ -1,8 +1,71 @@
-"""The corpus pipeline: five stages, each over all that the one before kept."""
+"""The corpus pipeline: five stages, each over all that the one before kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame.  run() writes each
+stage's result as Parquet in the shared folder and reads it again, so a stage's
+lineage ends with its input.  All stages but the last return the columns of
+documents.  SQL cannot express the first stage, so the whole pipeline is tested
+against plain Python instead.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from underlay.llm import bpe, decontamination, jaccard_join, line_dedup, toxicity
+from underlay.llm.common import fold, keep, new_path, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+ITEMS = 2
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model predicts toxic go; it learns from the labelled ones outside the held-out fold."""
+    model = toxicity.train(docs.where(fold(F.col("doc_id"), 5) != 0), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, COLUMNS).where("predicted = 0").select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that a smaller id holds go; the documents stay, with the text and length that are left."""
+    kept = line_dedup.dedup(docs, carry=("doc_id", "lang", "source"))
+    return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one of smallest id stays; a null id belongs to no group but through its text."""
+    joined = keep(jaccard_join.join(docs))
+    stay = joined.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("id").agg(F.count("*").alias("k")).select(F.col("id").alias("keep_"), "k")
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("keep_")), "left_semi").select(*COLUMNS)
+    repeated = stay.where("k > 1 and keep_ is not null").limit(1).count()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold windows of two benchmark items or more go."""
+    blocks = decontamination.build(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.contamination(docs, blocks, carry=COLUMNS).where(F.size("items") < ITEMS).select(*COLUMNS)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of what is left: their number, and digests of the ids and of the text decoded from them."""
+    return bpe.encode(docs, bpe.tokenizer_path(), carry=("doc_id", "lang", "source"), want=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("bpe", tokenise),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = new_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -401,7 +401,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", carry: tuple[str,
                 yield pa.RecordBatch.from_arrays([*part.columns[:k], *(pa.array(v, kinds[w][1]) for w, v in out.items())], names=[*batch.schema.names[:k], *want])
 
     ddl = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), *(f"{w} {kinds[w][0]}" for w in want)])
-    return docs.select(*carry, F.col(text_col)).mapInArrow(run, ddl)
+    return docs.select(*carry, F.col(text_col).alias("text_")).mapInArrow(run, ddl)
 
 
 def tokenizer_path() -> str:

@@ -232,7 +232,7 @@ def contamination(docs: DataFrame, blocks: list[Broadcast], text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], *new, pa.array(items, pa.list_(pa.int64()))], names=[*batch.schema.names[:k], "n_words", "n_hit", "items"])
 
     ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + ", n_words long, n_hit long, items array<long>"
-    return docs.select(*carry, F.col(text_col)).mapInArrow(run, ddl)
+    return docs.select(*carry, F.col(text_col).alias("text_")).mapInArrow(run, ddl)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

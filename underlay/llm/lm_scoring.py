@@ -311,7 +311,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[st
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo_row, hi_row - lo_row).columns[: len(fields)], *(pa.array(x, f.type) for x, f in zip(out, _SCORED))], names=[*(f.name for f in fields), *_SCORED.names])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_tokens long, n_known long, base_score double, score double"
-    return docs.select(*carry, F.col(text_col)).mapInArrow(run, ddl)
+    return docs.select(*carry, F.col(text_col).alias("text_")).mapInArrow(run, ddl)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -314,7 +314,7 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), t
     """carry columns of docs, score and predicted (1 from 0.5 on) of each text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + ", score double, predicted int"
-    return docs.select(*carry, F.col(text_col)).mapInArrow(_scorer(shared, len(carry), False), ddl)
+    return docs.select(*carry, F.col(text_col).alias("text_")).mapInArrow(_scorer(shared, len(carry), False), ddl)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
