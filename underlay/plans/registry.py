@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import queries as records
+
+FLAGSHIP = "char_zero_width"
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return records.QUERIES[FLAGSHIP](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(records.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(records.ORACLE)
