@@ -19,7 +19,9 @@ neighbourhood of the part with one shingle (then two, ..) deleted.
 Equal sets share one node.  Reducers find the nodes of equal signatures.  First each
 node is compared with the one node that its signatures name most often, which
 joins large groups of near copies; then the probes of every signature are
-compared with those holders that are not yet in their component.  Each comparison
+compared with those holders that are not yet in their component.  A histogram of
+a set's shingles over CELLS cells rules pairs out before that: the sum of its
+differences never exceeds the number of differing shingles.  Each comparison left
 counts the true intersection of the shingle hashes.  No pair within a component
 is compared once it is known to be one.
 
@@ -51,8 +53,12 @@ SINGLE = 128
 SEGMENTS = 0.36
 FREQUENT = 65_536
 BLOCK_DOCS = 8_192
-BLOCK_RECORDS = 1_500_000
+BLOCK_RECORDS = 800_000
 BROADCAST_IDS = 4_000_000
+CELLS = 512
+FOLDED = 64
+TASK_MEMBERS = 400_000
+TASK_BYTES = 32 << 20
 LOW48 = U64((1 << 48) - 1)
 
 
@@ -87,6 +93,13 @@ def nodes_of(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return (K.mix(s + counts.astype(U64)) >> U64(1)).astype(np.int64)
 
 
+def sketches(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Histograms of the sets over CELLS cells, (sets, CELLS); counts over 255 stand at 255, which only lowers differences."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    cell = (K.mix(flat) >> U64(55)).astype(np.int64)
+    return np.minimum(np.bincount(of * CELLS + cell, minlength=len(counts) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
+
+
 _DOC = "kind int, id long, node long, n long"
 
 
@@ -197,7 +210,7 @@ class Signer:
             total = p.sum(dtype=U64)
             for k in range(1, min(depth, len(p) - 1) + 1):
                 for gone in combinations(p, k):
-                    out.append(K.mix(np.array([total - np.array(gone, U64).sum(dtype=U64) + salt]))[0])
+                    out.append(K.mix(np.array([total]) - np.array(gone, U64).sum(dtype=U64, keepdims=True) + salt)[0])
         return out
 
 
@@ -210,7 +223,7 @@ def _sign(buckets: int, frequent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(*frequent.value)
         task, block = TaskContext.get().partitionId(), 0
-        sigs, sets, nodes, sizes, held, records = [], [], [], [], 0, 0
+        sigs, sets, nodes, sizes, cells, held, records = [], [], [], [], [], 0, 0
         seen: set[int] = set()
 
         def flush() -> pa.RecordBatch:
@@ -221,7 +234,7 @@ def _sign(buckets: int, frequent: Broadcast):
             cuts = np.searchsorted((s >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1))
             raw = s.view(np.uint8).reshape(-1, 8)[:, :6]
             some = np.flatnonzero(np.diff(cuts))
-            out = [[-1, *some.tolist()], [np.concatenate(nodes).tobytes(), *(raw[cuts[b] : cuts[b + 1]].tobytes() for b in some)], [np.concatenate(sizes).tobytes(), *(d[cuts[b] : cuts[b + 1]].tobytes() for b in some)], [base] * (len(some) + 1)]
+            out = [[-1, *some.tolist()], [np.concatenate(nodes).tobytes(), *(raw[cuts[b] : cuts[b + 1]].tobytes() for b in some)], [np.concatenate(sizes).tobytes() + np.concatenate(cells).tobytes(), *(d[cuts[b] : cuts[b + 1]].tobytes() for b in some)], [base] * (len(some) + 1)]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.binary(), pa.binary(), pa.int64()))], names=["bucket", "sigs", "sets", "base"])
 
         for batch in batches:
@@ -242,8 +255,9 @@ def _sign(buckets: int, frequent: Broadcast):
                     if held + len(c) > (1 << 15) - 1:
                         yield flush()
                         block += 1
-                        sigs, sets, nodes, sizes, held, records = [], [], [], [], 0, 0
+                        sigs, sets, nodes, sizes, cells, held, records = [], [], [], [], [], 0, 0
                     sigs.append(s)
+                    cells.append(sketches(flat[at : at + int(c.sum())], c))
                     sets.append((d + held << 1 | probe).astype(np.uint16))
                     nodes.append(names[lo : lo + BLOCK_DOCS])
                     sizes.append(c)
@@ -252,7 +266,7 @@ def _sign(buckets: int, frequent: Broadcast):
                     if records >= BLOCK_RECORDS:
                         yield flush()
                         block += 1
-                        sigs, sets, nodes, sizes, held, records = [], [], [], [], 0, 0
+                        sigs, sets, nodes, sizes, cells, held, records = [], [], [], [], [], 0, 0
                         seen.clear()
         if held:
             yield flush()
@@ -294,21 +308,58 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for nodes, sizes, base in zip(*(c.to_pylist() for c in batch.columns)):
             names = np.frombuffer(nodes, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(base + np.arange(len(names))), pa.array(names), pa.array(np.frombuffer(sizes, np.int64))], names=["place", "node", "n"])
-
-
-def _cross(group: pa.Table) -> pa.Table:
-    """Pairs of a group's probes and members that are in different components and may be similar by size."""
-    node, root, n, probe = (group[c].to_numpy() for c in ("node", "root", "n", "probe"))
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in np.flatnonzero(probe):
-        # The probe is the larger of the two.
-        other = np.flatnonzero((root != root[i]) & (n <= n[i]) & (4 * n >= 3 * n[i]))
-        a.append(np.full(len(other), node[i]))
-        b.append(node[other])
-    a, b = np.concatenate(a), np.concatenate(b)
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+            k = len(names)
+            drawn = [sizes[8 * k + i * CELLS : 8 * k + (i + 1) * CELLS] for i in range(k)]
+            yield pa.RecordBatch.from_arrays([pa.array(base + np.arange(k)), pa.array(names), pa.array(np.frombuffer(sizes, np.int64, k)), pa.array(drawn, pa.binary())], names=["place", "node", "n", "cells"])
+
+
+def _near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether sets with these sketches and sizes may be similar."""
+    least = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=1)
+    return (7 * least <= na + nb) & (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb))
+
+
+def _drawn(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
+
+
+def _cross(members: pa.Table, nodes: pa.Table) -> pa.Table:
+    """Pairs of groups' probes and members that are in different components and may be similar by size and sketch; each once."""
+    names = nodes["node"].to_numpy()
+    order = np.argsort(names)
+    names = names[order]
+    root, n, cells = nodes["root"].to_numpy()[order], nodes["n"].to_numpy()[order], _drawn(nodes["cells"])[order]
+    g, at, probe = members["g"].to_numpy(), np.searchsorted(names, members["node"].to_numpy()), members["probe"].to_numpy(zero_copy_only=False)
+    order = np.argsort(g, kind="stable")
+    g, at, probe = g[order], at[order], probe[order]
+    pairs, held = np.zeros(0, np.int64), []
+    starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else []
+    for lo, hi in zip(starts, np.append(starts[1:], len(g)) if len(g) else []):
+        own = at[lo:hi]
+        for i in own[probe[lo:hi]]:
+            # The probe is the larger of the two.
+            other = own[(root[own] != root[i]) & (n[own] <= n[i]) & (4 * n[own] >= 3 * n[i])]
+            held.append(np.minimum(i, other) * len(names) + np.maximum(i, other))
+        if sum(map(len, held)) > 2_000_000:
+            pairs, held = np.unique(np.concatenate([pairs, *held])), []
+    pairs = np.unique(np.concatenate([pairs, *held]))
+    folded = cells.reshape(len(cells), FOLDED, -1).sum(axis=2, dtype=np.int32)
+    kept = []
+    for lo in range(0, len(pairs), 50_000):
+        a, b = np.divmod(pairs[lo : lo + 50_000], len(names))
+        near = 7 * np.abs(folded[a] - folded[b]).sum(axis=1) <= n[a] + n[b]
+        a, b = a[near], b[near]
+        near = _near(cells[a], cells[b], n[a], n[b])
+        kept.append(np.stack([names[a[near]], names[b[near]]]))
+    a, b = np.concatenate(kept, axis=1) if kept else np.zeros((2, 0), np.int64)
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            good = pa.array(_near(_drawn(batch.column(2)), _drawn(batch.column(3)), batch.column(4).to_numpy(), batch.column(5).to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,15 +374,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([wanted.filter(same), held.filter(same)], names=["node", "held"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        good = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(100 * common >= 75 * (len(x) + len(y) - common))
-        good = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+def _verify(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+    held = {k: np.frombuffer(v, U64) for k, v in zip(sets["node"].to_pylist(), sets["held"].to_pylist())}
+    good = []
+    for x, y in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
+        x, y = held[x], held[y]
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        good.append(100 * common >= 75 * (len(x) + len(y) - common))
+    return pairs.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -350,10 +400,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # The names of a block's sets have a bucket of their own per block, so that no task gets them all.
     deal = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.pmod(F.col("base") / (1 << 15), F.lit(2 * p)).cast("int"))
     met = keep(records.withColumn("bucket", deal).repartition(p, "bucket").groupBy("bucket").applyInArrow(_meet_or_name, "members binary, times long, sizes binary, base long"))
-    places = keep(met.where("base >= 0").select("members", "sizes", "base").mapInArrow(_opened, "place long, node long, n long"))
+    places = keep(met.where("base >= 0").select("members", "sizes", "base").mapInArrow(_opened, "place long, node long, n long, cells binary"))
     groups = met.where("base < 0").groupBy("members").agg(F.sum("times").alias("times"))
     groups = groups.select(F.xxhash64("members").alias("g"), "members", "times")
-    members = groups.mapInArrow(_exploded, "g long, place long, probe boolean, times long").join(places, "place")
+    members = groups.mapInArrow(_exploded, "g long, place long, probe boolean, times long").join(places.select("place", "node", "n"), "place")
     # Copies from several blocks are one node of a group.
     members = keep(members.groupBy("g", "node").agg(F.max("n").alias("n"), F.max("probe").alias("probe"), F.max("times").alias("times")))
 
@@ -361,13 +411,24 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     centre = members.groupBy("g").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("c")).select("g", F.col("c.node").alias("centre"))
     votes = members.join(centre, "g").where("node <> centre").groupBy("node", "centre").agg(F.sum("times").alias("times"))
     named = votes.groupBy("node").agg(F.max_by("centre", F.struct("times", "centre")).alias("b")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    first = _verified(rows, text, named)
+    drawn = keep(places.select("node", "n", "cells").dropDuplicates(["node"]).join(members.select("node").distinct(), "node", "left_semi"))
+    of = lambda end: drawn.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("cells").alias(f"c_{end}"))
+    likely = named.join(of("a"), "a").join(of("b"), "b").select("a", "b", "c_a", "c_b", "n_a", "n_b").mapInArrow(_screen, "a long, b long")
+    first = _verified(rows, text, likely)
     roots = components(first)
 
     # Then: the probes of each group with its members of other components.
     rooted = members.join(roots, "node", "left").select("g", "node", "n", "probe", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("g").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("g")
-    crossing = keep(rooted.join(several, "g", "left_semi").repartition(p, "g").groupBy("g").applyInArrow(_cross, "a long, b long").distinct())
+    # Groups of one family mostly have one centre: together, they find a pair once and send a sketch once.
+    rooted = rooted.join(several, "g", "left_semi").join(centre, "g")
+    shares = rooted.groupBy("centre").agg(F.ceil(F.count("*") / TASK_MEMBERS).alias("shares"))
+    dealt = keep(rooted.join(shares, "centre").withColumn("share", F.pmod("g", F.col("shares"))))
+    key = ["centre", "share"]
+    # Both sides of a cogroup need columns of their own.
+    light = dealt.select(*(F.col(c).alias(c) for c in (*key, "g", "node", "probe"))).repartition(p, *key).groupBy(*key)
+    heavy = dealt.select(*key, "node", "n", "root").distinct().join(drawn.select("node", "cells"), "node").repartition(p, *key).groupBy(*key)
+    crossing = light.cogroup(heavy).applyInArrow(_cross, "a long, b long").distinct()
     links = first.unionAll(_verified(rows, text, crossing))
     shared = rows.where("id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("k")).where("a <> b").select("id")
     # Rows of one id are one document: their texts link through it.
@@ -395,9 +456,19 @@ def _verified(rows: DataFrame, text: DataFrame, pairs: DataFrame) -> DataFrame:
         return pairs
     some = F.broadcast(holders) if n <= BROADCAST_IDS else holders
     sets = keep(text.where("text is not null").join(some, text["id"].eqNullSafe(holders["id"])).select("node", "text").mapInArrow(_sets, "node long, held binary").dropDuplicates(["node"]))
-    left = sets.select(F.col("node").alias("a"), F.col("held").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("held").alias("y"))
-    return keep(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long").distinct())
+    # Pairs that hang together go to one task, and a set goes there once; a large family is cut into blocks of nodes.
+    whole = components(pairs)
+    sizes = sets.join(whole, "node").groupBy("root").agg(F.ceil(F.sum(F.octet_length("held")) / TASK_BYTES).alias("blocks"))
+    placed = whole.join(sizes, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    end = lambda c: placed.select(F.col("node").alias(c), "root", F.col("block").alias(f"block_{c}"))
+    asked = keep(pairs.join(end("a"), "a").join(end("b").drop("root"), "b").select("a", "b", "root", "block_a", "block_b"))
+    key = ["root", "block_a", "block_b"]
+    wanted = asked.select(*key).distinct()
+    tasks = wanted.select(*key, F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
+    sent = sets.join(placed.select("node", "root", "block"), "node").join(tasks, ["root", "block"]).select(*key, "node", "held")
+    p = partitions(text)
+    grouped = sent.repartition(p, *key).groupBy(*key).cogroup(asked.select(*(F.col(c).alias(c) for c in asked.columns)).repartition(p, *key).groupBy(*key))
+    return keep(grouped.applyInArrow(_verify, "a long, b long"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

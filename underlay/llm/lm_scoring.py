@@ -40,7 +40,7 @@ from .common import fold, keep, partitions, table
 
 U64 = np.uint64
 GROUP_BYTES = 16 << 20
-SCORED_BYTES = 6 << 20
+SCORED_BYTES = 4 << 20
 FLUSH_TOKENS = 2_000_000
 LOW40 = U64((1 << 40) - 1)
 MAX_LEVEL = 48
