@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from . import media, office
+from . import media, office, pdf
 from .records import SCHEMAS, Refused, Sink
 
 FILES = "path string, rel_path string, length long, content binary"
@@ -112,6 +112,8 @@ def parse(data: bytes | None, out: Sink) -> None:
         office.read_zip(data, out)
     elif kind == "jpeg":
         media.read_jpeg(data, out)
+    elif kind == "pdf":
+        pdf.read_pdf(data, out)
     elif kind == "plain":
         media.read_plain(data, out)
     else:
