@@ -86,7 +86,9 @@ def test_deletions_where_segments_are_few():
         assert set(s1[p1].tolist()) & set(s2.tolist()) or 4 * len(small) < 3 * len(large)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [1_000_000, 0])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr("underlay.llm.components.LOCAL_LINKS", local)
     rng = random.Random(1)
     pairs = [(i, i + 1) for i in range(0, 60) if i % 7] + [(100, i) for i in range(200, 260)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(40)]
     roots = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
@@ -94,6 +96,7 @@ def test_components(spark):
         if a != b:
             assert roots[a] == roots[b]
     assert roots[8] != roots[1] and roots[259] == 100
+    assert all(roots[r] == r <= n for n, r in roots.items())
 
 
 def test_empty(none):

@@ -1,13 +1,46 @@
-"""Connected components of a table of links, by alternating large and small stars."""
+"""Connected components of a table of links.
+
+Up to LOCAL_LINKS links, counted first, one task joins them by union-find; more
+are worked on everywhere by alternating large and small stars.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
 
 
+LOCAL_LINKS = 1_000_000
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of a bounded number of links; every root is its component's smallest node."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    u, v = (np.concatenate(x) for x in zip(*held))
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        least = root.copy()
+        np.minimum.at(least, root[a], root[b])
+        np.minimum.at(least, root[b], root[a])
+        while (jump := least[least]) is not least and (jump != least).any():
+            least = jump
+        new = least[root]
+        if (new == root).all():
+            break
+        root = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
+
+
 def _star(edges: DataFrame) -> DataFrame:
     """Each node with its smallest neighbour, itself included."""
     return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -25,6 +58,8 @@ def components(links: DataFrame) -> DataFrame:
     a node linked with a third of all others is no task of its own.
     """
     edges = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    if edges.count() <= LOCAL_LINKS:
+        return keep(edges.coalesce(1).mapInArrow(_united, "node long, root long"))
     mark = None
     while mark != (mark := _mark(edges)):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
