@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -52,3 +53,10 @@ def fold(doc_id: Column, n: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rows_of(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small table from values of the driver.  createDataFrame() would start Python workers to unpickle it; this is an expression."""
+    names = [part.split()[0] for part in ddl.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{', '.join(f'{n}:{part.split()[1]}' for n, part in zip(names, ddl.split(', ')))}>>")).alias("r")).select("r.*")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import rows_of, table
 
 COVERAGE = 0.75
 GAP = 2
@@ -63,7 +63,7 @@ def template_pairs(spark: SparkSession, base=BASE, templates=TEMPLATES) -> DataF
         for t in range(len(w) - 1):
             tie = seen[w[t], w[t + 1]] = seen.get((w[t], w[t + 1]), -1) + 1
             rows.append((i, label, i < len(base), t, len(w) - 1, tie, w[t], w[t + 1]))
-    df = spark.createDataFrame(rows, "template int, label string, is_base boolean, t int, pairs int, tie int, t0 string, t1 string")
+    df = rows_of(spark, rows, "template int, label string, is_base boolean, t int, pairs int, tie int, t0 string, t1 string")
     return df.withColumn("pair", F.xxhash64("t0", "t1"))
 
 
