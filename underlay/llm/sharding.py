@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import keep, rows_of, table
 
 SHARDS = 24
 BLOCK_ROWS = 250_000
@@ -79,7 +79,7 @@ def shard(rows: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, seed: i
     present = sorted(counts)
     matrix = communication_matrix([counts[b] for b in present], shard_sizes(n, shards, seed), seed)
     bounds = [(b, [int(x) for x in np.cumsum(m)]) for b, m in zip(present, matrix)]
-    cuts = spark.createDataFrame(bounds or [(0, [0])], "block_ int, until_ array<bigint>")  # blocks * shards numbers
+    cuts = rows_of(spark, bounds or [(0, [0])], "block_ int, until_ array<bigint>")  # blocks * shards numbers
     local = Window.partitionBy("block_").orderBy(_mixed(seed + 1, id_col), id_col, *order)
     ranked = dealt.withColumn("rank_", F.row_number().over(local).cast("long")).join(F.broadcast(cuts), "block_")
     sent = ranked.withColumn("shard", F.size(F.filter("until_", lambda x: x < F.col("rank_"))).cast("int")).drop("block_", "rank_", "until_")
