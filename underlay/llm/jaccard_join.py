@@ -56,6 +56,7 @@ BLOCK_DOCS = 8_192
 BLOCK_RECORDS = 800_000
 BROADCAST_IDS = 4_000_000
 CELLS = 512
+TURNS = 2
 FOLDED = 64
 TASK_MEMBERS = 400_000
 TASK_BYTES = 32 << 20
@@ -407,21 +408,25 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # Copies from several blocks are one node of a group.
     members = keep(members.groupBy("g", "node").agg(F.max("n").alias("n"), F.max("probe").alias("probe"), F.max("times").alias("times")))
 
-    # First: each node with the node that its groups name most often.
-    centre = members.groupBy("g").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("c")).select("g", F.col("c.node").alias("centre"))
-    votes = members.join(centre, "g").where("node <> centre").groupBy("node", "centre").agg(F.sum("times").alias("times"))
-    named = votes.groupBy("node").agg(F.max_by("centre", F.struct("times", "centre")).alias("b")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    # First: each node with the node of another component that its groups name most often; once more from other centres.
     drawn = keep(places.select("node", "n", "cells").dropDuplicates(["node"]).join(members.select("node").distinct(), "node", "left_semi"))
     of = lambda end: drawn.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("cells").alias(f"c_{end}"))
-    likely = named.join(of("a"), "a").join(of("b"), "b").select("a", "b", "c_a", "c_b", "n_a", "n_b").mapInArrow(_screen, "a long, b long")
-    first = _verified(rows, text, likely)
-    roots = components(first)
+    first = roots = None
+    for turn in range(TURNS):
+        rooted = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        centre = rooted.groupBy("g").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")).alias("c")).select("g", F.col("c.node").alias("centre"), F.col("c.root").alias("its"))
+        votes = rooted.join(centre, "g").where("root <> its").groupBy("node", "centre").agg(F.sum("times").alias("times"))
+        named = votes.groupBy("node").agg(F.max_by("centre", F.struct("times", "centre")).alias("b")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        likely = named.join(of("a"), "a").join(of("b"), "b").select("a", "b", "c_a", "c_b", "n_a", "n_b").mapInArrow(_screen, "a long, b long")
+        found = _verified(rows, text, likely)
+        first = found if first is None else first.unionAll(found)
+        roots = components(first)
 
     # Then: the probes of each group with its members of other components.
     rooted = members.join(roots, "node", "left").select("g", "node", "n", "probe", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("g").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("g")
     # Groups of one family mostly have one centre: together, they find a pair once and send a sketch once.
-    rooted = rooted.join(several, "g", "left_semi").join(centre, "g")
+    rooted = rooted.join(several, "g", "left_semi").join(centre.select("g", "centre"), "g")
     shares = rooted.groupBy("centre").agg(F.ceil(F.count("*") / TASK_MEMBERS).alias("shares"))
     dealt = keep(rooted.join(shares, "centre").withColumn("share", F.pmod("g", F.col("shares"))))
     key = ["centre", "share"]
