@@ -17,6 +17,8 @@ FAMILY = "\U0001f468\u200d\U0001f469"
 SECRET = "".join(chr(0xE0000 + ord(c)) for c in "SECRET")
 _ID = "CAST(doc_id AS STRING) AS file_id, '' AS inside"
 _FIRST = "split_part(text, chr(10), 1)"
+#: The lines after the first, with the line end before them.
+_REST = f"substr(text, length({_FIRST}) + 1)"
 
 SQL: dict[str, str] = {
     # Characters
@@ -25,10 +27,10 @@ SQL: dict[str, str] = {
         CASE WHEN doc_id % 3 = 0 THEN concat(substr(text, 1, CAST(doc_id % 40 + 1 AS INT)), '{ZWSP}', substr(text, CAST(doc_id % 40 + 2 AS INT)))
              WHEN doc_id % 3 = 1 THEN concat(substr(text, 1, 2), '{ZWSP}{ZWSP}{ZWSP}', substr(text, 3, 3), '{ZWSP}', substr(text, 6))
              ELSE concat('{FAMILY} ', text) END AS text FROM {{documents}}""",
-    "bidi_parts": f"SELECT doc_id, substr({_FIRST}, 1, CAST(doc_id % 9 AS INT)) AS a, substr({_FIRST}, CAST(doc_id % 9 + 1 AS INT), 5) AS b, substr({_FIRST}, CAST(doc_id % 9 + 6 AS INT)) AS c FROM {{documents}}",
-    "units_bidi": f"SELECT {_ID}, 0 AS unit_no, CAST(NULL AS INT) AS page, CASE WHEN doc_id % 2 = 0 THEN concat(a, '{RLO}', b, '{PDF}', c) ELSE concat(a, '{RLO}', b, c) END AS text FROM {{bidi_parts}}",
-    "units_tags": f"SELECT {_ID}, 0 AS unit_no, CAST(NULL AS INT) AS page, concat(substr({_FIRST}, 1, 10), '{SECRET}', substr({_FIRST}, 11)) AS text FROM {{documents}}",
-    "units_mixed": f"SELECT {_ID}, 0 AS unit_no, CAST(NULL AS INT) AS page, concat(repeat('z ', CAST(doc_id % 7 AS INT)), 'p{CYRILLIC_A}ypal ', {_FIRST}) AS text FROM {{documents}}",
+    "bidi_parts": f"SELECT doc_id, substr({_FIRST}, 1, CAST(doc_id % 9 AS INT)) AS a, substr({_FIRST}, CAST(doc_id % 9 + 1 AS INT), 5) AS b, substr({_FIRST}, CAST(doc_id % 9 + 6 AS INT)) AS c, {_REST} AS rest FROM {{documents}}",
+    "units_bidi": f"SELECT {_ID}, 0 AS unit_no, CAST(NULL AS INT) AS page, CASE WHEN doc_id % 2 = 0 THEN concat(a, '{RLO}', b, '{PDF}', c, rest) ELSE concat(a, '{RLO}', b, c, rest) END AS text FROM {{bidi_parts}}",
+    "units_tags": f"SELECT {_ID}, 0 AS unit_no, CAST(NULL AS INT) AS page, concat(substr({_FIRST}, 1, 10), '{SECRET}', substr({_FIRST}, 11), {_REST}) AS text FROM {{documents}}",
+    "units_mixed": f"SELECT {_ID}, 0 AS unit_no, CAST(NULL AS INT) AS page, concat(repeat('z ', CAST(doc_id % 7 AS INT)), 'p{CYRILLIC_A}ypal ', text) AS text FROM {{documents}}",
     # Workbooks: a sheet an order, a row a line number; ties of line numbers by part and supplier
     "rows_in_order": "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM {lineitem}",
     "sheets": "SELECT DISTINCT CAST(l_orderkey % 100 AS STRING) AS file_id, '' AS inside, l_orderkey AS sheet_no, concat('S', CAST(l_orderkey AS STRING)) AS name, CASE l_orderkey % 11 WHEN 0 THEN 'hidden' WHEN 1 THEN 'very hidden' END AS hidden FROM {lineitem}",
@@ -51,7 +53,7 @@ SQL: dict[str, str] = {
         CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE substr(CAST(o_orderdate AS STRING), 1, 10) END AS date, 'word/document.xml' AS part FROM {orders} WHERE o_orderkey % 3 < 2""",
     "comments": """SELECT CAST(o_custkey % 50 AS STRING) AS file_id, '' AS inside, o_orderkey AS seq, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('see ', o_orderpriority) END AS text,
         CASE WHEN o_custkey % 50 = 0 THEN '' ELSE concat('k', CAST(o_custkey % 20 AS STRING)) END AS author, substr(CAST(o_orderdate AS STRING), 1, 10) AS date, CAST(NULL AS STRING) AS initials FROM {orders} WHERE o_orderkey % 3 = 2""",
-    "word_hidden": f"SELECT {_ID}, doc_id AS seq, CASE WHEN doc_id % 2 = 0 THEN 'the document' ELSE 'the footnotes' END AS part, {_FIRST} AS text FROM {{documents}} WHERE doc_id % 4 < 3",
+    "word_hidden": f"SELECT {_ID}, doc_id AS seq, CASE WHEN doc_id % 2 = 0 THEN 'the document' ELSE 'the footnotes' END AS part, text FROM {{documents}} WHERE doc_id % 4 < 3",
     # An earlier revision is a document, the current one lacks every third line
     "earlier": f"SELECT {_ID}, 1 AS number, doc_id * 100 AS ends_at, CAST(doc_id % 3 + 1 AS INT) AS pages, text FROM {{documents}}",
     # Metadata of customers' letters: the shown text is a document
@@ -65,23 +67,26 @@ SQL: dict[str, str] = {
     "meta_units": "SELECT CAST(c_custkey AS STRING) AS file_id, '' AS inside, 0 AS unit_no, CAST(NULL AS INT) AS page, CASE WHEN c_custkey % 2 = 0 THEN concat('Dear ', upper(c_name)) ELSE concat('on ', c_mktsegment) END AS text FROM {customer}",
     "meta_history": "SELECT CAST(user_id AS STRING) AS file_id, '' AS inside, event_id AS seq, event_type AS action, CASE WHEN event_id % 4 = 0 THEN NULL ELSE concat('tool ', event_type) END AS software, CAST(NULL AS STRING) AS `when`, CASE WHEN event_id % 2 = 0 THEN '/' END AS changed, CAST(NULL AS STRING) AS instance FROM {events} WHERE event_id % 10 = 0",
     "images": "SELECT CAST(p_partkey AS STRING) AS file_id, '' AS inside, 800 AS w, 400 + p_size AS h, 160 AS tw, CASE WHEN p_partkey % 9 = 0 THEN 0 ELSE 84 END AS th FROM {part}",
-    "attachments": """SELECT CAST(page_id AS STRING) AS file_id, '' AS inside, page_id AS att_no, url AS name, CAST(length(html) AS BIGINT) AS size, CASE WHEN page_id % 3 = 0 THEN NULL ELSE substr(html, 1, 30) END AS text,
+    "attachments": """SELECT CAST(page_id AS STRING) AS file_id, '' AS inside, page_id AS att_no, url AS name, CAST(length(html) AS BIGINT) AS size, CASE WHEN page_id % 3 = 0 THEN NULL ELSE html END AS text,
         CASE WHEN page_id % 2 = 0 THEN '/Names/EmbeddedFiles' ELSE 'word/embeddings/' END AS part, 'a web page' AS description FROM {pages}""",
-    # Pages: the first forty characters of a document on a line of glyphs 10 wide and 10 high, and a bar over ten of them
-    "letters": "SELECT doc_id, i, substr(line, i, 1) AS ch, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS second FROM (SELECT doc_id, substr(split_part(text, chr(10), 1), 1, 40) AS line FROM {documents}) AS d, {numbers} AS n WHERE i <= length(line)",
-    "numbers": "SELECT DISTINCT CAST(l_linenumber + 7 * (l_partkey % 6) AS INT) AS i FROM {lineitem} WHERE l_linenumber + 7 * (l_partkey % 6) <= 40",
-    "glyphs": """SELECT CAST(doc_id AS STRING) AS file_id, '' AS inside, 1 AS page, CAST(i AS BIGINT) AS run_no, 0 AS glyph_no, ch, CAST(10 * i AS DOUBLE) AS x0, 100.0D AS y0, CAST(10 * i + 10 AS DOUBLE) AS x1, 110.0D AS y1,
+    # Pages: each line of a document is the one page of a file of its own, a line of glyphs 10 wide and 10 high, and a bar over ten of them
+    "text_lines": """SELECT concat(CAST(doc_id AS STRING), '-', CAST(n AS STRING)) AS file_id, doc_id, split_part(text, chr(10), n) AS line
+        FROM (SELECT doc_id, text, explode(sequence(1, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INT))) AS n FROM {documents}) AS d""",
+    "line_blocks": """SELECT file_id, doc_id, b, substr(line, 64 * b + 1, 64) AS part
+        FROM (SELECT file_id, doc_id, line, explode(sequence(0, CAST(floor((length(line) - 1) / 64) AS INT))) AS b FROM {text_lines} WHERE length(line) > 0) AS l""",
+    "letters": "SELECT file_id, doc_id, CAST(64 * b + j AS INT) AS i, substr(part, j, 1) AS ch FROM (SELECT file_id, doc_id, b, part, explode(sequence(1, length(part))) AS j FROM {line_blocks}) AS p",
+    "glyphs": """SELECT file_id, '' AS inside, 1 AS page, CAST(i AS BIGINT) AS run_no, 0 AS glyph_no, ch, CAST(10 * i AS DOUBLE) AS x0, 100.0D AS y0, CAST(10 * i + 10 AS DOUBLE) AS x1, 110.0D AS y1,
         CAST(10 * i AS DOUBLE) AS ox, 100.0D AS oy, 1.0D AS dx, 0.0D AS dy, 10.0D AS size, CASE WHEN doc_id % 5 = 4 AND i > 20 THEN 3 ELSE 0 END AS mode, CASE WHEN doc_id % 7 = 3 AND i <= 5 THEN 0.1D ELSE 1.0D END AS alpha,
         CASE WHEN doc_id % 3 = 1 AND i BETWEEN 8 AND 14 THEN 1.0D ELSE 0.0D END AS fr, CASE WHEN doc_id % 3 = 1 AND i BETWEEN 8 AND 14 THEN 1.0D ELSE 0.0D END AS fg, CASE WHEN doc_id % 3 = 1 AND i BETWEEN 8 AND 14 THEN 1.0D ELSE 0.0D END AS fb,
         CAST(NULL AS DOUBLE) AS sr, CAST(NULL AS DOUBLE) AS sg, CAST(NULL AS DOUBLE) AS sb, CAST(NULL AS DOUBLE) AS cx0, CAST(NULL AS DOUBLE) AS cy0, CAST(NULL AS DOUBLE) AS cx1, CAST(NULL AS DOUBLE) AS cy1,
         CAST(CASE WHEN doc_id % 11 = 0 THEN 900 ELSE 100 END AS BIGINT) AS ord, false AS widths_estimated FROM {letters}""",
-    "shapes": """SELECT CAST(doc_id AS STRING) AS file_id, '' AS inside, 1 AS page, 1 AS shape_no, CASE WHEN doc_id % 4 = 0 THEN 'image' ELSE 'fill' END AS kind, CAST(10 * (doc_id % 20) AS DOUBLE) AS x0, 95.0D AS y0,
+    "shapes": """SELECT file_id, '' AS inside, 1 AS page, 1 AS shape_no, CASE WHEN doc_id % 4 = 0 THEN 'image' ELSE 'fill' END AS kind, CAST(10 * (doc_id % 20) AS DOUBLE) AS x0, 95.0D AS y0,
         CAST(10 * (doc_id % 20) + 100 AS DOUBLE) AS x1, 115.0D AS y1, CASE WHEN doc_id % 4 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(doc_id % 2 AS DOUBLE) END AS r, CASE WHEN doc_id % 4 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(doc_id % 2 AS DOUBLE) END AS g,
-        CASE WHEN doc_id % 4 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(doc_id % 2 AS DOUBLE) END AS b, CASE WHEN doc_id % 13 = 0 THEN 0.5D ELSE 1.0D END AS alpha, CAST(500 AS BIGINT) AS ord FROM {documents}""",
-    "drawn_pages": "SELECT CAST(doc_id AS STRING) AS file_id, '' AS inside, 1 AS page, 0.0D AS bx0, 0.0D AS by0, CASE WHEN doc_id % 6 = 0 THEN 305.0D ELSE 600.0D END AS bx1, 800.0D AS by1 FROM {documents}",
+        CASE WHEN doc_id % 4 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(doc_id % 2 AS DOUBLE) END AS b, CASE WHEN doc_id % 13 = 0 THEN 0.5D ELSE 1.0D END AS alpha, CAST(500 AS BIGINT) AS ord FROM {text_lines}""",
+    "drawn_pages": "SELECT file_id, '' AS inside, 1 AS page, 0.0D AS bx0, 0.0D AS by0, CASE WHEN doc_id % 6 = 0 THEN 305.0D ELSE 600.0D END AS bx1, 800.0D AS by1 FROM {text_lines}",
     "annotations": """SELECT CAST(doc_id AS STRING) AS file_id, '' AS inside, 1 AS page, doc_id AS seq, CASE doc_id % 4 WHEN 0 THEN 'Text' WHEN 1 THEN 'FreeText' WHEN 2 THEN 'Highlight' ELSE 'Link' END AS subtype,
-        CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE substr(text, 1, 20) END AS contents, lang AS author, doc_id % 3 = 0 AS has_appearance FROM {documents}""",
-    "ocr_words": """SELECT CAST(doc_id AS STRING) AS file_id, '' AS inside, 1 AS page, i AS word_no, CASE WHEN (doc_id + i) % 3 = 0 THEN ch ELSE '#' END AS text, CAST(10 * i AS DOUBLE) AS x0, CASE WHEN i % 8 = 7 THEN 300.0D ELSE 100.0D END AS y0,
+        CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE text END AS contents, lang AS author, doc_id % 3 = 0 AS has_appearance FROM {documents}""",
+    "ocr_words": """SELECT file_id, '' AS inside, 1 AS page, i AS word_no, CASE WHEN (doc_id + i) % 3 = 0 THEN ch ELSE '#' END AS text, CAST(10 * i AS DOUBLE) AS x0, CASE WHEN i % 8 = 7 THEN 300.0D ELSE 100.0D END AS y0,
         CAST(10 * i + 10 AS DOUBLE) AS x1, CASE WHEN i % 8 = 7 THEN 310.0D ELSE 110.0D END AS y1, CASE WHEN i % 5 = 0 THEN 59.9D ELSE 90.0D END AS conf FROM {letters}""",
     "apart_glyphs": "SELECT file_id, inside, page, run_no, glyph_no, ch, x0, y0, x0 + 5.0D AS x1, y1, ox, oy, dx, dy, size, mode, alpha, fr, fg, fb, sr, sg, sb, cx0, cy0, cx1, cy1, ord, widths_estimated FROM {glyphs}",
     # Folders: a file a user, a finding an event
@@ -113,4 +118,5 @@ def with_clause(*names: str) -> str:
         visit(n)
     text = ",\n".join(f"{n} AS ({re.sub(r'\{(\w+)\}', r'\1', SQL[n])})" for n in done)
     text = re.sub(r"\b(\d+\.\d+)D\b", r"CAST(\1 AS DOUBLE)", text).replace("`", '"').replace("\\\\", "\\")
+    text = text.replace("explode(sequence(", "unnest(generate_series(")
     return "WITH " + text
