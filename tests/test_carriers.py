@@ -55,3 +55,11 @@ def test_tags_on_every_line(spark):
     found = sorted((r.file_id, r.line, r.column, r.human_sees, r.decoded) for r in characters.tag_characters(units).collect())
     want = [(str(i), n, min(len(x), 3) + 1, x, "SECRET") for i, t in TEXTS.items() for n, x in enumerate(t.split("\n"), 1)]
     assert found == sorted(want)
+
+
+def test_every_row_is_a_record(spark, sf):
+    for name, column in (("meta_history", "seq"), ("survey_findings", "emit_seq")):
+        assert sorted(r[column] for r in C.load(spark, sf, name).collect()) == [e for e, _, _ in EVENTS]
+    assert sorted((r.seq, r.text) for r in C.load(spark, sf, "word_hidden").collect()) == sorted(TEXTS.items())
+    totals = registry.queries()["survey_totals"](spark, sf).first()
+    assert (totals.files, totals.refused, totals.hiding, totals.findings) == (12, 2, 12, len(EVENTS))

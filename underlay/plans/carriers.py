@@ -53,7 +53,7 @@ SQL: dict[str, str] = {
         CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE substr(CAST(o_orderdate AS STRING), 1, 10) END AS date, 'word/document.xml' AS part FROM {orders} WHERE o_orderkey % 3 < 2""",
     "comments": """SELECT CAST(o_custkey % 50 AS STRING) AS file_id, '' AS inside, o_orderkey AS seq, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('see ', o_orderpriority) END AS text,
         CASE WHEN o_custkey % 50 = 0 THEN '' ELSE concat('k', CAST(o_custkey % 20 AS STRING)) END AS author, substr(CAST(o_orderdate AS STRING), 1, 10) AS date, CAST(NULL AS STRING) AS initials FROM {orders} WHERE o_orderkey % 3 = 2""",
-    "word_hidden": f"SELECT {_ID}, doc_id AS seq, CASE WHEN doc_id % 2 = 0 THEN 'the document' ELSE 'the footnotes' END AS part, text FROM {{documents}} WHERE doc_id % 4 < 3",
+    "word_hidden": f"SELECT {_ID}, doc_id AS seq, CASE WHEN doc_id % 2 = 0 THEN 'the document' ELSE 'the footnotes' END AS part, text FROM {{documents}}",
     # An earlier revision is a document, the current one lacks every third line
     "earlier": f"SELECT {_ID}, 1 AS number, doc_id * 100 AS ends_at, CAST(doc_id % 3 + 1 AS INT) AS pages, text FROM {{documents}}",
     # Metadata of customers' letters: the shown text is a document
@@ -65,7 +65,7 @@ SQL: dict[str, str] = {
         UNION ALL SELECT CAST(c_custkey AS STRING), '', 6, 'CreationDate', concat('2024-01-', lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0'), 'T10:00:00Z'), '/Info', 'time', 'pdf' FROM {customer}
         UNION ALL SELECT CAST(c_custkey AS STRING), '', 7, 'ModDate', concat('2024-01-', lpad(CAST(c_custkey % 5 + 10 AS STRING), 2, '0'), 'T12:00:00+02:00'), '/Info', 'time', 'pdf' FROM {customer}""",
     "meta_units": "SELECT CAST(c_custkey AS STRING) AS file_id, '' AS inside, 0 AS unit_no, CAST(NULL AS INT) AS page, CASE WHEN c_custkey % 2 = 0 THEN concat('Dear ', upper(c_name)) ELSE concat('on ', c_mktsegment) END AS text FROM {customer}",
-    "meta_history": "SELECT CAST(user_id AS STRING) AS file_id, '' AS inside, event_id AS seq, event_type AS action, CASE WHEN event_id % 4 = 0 THEN NULL ELSE concat('tool ', event_type) END AS software, CAST(NULL AS STRING) AS `when`, CASE WHEN event_id % 2 = 0 THEN '/' END AS changed, CAST(NULL AS STRING) AS instance FROM {events} WHERE event_id % 10 = 0",
+    "meta_history": "SELECT CAST(user_id AS STRING) AS file_id, '' AS inside, event_id AS seq, event_type AS action, CASE WHEN event_id % 4 = 0 THEN NULL ELSE concat('tool ', event_type) END AS software, CAST(NULL AS STRING) AS `when`, CASE WHEN event_id % 2 = 0 THEN '/' END AS changed, CAST(NULL AS STRING) AS instance FROM {events}",
     "images": "SELECT CAST(p_partkey AS STRING) AS file_id, '' AS inside, 800 AS w, 400 + p_size AS h, 160 AS tw, CASE WHEN p_partkey % 9 = 0 THEN 0 ELSE 84 END AS th FROM {part}",
     "attachments": """SELECT CAST(page_id AS STRING) AS file_id, '' AS inside, page_id AS att_no, url AS name, CAST(length(html) AS BIGINT) AS size, CASE WHEN page_id % 3 = 0 THEN NULL ELSE html END AS text,
         CASE WHEN page_id % 2 = 0 THEN '/Names/EmbeddedFiles' ELSE 'word/embeddings/' END AS part, 'a web page' AS description FROM {pages}""",
@@ -91,7 +91,7 @@ SQL: dict[str, str] = {
     "apart_glyphs": "SELECT file_id, inside, page, run_no, glyph_no, ch, x0, y0, x0 + 5.0D AS x1, y1, ox, oy, dx, dy, size, mode, alpha, fr, fg, fb, sr, sg, sb, cx0, cy0, cx1, cy1, ord, widths_estimated FROM {glyphs}",
     # Folders: a file a user, a finding an event
     "survey_files": "SELECT CAST(user_id AS STRING) AS file_id, concat('d', CAST(user_id % 7 AS STRING), '/', CAST(user_id AS STRING)) AS rel_path, CASE WHEN user_id % 10 = 0 THEN 'not a document' END AS refusal FROM (SELECT DISTINCT user_id FROM {events}) AS u",
-    "survey_findings": "SELECT CAST(user_id AS STRING) AS file_id, '' AS inside, 1 AS emit_phase, event_id AS emit_seq, event_type AS detector, CAST(NULL AS INT) AS page, CAST(event_id % 50 AS INT) AS line, CAST(NULL AS INT) AS `column` FROM {events} WHERE user_id % 10 <> 0 AND event_id % 3 = 0",
+    "survey_findings": "SELECT CAST(user_id AS STRING) AS file_id, '' AS inside, 1 AS emit_phase, event_id AS emit_seq, event_type AS detector, CAST(NULL AS INT) AS page, CAST(event_id % 50 AS INT) AS line, CAST(NULL AS INT) AS `column` FROM {events}",
 }
 
 
