@@ -32,12 +32,26 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one of smallest id stays; a null id belongs to no group but through its text."""
-    joined = keep(jaccard_join.join(docs))
-    stay = joined.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("id").agg(F.count("*").alias("k")).select(F.col("id").alias("keep_"), "k")
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("keep_")), "left_semi").select(*COLUMNS)
-    repeated = stay.where("k > 1 and keep_ is not null").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """Of each group of similar documents one row of the smallest id stays; a null id belongs to no group but through its text.
+
+    Ids come before null ones, then the smaller digest of the text.  A blank text is similar to none: its id stays
+    with one row, and a null id with every row.
+    """
+    rows = keep(jaccard_join.rooted(docs))
+    blank, unnamed = F.col("root").isNull(), F.col("id").isNull()
+    first = rows.where(~blank).groupBy("root").agg(F.min(F.struct(unnamed.alias("unnamed"), "id", "digest")).alias("of")).select("of.id", "of.digest", F.lit(False).alias("blank"))
+    first = first.unionAll(rows.where(blank).select("id", "digest", F.lit(True)).distinct())
+    named = first.where(~unnamed).groupBy("id").agg(F.min(F.struct("blank", "digest")).alias("of")).select("id", "of.digest", F.lit(False).alias("every"))
+    stay = named.unionAll(first.where(unnamed).select("id", "digest", F.col("blank").alias("every")))
+    place = lambda df, doc_id, digest, *more: df.select(*more, F.coalesce(doc_id.cast("long"), F.lit(0)).alias("id_"), doc_id.isNull().alias("unnamed_"), digest.alias("digest_"))
+    key = ["id_", "unnamed_", "digest_"]
+    equal = place(rows, F.col("id"), F.col("digest")).groupBy(*key).agg(F.count("*").alias("k"))
+    stay = keep(place(stay, F.col("id"), F.col("digest"), "every").join(equal, key).select(*key, (F.col("every") | (F.col("k") == 1)).alias("all_")))
+    keyed = place(docs, F.col("doc_id"), jaccard_join.digest(F.col("text")), *COLUMNS)
+    # Only rows that equal another are grouped, so that the others' texts are sorted and shuffled once.
+    alone = keyed.join(stay.where("all_"), key, "left_semi").select(*COLUMNS)
+    copies = keyed.join(stay.where("not all_"), key, "left_semi").dropDuplicates(key).select(*COLUMNS)
+    return alone.unionAll(copies)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

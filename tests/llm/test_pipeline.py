@@ -36,3 +36,25 @@ def test_stages(spark, texts, tmp_path):
     assert sorted(i for i, _ in pairs("benchmark_decontamination")) == clean and 407 not in clean
     want = {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in pairs("benchmark_decontamination")}
     assert {r.doc_id: r.decoded_sha256 for r in after["bpe"]} == want
+
+
+def test_null_and_repeated_ids(spark):
+    """Both in one table: null ids group by text alone, and an id stays once."""
+    far = [" ".join(f"{w}{k}" for w in "red blue green amber violet white black brown".split() for k in range(i, i + 9)) for i in range(0, 90, 9)]
+    near = f"{far[0]} and one more"
+    rows = [(1, far[0]), (1, far[0]), (1, far[1]), (2, near), (3, far[2]), (4, None), (4, " "), (5, far[3]), (5, None)]
+    rows += [(None, near), (None, far[1]), (None, far[4]), (None, f"{far[4]} too"), (None, far[5]), (None, far[5]), (None, far[6]), (None, None), (None, None), (None, ""), (None, "")]
+    for some in (rows, [r for r in rows if r[0] not in (1, 4, 5)]):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in some], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        kept = [(r.doc_id, r.text) for r in C.drop_near_copies(spark, docs, "").collect()]
+        # Texts with a null id that no id's text is like: one of far[4] and its near copy, far[5] once, far[6], and every blank one.
+        unnamed = [t for i, t in kept if i is None]
+        own = {far[4], f"{far[4]} too"} & set(unnamed)
+        more = [] if some is rows else [far[1]]
+        assert len(own) == 1
+        if some is rows:
+            assert sorted(unnamed, key=str) == sorted([*own, far[5], far[6], None, None, "", ""], key=str)
+            assert sorted(i for i, _ in kept if i is not None) == [1, 3, 4, 5]
+        else:
+            assert sorted(unnamed, key=str) == sorted([*own, *more, far[5], far[6], None, None, "", ""], key=str)
+            assert sorted(kept, key=str) == sorted([*((None, t) for t in unnamed), (2, near), (3, far[2])], key=str)

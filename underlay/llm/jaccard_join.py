@@ -40,7 +40,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -101,7 +101,7 @@ def sketches(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(of * CELLS + cell, minlength=len(counts) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
 
 
-_DOC = "kind int, id long, node long, n long"
+_DOC = "kind int, id long, digest long, node long, n long"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,13 +112,13 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def frequent() -> pa.RecordBatch:
         shingles, n = np.unique(np.concatenate(pending), return_counts=True)
         often = n >= max(4, docs // 1000)
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(int(often.sum()), np.int32)), pa.nulls(int(often.sum()), pa.int64()), pa.array(shingles[often].view(np.int64)), pa.array(n[often], pa.int64())], names=["kind", "id", "node", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(int(often.sum()), np.int32)), pa.nulls(int(often.sum()), pa.int64()), pa.nulls(int(often.sum()), pa.int64()), pa.array(shingles[often].view(np.int64)), pa.array(n[often], pa.int64())], names=["kind", "id", "digest", "node", "n"])
 
     for batch in batches:
         for lo, hi, data, offsets in K.chunks(batch.column(1)):
             flat, counts = chunk_sets(data, offsets)
             nodes = nodes_of(flat, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(nodes), pa.array(counts)], names=["kind", "id", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(nodes), pa.array(counts)], names=["kind", "id", "digest", "node", "n"])
             pending.append(flat)
             docs += hi - lo
             if sum(map(len, pending)) >= 2 * BLOCK_RECORDS:
@@ -387,12 +387,24 @@ def _verify(sets: pa.Table, pairs: pa.Table) -> pa.Table:
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, component): one row a document; component is the smallest id reachable by links."""
+    found = rooted(docs, id_col, text_col)
+    labelled = found.where("n > 0")
+    smallest = labelled.groupBy("root").agg(F.min("id").alias("component"))
+    return labelled.join(smallest, "root").select("id", "n", "component").unionAll(found.where("n = 0").select("id", "n", F.col("id").alias("component")))
+
+
+def digest(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, digest, n, root): one row a document, with a digest of its text; rows of one root are linked, null ids too, and a blank text has none."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     p = partitions(docs)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = keep(text.mapInArrow(_describe, _DOC))
-    rows = described.where("kind = 0").select("id", "node", "n")
+    described = keep(text.select("id", "text", digest(F.col("text")).alias("digest")).mapInArrow(_describe, _DOC))
+    rows = described.where("kind = 0").select("id", "digest", "node", "n")
     frequent = described.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).collect()  # bounded; prices only
     keys = np.array([r["node"] for r in frequent], np.int64).view(U64)
     order = np.argsort(keys)
@@ -439,9 +451,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # Rows of one id are one document: their texts link through it.
     through = rows.where("n > 0").join(shared, "id").groupBy("id").agg(F.min("node").alias("a"), F.collect_set("node").alias("s")).select("a", F.explode("s").alias("b")).where("a <> b")
     roots = components(links.unionAll(through))
-    labelled = rows.where("n > 0").join(roots, "node", "left").select("id", "n", F.coalesce("root", "node").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("id").alias("component"))
-    return labelled.join(smallest, "root").select("id", "n", "component").unionAll(rows.where("n = 0").select("id", "n", F.col("id").alias("component")))
+    linked = rows.where("n > 0").join(roots, "node", "left").select("id", "digest", "n", F.coalesce("root", "node").alias("root"))
+    return linked.unionAll(rows.where("n = 0").select("id", "digest", "n", F.lit(None).cast("long").alias("root")))
 
 
 def _meet_or_name(block: pa.Table) -> pa.Table:
