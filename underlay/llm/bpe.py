@@ -263,10 +263,7 @@ class BPE:
                 inside[s + 1 : s + len(self.bytes[i])] = True
             starts = starts[~inside[starts]]
         ends = np.append(starts[1:], len(data))
-        power, inverse = K._power_tables(len(data) + 1)
-        sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(K._BYTE[data] * power[: len(data)], out=sums[1:])
-        hashes = K.mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
+        hashes = K.mix(K.span_hashes(data, starts, ends) + (ends - starts).astype(U64))
         types, some, which = np.unique(hashes, return_index=True, return_inverse=True)
         at, size = self._lookup(types, data, starts[some], ends[some])
         if special_at:

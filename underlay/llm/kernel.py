@@ -3,12 +3,13 @@
 One Arrow batch is cut into chunks of a bounded number of bytes and every step
 (lower-casing, word boundaries, word hashes, n-gram hashes) is a numpy pass over
 the bytes of a chunk, so no Python object is made for a word.  A chunk always
-holds whole documents; memory is bounded by the chunk size or, if larger, by a
-single document.
+holds whole documents; word hashes are made BLOCK bytes at a time, so a document
+longer than a chunk costs a few bytes of memory for each of its own.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,19 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 CHUNK_BYTES = 2 << 20
+BLOCK = 1 << 18
+
+
+def _return_memory() -> None:
+    """Arrays of 4 MB and more go back to the system when they are freed: a worker lives through many stages."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD of glibc
+    except (AttributeError, OSError):
+        pass
+
+
+_return_memory()
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -30,7 +44,6 @@ NON_ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 END_WORD = U64(0x1F83D9ABFB41BD6B)
 START_WORD = U64(0x5BE0CD19137E2179)
 
@@ -45,16 +58,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, U64(base))
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            _powers[i] = p
-    return _powers[0], _powers[1]
+def _powers(base: int) -> np.ndarray:
+    out = np.full(BLOCK + 1, U64(base))
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
+_POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A mixed polynomial of the bytes of each span (in order, apart), BLOCK bytes of text at a time; a longer span is summed up in pieces."""
+    out = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        lo = starts[i]
+        j = int(np.searchsorted(ends, lo + BLOCK, "right"))
+        if j == i:
+            total, power = 0, 1
+            for at in range(lo, ends[i], BLOCK):
+                piece = _BYTE[data[at : min(at + BLOCK, ends[i])]]
+                total += int((piece * _POWER[: len(piece)]).sum(dtype=U64)) * power
+                power = power * pow(_BASE, BLOCK, 1 << 64) % (1 << 64)
+            out[i] = total % (1 << 64)
+            i += 1
+            continue
+        span = data[lo : ends[j - 1]]
+        sums = np.zeros(len(span) + 1, U64)
+        np.cumsum(_BYTE[span] * _POWER[: len(span)], out=sums[1:])
+        first, past = starts[i:j] - lo, ends[i:j] - lo
+        out[i:j] = (sums[past] - sums[first]) * _INVERSE[first]
+        i = j
+    return mix(out)
 
 
 @dataclass
@@ -100,22 +135,18 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> Word
     low = LOWER[data]
     inside = ~separators[low]
     n = len(low)
-    before = np.empty(n + 1, bool)
-    before[0] = False
-    before[1:] = inside
-    before[offsets[:-1]] = False
-    starts = np.flatnonzero(inside & ~before[:n])
-    after = np.empty(n + 1, bool)
-    after[:n] = inside
-    after[n] = False
-    after[offsets[1:]] = False
-    ends = np.flatnonzero(inside & ~after[1:]) + 1
-    power, inverse = _power_tables(n + 1)
-    sums = np.empty(n + 1, U64)
-    sums[0] = 0
-    np.multiply(_BYTE[low], power[:n], out=sums[1:])
-    np.cumsum(sums[1:], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
+    border = offsets[(offsets > 0) & (offsets < n)]
+    edge = np.zeros(n + 1, bool)
+    edge[:n] = inside
+    edge[1:n] &= ~inside[: n - 1]
+    edge[border] |= inside[border]
+    starts = np.flatnonzero(edge[:n])
+    edge[:] = False
+    edge[1:] = inside
+    edge[1:n] &= ~inside[1:]
+    edge[border] |= inside[border - 1]
+    ends = np.flatnonzero(edge)
+    hashes = span_hashes(low, starts, ends)
     counts = np.diff(np.searchsorted(starts, offsets))
     return Words(starts, ends, hashes, counts)
 
