@@ -45,7 +45,12 @@ def test_against_brute_force(docs, texts):
     assert got(J.join(docs)) == brute(texts)
 
 
-def test_chains_passages_and_sizes_at_the_threshold(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_chains_passages_and_sizes_at_the_threshold(spark, monkeypatch, small):
+    """small: signatures of more than three documents are dealt out, and families cut into blocks of a few sets."""
+    if small:
+        monkeypatch.setattr(J, "HOT", 3)
+        monkeypatch.setattr(J, "TASK_BYTES", 6_000)
     rng = random.Random(8)
     rows, n = [], 0
 

@@ -18,18 +18,26 @@ neighbourhood of the part with one shingle (then two, ..) deleted.
 
 Equal sets share one node.  Reducers find the nodes of equal signatures.  First each
 node is compared with the one node that its signatures name most often, which
-joins large groups of near copies; then the probes of every signature are
-compared with those holders that are not yet in their component.  A histogram of
-a set's shingles over CELLS cells rules pairs out before that: the sum of its
-differences never exceeds the number of differing shingles.  Each comparison left
-counts the true intersection of the shingle hashes.  No pair within a component
-is compared once it is known to be one.
+joins large groups of near copies.  What is left are signatures whose nodes are in
+several components.  Those with one centre are a family and go to a task with their
+sets, a large family as pairs of blocks of at most TASK_BYTES.  The task compares
+the probes of every signature with those holders that are not yet in their
+component, and joins components as it finds links, so it sends on at most one link
+for each component it got, never the pairs.  A histogram of a set's shingles over
+CELLS cells rules pairs out before that: the sum of its differences never exceeds
+the number of differing shingles.  Each comparison left counts the true intersection
+of the shingle hashes.
+
+A signature whose rarest shingle is held by more than HOT documents is dealt out:
+its holders over as many shares as keep each near HOT, its probes to all of them.
 
 Cases: sets of documents with fewer than five words hold the whole sequence; null
 and word-free texts have no set and are their own component; null ids are rows
 of one unknown document, whose component is null unless it links; repeated
 rows and rows of one id link with each other only through equal or similar texts,
-or through the id that they share.
+or through the id that they share; a very long text costs its distinct shingles;
+ties (of centres, of prices) go to the smaller hash and never change links; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,12 +62,12 @@ SEGMENTS = 0.36
 FREQUENT = 65_536
 BLOCK_DOCS = 8_192
 BLOCK_RECORDS = 800_000
-BROADCAST_IDS = 4_000_000
+BROADCAST_ROWS = 4_000_000
 CELLS = 512
 TURNS = 2
 FOLDED = 64
-TASK_MEMBERS = 400_000
-TASK_BYTES = 32 << 20
+TASK_BYTES = 16 << 20
+HOT = 65_536
 LOW48 = U64((1 << 48) - 1)
 
 
@@ -131,8 +139,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Signer:
     """Records of a chunk's sets: signature, set (place in the chunk), whether it probes."""
 
-    def __init__(self, keys: np.ndarray, prices: np.ndarray):
-        self.keys, self.prices = keys, prices
+    def __init__(self, keys: np.ndarray, prices: np.ndarray, hot: int = HOT):
+        self.keys, self.prices, self.hot = keys, prices, hot
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(keys & U64((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -188,8 +196,21 @@ class Signer:
                 more_sig.append(x)
                 more_doc.append(d)
         used = np.ones(len(at), bool) if index else probe
+        signature, doc, probe, cost, first_of = signature[used], doc[used], probe[used], cost[used], flat[at[begin[doc[used]]]]
         extra = np.array(more_sig, U64)
-        return np.concatenate([signature[used], extra]), np.concatenate([doc[used], np.array(more_doc, np.int64)]), np.concatenate([probe[used], np.ones(len(extra), bool)])
+        signature, doc, probe = self._shares(signature, doc, probe, -(-cost // self.hot), first_of)
+        return np.concatenate([signature, extra]), np.concatenate([doc, np.array(more_doc, np.int64)]), np.concatenate([probe, np.ones(len(extra), bool)])
+
+    @staticmethod
+    def _shares(signature: np.ndarray, doc: np.ndarray, probe: np.ndarray, shares: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A signature of several shares becomes one of them by the set's name, or all if it is probed; only there it is a holder's."""
+        shares = np.maximum(shares, 1)
+        own = (K.mix(name) % shares.astype(U64)).astype(np.int64)
+        times = np.where(probe, shares, 1)
+        of = np.repeat(np.arange(len(signature)), times)
+        share = np.where(probe[of], np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times), own[of])
+        salted = np.where(share > 0, K.mix(signature[of] + share.astype(U64)), signature[of])
+        return salted, doc[of], probe[of]
 
     @staticmethod
     def _deleted(parts: list[np.ndarray], salts: np.ndarray, may_differ: int) -> list[np.uint64]:
@@ -324,35 +345,59 @@ def _drawn(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
 
 
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= 75 * (len(x) + len(y) - common)
+
+
 def _cross(members: pa.Table, nodes: pa.Table) -> pa.Table:
-    """Pairs of groups' probes and members that are in different components and may be similar by size and sketch; each once."""
-    names = nodes["node"].to_numpy()
+    """Links between components, at most one for each that is joined: signatures' probes against members of other components.
+
+    nodes: node, its block, root and set; of two blocks only pairs between them are compared.
+    """
+    if not members.num_rows or not nodes.num_rows:
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    names, block, root = (nodes[c].to_numpy() for c in ("node", "block", "root"))
     order = np.argsort(names)
-    names = names[order]
-    root, n, cells = nodes["root"].to_numpy()[order], nodes["n"].to_numpy()[order], _drawn(nodes["cells"])[order]
+    names, block = names[order], block[order]
+    held = nodes["held"].take(pa.array(order)).to_pylist()
+    held = [np.frombuffer(x, U64) for x in held]
+    n = np.array([len(x) for x in held], np.int64)
+    cells = np.concatenate([sketches(np.concatenate(held[i : i + 1024]), n[i : i + 1024]) for i in range(0, len(held), 1024)])
+    folded = cells.reshape(len(cells), FOLDED, -1).sum(axis=2, dtype=np.int32)
+    across = block.min() != block.max()
+    component = np.unique(root[order], return_inverse=True)[1]
     g, at, probe = members["g"].to_numpy(), np.searchsorted(names, members["node"].to_numpy()), members["probe"].to_numpy(zero_copy_only=False)
     order = np.argsort(g, kind="stable")
     g, at, probe = g[order], at[order], probe[order]
-    pairs, held = np.zeros(0, np.int64), []
-    starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else []
-    for lo, hi in zip(starts, np.append(starts[1:], len(g)) if len(g) else []):
-        own = at[lo:hi]
-        for i in own[probe[lo:hi]]:
-            # The probe is the larger of the two.
-            other = own[(root[own] != root[i]) & (n[own] <= n[i]) & (4 * n[own] >= 3 * n[i])]
-            held.append(np.minimum(i, other) * len(names) + np.maximum(i, other))
-        if sum(map(len, held)) > 2_000_000:
-            pairs, held = np.unique(np.concatenate([pairs, *held])), []
-    pairs = np.unique(np.concatenate([pairs, *held]))
-    folded = cells.reshape(len(cells), FOLDED, -1).sum(axis=2, dtype=np.int32)
-    kept = []
-    for lo in range(0, len(pairs), 50_000):
-        a, b = np.divmod(pairs[lo : lo + 50_000], len(names))
-        near = 7 * np.abs(folded[a] - folded[b]).sum(axis=1) <= n[a] + n[b]
-        a, b = a[near], b[near]
-        near = _near(cells[a], cells[b], n[a], n[b])
-        kept.append(np.stack([names[a[near]], names[b[near]]]))
-    a, b = np.concatenate(kept, axis=1) if kept else np.zeros((2, 0), np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    ends = np.append(starts[1:], len(g))
+    # Of two members in different components at least one is outside the group's largest.
+    outside: dict[int, list[int]] = {}
+    for k, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist())):
+        own = component[at[lo:hi]]
+        largest = np.bincount(own).argmax() if hi - lo > 2 else own[0]
+        for i in np.flatnonzero(own != largest):
+            outside.setdefault(int(at[lo + i]), []).append(k)
+    found: list[tuple[int, int]] = []
+    for i, groups in outside.items():
+        parts = []
+        for k in groups:
+            own, asks = at[starts[k] : ends[k]], probe[starts[k] : ends[k]]
+            mine = asks[own == i].any()
+            # The larger of the two is the one that probes.
+            parts.append(own[(component[own] != component[i]) & (((n[own] >= n[i]) & asks) | ((n[own] <= n[i]) & mine))])
+        others = np.unique(np.concatenate(parts))
+        others = others[(4 * np.minimum(n[others], n[i]) >= 3 * np.maximum(n[others], n[i])) & ((block[others] != block[i]) | (not across))]
+        if len(others):
+            others = others[7 * np.abs(folded[others] - folded[i]).sum(axis=1) <= n[others] + n[i]]
+        differ = np.concatenate([np.abs(cells[others[lo : lo + 4096]].astype(np.int16) - cells[i].astype(np.int16)).sum(axis=1) for lo in range(0, len(others), 4096)]) if len(others) else others
+        near = 7 * differ <= n[others] + n[i]
+        for j in others[near][np.argsort(differ[near], kind="stable")].tolist():
+            if component[j] != component[i] and _linked(held[i], held[j]):
+                component[component == component[j]] = component[i]
+                found.append((names[i], names[j]))
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
     return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
 
@@ -377,11 +422,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(sets: pa.Table, pairs: pa.Table) -> pa.Table:
     held = {k: np.frombuffer(v, U64) for k, v in zip(sets["node"].to_pylist(), sets["held"].to_pylist())}
-    good = []
-    for x, y in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
-        x, y = held[x], held[y]
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        good.append(100 * common >= 75 * (len(x) + len(y) - common))
+    good = [_linked(held[x], held[y]) for x, y in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist())]
     return pairs.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
@@ -408,7 +449,7 @@ def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     frequent = described.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).collect()  # bounded; prices only
     keys = np.array([r["node"] for r in frequent], np.int64).view(U64)
     order = np.argsort(keys)
-    prices = sc.broadcast((keys[order], np.array([r["n"] for r in frequent], np.int64)[order]))
+    prices = sc.broadcast((keys[order], np.array([r["n"] for r in frequent], np.int64)[order], HOT))
     records = text.select("text").mapInArrow(_sign(2 * p, prices), _RECORD_DDL)
     # The names of a block's sets have a bucket of their own per block, so that no task gets them all.
     deal = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.pmod(F.col("base") / (1 << 15), F.lit(2 * p)).cast("int"))
@@ -435,18 +476,28 @@ def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         roots = components(first)
 
     # Then: the probes of each group with its members of other components.
-    rooted = members.join(roots, "node", "left").select("g", "node", "n", "probe", F.coalesce("root", "node").alias("root"))
+    rooted = members.join(roots, "node", "left").select("g", "node", "probe", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("g").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("g")
-    # Groups of one family mostly have one centre: together, they find a pair once and send a sketch once.
-    rooted = rooted.join(several, "g", "left_semi").join(centre.select("g", "centre"), "g")
-    shares = rooted.groupBy("centre").agg(F.ceil(F.count("*") / TASK_MEMBERS).alias("shares"))
-    dealt = keep(rooted.join(shares, "centre").withColumn("share", F.pmod("g", F.col("shares"))))
-    key = ["centre", "share"]
+    # Groups of one family mostly have one centre: together, they find a pair once and send a set once.
+    rooted = keep(rooted.join(several, "g", "left_semi").join(centre.select("g", "centre"), "g"))
+    family = rooted.select("centre", "node", "root").distinct()
+    sets = _sets_of(rows, text, rooted.select("node"))
+    held = keep(family.join(sets, "node"))
+    large = keep(held.groupBy("centre").agg(F.ceil(F.sum(F.octet_length("held")) / TASK_BYTES).cast("int").alias("blocks")).where("blocks > 1"))
+    count = large.count()
+
+    def dealt(df: DataFrame) -> DataFrame:
+        """A row for every task (low, high) of blocks that it takes part in."""
+        blocks = F.coalesce("blocks", F.lit(1))
+        placed = df.join(_checked(large, count), "centre", "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        placed = placed.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        return placed.select(*df.columns, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    key = ["centre", "low", "high"]
     # Both sides of a cogroup need columns of their own.
-    light = dealt.select(*(F.col(c).alias(c) for c in (*key, "g", "node", "probe"))).repartition(p, *key).groupBy(*key)
-    heavy = dealt.select(*key, "node", "n", "root").distinct().join(drawn.select("node", "cells"), "node").repartition(p, *key).groupBy(*key)
-    crossing = light.cogroup(heavy).applyInArrow(_cross, "a long, b long").distinct()
-    links = first.unionAll(_verified(rows, text, crossing))
+    light = dealt(rooted.select("centre", "g", "node", "probe")).select(*(F.col(c).alias(c) for c in (*key, "g", "node", "probe"))).repartition(p, *key).groupBy(*key)
+    heavy = dealt(held).select(*(F.col(c).alias(c) for c in (*key, "node", "block", "root", "held"))).repartition(p, *key).groupBy(*key)
+    links = first.unionAll(keep(light.cogroup(heavy).applyInArrow(_cross, "a long, b long")))
     shared = rows.where("id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("k")).where("a <> b").select("id")
     # Rows of one id are one document: their texts link through it.
     through = rows.where("n > 0").join(shared, "id").groupBy("id").agg(F.min("node").alias("a"), F.collect_set("node").alias("s")).select("a", F.explode("s").alias("b")).where("a <> b")
@@ -462,16 +513,24 @@ def _meet_or_name(block: pa.Table) -> pa.Table:
     return pa.table({"members": out["members"], "times": out["times"], "sizes": pa.nulls(out.num_rows, pa.binary()), "base": pa.array(np.full(out.num_rows, -1), pa.int64())})
 
 
+def _checked(df: DataFrame, rows: int) -> DataFrame:
+    """df, broadcast if its rows (of a few numbers each) are at most BROADCAST_ROWS."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _sets_of(rows: DataFrame, text: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, held): the sets of nodes, made anew from one text of each."""
+    holders = keep(rows.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")))
+    some = _checked(holders, holders.count())
+    return keep(text.where("text is not null").join(some, text["id"].eqNullSafe(holders["id"])).select("node", "text").mapInArrow(_sets, "node long, held binary").dropDuplicates(["node"]))
+
+
 def _verified(rows: DataFrame, text: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs of nodes (a, b) whose sets are similar; the sets are read again for the nodes of pairs alone."""
     pairs = keep(pairs)
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    holders = keep(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")))
-    n = holders.count()
-    if not n:
+    if pairs.isEmpty():
         return pairs
-    some = F.broadcast(holders) if n <= BROADCAST_IDS else holders
-    sets = keep(text.where("text is not null").join(some, text["id"].eqNullSafe(holders["id"])).select("node", "text").mapInArrow(_sets, "node long, held binary").dropDuplicates(["node"]))
+    sets = _sets_of(rows, text, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     # Pairs that hang together go to one task, and a set goes there once; a large family is cut into blocks of nodes.
     whole = components(pairs)
     sizes = sets.join(whole, "node").groupBy("root").agg(F.ceil(F.sum(F.octet_length("held")) / TASK_BYTES).alias("blocks"))
