@@ -35,7 +35,7 @@ def test_filter_gives_back_levels():
     keys = np.random.default_rng(1).integers(0, 1 << 40, 20_000).astype(np.uint64)
     keys, counts = np.unique(keys), None
     counts = np.random.default_rng(2).integers(1, 300, len(keys))
-    bits, m, k = L.build_filter(keys, counts, 10, 1 << 30)
+    bits, m, k = L.build_filter(keys, counts, 10)
     found = L.probe_filter(bits, m, k, keys)
     true = 1 + np.floor(np.log2(counts)).astype(int)
     assert (found >= true).all() and (found == true).mean() > 0.97
@@ -44,10 +44,45 @@ def test_filter_gives_back_levels():
     assert not L.probe_filter(bits, m, k, keys[:0]).size
 
 
-def test_bound_takes_bits_and_no_ngrams():
-    keys = np.arange(5000, dtype=np.uint64)
-    bits, m, k = L.build_filter(keys, np.ones(5000, int), 8, 10_000)
-    assert m == 10_000 and (L.probe_filter(bits, m, k, keys) > 0).all()
+def test_score_against_brute_force(docs, texts):
+    """With so many bits that the filter has no false positives."""
+    got = L.score(docs, L.train(docs, bits_per_entry=60)).collect()
+    one, two = Counter(), Counter()
+    for _, t in texts:
+        w = tokens(t)
+        one.update(w)
+        two.update(zip(["start", *w], w))
+    n, v, c = sum(one.values()), len(one), lambda h: len(texts) if h == "start" else one[h]
+    unseen = min(max(sum(x == 1 for x in two.values()) / n, 0.05), 0.98)
+
+    def p(h, w):
+        level = 2 ** (two[h, w].bit_length() - 1) if two[h, w] else 0
+        return (1 - unseen) * level / c(h) + unseen * (one[w] + 1) / (n + v + 1)
+
+    want = sorted(round(sum(math.log10(p(h, w)) for h, w in zip(["start", *tokens(t)], tokens(t))), 6) for _, t in texts)
+    assert sorted(round(r.score, 6) for r in got) == pytest.approx(want, abs=2e-6)
+    followers = Counter()
+    for h, w in two:
+        followers[h] += p(h, w)
+    assert all(x < 1 + 1e-9 for x in followers.values())
+
+
+def test_merging_in_steps(monkeypatch):
+    rng = np.random.default_rng(5)
+    blocks = [L._counted(rng.integers(0, 900, 400).astype(np.uint64)) for _ in range(30)]
+    monkeypatch.setattr(L, "MERGED_ENTRIES", 500)
+    keys, counts = L._merged(iter(blocks))
+    want = Counter()
+    for k, c in blocks:
+        want.update(dict(zip(k.tolist(), c.tolist())))
+    assert dict(zip(keys.tolist(), counts.tolist())) == want and (np.diff(keys.astype(np.int64)) > 0).all()
+
+
+def test_both_ways_to_the_model_agree(docs, none):
+    model = L.train(docs.where("doc_id % 3 <> 0"))
+    carry = ("doc_id", "text", "n_chars")
+    assert sorted(map(str, L.score(docs, model, carry=carry, max_broadcast_bytes=0).collect())) == sorted(map(str, L.score(docs, model, carry=carry).collect()))
+    assert L.score(none, model, max_broadcast_bytes=0).count() == 0
 
 
 def test_groups_of_segments_change_nothing(docs, monkeypatch):

@@ -8,20 +8,26 @@ bigram with count c is quantised to the level q = 1 + floor(log2 c) and entered
 under (bigram, 1) .. (bigram, q).  Scoring probes level 1, 2, .. until a probe
 fails, which gives back q, never too small and rarely too large.
 
-The filter is a list of per-bucket segments.  The driver fetches and broadcasts
-them in groups of at most GROUP_BYTES; tasks hold one group at a time.  All
-segments together are bounded by ``max_filter_bytes``: a corpus that would need
-more gets fewer bits an entry, so more false positives, but loses no n-gram.
-Token counts are exact and travel the same way, 16 bytes a distinct token;
-beyond ``max_vocabulary_bytes`` they come by a join instead (`score`).
-
-Model: P(w|h) = (1-u) * min(c(h,w), c(h), c(w)) / c(h) + u * (c(w)+1)/(N+V+1),
+The filter is a list of per-bucket segments; their number grows with the corpus and
+an entry has the same bits at every size.  Token counts are exact and dealt into the
+same buckets.  A model of at most ``max_broadcast_bytes`` is broadcast in groups of
+at most GROUP_BYTES, of which a task holds one at a time.  Of a larger one nothing
+goes to the driver: each block of documents sends its distinct tokens and bigrams to
+their buckets, is answered from the segment there, and is put together again by
+block.  Both ways give the same scores.
+
+Model: P(w|h) = (1-u) * min(2**(q-1), c(h), c(w)) / c(h) + u * (c(w)+1)/(N+V+1),
 where u, the mass of unseen bigrams, is the Good-Turing estimate (bigrams seen
-once over all bigram tokens) of the training data, held within [0.05, 0.98].
+once over all bigram tokens) of the training data, held within [0.05, 0.98].  The
+lower end of a level stands for its counts, so false positives of the filter apart
+the probabilities of a context sum to at most 1; what quantising rounds off is
+not dealt out again.
 
 Cases: a null or empty text is its end token alone; a null id counts as the
-empty text when folds are made; repeated rows give one result each; an empty
-training set gives N = 0, V = 0 and the add-one base of an empty model.
+empty text when folds are made; repeated rows give one result each; a very long
+text is one chunk and counts whole; ties do not arise, as counts have no order; an
+empty training set gives N = 0, V = 0 and the add-one base of an empty model; an
+empty table to score gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +46,10 @@ from .common import fold, keep, partitions, table
 
 U64 = np.uint64
 GROUP_BYTES = 16 << 20
+BROADCAST_BYTES = 512 << 20
 SCORED_BYTES = 4 << 20
-FLUSH_TOKENS = 2_000_000
+FLUSH_TOKENS = 1_500_000
+MERGED_ENTRIES = 1_000_000
 LOW40 = U64((1 << 40) - 1)
 MAX_LEVEL = 48
 UNSEEN = (0.05, 0.98)
@@ -86,11 +94,13 @@ def hash_functions(m: int, entries: int) -> int:
     return max(1, min(8, round(0.69 * m / max(entries, 1))))
 
 
-def build_filter(keys: np.ndarray, counts: np.ndarray, bits_per_entry: float, max_bits: int) -> tuple[np.ndarray, int, int]:
+def build_filter(keys: np.ndarray, counts: np.ndarray, bits_per_entry: float) -> tuple[np.ndarray, int, int]:
     """(packed bits, number of bits, hash functions) of one segment."""
     levels = 1 + np.floor(np.log2(counts)).astype(np.int64)
     entries = int(levels.sum())
-    m = max(64, min(int(entries * bits_per_entry) + 1, max_bits, (1 << 32) - 1))
+    m = max(64, int(entries * bits_per_entry) + 1)
+    if m >> 32:
+        raise OverflowError("a segment has places for 2**32 bits; train with more partitions")
     k = hash_functions(m, entries)
     bits = np.zeros(m, bool)
     level = 1
@@ -175,27 +185,47 @@ def _count_blocks(buckets: int):
     return run
 
 
-def _merge_bucket(bits_per_entry: float, max_bits: int):
+def _entries(part: pa.Table, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for raw, counts in zip(part["keys"], part["counts"]):
+        raw = np.frombuffer(raw.as_buffer(), np.uint8)
+        if order == 1:
+            keys = raw.view(U64)
+        else:
+            wide = np.zeros((len(raw) // 5, 8), np.uint8)
+            wide[:, :5] = raw.reshape(-1, 5)
+            keys = wide.view(U64).ravel()
+        yield keys, np.frombuffer(counts.as_buffer(), np.uint32)
+
+
+def _merged(blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of sorted blocks, taken in as many at a time as hold MERGED_ENTRIES more than what is there."""
+    keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
+    held, waiting = [], 0
+
+    def fold_in():
+        return _counted(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([counts, *(c.astype(np.int64) for _, c in held)]))
+
+    for k, c in blocks:
+        held.append((k, c))
+        waiting += len(k)
+        if waiting >= MERGED_ENTRIES + len(keys):
+            (keys, counts), held, waiting = fold_in(), [], 0
+    return fold_in() if held else (keys, counts)
+
+
+def _merge_bucket(bits_per_entry: float):
     def run(block: pa.Table) -> pa.Table:
         out: dict[str, list] = {f.name: [] for f in _PART}
         for order in (1, 2):
             part = block.filter(pa.compute.equal(block["ngram"], order))
             if not part.num_rows:
                 continue
-            raw = np.frombuffer(b"".join(part["keys"].to_pylist()), np.uint8)
-            if order == 1:
-                keys = raw.view(U64)
-            else:
-                wide = np.zeros((len(raw) // 5, 8), np.uint8)
-                wide[:, :5] = raw.reshape(-1, 5)
-                keys = wide.view(U64).ravel()
-            counts = np.frombuffer(b"".join(part["counts"].to_pylist()), np.uint32).astype(np.int64)
-            keys, counts = _counted(keys, counts)
+            keys, counts = _merged(_entries(part, order))
             m = k = 0
             if order == 1:
                 payload = keys.tobytes() + counts.tobytes()
             else:
-                bits, m, k = build_filter(keys, counts, bits_per_entry, max_bits)
+                bits, m, k = build_filter(keys, counts, bits_per_entry)
                 payload = bits.tobytes()
             for name, v in (("bucket", block["bucket"][0].as_py()), ("ngram", order), ("n", len(keys)), ("total", int(counts.sum())), ("once", int((counts == 1).sum())), ("m", m), ("k", k), ("payload", payload)):
                 out[name].append(v)
@@ -212,21 +242,22 @@ class Model:
     types: int
     documents: int
     unseen: float
+    bytes: int = 0
 
 
-def train(docs: DataFrame, text_col: str = "text", bits_per_entry: float = 7.2, max_filter_bytes: int = 4 << 30) -> Model:
+def train(docs: DataFrame, text_col: str = "text", bits_per_entry: float = 7.2) -> Model:
     """Counts the documents of docs; the parts are stored in the shared folder."""
-    p = partitions(docs)
+    p = partitions(docs, 16 << 20)
     buckets = 2 * p
     blocks = docs.select(F.col(text_col)).mapInArrow(_count_blocks(buckets), _BLOCK_DDL)
-    parts = keep(blocks.repartition(p, "bucket").groupBy("bucket").applyInArrow(_merge_bucket(bits_per_entry, 8 * max_filter_bytes // buckets), _PART_DDL))
-    sums = {r["ngram"]: r for r in parts.groupBy("ngram").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("once").alias("once")).collect()}
+    parts = keep(blocks.repartition(p, "bucket").groupBy("bucket").applyInArrow(_merge_bucket(bits_per_entry), _PART_DDL))
+    sums = {r["ngram"]: r for r in parts.groupBy("ngram").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("once").alias("once"), F.sum(F.octet_length("payload")).alias("bytes")).collect()}
     if not sums:
         return Model(parts, buckets, 0, 0, 0, UNSEEN[1])
     one, two = sums[1], sums[2]
     ends = parts.where((F.col("ngram") == 1) & (F.col("bucket") == int(bucket_of(np.array([K.END_WORD]), buckets)[0]))).collect()
     keys, counts = _vocabulary([(r["payload"], r["n"]) for r in ends])
-    return Model(parts, buckets, one["total"], one["n"], int(counts[np.searchsorted(keys, K.END_WORD)]), min(max(two["once"] / two["total"], UNSEEN[0]), UNSEEN[1]))
+    return Model(parts, buckets, one["total"], one["n"], int(counts[np.searchsorted(keys, K.END_WORD)]), min(max(two["once"] / two["total"], UNSEEN[0]), UNSEEN[1]), one["bytes"] + two["bytes"])
 
 
 def _vocabulary(payloads: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -262,56 +293,135 @@ def _held(blocks: list[Broadcast]) -> Iterator:
 
 
 _SCORED = pa.schema([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_SCORED_DDL = "n_tokens long, n_known long, base_score double, score double"
+
+
+class Asked:
+    """What a chunk of documents asks of the model: its distinct tokens and bigrams, sorted, which is by bucket."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, buckets: int):
+        tokens, self.first, self.counts = token_stream(data, offsets)
+        self.types, self.type = np.unique(tokens, return_inverse=True)
+        self.pairs, self.pair = np.unique(bigram_keys(tokens, self.first), return_inverse=True)
+        self.cuts = [np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1)) for keys in (self.types, self.pairs)]
+
+    def scores(self, seen: np.ndarray, level: np.ndarray, model: tuple) -> list[np.ndarray]:
+        """The columns of _SCORED from the counts of the types and the levels of the pairs."""
+        n, v, documents, unseen = model
+        c = seen[self.type]
+        context = np.empty_like(c)
+        context[1:] = c[:-1]
+        context[self.first] = documents
+        about = np.floor(np.exp2(level[self.pair].astype(np.float64) - 1))
+        about = np.minimum(np.minimum(about, context), c)
+        single = (c + 1) / (n + v + 1)
+        p = np.where(context > 0, (1 - unseen) * about / np.maximum(context, 1) + unseen * single, single)
+        starts = np.cumsum(self.counts) - self.counts
+        return [self.counts, np.add.reduceat((c > 0).astype(np.int64), starts), np.add.reduceat(np.log10(single), starts), np.add.reduceat(np.log10(p), starts)]
+
+
+def _known(types: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(types), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, types), len(keys) - 1)
+        hit = keys[at] == types
+        out[hit] = counts[at[hit]]
+    return out
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), max_vocabulary_bytes: int = 8 << 30) -> DataFrame:
+def _with_scores(carried: pa.RecordBatch, columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*carried.columns, *(pa.array(x, f.type) for x, f in zip(columns, _SCORED))], names=[*carried.schema.names, *_SCORED.names])
+
+
+def score(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """carry columns of docs, n_tokens, n_known, base_score and score of each text."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    if 16 * model.types > max_vocabulary_bytes:
-        raise ValueError(f"{model.types} distinct tokens need more than max_vocabulary_bytes; give the bound that the executors' disks allow")
+    fields = [docs.schema[c] for c in carry]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", {_SCORED_DDL}"
+    text = docs.select(*carry, F.col(text_col).alias("text_"))
+    numbers = (model.tokens, model.types, model.documents, model.unseen)
+    return (_by_broadcast if model.bytes <= max_broadcast_bytes else _by_bucket)(text, model, len(fields), numbers, ddl)
+
+
+def _by_broadcast(text: DataFrame, model: Model, k: int, numbers: tuple, ddl: str) -> DataFrame:
+    sc = text.sparkSession.sparkContext
     vocabulary = [sc.broadcast(_vocabulary([(r["payload"], r["n"]) for r in g])) for g in _groups(model.parts, 1)]
     filters = [sc.broadcast([(r["bucket"], r["m"], r["k"], np.frombuffer(r["payload"], np.uint8)) for r in g]) for g in _groups(model.parts, 2)]
-    n, v, documents, unseen, buckets = model.tokens, model.types, model.documents, model.unseen, model.buckets
-    fields = [docs.schema[c] for c in carry]
+    buckets = model.buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo_row, hi_row, data, offsets in K.chunks(batch.column(len(fields)), SCORED_BYTES):
-                tokens, first, counts = token_stream(data, offsets)
-                types, which = np.unique(tokens, return_inverse=True)
-                seen = np.zeros(len(types), np.int64)
+            for lo, hi, data, offsets in K.chunks(batch.column(k), SCORED_BYTES):
+                asked = Asked(data, offsets, buckets)
+                seen = np.zeros(len(asked.types), np.int64)
                 for keys, known in _held(vocabulary):
-                    at = np.minimum(np.searchsorted(keys, types), len(keys) - 1)
-                    hit = keys[at] == types
-                    seen[hit] = known[at[hit]]
-                c = seen[which]
-                context = np.empty_like(c)
-                context[1:] = c[:-1]
-                context[first] = documents
-                pair = bigram_keys(tokens, first)
-                order = np.argsort(pair)
-                pair = pair[order]
-                cuts = np.searchsorted(bucket_of(pair, buckets), np.arange(buckets + 1))
-                pair &= LOW40
-                found = np.zeros(len(pair), np.uint8)
+                    seen = np.maximum(seen, _known(asked.types, keys, known))
+                level = np.zeros(len(asked.pairs), np.uint8)
                 for group in _held(filters):
-                    for b, m, k, bits in group:
-                        lo, hi = cuts[b], cuts[b + 1]
-                        found[lo:hi] = probe_filter(bits, m, k, pair[lo:hi])
-                level = np.empty_like(found)
-                level[order] = found
-                # The middle of a level's range stands for its counts: 1, 3, 6, 12, ..
-                about = np.where(level > 1, 0.75 * np.exp2(level.astype(np.float64)), level)
-                about = np.minimum(np.minimum(about, context), c)
-                single = (c + 1) / (n + v + 1)
-                p = np.where(context > 0, (1 - unseen) * about / np.maximum(context, 1) + unseen * single, single)
-                starts = np.cumsum(counts) - counts
-                out = [counts, np.add.reduceat((c > 0).astype(np.int64), starts), np.add.reduceat(np.log10(single), starts), np.add.reduceat(np.log10(p), starts)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo_row, hi_row - lo_row).columns[: len(fields)], *(pa.array(x, f.type) for x, f in zip(out, _SCORED))], names=[*(f.name for f in fields), *_SCORED.names])
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_tokens long, n_known long, base_score double, score double"
-    return docs.select(*carry, F.col(text_col).alias("text_")).mapInArrow(run, ddl)
+                    for b, m, h, bits in group:
+                        own = slice(*asked.cuts[1][b : b + 2])
+                        level[own] = probe_filter(bits, m, h, asked.pairs[own] & LOW40)
+                yield _with_scores(batch.slice(lo, hi - lo).select(range(k)), asked.scores(seen, level, numbers))
+
+    return text.mapInArrow(run, ddl)
+
+
+_ASK_DDL = "bucket int, block long, ngram tinyint, data binary"
+_ASK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("ngram", pa.int8()), ("data", pa.binary())])
+
+
+def _by_bucket(text: DataFrame, model: Model, k: int, numbers: tuple, ddl: str) -> DataFrame:
+    """A block's row of bucket -1 holds its documents; the others ask a bucket, and come back with answers in the order asked."""
+    buckets = model.buckets
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for lo, hi, data, offsets in K.chunks(batch.column(k), SCORED_BYTES):
+                asked = Asked(data, offsets, buckets)
+                rows = [(-1, 0, _packed(batch.slice(lo, hi - lo)))]
+                for ngram, keys in ((1, asked.types), (2, asked.pairs)):
+                    cuts = asked.cuts[ngram - 1]
+                    rows += [(b, ngram, keys[cuts[b] : cuts[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+                yield K.rows(_ASK, bucket=[r[0] for r in rows], block=[task + n] * len(rows), ngram=[r[1] for r in rows], data=[r[2] for r in rows])
+                n += 1
+
+    def answer(asks: pa.Table, parts: pa.Table) -> pa.Table:
+        held = {r["ngram"]: r for r in parts.to_pylist()}
+        out = []
+        for ngram, data in zip(asks["ngram"].to_pylist(), asks["data"]):
+            keys = np.frombuffer(data.as_buffer(), U64)
+            part = held.get(ngram)
+            if ngram == 1:
+                found = _known(keys, *_vocabulary([(part["payload"], part["n"])] if part else []))
+            else:
+                found = probe_filter(np.frombuffer(part["payload"], np.uint8), part["m"], part["k"], keys & LOW40) if part else np.zeros(len(keys), np.uint8)
+            out.append(found.tobytes())
+        return asks.select(["bucket", "block", "ngram"]).append_column("data", pa.array(out, pa.binary()))
+
+    def finish(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("ngram", "ascending"), ("bucket", "ascending")]).to_pylist()
+        batch = _unpacked(rows[0]["data"])
+        ((_, _, data, offsets),) = K.chunks(batch.column(k), 1 << 62)
+        asked = Asked(data, offsets, buckets)
+        seen, level = (np.frombuffer(b"".join(r["data"] for r in rows if r["ngram"] == g), t) for g, t in ((1, np.int64), (2, np.uint8)))
+        return pa.Table.from_batches([_with_scores(batch.select(range(k)), asked.scores(seen, level, numbers))])
+
+    p = partitions(text)
+    asks = keep(text.mapInArrow(ask, _ASK_DDL))
+    parts = model.parts.select("bucket", "ngram", "n", "m", "k", "payload").repartition(p, "bucket").groupBy("bucket")
+    answers = asks.where("bucket >= 0").select(*(F.col(c).alias(c) for c in _ASK.names)).repartition(p, "bucket").groupBy("bucket").cogroup(parts).applyInArrow(answer, _ASK_DDL)
+    return asks.where("bucket < 0").unionAll(answers).repartition(p, "block").groupBy("block").applyInArrow(finish, ddl)
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
 
 
 def query(spark, sf_dir: str) -> DataFrame:
