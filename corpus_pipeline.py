@@ -16,7 +16,7 @@ from underlay.llm import bpe, decontamination, jaccard_join, line_dedup, toxicit
 from underlay.llm.common import fold, keep, new_path, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-ITEMS = 2
+HIT_WORDS = decontamination.WINDOW
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +55,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of two benchmark items or more go."""
+    """Documents with as many words in occurrences of benchmark windows as one window has go, of whatever items they are."""
     blocks = decontamination.build(docs, table(spark, sf_dir, "benchmark"))
-    return decontamination.contamination(docs, blocks, carry=COLUMNS).where(F.size("items") < ITEMS).select(*COLUMNS)
+    return decontamination.contamination(docs, blocks, carry=COLUMNS).where(F.col("n_hit") < HIT_WORDS).select(*COLUMNS)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
