@@ -21,6 +21,7 @@ MOST_REVISIONS, DEEPEST_FORM, LARGEST_STREAM = 8, 12, 256 << 20
 LETTER = (0.0, 0.0, 612.0, 792.0)
 #: Default metrics of a font, in thousandths of its size.
 ASCENT, DESCENT, WIDTH = 750.0, -250.0, 500.0
+#: Roles of document information, and glyph names that are no single character or uniXXXX.
 INFO_ROLES = {"producer": "tool", "creator": "tool", **dict.fromkeys(("author", "title", "subject", "keywords"), "content"), "creationdate": "time", "moddate": "time"}
 GLYPH_NAMES = {
     "space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "parenleft": "(", "parenright": ")", "asterisk": "*", "plus": "+",

@@ -62,6 +62,10 @@ class Sink:
     def change(self, kind: str, text: str, author: str | None, date: str | None, part: str) -> None:
         self.add("revisions", seq=self.count("revisions"), kind=kind, text=text, author=author or None, date=date or None, part=part)
 
+    def cell_change(self, sheet: str, row: int, col: int, previous: str, author: str | None, date: str | None, part: str) -> None:
+        self.add("cell_changes", seq=self.count("cell_changes"), sheet=sheet, row=row, col=col, previous=previous, author=author, date=date)
+        self.change("cell-change", "", author, date, part)
+
     def comment(self, text: str, author: str | None, date: str | None = None, initials: str | None = None) -> None:
         self.add("comments", seq=self.count("comments"), text=text, author=author or None, date=date or None, initials=initials or None)
 
