@@ -27,6 +27,16 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*kept: DataFrame) -> None:
+    """Deletes what keep() stored, once nothing needs it, and lets Spark's cleaner take the shuffles that led to it."""
+    spark = kept[0].sparkSession
+    for df in kept:
+        stored = df._jdf.logicalPlan().rdd().getCheckpointFile()
+        if stored.isDefined():
+            remove(spark, stored.get())
+    spark.sparkContext._jvm.System.gc()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

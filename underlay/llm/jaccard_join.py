@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import keep, partitions, table
+from .common import keep, partitions, release, table
 from .components import components
 
 U64 = np.uint64
@@ -63,9 +63,8 @@ FREQUENT = 65_536
 BLOCK_DOCS = 8_192
 BLOCK_RECORDS = 800_000
 BROADCAST_ROWS = 4_000_000
-CELLS = 512
+CELLS, FINE_CELLS = 128, 512
 TURNS = 2
-FOLDED = 64
 TASK_BYTES = 16 << 20
 HOT = 65_536
 LOW48 = U64((1 << 48) - 1)
@@ -102,11 +101,11 @@ def nodes_of(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return (K.mix(s + counts.astype(U64)) >> U64(1)).astype(np.int64)
 
 
-def sketches(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Histograms of the sets over CELLS cells, (sets, CELLS); counts over 255 stand at 255, which only lowers differences."""
+def sketches(flat: np.ndarray, counts: np.ndarray, cells: int = CELLS) -> np.ndarray:
+    """Histograms of the sets, (sets, cells); counts over 255 stand at 255, which only lowers differences."""
     of = np.repeat(np.arange(len(counts)), counts)
-    cell = (K.mix(flat) >> U64(55)).astype(np.int64)
-    return np.minimum(np.bincount(of * CELLS + cell, minlength=len(counts) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
+    cell = (K.mix(flat) % U64(cells)).astype(np.int64)
+    return np.minimum(np.bincount(of * cells + cell, minlength=len(counts) * cells), 255).astype(np.uint8).reshape(-1, cells)
 
 
 _DOC = "kind int, id long, digest long, node long, n long"
@@ -350,53 +349,72 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= 75 * (len(x) + len(y) - common)
 
 
+class Family:
+    """Nodes of one task, with the signatures that they share, as pairs of places to look at."""
+
+    def __init__(self, members: pa.Table, nodes: pa.Table):
+        """nodes: node, its block, n and root, each node once; of two blocks only pairs between them are looked at."""
+        self.names, self.block, self.n = (nodes[c].to_numpy() for c in ("node", "block", "n"))
+        self.across = len(self.block) > 0 and self.block.min() != self.block.max()
+        self.component = np.unique(nodes["root"].to_numpy(), return_inverse=True)[1]
+        g, at, probe = members["g"].to_numpy(), np.searchsorted(self.names, members["node"].to_numpy()), members["probe"].to_numpy(zero_copy_only=False)
+        order = np.argsort(g, kind="stable")
+        g, self.at, self.probe = g[order], at[order], probe[order]
+        self.starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+        self.ends = np.append(self.starts[1:], len(g))
+        # Of two members in different components at least one is outside the group's largest.
+        self.outside: dict[int, list[int]] = {}
+        for k, (lo, hi) in enumerate(zip(self.starts.tolist(), self.ends.tolist())):
+            own = self.component[self.at[lo:hi]]
+            largest = np.bincount(own).argmax() if hi - lo > 2 else own[0]
+            for i in np.flatnonzero(own != largest):
+                self.outside.setdefault(int(self.at[lo + i]), []).append(k)
+
+    def near(self, cells: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each node outside with those it may link with by probe, size and sketch, nearest first; components are read anew for every node."""
+        n, component = self.n, self.component
+        for i, groups in self.outside.items():
+            parts = []
+            for k in groups:
+                own, asks = self.at[self.starts[k] : self.ends[k]], self.probe[self.starts[k] : self.ends[k]]
+                mine = asks[own == i].any()
+                # The larger of the two is the one that probes.
+                parts.append(own[(component[own] != component[i]) & (((n[own] >= n[i]) & asks) | ((n[own] <= n[i]) & mine))])
+            others = np.unique(np.concatenate(parts))
+            others = others[(4 * np.minimum(n[others], n[i]) >= 3 * np.maximum(n[others], n[i])) & ((self.block[others] != self.block[i]) | (not self.across))]
+            differ = [np.abs(cells[others[lo : lo + 4096]].astype(np.int16) - cells[i].astype(np.int16)).sum(axis=1) for lo in range(0, len(others), 4096)]
+            differ = np.concatenate(differ) if differ else np.zeros(0, np.int64)
+            some = 7 * differ <= n[others] + n[i]
+            yield i, others[some][np.argsort(differ[some], kind="stable")]
+
+
+def _once(nodes: pa.Table) -> pa.Table:
+    """Sorted by node, each once."""
+    return nodes.take(pa.array(np.unique(nodes["node"].to_numpy(), return_index=True)[1]))
+
+
+def _active(members: pa.Table, nodes: pa.Table) -> pa.Table:
+    """Nodes that may link with one of another component."""
+    nodes = _once(nodes)
+    family, found = Family(members, nodes), np.zeros(nodes.num_rows, bool)
+    for i, others in family.near(_drawn(nodes["cells"])):
+        found[others] = True
+        found[i] |= len(others) > 0
+    return nodes.select(["centre", "node"]).filter(pa.array(found))
+
+
 def _cross(members: pa.Table, nodes: pa.Table) -> pa.Table:
-    """Links between components, at most one for each that is joined: signatures' probes against members of other components.
-
-    nodes: node, its block, root and set; of two blocks only pairs between them are compared.
-    """
-    if not members.num_rows or not nodes.num_rows:
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    names, block, root = (nodes[c].to_numpy() for c in ("node", "block", "root"))
-    order = np.argsort(names)
-    names, block = names[order], block[order]
-    held = nodes["held"].take(pa.array(order)).to_pylist()
-    held = [np.frombuffer(x, U64) for x in held]
-    n = np.array([len(x) for x in held], np.int64)
-    cells = np.concatenate([sketches(np.concatenate(held[i : i + 1024]), n[i : i + 1024]) for i in range(0, len(held), 1024)])
-    folded = cells.reshape(len(cells), FOLDED, -1).sum(axis=2, dtype=np.int32)
-    across = block.min() != block.max()
-    component = np.unique(root[order], return_inverse=True)[1]
-    g, at, probe = members["g"].to_numpy(), np.searchsorted(names, members["node"].to_numpy()), members["probe"].to_numpy(zero_copy_only=False)
-    order = np.argsort(g, kind="stable")
-    g, at, probe = g[order], at[order], probe[order]
-    starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    ends = np.append(starts[1:], len(g))
-    # Of two members in different components at least one is outside the group's largest.
-    outside: dict[int, list[int]] = {}
-    for k, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist())):
-        own = component[at[lo:hi]]
-        largest = np.bincount(own).argmax() if hi - lo > 2 else own[0]
-        for i in np.flatnonzero(own != largest):
-            outside.setdefault(int(at[lo + i]), []).append(k)
+    """Links between components, at most one for each that is joined."""
+    nodes = _once(nodes)
+    family = Family(members, nodes)
+    held, component = [np.frombuffer(x.as_buffer(), U64) for x in nodes["held"]], family.component
+    cells = [sketches(np.concatenate(held[i : i + 1024]), family.n[i : i + 1024], FINE_CELLS) for i in range(0, len(held), 1024)]
     found: list[tuple[int, int]] = []
-    for i, groups in outside.items():
-        parts = []
-        for k in groups:
-            own, asks = at[starts[k] : ends[k]], probe[starts[k] : ends[k]]
-            mine = asks[own == i].any()
-            # The larger of the two is the one that probes.
-            parts.append(own[(component[own] != component[i]) & (((n[own] >= n[i]) & asks) | ((n[own] <= n[i]) & mine))])
-        others = np.unique(np.concatenate(parts))
-        others = others[(4 * np.minimum(n[others], n[i]) >= 3 * np.maximum(n[others], n[i])) & ((block[others] != block[i]) | (not across))]
-        if len(others):
-            others = others[7 * np.abs(folded[others] - folded[i]).sum(axis=1) <= n[others] + n[i]]
-        differ = np.concatenate([np.abs(cells[others[lo : lo + 4096]].astype(np.int16) - cells[i].astype(np.int16)).sum(axis=1) for lo in range(0, len(others), 4096)]) if len(others) else others
-        near = 7 * differ <= n[others] + n[i]
-        for j in others[near][np.argsort(differ[near], kind="stable")].tolist():
+    for i, others in family.near(np.concatenate(cells) if cells else np.zeros((0, FINE_CELLS), np.uint8)):
+        for j in others.tolist():
             if component[j] != component[i] and _linked(held[i], held[j]):
                 component[component == component[j]] = component[i]
-                found.append((names[i], names[j]))
+                found.append((family.names[i], family.names[j]))
     a, b = np.array(found, np.int64).reshape(-1, 2).T
     return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
@@ -409,15 +427,19 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of the wanted nodes; of the copies that a task meets, one."""
+    seen: set[int] = set()
     for batch in batches:
         for lo, hi, data, offsets in K.chunks(batch.column(1)):
             flat, counts = chunk_sets(data, offsets)
-            cuts = np.cumsum(counts)
-            wanted = batch.column(0).slice(lo, hi - lo)
-            # An id may have rows of other texts.
-            same = pa.array(nodes_of(flat, counts) == wanted.to_numpy())
-            held = pa.array([flat[e - n : e].tobytes() for e, n in zip(cuts, counts)], pa.binary())
-            yield pa.RecordBatch.from_arrays([wanted.filter(same), held.filter(same)], names=["node", "held"])
+            cuts = np.cumsum(counts).tolist()
+            new = []
+            # A digest may stand for other texts too.
+            for i, (wanted, name) in enumerate(zip(batch.column(0).slice(lo, hi - lo).to_pylist(), nodes_of(flat, counts).tolist())):
+                if wanted == name and name not in seen:
+                    seen.add(name)
+                    new.append((name, flat[cuts[i] - int(counts[i]) : cuts[i]].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.int64()), pa.array([x for _, x in new], pa.binary())], names=["node", "held"])
 
 
 def _verify(sets: pa.Table, pairs: pa.Table) -> pa.Table:
@@ -443,8 +465,8 @@ def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     spark = docs.sparkSession
     sc = spark.sparkContext
     p = partitions(docs)
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = keep(text.select("id", "text", digest(F.col("text")).alias("digest")).mapInArrow(_describe, _DOC))
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), digest(F.col(text_col)).alias("digest"))
+    described = keep(text.mapInArrow(_describe, _DOC))
     rows = described.where("kind = 0").select("id", "digest", "node", "n")
     frequent = described.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).collect()  # bounded; prices only
     keys = np.array([r["node"] for r in frequent], np.int64).view(U64)
@@ -460,9 +482,10 @@ def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     members = groups.mapInArrow(_exploded, "g long, place long, probe boolean, times long").join(places.select("place", "node", "n"), "place")
     # Copies from several blocks are one node of a group.
     members = keep(members.groupBy("g", "node").agg(F.max("n").alias("n"), F.max("probe").alias("probe"), F.max("times").alias("times")))
+    drawn = keep(places.select("node", "n", "cells").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    release(met, places)
 
     # First: each node with the node of another component that its groups name most often; once more from other centres.
-    drawn = keep(places.select("node", "n", "cells").dropDuplicates(["node"]).join(members.select("node").distinct(), "node", "left_semi"))
     of = lambda end: drawn.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("cells").alias(f"c_{end}"))
     first = roots = None
     for turn in range(TURNS):
@@ -480,24 +503,14 @@ def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     several = rooted.groupBy("g").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("g")
     # Groups of one family mostly have one centre: together, they find a pair once and send a set once.
     rooted = keep(rooted.join(several, "g", "left_semi").join(centre.select("g", "centre"), "g"))
-    family = rooted.select("centre", "node", "root").distinct()
-    sets = _sets_of(rows, text, rooted.select("node"))
-    held = keep(family.join(sets, "node"))
-    large = keep(held.groupBy("centre").agg(F.ceil(F.sum(F.octet_length("held")) / TASK_BYTES).cast("int").alias("blocks")).where("blocks > 1"))
-    count = large.count()
-
-    def dealt(df: DataFrame) -> DataFrame:
-        """A row for every task (low, high) of blocks that it takes part in."""
-        blocks = F.coalesce("blocks", F.lit(1))
-        placed = df.join(_checked(large, count), "centre", "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        placed = placed.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        return placed.select(*df.columns, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-
-    key = ["centre", "low", "high"]
-    # Both sides of a cogroup need columns of their own.
-    light = dealt(rooted.select("centre", "g", "node", "probe")).select(*(F.col(c).alias(c) for c in (*key, "g", "node", "probe"))).repartition(p, *key).groupBy(*key)
-    heavy = dealt(held).select(*(F.col(c).alias(c) for c in (*key, "node", "block", "root", "held"))).repartition(p, *key).groupBy(*key)
-    links = first.unionAll(keep(light.cogroup(heavy).applyInArrow(_cross, "a long, b long")))
+    family = keep(rooted.select("centre", "node", "root").distinct().join(drawn, "node"))
+    release(members, drawn)
+    active = keep(_by_blocks(rooted, family, F.lit(CELLS + 64), p, _active, "centre long, node long").distinct())
+    some = lambda df: df.join(active, ["centre", "node"], "left_semi")
+    sets = _sets_of(rows, text, active)
+    held = keep(some(family).drop("cells").join(sets, "node"))
+    links = first.unionAll(keep(_by_blocks(some(rooted), held, 8 * F.col("n"), p, _cross, "a long, b long")))
+    release(rooted, family, active, sets, held)
     shared = rows.where("id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("k")).where("a <> b").select("id")
     # Rows of one id are one document: their texts link through it.
     through = rows.where("n > 0").join(shared, "id").groupBy("id").agg(F.min("node").alias("a"), F.collect_set("node").alias("s")).select("a", F.explode("s").alias("b")).where("a <> b")
@@ -506,6 +519,22 @@ def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return linked.unionAll(rows.where("n = 0").select("id", "digest", "n", F.lit(None).cast("long").alias("root")))
 
 
+def _by_blocks(members: DataFrame, nodes: DataFrame, size: Column, p: int, work, ddl: str) -> DataFrame:
+    """work(members, nodes) of each centre, in one task or, beyond TASK_BYTES of nodes, in one for each pair of their blocks."""
+    large = keep(nodes.groupBy("centre").agg(F.ceil(F.sum(size) / TASK_BYTES).cast("int").alias("blocks")).where("blocks > 1"))
+    count = large.count()
+
+    def dealt(df: DataFrame):
+        blocks = F.coalesce("blocks", F.lit(1))
+        placed = df.join(_checked(large, count), "centre", "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        placed = placed.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        placed = placed.select(*df.columns, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        # Both sides of a cogroup need columns of their own.
+        return placed.select(*(F.col(c).alias(c) for c in placed.columns)).repartition(p, "centre", "low", "high").groupBy("centre", "low", "high")
+
+    return dealt(members.select("centre", "g", "node", "probe")).cogroup(dealt(nodes)).applyInArrow(work, ddl)
+
+
 def _meet_or_name(block: pa.Table) -> pa.Table:
     if block["bucket"][0].as_py() < 0:
         return pa.table({"members": block["sigs"], "times": pa.nulls(block.num_rows, pa.int64()), "sizes": block["sets"], "base": block["base"]})
@@ -520,9 +549,11 @@ def _checked(df: DataFrame, rows: int) -> DataFrame:
 
 def _sets_of(rows: DataFrame, text: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, held): the sets of nodes, made anew from one text of each."""
-    holders = keep(rows.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")))
-    some = _checked(holders, holders.count())
-    return keep(text.where("text is not null").join(some, text["id"].eqNullSafe(holders["id"])).select("node", "text").mapInArrow(_sets, "node long, held binary").dropDuplicates(["node"]))
+    one = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "digest")).alias("of")
+    holders = keep(rows.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(one).select("node", "of.*"))
+    some = _checked(holders.select("node", F.coalesce("id", F.lit(0)).alias("id_"), "unnamed", F.col("digest").alias("digest_")), holders.count())
+    same = (F.coalesce("id", F.lit(0)) == F.col("id_")) & (F.col("id").isNull() == F.col("unnamed")) & (F.col("digest") == F.col("digest_"))
+    return keep(text.where("text is not null").join(some, same).select("node", "text").mapInArrow(_sets, "node long, held binary"))
 
 
 def _verified(rows: DataFrame, text: DataFrame, pairs: DataFrame) -> DataFrame:
