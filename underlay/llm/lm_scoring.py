@@ -46,7 +46,7 @@ from .common import fold, keep, partitions, table
 
 U64 = np.uint64
 GROUP_BYTES = 16 << 20
-BROADCAST_BYTES = 512 << 20
+BROADCAST_BYTES = 256 << 20
 SCORED_BYTES = 4 << 20
 FLUSH_TOKENS = 1_500_000
 MERGED_ENTRIES = 1_000_000
@@ -248,7 +248,8 @@ class Model:
 def train(docs: DataFrame, text_col: str = "text", bits_per_entry: float = 7.2) -> Model:
     """Counts the documents of docs; the parts are stored in the shared folder."""
     p = partitions(docs, 16 << 20)
-    buckets = 2 * p
+    # Several buckets a partition even out what hashing deals to each; with many partitions two do.
+    buckets = max(2 * p, min(8 * p, 4096))
     blocks = docs.select(F.col(text_col)).mapInArrow(_count_blocks(buckets), _BLOCK_DDL)
     parts = keep(blocks.repartition(p, "bucket").groupBy("bucket").applyInArrow(_merge_bucket(bits_per_entry), _PART_DDL))
     sums = {r["ngram"]: r for r in parts.groupBy("ngram").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("once").alias("once"), F.sum(F.octet_length("payload")).alias("bytes")).collect()}
