@@ -1,5 +1,7 @@
 """The character detectors' golden cases, and the stack formulas against plain Python."""
 
+import time
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -37,6 +39,10 @@ CASES = {
     "lines": ("x\n\r\ny a​b\r\nz", [("zero-width", 3, 4, "y ab")]),
     "separator": ("p q​r", [("zero-width", 2, 2, "qr")]),
     "planes": ("\U0001f600\U0001f600​x", [("zero-width", 1, 3, "\U0001f600\U0001f600x")]),
+    "joiner at a line's start": ("\U0001f468\n\u200d\U0001f469", [("zero-width", 2, 1, "\U0001f469")]),
+    "mark and joiner": ("\ufeff\u200dx", [("zero-width", 1, 2, "\ufeffx")]),
+    "two words": ("аb cа", [("mixed-script", 1, 2, "аb cа"), ("mixed-script", 1, 5, "аb cа")]),
+    "nested": ("a\u202b\u202eb\u202cc", [("bidi-control", 1, 2, "abc"), ("bidi-control", 1, 5, "abc")]),
     "flag": ("\U0001f3f4" + tag("gb"), [("tag-characters", 1, 2, "\U0001f3f4")]),
 }
 
@@ -104,7 +110,7 @@ def rendered(body):
 @given(st.lists(st.text(st.sampled_from("ab\U0001f600" + "".join(map(chr, T.BIDI))), max_size=25), min_size=30, max_size=30))
 def test_stacks_and_overrides(spark, texts):
     units = spark.createDataFrame([(str(i), "", 0, None, t) for i, t in enumerate(texts)], UNIT)
-    hits = C._characters(units, T.char_class(T.BIDI)).where(F.col("cp").isin(*T.BIDI))
+    hits = C.controls(units)
     got = {}
     for r in C.unclosed(hits).where("open").collect():
         got.setdefault(int(r.file_id), set()).add(r.pos)
@@ -114,6 +120,16 @@ def test_stacks_and_overrides(spark, texts):
         assert r.human_sees == rendered(texts[int(r.file_id)])
 
 
+def test_long_lines_stay_linear(spark):
+    """A million characters on one line, and as many lines, in seconds."""
+    long = "abcd " * 100_000
+    units = spark.createDataFrame([("line", "", 0, None, f"{long}\u202e{long}\u200b{long}"), ("lines", "", 0, None, "x\n" * 500_000 + "y\u200bz")], UNIT)
+    start = time.perf_counter()
+    got = sorted((r.file_id, r.detector, r.line, r.column, len(r.human_sees)) for r in union(C.detect(units)).collect())
+    assert got == [("line", "bidi-control", 1, 500_001, 1_500_001), ("line", "zero-width", 1, 1_000_002, 1_500_001), ("lines", "zero-width", 500_001, 2, 2)]
+    assert time.perf_counter() - start < 60
+
+
 def test_expressions(spark):
     rows = spark.createDataFrame([(1, " 　 x\ty  "), (26, ""), (27, "\x1c\x85"), (702, "a\r\nb\x0bc\n"), (703, "\n")], "n int, t string")
     r = rows.select(T.column_name(F.col("n")).alias("c"), T.blank(F.col("t")).alias("b"), T.strip(F.col("t")).alias("s"), T.squash(F.col("t")).alias("q"), T.lines(F.col("t")).alias("l")).collect()

@@ -48,8 +48,9 @@ WHITE = r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x
 
 
 def char_class(points=(), ranges=()) -> str:
-    """A regex class of code points and ranges."""
-    return "[" + "".join(f"\\x{{{p:X}}}" for p in points) + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+    """A regex class of code points and ranges.  Those beyond U+FFFF stand as themselves: a lookbehind only then allows for their two units."""
+    one = lambda p: chr(p) if p > 0xFFFF else f"\\x{{{p:X}}}"
+    return "[" + "".join(map(one, points)) + "".join(f"{one(a)}-{one(b)}" for a, b in ranges) + "]"
 
 
 def within(cp: Column, ranges) -> Column:

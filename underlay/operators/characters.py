@@ -1,9 +1,11 @@
 """Detectors 8 to 11: zero-width and bidi characters, tag characters, words of mixed scripts.
 
-Input: units(file_id, inside, unit_no, page, text).  A pattern on the whole text
-decides first which units hold a candidate at all; only their characters become
-rows.  Runs are gaps-and-islands over positions, neighbours are lag and lead,
-lines are running counts, and bracket matching is a running sum with a floor.
+Input: units(file_id, inside, unit_no, page, text).  A pattern decides which units
+and then which lines hold a candidate; only those lines become rows, never their
+characters.  A line is cut by its detector's pattern into runs of hits and what
+lies between, so marking, stripping and reversing are joins of those parts, and
+columns are sums of their lengths.  All of this stays in the scan's stage.  Only
+brackets that cross lines need a window, over the control characters alone.
 """
 
 from __future__ import annotations
@@ -16,86 +18,105 @@ from .findings import CIRCUMSTANTIAL, DIRECT, findings
 
 UNIT = ("file_id", "inside", "unit_no")
 _LINE = (*UNIT, "line")
+_ENDS = T.char_class(x for x in T.LINE_ENDS if x != 0x0D)
+#: The place after a line end; a carriage return before a line feed is half of one.
+_AFTER_END = rf"(?<={_ENDS}|\r(?!\n))"
 
 
-def _characters(units: DataFrame, pattern: str) -> DataFrame:
-    """One row a character of the units that match: pos from 0, ch, cp, before, after, line from 0, start of line."""
-    some = units.where(F.col("text").rlike(pattern))
-    chars = some.select(*UNIT, "page", F.posexplode(F.split("text", "")).alias("pos", "ch")).where(F.col("ch") != "").withColumn("cp", F.ascii("ch"))
-    by_unit = Window.partitionBy(*UNIT).orderBy("pos")
-    chars = chars.withColumn("before", F.lag("cp").over(by_unit)).withColumn("after", F.lead("cp").over(by_unit))
-    ends = F.col("cp").isin(*T.LINE_ENDS) & ~((F.col("cp") == 13) & F.coalesce(F.col("after") == 10, F.lit(False)))
-    earlier = by_unit.rowsBetween(Window.unboundedPreceding, -1)
-    chars = chars.withColumn("line", F.coalesce(F.sum(ends.cast("int")).over(earlier), F.lit(0)))
-    return chars.withColumn("start", F.min("pos").over(Window.partitionBy(*_LINE)))
+def _lines(units: DataFrame, pattern: str) -> DataFrame:
+    """The lines that match: line from 0, and body, without a carriage return or line feed at its end."""
+    some = units.where(F.col("text").rlike(pattern)).select(*UNIT, "page", F.posexplode(F.split("text", _AFTER_END, -1)).alias("line", "raw"))
+    return some.where(F.col("raw").rlike(pattern)).select(*_LINE, "page", F.regexp_replace("raw", r"(?:\r\n|[\r\n])\z", "").alias("body"))
+
+
+def _chars(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def _labels(text: Column) -> Column:
+    return F.transform(_chars(text), lambda c: T.label(F.ascii(c)))
+
 
+def _bracketed(text: Column) -> Column:
+    return F.array_join(F.transform(_labels(text), lambda x: F.concat(F.lit(T.OPEN), x, F.lit(T.CLOSE))), "")
 
-def _runs(chars: DataFrame, hit: str) -> DataFrame:
-    """Maximal runs of hits with first position and the characters in order."""
-    hits = chars.where(hit)
-    numbered = hits.withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy(*UNIT).orderBy("pos")))
-    runs = numbered.groupBy(*_LINE, "page", "start", "island").agg(F.min("pos").alias("first"), F.sort_array(F.collect_list(F.struct("pos", "ch", "cp"))).alias("run"))
-    return runs.drop("island")
 
+def _cut(body: Column, pattern: str) -> tuple[Column, Column]:
+    """What lies between the matches of a pattern, and the matches."""
+    return F.split(body, pattern, -1), F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
 
-def _bodies(chars: DataFrame, hit: str, *more: str) -> DataFrame:
-    """The lines that hold hits, as arrays of characters in order, without carriage returns and line feeds at the end."""
-    held = chars.groupBy(*_LINE).agg(F.max(hit).alias("any"), F.sort_array(F.collect_list(F.struct("pos", "ch", "cp", F.col(hit).alias("hit"), *more))).alias("all"))
-    last = F.aggregate("all", F.lit(-1), lambda a, c: F.when(c["cp"].isin(10, 13), a).otherwise(c["pos"]))
-    return held.where("any").select(*_LINE, F.filter("all", lambda c: c["pos"] <= last).alias("body"))
 
+def _woven(between: Column, matches: Column, shown) -> Column:
+    """The parts joined again, the matches as shown."""
+    return F.concat(F.array_join(F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda b, m: F.concat(b, shown(m))), ""), F.element_at(between, -1))
 
-def _joined(array: Column, each) -> Column:
-    return F.array_join(F.transform(array, each), "")
 
+def _places(between: Column, matches: Column) -> Column:
+    """Of each match: first, its place in the line from 0; nth, the number of characters matched before it; run."""
+    sized = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("run")))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.expr("cast(array() as array<struct<first:int,nth:int,run:string>>)").alias("out"))
 
-def _stripped(body: Column) -> Column:
-    return _joined(F.filter(body, lambda c: ~c["hit"]), lambda c: c["ch"])
+    def step(a: Column, x: Column) -> Column:
+        first, size = a["at"] + x["gap"], F.length(x["run"])
+        return F.struct((first + size).alias("at"), (a["n"] + size).alias("n"), F.concat(a["out"], F.array(F.struct(first.alias("first"), a["n"].alias("nth"), x["run"].alias("run")))).alias("out"))
 
+    return F.aggregate(sized, start, step, lambda a: a["out"])
 
-def _marked(body: Column) -> Column:
-    return _joined(body, lambda c: F.when(c["hit"], F.concat(F.lit(T.OPEN), T.label(c["cp"]), F.lit(T.CLOSE))).otherwise(c["ch"]))
 
+def _runs(lines: DataFrame, pattern: str, shown, stripped=None, also: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each run of a line, with the line as a machine reads it (marked) and as a reader sees it (seen)."""
+    between, matches = F.col("between"), F.col("matches")
+    cut = lines.select("*", *(c.alias(n) for c, n in zip(_cut(F.col("body"), pattern), ("between", "matches"))))
+    seen = stripped(F.col("body")) if stripped else F.array_join(between, "")
+    return cut.select(*_LINE, "page", *also, _woven(between, matches, shown).alias("marked"), seen.alias("seen"), F.inline(_places(between, matches)))
 
-def _labels(run: Column) -> Column:
-    return F.transform(run, lambda c: T.label(c["cp"]))
 
+def _placed(kind: int) -> dict:
+    return {"page": F.col("page"), "line": F.col("line") + 1, "column": F.col("first") + 1, "seq": F.col("unit_no") * 4 + kind}
 
-def _placed(df: DataFrame, kind: int) -> dict:
-    return {"page": F.col("page"), "line": F.col("line") + 1, "column": F.col("first") - F.col("start") + 1, "seq": F.col("unit_no") * 4 + kind, "codepoints": _labels(F.col("run"))}
+
+def _zero_width_runs() -> str:
+    """A run of zero-width characters.  A joiner between two pictographs, or a joiner or non-joiner between two letters of a joining script, is none."""
+    drawn, joining = T.char_class(ranges=T.PICTOGRAPHIC), T.char_class(ranges=T.JOINING)
+    benign = rf"(?!(?<={drawn})\x{{200D}}(?={drawn}))(?!(?<={joining})[\x{{200C}}\x{{200D}}](?={joining}))"
+    return f"(?:{benign}{T.char_class(T.ZERO_WIDTH)})+"
 
 
 def zero_width(units: DataFrame) -> DataFrame:
-    chars = _characters(units, T.char_class(T.ZERO_WIDTH))
-    cp, before, after = F.col("cp"), F.col("before"), F.col("after")
-
-    def both(ranges) -> Column:
-        return F.coalesce(T.within(before, ranges) & T.within(after, ranges), F.lit(False))
-
-    benign = ((cp == 0xFEFF) & (F.col("pos") == 0)) | ((cp == 0x200D) & both(T.PICTOGRAPHIC)) | (cp.isin(0x200C, 0x200D) & both(T.JOINING))
-    chars = chars.withColumn("hit", cp.isin(*T.ZERO_WIDTH) & ~benign)
-    df = _runs(chars, "hit").join(_bodies(chars, "hit"), list(_LINE))
-    n = F.size("run")
-    names = F.array_sort(F.array_distinct(F.transform("run", lambda c: T.char_name(c["cp"]))))
-    one = F.concat(F.element_at(names, 1), F.lit(" ("), T.label(F.col("run")[0]["cp"]), F.lit("), which a reader cannot see"))
+    """A byte-order mark that opens the unit does not count; it stays where it is."""
+    opening = (F.col("line") == 0) & F.startswith(F.col("body"), F.lit("\ufeff"))
+    mark = F.when(opening, F.lit("\ufeff")).otherwise("")
+    lines = _lines(units, T.char_class(T.ZERO_WIDTH)).withColumn("mark", mark).withColumn("body", F.when(opening, F.substring("body", 2, 1 << 30)).otherwise(F.col("body")))
+    df = _runs(lines, _zero_width_runs(), _bracketed, also=("mark",))
+    df = df.withColumn("first", F.col("first") + F.length("mark"))
+    n = F.length("run")
+    names = F.array_sort(F.array_distinct(F.transform(_chars(F.col("run")), lambda c: T.char_name(F.ascii(c)))))
+    one = F.concat(F.element_at(names, 1), F.lit(" ("), T.label(F.ascii("run")), F.lit("), which a reader cannot see"))
     several = F.concat(n.cast("string"), F.lit(" characters a reader cannot see: "), F.array_join(names, ", "))
-    return findings(df, "characters", "zero-width", DIRECT, F.when(n == 1, one).otherwise(several), _marked(F.col("body")), _stripped(F.col("body")), **_placed(df, 0))
+    shown = {"machine_reads": F.concat("mark", "marked"), "human_sees": F.concat("mark", "seen")}
+    return findings(df, "characters", "zero-width", DIRECT, F.when(n == 1, one).otherwise(several), **shown, codepoints=_labels(F.col("run")), **_placed(0))
+
 
+_CONTROL = T.char_class(T.BIDI)
+_CLOSING = T.char_class((T.POP, T.POP_ISOLATE))
 
-def _overridden(body: Column) -> Column:
-    """The line as it renders: text after a right-to-left override reversed until it is closed, controls gone."""
-    start = F.struct(F.lit("").alias("out"), F.lit("").alias("turned"), F.lit(False).alias("inside"))
 
-    def state(out: Column, turned: Column, inside: Column) -> Column:
-        return F.struct(out.alias("out"), turned.alias("turned"), inside.alias("inside"))
+def _rendered(body: Column) -> Column:
+    """The line as it renders: what follows a right-to-left override reversed until it is closed, controls gone."""
+    before, turned = _cut(body, rf"\x{{{T.OVERRIDE:X}}}[^{_CLOSING[1:-1]}]*")
+    plain = lambda text: F.regexp_replace(text, _CONTROL, "")
+    return F.concat(F.array_join(F.zip_with(F.slice(before, F.lit(1), F.size(turned)), turned, lambda b, t: F.concat(plain(b), F.reverse(plain(t)))), ""), plain(F.element_at(before, -1)))
 
-    def step(a: Column, c: Column) -> Column:
-        closes, control = c["cp"].isin(T.POP, T.POP_ISOLATE), c["cp"].isin(*T.BIDI)
-        within = F.when(closes, state(F.concat(a["out"], a["turned"]), F.lit(""), F.lit(False))).when(control, a).otherwise(state(a["out"], F.concat(c["ch"], a["turned"]), F.lit(True)))
-        without = F.when(c["cp"] == T.OVERRIDE, state(a["out"], F.lit(""), F.lit(True))).when(control, a).otherwise(state(F.concat(a["out"], c["ch"]), F.lit(""), F.lit(False)))
-        return F.when(a["inside"], within).otherwise(without)
 
-    return F.aggregate(body, start, step, lambda a: F.concat(a["out"], a["turned"]))
+def controls(units: DataFrame) -> DataFrame:
+    """A row for each control character: pos in the unit, line, nth in its line (all from 0), and cp; nothing of the text."""
+    some = units.where(F.col("text").rlike(_CONTROL))
+    gaps, hits = _cut(F.col("text"), _CONTROL)
+    ends = lambda gap: F.size(F.split(gap, _AFTER_END, -1)) - 1
+    rows = some.select(*UNIT, F.posexplode(F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, c: F.struct(F.length(g).alias("gap"), ends(g).alias("ends"), F.ascii(c).alias("cp")))).alias("k", "c"))
+    so_far = Window.partitionBy(*UNIT).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.select(*UNIT, "k", (F.sum("c.gap").over(so_far) + F.col("k")).cast("int").alias("pos"), F.sum("c.ends").over(so_far).cast("int").alias("line"), F.col("c.cp").alias("cp"))
+    return placed.withColumn("nth", F.col("k") - F.min("k").over(Window.partitionBy(*_LINE))).drop("k")
 
 
 def unclosed(hits: DataFrame) -> DataFrame:
@@ -112,63 +133,65 @@ def unclosed(hits: DataFrame) -> DataFrame:
 
 
 def bidi_control(units: DataFrame) -> DataFrame:
-    chars = _characters(units, T.char_class(T.BIDI)).withColumn("hit", F.col("cp").isin(*T.BIDI))
-    still = unclosed(chars.where("hit")).where("open").groupBy(*UNIT).agg(F.collect_list("pos").alias("open"))
-    df = _runs(chars, "hit").join(_bodies(chars, "hit"), list(_LINE)).join(still, list(UNIT), "left")
-    names, labels = F.array_join(F.transform("run", lambda c: T.char_name(c["cp"])), ", "), F.array_join(_labels(F.col("run")), ", ")
-    ends = F.arrays_overlap(F.transform("run", lambda c: c["pos"]), F.coalesce("open", F.expr("cast(array() as array<int>)")))
-    summary = F.concat(names, F.lit(" ("), labels, F.lit(")"), F.when(ends, ", never closed before the text ends").otherwise(""))
-    return findings(df, "characters", "bidi-control", DIRECT, summary, _marked(F.col("body")), _overridden(F.col("body")), **_placed(df, 1))
+    still = unclosed(controls(units)).where("open").groupBy(*_LINE).agg(F.collect_list("nth").alias("open"))
+    df = _runs(_lines(units, _CONTROL), f"{_CONTROL}+", _bracketed, _rendered).join(still, list(_LINE), "left")
+    names, labels = F.array_join(F.transform(_chars(F.col("run")), lambda c: T.char_name(F.ascii(c))), ", "), F.array_join(_labels(F.col("run")), ", ")
+    stays = F.coalesce(F.exists("open", lambda i: (i >= F.col("nth")) & (i < F.col("nth") + F.length("run"))), F.lit(False))
+    summary = F.concat(names, F.lit(" ("), labels, F.lit(")"), F.when(stays, ", never closed before the text ends").otherwise(""))
+    return findings(df, "characters", "bidi-control", DIRECT, summary, F.col("marked"), F.col("seen"), codepoints=_labels(F.col("run")), **_placed(1))
 
 
 def _decoded(run: Column) -> Column:
-    return _joined(F.filter(run, lambda c: c["cp"].between(0xE0020, 0xE007E)), lambda c: F.chr(c["cp"] - T.TAGS[0]))
+    spelled = F.filter(F.transform(_chars(run), lambda c: F.ascii(c) - T.TAGS[0]), lambda c: c.between(0x20, 0x7E))
+    return F.array_join(F.transform(spelled, lambda c: F.chr(c)), "")
 
 
 def tag_characters(units: DataFrame) -> DataFrame:
     """Each run of a line is replaced by its own message; text between two runs stays."""
-    chars = _characters(units, T.char_class(ranges=[T.TAGS])).withColumn("hit", F.col("cp").between(*T.TAGS))
-    df = _runs(chars, "hit").withColumn("message", _decoded(F.col("run")))
-    said = df.groupBy(*_LINE).agg(F.map_from_entries(F.collect_list(F.struct("first", "message"))).alias("said"))
-    hushed = df.where("message <> ''").select(*_LINE, F.explode(F.transform("run", lambda c: c["pos"])).alias("quiet")).groupBy(*_LINE).agg(F.collect_list("quiet").alias("quiet"))
-    df = df.join(_bodies(chars, "hit"), list(_LINE)).join(said, list(_LINE)).join(hushed, list(_LINE), "left")
-    quiet = F.coalesce("quiet", F.expr("cast(array() as array<int>)"))
-
-    def shown(c: Column) -> Column:
-        message = F.element_at("said", c["pos"])
-        return (
-            F.when(~c["hit"], c["ch"])
-            .when(F.coalesce(message, F.lit("")) != "", F.concat(F.lit(f"{T.OPEN}tag characters: "), message, F.lit(T.CLOSE)))
-            .when(F.array_contains(quiet, c["pos"]), F.lit(""))
-            .otherwise(F.concat(F.lit(T.OPEN), T.label(c["cp"]), F.lit(T.CLOSE)))
-        )
-
-    n = F.size("run").cast("string")
-    summary = F.concat(n, F.lit(" tag characters that no renderer draws"), F.when(F.col("message") == "", ", which spell nothing printable").otherwise(""))
+    tags = T.char_class(ranges=[T.TAGS])
+
+    def shown(run: Column) -> Column:
+        message = _decoded(run)
+        return F.when(message != "", F.concat(F.lit(f"{T.OPEN}tag characters: "), message, F.lit(T.CLOSE))).otherwise(_bracketed(run))
+
+    df = _runs(_lines(units, tags), f"{tags}+", shown).withColumn("message", _decoded(F.col("run")))
+    summary = F.concat(F.length("run").cast("string"), F.lit(" tag characters that no renderer draws"), F.when(F.col("message") == "", ", which spell nothing printable").otherwise(""))
     message = F.when(F.col("message") != "", F.col("message"))
-    return findings(df, "characters", "tag-characters", DIRECT, summary, _joined(F.col("body"), shown), _stripped(F.col("body")), decoded=message, **_placed(df, 2))
+    return findings(df, "characters", "tag-characters", DIRECT, summary, F.col("marked"), F.col("seen"), codepoints=_labels(F.col("run")), decoded=message, **_placed(2))
+
+
+def _mixed(word: Column) -> Column:
+    """Whether a word holds letters of two scripts, one of them not of those that are used together; by patterns alone."""
+    foreign = {name: ranges for name, ranges in T.SCRIPTS.items() if name not in T.EXPECTED_MIX}
+    known = [r for ranges in T.SCRIPTS.values() for r in ranges]
+    letter = rf"(?:(?=\p{{L}}){T.char_class(ranges=known)})"
+    alone = "|".join(rf"(?:(?!{letter}).|{T.char_class(ranges=ranges)})*+" for ranges in foreign.values())
+    some = rf"(?=\p{{L}}){T.char_class(ranges=[r for ranges in foreign.values() for r in ranges])}"
+    return word.rlike(some) & ~word.rlike(rf"(?s)\A(?:{alone})\z")
 
 
 def mixed_script(units: DataFrame) -> DataFrame:
     """A tie for the majority goes to the script that comes first in the word."""
-    foreign = [r for name, ranges in T.SCRIPTS.items() if name not in T.EXPECTED_MIX for r in ranges]
-    chars = _characters(units, T.char_class(ranges=foreign)).withColumn("script", T.script(F.col("ch"), F.col("cp")))
-    by_line = Window.partitionBy(*_LINE).orderBy("pos")
-    chars = chars.withColumn("word", F.sum((F.col("cp") == 32).cast("int")).over(by_line)).where(F.col("cp") != 32)
-    word = (*_LINE, "word")
-    counted = chars.where("script is not null").groupBy(*word, "script").agg(F.count("*").alias("n"), F.min("pos").alias("at"))
-    mixes = counted.groupBy(*word).agg(F.sort_array(F.collect_list("script")).alias("scripts"), F.max_by("script", F.struct("n", -F.col("at"))).alias("main"))
-    mixes = mixes.where((F.size("scripts") > 1) & (F.size(F.array_except("scripts", F.array(*map(F.lit, T.EXPECTED_MIX)))) > 0))
-    lettered = chars.where(~F.col("cp").isin(10, 13)).join(mixes, list(word), "left_semi").groupBy(*word, "page", "start").agg(F.sort_array(F.collect_list(F.struct("pos", "ch", "cp", "script"))).alias("letters"))
-    df = mixes.join(lettered, list(word))
-    odd = F.filter("letters", lambda c: c["script"].isNotNull() & (c["script"] != F.col("main")))
-    df = df.withColumn("run", odd).withColumn("first", F.col("run")[0]["pos"])
-    whole = _characters(units, T.char_class(ranges=foreign)).withColumn("script", T.script(F.col("ch"), F.col("cp"))).withColumn("hit", F.lit(True))
-    df = df.join(_bodies(whole, "hit", "script"), list(_LINE))
-    at = F.transform("run", lambda c: c["pos"])
-    machine = _joined(F.col("body"), lambda c: F.when(F.array_contains(at, c["pos"]), F.concat(F.lit(T.OPEN), T.label(c["cp"]), F.lit(" "), c["script"], F.lit(T.CLOSE))).otherwise(c["ch"]))
-    summary = F.concat(F.lit('one word, "'), _joined(F.col("letters"), lambda c: c["ch"]), F.lit('", mixes '), F.array_join("scripts", " and "))
-    return findings(df, "characters", "mixed-script", CIRCUMSTANTIAL, summary, machine, _joined(F.col("body"), lambda c: c["ch"]), **_placed(df, 3))
+    foreign = T.char_class(ranges=[r for name, ranges in T.SCRIPTS.items() if name not in T.EXPECTED_MIX for r in ranges])
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,word:string>>)").alias("out"))
+
+    def step(a: Column, word: Column) -> Column:
+        out = F.when(_mixed(word), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), word.alias("word"))))).otherwise(a["out"])
+        return F.struct((a["at"] + F.length(word) + 1).alias("at"), out.alias("out"))
+
+    found = _lines(units, foreign).select(*_LINE, "page", "body", F.inline(F.aggregate(F.split("body", " ", -1), start, step, lambda a: a["out"])))
+    letters = F.transform(_chars(F.col("word")), lambda c: F.struct(c.alias("ch"), T.script(c, F.ascii(c)).alias("script")))
+    found = found.withColumn("letters", letters).withColumn("of", F.transform("letters", lambda c: c["script"]))
+    scripts = F.array_compact(F.array_distinct("of"))
+    ranked = F.transform(scripts, lambda s: F.struct(F.size(F.filter("of", lambda x: x == s)).alias("n"), (-F.array_position("of", s)).alias("at"), s.alias("script")))
+    found = found.withColumn("main", F.array_max(ranked)["script"]).withColumn("scripts", F.sort_array(scripts))
+    odd = lambda c: c["script"].isNotNull() & (c["script"] != F.col("main"))
+    marked = F.array_join(F.transform("letters", lambda c: F.when(odd(c), F.concat(F.lit(T.OPEN), T.label(F.ascii(c["ch"])), F.lit(" "), c["script"], F.lit(T.CLOSE))).otherwise(c["ch"])), "")
+    df = found.withColumn("first", F.col("start") + F.array_position(F.transform("letters", odd), True).cast("int") - 1)
+    machine = F.concat(F.substring("body", F.lit(1), F.col("start")), marked, F.substring("body", F.col("start") + F.length("word") + 1, F.length("body")))
+    points = F.transform(F.filter("letters", odd), lambda c: T.label(F.ascii(c["ch"])))
+    summary = F.concat(F.lit('one word, "'), F.col("word"), F.lit('", mixes '), F.array_join("scripts", " and "))
+    return findings(df, "characters", "mixed-script", CIRCUMSTANTIAL, summary, machine, F.col("body"), codepoints=points, **_placed(3))
 
 
 def detect(units: DataFrame) -> list[DataFrame]:

@@ -73,8 +73,7 @@ def char_bidi(units: DataFrame) -> DataFrame:
     "units_bidi",
 )
 def char_bidi_unclosed(units: DataFrame) -> DataFrame:
-    chars = characters._characters(units, T.char_class(T.BIDI))
-    return characters.unclosed(chars.where(F.col("cp").isin(*T.BIDI))).where("open").select("file_id", "pos")
+    return characters.unclosed(characters.controls(units)).where("open").select("file_id", "pos")
 
 
 @register(
