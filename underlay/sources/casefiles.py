@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from . import media, office, pdf
+from . import legacy, media, office, pdf
 from .records import SCHEMAS, Refused, Sink
 
 FILES = "path string, rel_path string, length long, content binary"
@@ -117,7 +117,7 @@ def parse(data: bytes | None, out: Sink) -> None:
     elif kind == "plain":
         media.read_plain(data, out)
     else:
-        raise Refused(f"a {kind} file; its reader is not part of this version")
+        legacy.read_compound(data, out)
 
 
 def extract(data: bytes | None, inside: str = "") -> list[tuple[str, str, str]]:
