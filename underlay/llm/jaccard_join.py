@@ -62,7 +62,7 @@ SEGMENTS = 0.36
 FREQUENT = 65_536
 BLOCK_DOCS = 8_192
 BLOCK_RECORDS = 800_000
-BROADCAST_ROWS = 4_000_000
+BROADCAST_ROWS = 2_000_000
 CELLS, FINE_CELLS = 128, 512
 TURNS = 2
 TASK_BYTES = 16 << 20
@@ -393,16 +393,6 @@ def _once(nodes: pa.Table) -> pa.Table:
     return nodes.take(pa.array(np.unique(nodes["node"].to_numpy(), return_index=True)[1]))
 
 
-def _active(members: pa.Table, nodes: pa.Table) -> pa.Table:
-    """Nodes that may link with one of another component."""
-    nodes = _once(nodes)
-    family, found = Family(members, nodes), np.zeros(nodes.num_rows, bool)
-    for i, others in family.near(_drawn(nodes["cells"])):
-        found[others] = True
-        found[i] |= len(others) > 0
-    return nodes.select(["centre", "node"]).filter(pa.array(found))
-
-
 def _cross(members: pa.Table, nodes: pa.Table) -> pa.Table:
     """Links between components, at most one for each that is joined."""
     nodes = _once(nodes)
@@ -426,20 +416,25 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of the wanted nodes; of the copies that a task meets, one."""
-    seen: set[int] = set()
-    for batch in batches:
-        for lo, hi, data, offsets in K.chunks(batch.column(1)):
-            flat, counts = chunk_sets(data, offsets)
-            cuts = np.cumsum(counts).tolist()
-            new = []
-            # A digest may stand for other texts too.
-            for i, (wanted, name) in enumerate(zip(batch.column(0).slice(lo, hi - lo).to_pylist(), nodes_of(flat, counts).tolist())):
-                if wanted == name and name not in seen:
-                    seen.add(name)
-                    new.append((name, flat[cuts[i] - int(counts[i]) : cuts[i]].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.int64()), pa.array([x for _, x in new], pa.binary())], names=["node", "held"])
+def _sets(node: int, carried: int):
+    """held, the set of the row's node, beside the carried columns; of equal rows that a task meets, one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for batch in batches:
+            for lo, hi, data, offsets in K.chunks(batch.column(carried)):
+                flat, counts = chunk_sets(data, offsets)
+                names, cuts, part = nodes_of(flat, counts).tolist(), np.cumsum(counts).tolist(), batch.slice(lo, hi - lo)
+                new = []
+                for i, row in enumerate(zip(*(c.to_pylist() for c in part.columns[:carried]))):
+                    # A digest may stand for other texts too.
+                    if row[node] == names[i] and row not in seen:
+                        seen.add(row)
+                        new.append(i)
+                held = pa.array([flat[cuts[i] - int(counts[i]) : cuts[i]].tobytes() for i in new], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(new, pa.int64())) for c in part.columns[:carried]), held], names=[*part.schema.names[:carried], "held"])
+
+    return run
 
 
 def _verify(sets: pa.Table, pairs: pa.Table) -> pa.Table:
@@ -494,7 +489,7 @@ def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         votes = rooted.join(centre, "g").where("root <> its").groupBy("node", "centre").agg(F.sum("times").alias("times"))
         named = votes.groupBy("node").agg(F.max_by("centre", F.struct("times", "centre")).alias("b")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         likely = named.join(of("a"), "a").join(of("b"), "b").select("a", "b", "c_a", "c_b", "n_a", "n_b").mapInArrow(_screen, "a long, b long")
-        found = _verified(rows, text, likely)
+        found = _verified(rows, text, drawn.select("node", "n"), likely)
         first = found if first is None else first.unionAll(found)
         roots = components(first)
 
@@ -503,14 +498,23 @@ def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     several = rooted.groupBy("g").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("g")
     # Groups of one family mostly have one centre: together, they find a pair once and send a set once.
     rooted = keep(rooted.join(several, "g", "left_semi").join(centre.select("g", "centre"), "g"))
-    family = keep(rooted.select("centre", "node", "root").distinct().join(drawn, "node"))
+    family = keep(rooted.select("centre", "node", "root").distinct().join(drawn.select("node", "n"), "node"))
     release(members, drawn)
-    active = keep(_by_blocks(rooted, family, F.lit(CELLS + 64), p, _active, "centre long, node long").distinct())
-    some = lambda df: df.join(active, ["centre", "node"], "left_semi")
-    sets = _sets_of(rows, text, active)
-    held = keep(some(family).drop("cells").join(sets, "node"))
-    links = first.unionAll(keep(_by_blocks(some(rooted), held, 8 * F.col("n"), p, _cross, "a long, b long")))
-    release(rooted, family, active, sets, held)
+    large = keep(family.groupBy("centre").agg(F.ceil(F.sum(8 * F.col("n")) / TASK_BYTES).cast("int").alias("blocks")).where("blocks > 1"))
+    count, key = large.count(), ["centre", "low", "high"]
+
+    def dealt(df: DataFrame) -> DataFrame:
+        """A row for every task: a family's own, or each pair of blocks that the node's block is of."""
+        blocks = F.coalesce("blocks", F.lit(1))
+        placed = df.join(_checked(large, count), "centre", "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        placed = placed.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        return placed.select(*df.columns, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    # Both sides of a cogroup need columns of their own.
+    own = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns)).repartition(p, *key).groupBy(*key)
+    crossed = own(dealt(rooted.select("centre", "g", "node", "probe"))).cogroup(own(_with_sets(rows, text, dealt(family)))).applyInArrow(_cross, "a long, b long")
+    links = first.unionAll(keep(crossed))
+    release(rooted, family, large)
     shared = rows.where("id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("k")).where("a <> b").select("id")
     # Rows of one id are one document: their texts link through it.
     through = rows.where("n > 0").join(shared, "id").groupBy("id").agg(F.min("node").alias("a"), F.collect_set("node").alias("s")).select("a", F.explode("s").alias("b")).where("a <> b")
@@ -519,22 +523,6 @@ def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return linked.unionAll(rows.where("n = 0").select("id", "digest", "n", F.lit(None).cast("long").alias("root")))
 
 
-def _by_blocks(members: DataFrame, nodes: DataFrame, size: Column, p: int, work, ddl: str) -> DataFrame:
-    """work(members, nodes) of each centre, in one task or, beyond TASK_BYTES of nodes, in one for each pair of their blocks."""
-    large = keep(nodes.groupBy("centre").agg(F.ceil(F.sum(size) / TASK_BYTES).cast("int").alias("blocks")).where("blocks > 1"))
-    count = large.count()
-
-    def dealt(df: DataFrame):
-        blocks = F.coalesce("blocks", F.lit(1))
-        placed = df.join(_checked(large, count), "centre", "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        placed = placed.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        placed = placed.select(*df.columns, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        # Both sides of a cogroup need columns of their own.
-        return placed.select(*(F.col(c).alias(c) for c in placed.columns)).repartition(p, "centre", "low", "high").groupBy("centre", "low", "high")
-
-    return dealt(members.select("centre", "g", "node", "probe")).cogroup(dealt(nodes)).applyInArrow(work, ddl)
-
-
 def _meet_or_name(block: pa.Table) -> pa.Table:
     if block["bucket"][0].as_py() < 0:
         return pa.table({"members": block["sigs"], "times": pa.nulls(block.num_rows, pa.int64()), "sizes": block["sets"], "base": block["base"]})
@@ -547,34 +535,35 @@ def _checked(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _sets_of(rows: DataFrame, text: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, held): the sets of nodes, made anew from one text of each."""
+def _with_sets(rows: DataFrame, text: DataFrame, routes: DataFrame) -> DataFrame:
+    """routes (node and where it goes) with held, the set of the node, made anew from one text that has it: no set moves before it has its route."""
     one = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "digest")).alias("of")
-    holders = keep(rows.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(one).select("node", "of.*"))
-    some = _checked(holders.select("node", F.coalesce("id", F.lit(0)).alias("id_"), "unnamed", F.col("digest").alias("digest_")), holders.count())
-    same = (F.coalesce("id", F.lit(0)) == F.col("id_")) & (F.col("id").isNull() == F.col("unnamed")) & (F.col("digest") == F.col("digest_"))
-    return keep(text.where("text is not null").join(some, same).select("node", "text").mapInArrow(_sets, "node long, held binary"))
+    holders = rows.join(routes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(one)
+    named = keep(routes.join(holders, "node").select(*routes.columns, F.coalesce("of.id", F.lit(0)).alias("id_"), F.col("of.unnamed").alias("unnamed_"), F.col("of.digest").alias("digest_")))
+    same = (F.coalesce("id", F.lit(0)) == F.col("id_")) & (F.col("id").isNull() == F.col("unnamed_")) & (F.col("digest") == F.col("digest_"))
+    wanted = text.where("text is not null").join(_checked(named, named.count()), same).select(*routes.columns, "text")
+    ddl = ", ".join(f"{c} {t}" for c, t in routes.dtypes)
+    return wanted.mapInArrow(_sets(routes.columns.index("node"), len(routes.columns)), f"{ddl}, held binary")
 
 
-def _verified(rows: DataFrame, text: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of nodes (a, b) whose sets are similar; the sets are read again for the nodes of pairs alone."""
+def _verified(rows: DataFrame, text: DataFrame, sizes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of nodes (a, b) whose sets are similar; sizes: node, n."""
     pairs = keep(pairs)
     if pairs.isEmpty():
         return pairs
-    sets = _sets_of(rows, text, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     # Pairs that hang together go to one task, and a set goes there once; a large family is cut into blocks of nodes.
     whole = components(pairs)
-    sizes = sets.join(whole, "node").groupBy("root").agg(F.ceil(F.sum(F.octet_length("held")) / TASK_BYTES).alias("blocks"))
-    placed = whole.join(sizes, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    blocks = whole.join(sizes, "node").groupBy("root").agg(F.ceil(F.sum(8 * F.col("n")) / TASK_BYTES).alias("blocks"))
+    placed = keep(whole.join(blocks, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")))
     end = lambda c: placed.select(F.col("node").alias(c), "root", F.col("block").alias(f"block_{c}"))
     asked = keep(pairs.join(end("a"), "a").join(end("b").drop("root"), "b").select("a", "b", "root", "block_a", "block_b"))
     key = ["root", "block_a", "block_b"]
-    wanted = asked.select(*key).distinct()
-    tasks = wanted.select(*key, F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
-    sent = sets.join(placed.select("node", "root", "block"), "node").join(tasks, ["root", "block"]).select(*key, "node", "held")
+    routes = asked.select(*key, F.explode(F.array("a", "b")).alias("node")).distinct()
     p = partitions(text)
-    grouped = sent.repartition(p, *key).groupBy(*key).cogroup(asked.select(*(F.col(c).alias(c) for c in asked.columns)).repartition(p, *key).groupBy(*key))
-    return keep(grouped.applyInArrow(_verify, "a long, b long"))
+    own = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns)).repartition(p, *key).groupBy(*key)
+    good = keep(own(_with_sets(rows, text, routes)).cogroup(own(asked)).applyInArrow(_verify, "a long, b long"))
+    release(pairs, whole, placed, asked)
+    return good
 
 
 def query(spark, sf_dir: str) -> DataFrame:
