@@ -41,17 +41,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def partitions(df: DataFrame, bytes_each: int = 32 << 20) -> int:
-    """Shuffle partitions for work in proportion to df: the session's number, or more for a large input."""
+def partitions(df: DataFrame, bytes_each: int = 32 << 20, least: int = 0) -> int:
+    """Shuffle partitions for work in proportion to df: the session's number (or least), or more for a large input."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = least or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # A plan without known sizes reports the product of its parts; such a figure says nothing.
     return max(least, min(-(-size // bytes_each), 100_000) if size < 1 << 60 else least)
 

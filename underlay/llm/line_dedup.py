@@ -2,22 +2,29 @@
 
 A line's key is the line stripped of ASCII white space and lower-cased (A-Z);
 keys of at least ``min_length`` code points count.  The store holds the 128-bit
-hashes of all keys seen so far as runs: tables dealt into buckets by hash and
-sorted within.  Documents come in batches of ascending id.  A batch's distinct
-keys merge-anti-join every run; what is left is new and becomes a run of level 0,
-and ``fan`` runs of one level are compacted into one of the next.  A line goes if
-its key was in a run, or if a smaller id of its own batch holds it.  The lines of
-the smallest document that holds a key all stay, its own repeats included.
+hashes of all keys seen so far as runs: tables bucketed by hash and sorted within,
+one file a bucket.  Documents come in batches of ascending id.  A batch's distinct
+keys, dealt and sorted once, merge-anti-join every run as it lies: a run is neither
+exchanged nor sorted again.  What is left is new and becomes a run of level 0, and
+``fan`` runs of one level are compacted into one of the next, again by merging them
+bucket by bucket.  A line goes if its key was in a run, or if a smaller id of its
+own batch holds it.  The lines of the smallest document that holds a key all stay,
+its own repeats included.
+
+A store can be kept in a folder and opened again, so that later documents, with
+larger ids, are held against all earlier ones.
 
 Cases: a null or empty text is one empty line; a null id ranks after all ids and
 rows of one id are one document; equal texts lose all long lines but in the
-smallest id; an empty table gives an empty result.
+smallest id; a very long text is read whole by its task, and a line that very many
+documents hold is counted before it is dealt; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, new_path, partitions, remove, shared_dir, table
+from .common import exists, keep, new_path, partitions, remove, table
 
 BLANK = b"\t\n\x0b\x0c\r "
 LAST = (1 << 63) - 1
 BATCHES = 4
+BATCH_BYTES = 1 << 40
+KEY = ("h1", "h2")
 
 
 def key_hash(line: bytes, min_length: int) -> bytes | None:
@@ -60,76 +69,137 @@ def _keys(min_length: int):
 
 
 class LineRuns:
-    """The levelled store.  add() takes a batch of (id, h1, h2) and says which of its rows are repeats."""
+    """The levelled store.  add() takes a batch of (id, h1, h2) and says which of its rows are repeats.
 
-    def __init__(self, spark: SparkSession, buckets: int, fan: int = 2):
-        shared_dir(spark)
+    root: the folder of the runs and of their list; given again, it opens the store that close(keep_runs=True) left there.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int, fan: int = 2, root: str | None = None):
         self.spark, self.buckets, self.fan = spark, buckets, fan
+        self.root = root or new_path(spark, "line_runs")
         self.levels: list[list[str]] = []
+        listed = spark.read.schema("level int, name string, buckets int").json(f"{self.root}/list") if exists(spark, f"{self.root}/list") else None
+        for r in listed.orderBy("level", "name").collect() if listed is not None else ():
+            self.buckets = r["buckets"]
+            self.levels += [[] for _ in range(r["level"] + 1 - len(self.levels))]
+            self.levels[r["level"]].append(r["name"])
+            place = f"{self.root}/{r['name']}".replace("'", "\\'")
+            spark.sql(f"create table if not exists {r['name']} (h1 bigint, h2 bigint) using parquet clustered by (h1, h2) sorted by (h1, h2) into {self.buckets} buckets location '{place}'")
+
+    @contextmanager
+    def _as_they_lie(self):
+        """Plans within deal keys as the runs are dealt, and take the files' order as given."""
+        wanted = {
+            "spark.sql.shuffle.partitions": str(self.buckets),
+            "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+            "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
+            # Else a task could write parts of several buckets, and a bucket have several files.
+            "spark.sql.adaptive.localShuffleReader.enabled": "false",
+            # Else the anti-joins would go below the aggregate, to all of the batch's rows.
+            "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.PushDownLeftSemiAntiJoin",
+        }
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in wanted}
+        try:
+            for k, v in wanted.items():
+                conf.set(k, v)
+            yield
+        finally:
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
+
+    def _runs(self) -> list[DataFrame]:
+        return [self._run(name) for level in self.levels for name in level]
+
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.table(name).select(*KEY)
 
     def _write(self, keys: DataFrame) -> str:
+        """keys: dealt by hash into as many partitions as there are buckets."""
         name = f"line_run_{uuid.uuid4().hex}"
-        path = new_path(self.spark, name)
-        keys.select("h1", "h2").repartition(self.buckets, "h1").write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        keys.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.root}/{name}").saveAsTable(name)
         return name
 
-    def _path(self, name: str) -> str:
-        return self.spark.sql(f"describe formatted {name}").where("col_name = 'Location'").first()["data_type"]
-
     def _drop(self, name: str) -> None:
-        path = self._path(name)
         self.spark.sql(f"drop table {name}")
-        remove(self.spark, path)
+        remove(self.spark, f"{self.root}/{name}")
+
+    def fresh(self, batch: DataFrame) -> DataFrame:
+        """The batch's keys that no run holds, each with its smallest id."""
+        own = batch.groupBy(*KEY).agg(F.min("id").alias("owner"))
+        for run in self._runs():
+            own = own.join(run.hint("merge"), list(KEY), "left_anti")
+        return own
 
     def add(self, batch: DataFrame) -> DataFrame:
-        own = batch.groupBy("h1", "h2").agg(F.min("id").alias("owner"))
-        for name in (n for level in self.levels for n in level):
-            own = own.join(self.spark.table(name).hint("merge"), ["h1", "h2"], "left_anti")
-        own = keep(own)
-        lines = batch.join(own, ["h1", "h2"], "left")  # a hot key's rows are split by the adaptive skew join
-        repeats = keep(lines.where(F.col("owner").isNull() | (F.col("owner") < F.col("id"))).select("id", "h1", "h2"))
-        self._push(self._write(own), 0)
+        with self._as_they_lie():
+            name = self._write(self.fresh(batch))
+        # Read as plain files: where both sides are shuffled, a hot key's rows are split by the adaptive skew join.
+        own = self.spark.read.schema("h1 long, h2 long, owner long").parquet(f"{self.root}/{name}")
+        lines = batch.join(own, list(KEY), "left")
+        repeats = keep(lines.where(F.col("owner").isNull() | (F.col("owner") < F.col("id"))).select("id", *KEY))
+        with self._as_they_lie():
+            self._push(name, 0)
         return repeats
 
+    def compacted(self, runs: list[str]) -> DataFrame:
+        """Runs hold no key in common, so an outer merge of their buckets is their union in order."""
+        out = self._run(runs[0])
+        for name in runs[1:]:
+            out = out.join(self._run(name).hint("merge"), list(KEY), "full_outer")
+        return out
+
     def _push(self, name: str, level: int) -> None:
         if level == len(self.levels):
             self.levels.append([])
         self.levels[level].append(name)
         if len(self.levels[level]) >= self.fan:
             runs, self.levels[level] = self.levels[level], []
-            merged = self.spark.table(runs[0])
-            for other in runs[1:]:
-                merged = merged.unionAll(self.spark.table(other))
-            merged = self._write(merged)
+            merged = self._write(self.compacted(runs))
             for other in runs:
                 self._drop(other)
             self._push(merged, level + 1)
 
-    def close(self) -> None:
-        for name in (n for level in self.levels for n in level):
-            self._drop(name)
+    def close(self, keep_runs: bool = False) -> None:
+        """Ends the work with the store; its list is written beside its runs, or all of it goes."""
+        names = [(i, name) for i, level in enumerate(self.levels) for name in level]
+        if keep_runs:
+            rows = ", ".join(f"({i}, '{name}', {self.buckets})" for i, name in names)
+            if rows:
+                self.spark.sql(f"select * from values {rows} as t(level, name, buckets)").coalesce(1).write.mode("overwrite").json(f"{self.root}/list")
+        for _, name in names:
+            if keep_runs:
+                self.spark.sql(f"drop table {name}")  # external: the files stay
+            else:
+                self._drop(name)
+        if not keep_runs:
+            remove(self.spark, self.root)
         self.levels = []
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 10, batches: int = BATCHES) -> DataFrame:
-    """(id, h1, h2): the keys whose lines a document loses."""
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 10, batches: int | None = None, store: str | None = None) -> DataFrame:
+    """(id, h1, h2): the keys whose lines a document loses.
+
+    batches: how many; by default one for each BATCH_BYTES, BATCHES at least.
+    store: a folder whose runs come first, and which keeps them and the new ones.
+    """
     spark = docs.sparkSession
+    batches = batches or max(BATCHES, partitions(docs, BATCH_BYTES, 1))
     rank = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id")
-    cuts = docs.select(rank).agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
-    cuts = sorted(set(cuts))
+    cuts = docs.select(rank).agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
+    cuts = sorted(set(cuts or []))
     batch = F.lit(0)
     for c in cuts:
         batch = batch + (F.col("id") > F.lit(c)).cast("int")
     path = new_path(spark, "lines")
     docs.select(rank, F.col(text_col)).mapInArrow(_keys(min_length), "id long, h1 long, h2 long").withColumn("batch", batch).write.partitionBy("batch").parquet(path)
     lines = spark.read.schema("id long, h1 long, h2 long, batch int").parquet(path)
-    runs = LineRuns(spark, partitions(docs))
+    runs = LineRuns(spark, partitions(docs), root=store)
     out = None
     for i in range(len(cuts) + 1):
         gone = runs.add(lines.where(F.col("batch") == i).select("id", "h1", "h2"))
         out = gone if out is None else out.unionAll(gone)
-    out = keep(out)
-    runs.close()
+    runs.close(keep_runs=store is not None)
     remove(spark, path)
     return out
 
@@ -161,9 +231,9 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())], names=["rank_", "h_"])
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), min_length: int = 10, batches: int = BATCHES) -> DataFrame:
-    """carry columns of docs, n_lines, n_dropped and kept_text of every document."""
-    gone = repeats(docs, id_col, text_col, min_length, batches).mapInArrow(_gather, "rank_ long, h_ binary").groupBy("rank_").agg(F.collect_list("h_").alias("gone_"))
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), min_length: int = 10, batches: int | None = None, store: str | None = None) -> DataFrame:
+    """carry columns of docs, n_lines, n_dropped and kept_text of every document; store: see repeats()."""
+    gone = repeats(docs, id_col, text_col, min_length, batches, store).mapInArrow(_gather, "rank_ long, h_ binary").groupBy("rank_").agg(F.collect_list("h_").alias("gone_"))
     ranked = docs.select(*carry, F.col(text_col).alias("text_"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("rank_"))
     joined = ranked.join(gone.hint("shuffle_hash"), "rank_", "left").select(*carry, "text_", "gone_")
     ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + ", n_lines long, n_dropped long, kept_text string"
