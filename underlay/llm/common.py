@@ -34,6 +34,11 @@ def release(*kept: DataFrame) -> None:
         stored = df._jdf.logicalPlan().rdd().getCheckpointFile()
         if stored.isDefined():
             remove(spark, stored.get())
+    forget(spark)
+
+
+def forget(spark: SparkSession) -> None:
+    """Lets Spark's cleaner take the files of shuffles that no DataFrame here refers to any more: it goes by the driver's collector."""
     spark.sparkContext._jvm.System.gc()
 
 

@@ -60,8 +60,9 @@ SHINGLE = 5
 SINGLE = 128
 SEGMENTS = 0.36
 FREQUENT = 65_536
-BLOCK_DOCS = 8_192
-BLOCK_RECORDS = 800_000
+BLOCK_DOCS = 4_096
+#: Records a block before it is sent on: enough for each bucket, few enough that no row of it is large.
+BLOCK_RECORDS = (250_000, 1_000_000)
 BROADCAST_ROWS = 2_000_000
 CELLS, FINE_CELLS = 128, 512
 TURNS = 2
@@ -128,7 +129,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(nodes), pa.array(counts)], names=["kind", "id", "digest", "node", "n"])
             pending.append(flat)
             docs += hi - lo
-            if sum(map(len, pending)) >= 2 * BLOCK_RECORDS:
+            if sum(map(len, pending)) >= BLOCK_RECORDS[1]:
                 yield frequent()
                 pending, docs = [], 0
     if pending:
@@ -241,6 +242,8 @@ _RECORD_DDL = "bucket int, sigs binary, sets binary, base long"
 def _sign(buckets: int, frequent: Broadcast):
     """Blocks of records by bucket of the signature; bucket -1: the nodes and sizes of a block's sets."""
 
+    full = min(max(BLOCK_RECORDS[0], 500 * buckets), BLOCK_RECORDS[1])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(*frequent.value)
         task, block = TaskContext.get().partitionId(), 0
@@ -273,7 +276,7 @@ def _sign(buckets: int, frequent: Broadcast):
                     c = counts[lo : lo + BLOCK_DOCS]
                     at = int(counts[:lo].sum())
                     s, d, probe = signer.records(flat[at : at + int(c.sum())], c)
-                    if held + len(c) > (1 << 15) - 1:
+                    if held + len(c) > 2 * BLOCK_DOCS:
                         yield flush()
                         block += 1
                         sigs, sets, nodes, sizes, cells, held, records = [], [], [], [], [], 0, 0
@@ -284,7 +287,7 @@ def _sign(buckets: int, frequent: Broadcast):
                     sizes.append(c)
                     held += len(c)
                     records += len(s)
-                    if records >= BLOCK_RECORDS:
+                    if records >= full:
                         yield flush()
                         block += 1
                         sigs, sets, nodes, sizes, cells, held, records = [], [], [], [], [], 0, 0

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import exists, keep, new_path, partitions, remove, table
+from .common import exists, forget, keep, new_path, partitions, remove, table
 
 BLANK = b"\t\n\x0b\x0c\r "
 LAST = (1 << 63) - 1
@@ -201,6 +201,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
         out = gone if out is None else out.unionAll(gone)
     runs.close(keep_runs=store is not None)
     remove(spark, path)
+    forget(spark)
     return out
 
 
