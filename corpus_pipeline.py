@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from underlay.llm import bpe, decontamination, jaccard_join, line_dedup, toxicity
-from underlay.llm.common import fold, keep, new_path, table
+from underlay.llm.common import fold, forget, keep, new_path, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 HIT_WORDS = decontamination.WINDOW
@@ -37,7 +37,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Ids come before null ones, then the smaller digest of the text.  A blank text is similar to none: its id stays
     with one row, and a null id with every row.
     """
+    forget(spark)
     rows = keep(jaccard_join.rooted(docs))
+    forget(spark)
     blank, unnamed = F.col("root").isNull(), F.col("id").isNull()
     first = rows.where(~blank).groupBy("root").agg(F.min(F.struct(unnamed.alias("unnamed"), "id", "digest")).alias("of")).select("of.id", "of.digest", F.lit(False).alias("blank"))
     first = first.unionAll(rows.where(blank).select("id", "digest", F.lit(True)).distinct())
