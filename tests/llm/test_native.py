@@ -106,23 +106,44 @@ def test_sharding_sizes_and_slots(spark, n):
     assert max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
-def test_sharding_is_uniform_and_repeats(spark):
+def test_sharding_repeats_on_the_same_input(spark):
     rows = spark.range(4800).select(F.col("id").alias("doc_id"))
-    first = {r.doc_id: (r["shard"], r.slot) for r in H.shard(rows, seed=1).collect()}
-    assert first == {r.doc_id: (r["shard"], r.slot) for r in H.shard(rows.repartition(7), seed=1).collect()}
-    together = np.zeros((24, 24))
-    for i in range(0, 4800, 2):
-        together[first[i][0], first[i + 1][0]] += 1
-    expected = 2400 / 576
-    assert ((together - expected) ** 2 / expected).sum() < 576 + 6 * np.sqrt(2 * 576)
-
-
-def test_matrix_sums():
+    place = lambda seed: {r.doc_id: (r["shard"], r.slot) for r in H.shard(rows, seed=seed).collect()}
+    first = place(1)
+    assert first == place(1) != place(2)
     sizes = H.shard_sizes(1003, 24, 5)
     m = H.communication_matrix([100, 0, 500, 403], sizes, 5)
     assert (m.sum(axis=0) == sizes).all() and m.sum(axis=1).tolist() == [100, 0, 500, 403]
 
 
+def test_equal_rows_are_shuffled_too(spark):
+    rows = spark.range(2000).select(F.lit(7).alias("doc_id"), F.when(F.col("id") < 1000, "a").otherwise("b").alias("text"), F.col("id").alias("was"))
+    got = sorted((r.was, r["shard"] * 1000 + r.slot) for r in H.shard(rows).collect())
+    assert abs(np.corrcoef(np.array(got).T)[0, 1]) < 0.1
+    equal = H.shard(rows.select("doc_id")).groupBy("shard").count().collect()
+    assert len(equal) == 24 and max(r["count"] for r in equal) - min(r["count"] for r in equal) <= 1
+
+
+def test_large_hypergeometric_numbers():
+    rng = np.random.default_rng(4)
+    good, bad, draws = 40, 25, 22
+    from math import comb
+
+    seen = np.bincount([H._by_rejection(rng, good, bad, draws) for _ in range(20_000)], minlength=draws + 1)
+    want = np.array([comb(good, k) * comb(bad, draws - k) / comb(good + bad, draws) if draws - k <= bad else 0 for k in range(draws + 1)]) * 20_000
+    some = want > 5
+    assert ((seen - want)[some] ** 2 / want[some]).sum() < 2.5 * some.sum() and not seen[want == 0].any()
+    for few, many, n in ((3 * 10**12, 10**12, 10**9), (5 * 10**8, 9 * 10**11, 6 * 10**11)):
+        x = np.array([H._hypergeometric(rng, few, many, n) for _ in range(3000)], float)
+        p = few / (few + many)
+        spread = np.sqrt(n * p * (1 - p) * (few + many - n) / (few + many - 1))
+        assert abs(x.mean() - n * p) < 5 * spread / np.sqrt(3000) and 0.9 < x.std() / spread < 1.1
+        assert len(set(x % 10)) == 10
+    sizes = H.shard_sizes(4 * 10**10 + 7, 24, 5)
+    m = H.communication_matrix([10**10] * 4 + [7], sizes, 5)
+    assert (m.sum(axis=0) == sizes).all() and m.sum(axis=1).tolist() == [10**10] * 4 + [7]
+
+
 def test_sharding_query_columns(spark, docs, texts, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = H.query(spark, str(tmp_path)).collect()

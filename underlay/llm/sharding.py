@@ -1,32 +1,40 @@
 """Operator 9, sharding: a hypergeometric communication matrix (native Spark).
 
-Rows are first dealt into source blocks by a hash of the id.  From the blocks'
-counts and the shards' exact sizes (at most one apart) the driver draws how many
-rows each block sends to each shard: row by row a multivariate hypergeometric
-draw from the places that are left, so the matrix has the law of a uniform
-shuffle.  Then each block is permuted locally and cut by its row of the matrix,
-the rows are exchanged, and each shard is permuted again, in cells by hash so that
-no task holds a shard: a cell's offset within its shard plus the rank within
-the cell is the slot.  All draws come from a seed, so a lost task is redone alike.
+Each row gets a draw: a hash of a seed, of all its columns and of its place in the
+input, so that even equal rows draw apart; the rows are stored with it, and all
+later steps follow from it.  The draw deals rows into source blocks.  From the
+blocks' counts and the shards' exact sizes (at most one apart) the driver draws how
+many rows each block sends to each shard: one multivariate hypergeometric draw
+after another from the places that are left, so the matrix has the law of a uniform
+shuffle.  Then each block is permuted locally and cut by its row of the matrix, the
+whole rows are exchanged, and each shard is permuted again, in cells by a second
+hash so that no task holds a shard: a cell's offset within its shard plus the rank
+within the cell is the slot.  Blocks and cells hold BLOCK_ROWS rows or BLOCK_BYTES.
 
 Law: `rows` (counts at most one apart).
 
 Cases: a null text has no bytes; equal texts, repeated rows and null ids are rows
-like others (which of two equal rows gets which slot makes no difference); an
-empty table gives an empty result; with fewer rows than shards some are empty.
+like others; a very long text is a row of its own size; ties of draws (equal 64-bit
+hashes) are ordered by the second hash; an empty table gives an empty result; with
+fewer rows than shards some are empty.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, rows_of, table
+from .common import keep, partitions, rows_of, table
 
 SHARDS = 24
 BLOCK_ROWS = 250_000
+BLOCK_BYTES = 64 << 20
 MAX_BLOCKS = 16_384
+#: Beyond it numpy draws no hypergeometric numbers.
+NUMPY_ROWS = 1_000_000_000
 
 
 def shard_sizes(rows: int, shards: int, seed: int) -> np.ndarray:
@@ -54,48 +62,83 @@ def communication_matrix(counts: list[int], sizes: np.ndarray, seed: int) -> np.
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """Exact up to 10**9 rows; beyond, where numpy has no exact draw, by the normal limit, rounded and within bounds."""
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, draws)) if draws else 0
-    mean = draws * good / (good + bad)
-    spread = np.sqrt(mean * bad / (good + bad) * (good + bad - draws) / max(good + bad - 1, 1))
-    return int(np.clip(round(rng.normal(mean, spread)), max(0, draws - bad), min(good, draws)))
+    if not draws or not good:
+        return 0
+    if good + bad < NUMPY_ROWS:
+        return int(rng.hypergeometric(good, bad, draws))
+    return _by_rejection(rng, good, bad, draws)
+
+
+def _log_factorial(x: int) -> np.longdouble:
+    """ln x!, by Stirling's series in extended precision: its error stays below 10**-6 up to 10**13."""
+    if x < 64:
+        return np.longdouble(math.lgamma(x + 1))
+    n = np.longdouble(x)
+    return n * np.log(n) - n + np.log(2 * np.longdouble(np.pi) * n) / 2 + 1 / (12 * n) - 1 / (360 * n**3) + 1 / (1260 * n**5)
+
+
+def _by_rejection(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """A hypergeometric number of any size, by the ratio of uniforms (Stadlober 1989): a table mountain hat around the mode."""
+    total = good + bad
+    few, many, m = min(good, bad), max(good, bad), min(draws, total - draws)
+    share = few / total
+    centre = m * share + 0.5
+    spread = math.sqrt((total - m) * m * share * (1 - share) / (total - 1) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    mass = lambda k: -(_log_factorial(k) + _log_factorial(few - k) + _log_factorial(m - k) + _log_factorial(many - m + k))
+    mode = (m + 1) * (few + 1) // (total + 2)
+    highest, last = mass(mode), min(m, few)
+    while True:
+        u, v = rng.random(), rng.random()
+        k = math.floor(centre + width * (v - 0.5) / u) if u else -1
+        if 0 <= k <= last and k >= m - many and 2 * math.log(u) <= mass(k) - highest:
+            break
+    k = m - k if good > bad else k
+    return k if m == draws else good - k
 
 
 def _mixed(seed: int, *cols: str) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
-def shard(rows: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, seed: int = 11) -> DataFrame:
+def _share(draw: Column, parts: int) -> Column:
+    """Which of equal ranges of the draws one falls into."""
+    return F.floor(F.pmod(draw, F.lit(1 << 30)) * F.lit(parts) / F.lit(1 << 30)).cast("int")
+
+
+def shard(rows: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFrame:
     """rows with two more columns: shard, and slot, which runs from 0 without gaps in each shard."""
     spark = rows.sparkSession
-    order = [c for c in rows.columns if c != id_col and dict(rows.dtypes)[c] in ("bigint", "int", "string", "double")]
-    n = rows.count()
-    p = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = int(min(max(-(-n // BLOCK_ROWS), 4 * p), MAX_BLOCKS))
-    cells = int(min(max(-(-n // (shards * BLOCK_ROWS)), -(-4 * p // shards)), MAX_BLOCKS))
-    dealt = rows.withColumn("block_", F.pmod(_mixed(seed, id_col), F.lit(blocks)).cast("int"))
+    drawn = keep(rows.withColumn("draw_", F.xxhash64(F.lit(seed), *rows.columns, F.monotonically_increasing_id())))
+    n, p = drawn.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    large = partitions(rows, BLOCK_BYTES)
+    blocks = int(min(max(-(-n // BLOCK_ROWS), 4 * p, large), MAX_BLOCKS))
+    cells = int(min(max(-(-n // (shards * BLOCK_ROWS)), -(-4 * p // shards), -(-large // shards)), MAX_BLOCKS))
+    dealt = drawn.withColumn("block_", _share(F.shiftright("draw_", 32), blocks))
     counts = {r["block_"]: r["n"] for r in dealt.groupBy("block_").agg(F.count("*").alias("n")).collect()}  # at most MAX_BLOCKS rows
     present = sorted(counts)
     matrix = communication_matrix([counts[b] for b in present], shard_sizes(n, shards, seed), seed)
     bounds = [(b, [int(x) for x in np.cumsum(m)]) for b, m in zip(present, matrix)]
     cuts = rows_of(spark, bounds or [(0, [0])], "block_ int, until_ array<bigint>")  # blocks * shards numbers
-    local = Window.partitionBy("block_").orderBy(_mixed(seed + 1, id_col), id_col, *order)
-    ranked = dealt.withColumn("rank_", F.row_number().over(local).cast("long")).join(F.broadcast(cuts), "block_")
-    sent = ranked.withColumn("shard", F.size(F.filter("until_", lambda x: x < F.col("rank_"))).cast("int")).drop("block_", "rank_", "until_")
-    # A cell is a range of the second permutation's hash, so that cells in order make one permutation of the shard.
-    second = F.pmod(_mixed(seed + 2, id_col), F.lit(1 << 30))
-    sent = keep(sent.withColumn("cell_", F.floor(second * F.lit(cells) / F.lit(1 << 30)).cast("int")))
-    sizes = sent.groupBy("shard", "cell_").agg(F.count("*").alias("size_"))  # shards * cells rows
+    local = Window.partitionBy("block_").orderBy("draw_", _mixed(seed + 1, "draw_"))
+
+    def sent(df: DataFrame) -> DataFrame:
+        """The permuted blocks, cut; a cell is a range of the second hash, so that cells in order make one permutation of the shard."""
+        ranked = df.withColumn("rank_", F.row_number().over(local).cast("long")).join(F.broadcast(cuts), "block_")
+        placed = ranked.withColumn("shard", F.size(F.filter("until_", lambda x: x < F.col("rank_"))).cast("int")).drop("block_", "rank_", "until_")
+        return placed.withColumn("again_", _mixed(seed + 2, "draw_")).withColumn("cell_", _share(F.col("again_"), cells))
+
+    # The cells' sizes follow from the draws alone; the rows themselves move twice and no more.
+    sizes = keep(sent(dealt.select("draw_", "block_")).groupBy("shard", "cell_").agg(F.count("*").alias("size_")))  # shards * cells rows
     before = Window.partitionBy("shard").orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", "cell_", F.coalesce(F.sum("size_").over(before), F.lit(0)).alias("offset_"))
-    again = Window.partitionBy("shard", "cell_").orderBy(_mixed(seed + 2, id_col), id_col, *order)
-    placed = sent.withColumn("place_", F.row_number().over(again) - 1).join(F.broadcast(offsets), ["shard", "cell_"])
+    again = Window.partitionBy("shard", "cell_").orderBy(F.pmod("again_", F.lit(1 << 30)), "again_", "draw_")
+    placed = sent(dealt).withColumn("place_", F.row_number().over(again) - 1).join(F.broadcast(offsets), ["shard", "cell_"])
     return placed.select(*rows.columns, "shard", (F.col("offset_") + F.col("place_")).cast("long").alias("slot"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    out = shard(table(spark, sf_dir, "documents"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = shard(keep(rows))
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, crc = (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    return out.select("doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
