@@ -45,6 +45,30 @@ def test_license_votes(spark, none):
     assert S.scan(none).count() == 0
 
 
+def test_license_spans_are_verified(spark):
+    """Against the words themselves: order, coverage, key phrases, and no span that starts before the text does."""
+    gpl3, gpl2 = (next(t for t, label, _ in S.TEMPLATES if label == f"gpl-{v}.0" and t.startswith("this")) for v in (3, 2))
+    w = gpl3.split()
+    rows = [
+        (1, "under the mit license foo released under"),
+        (2, f"x {gpl3} y"),
+        (3, f"{gpl2} and more"),
+        (4, gpl3.replace("gnu general", "gnu lesser general")),
+        (5, " ".join(w[len(w) // 2 :] + w[: len(w) // 2])),
+        (6, gpl3.replace("free software you", "free code and you", 1)),
+        (7, " ".join(w[:20])),
+        (8, " ".join(w[:16] + ["stray"] * 30 + w[16:])),
+    ]
+    got = {r.doc: r for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s.start, s.end, s.label) for s in got[1].spans] == [(0, 4, "mit")]
+    spans = lambda i: {(s.start, s.end) for s in got[i].spans if s.label.startswith("gpl-")}
+    assert got[2].labels == "gpl,gpl-3.0" and spans(2) == {(1, 1 + len(w))} and got[2].score == 1
+    assert got[3].labels == "gpl,gpl-2.0" and got[4].labels == "gpl,lgpl" and "gpl-3.0" in got[6].labels and spans(6) == {(0, len(w) + 1)}
+    for i in (5, 7, 8):
+        assert not spans(i)
+    assert all(0 <= s.start < s.end <= r.n_words for r in got.values() for s in r.spans)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
