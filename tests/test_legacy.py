@@ -1,6 +1,5 @@
 """Compound files and Word 97 documents, synthesised from the formats' descriptions."""
 
-import json
 import struct
 
 import numpy as np
@@ -139,7 +138,7 @@ def word_file(stories, runs=(), revisers=(), notes=(), wide_from=None, flags=0x0
 def records(data):
     out = {}
     for inside, record, row in extract(data):
-        out.setdefault(record, []).append(json.loads(row))
+        out.setdefault(record, []).append(row)
     return out
 
 

@@ -50,9 +50,7 @@ def workbook():
 def records(data):
     out = {}
     for inside, record, row in extract(data):
-        import json
-
-        out.setdefault((inside, record), []).append(json.loads(row))
+        out.setdefault((inside, record), []).append(row)
     return out
 
 
@@ -172,3 +170,51 @@ def test_scan_and_survey(spark, folder, tmp_path):
     assert (total.files, total.read, total.refused, total.hiding, total.exit_code) == (5, 4, 1, 3, 1)
     assert survey.totals(files.where("false"), found.where("false")).first().exit_code == 0
     assert survey.totals(files.where("refusal is not null"), found.where("false")).first().exit_code == 2
+
+
+def test_a_damaged_part_keeps_what_was_read_before(tmp_path):
+    parts = workbook()
+    parts["xl/worksheets/s2.xml"] = parts["xl/worksheets/s2.xml"].replace("<row>", '<row r="x">').replace("<c>", '<c r="?" t="s">')
+    data = package(tmp_path / "b.xlsx", parts)
+    r = records(data)
+    assert [c["text"] for c in r["", "cells"]][:4] == ["1", "shared", "four", "2024-03-15"] and r["", "files"][0]["refusal"] is None
+
+
+def test_runs_of_any_length(tmp_path):
+    """A mark on a million rows and a cell repeated over all columns."""
+    sheet = f'<office:document-content {ODF}><office:body><office:spreadsheet><table:table table:name="T"><table:table-row table:visibility="collapse" table:number-rows-repeated="900000"><table:table-cell table:number-columns-repeated="9000"><text:p>x</text:p></table:table-cell></table:table-row></table:table></office:spreadsheet></office:body></office:document-content>'
+    r = records(package(tmp_path / "s.ods", {"content.xml": sheet}))
+    assert len(r["", "cells"]) == 9000 and [(a["axis"], a["idx"]) for a in r["", "hidden_axis"]] == [("row", 1)]
+
+
+def test_reports_of_a_folder_and_of_its_files(spark, folder, tmp_path):
+    import io
+    import json
+
+    from underlay.cli import report
+
+    records_, found = scan(spark, str(folder), str(tmp_path / "records"))
+    found = found.persist()
+
+    def said(form, as_survey):
+        out = io.StringIO()
+        assert report("case", records_, found, form, as_survey, out) == 1
+        return out.getvalue()
+
+    text = said(None, True)
+    assert "case: 3 of 5 files hide something" in text and "bids.xlsx" in text and "searched 4 files; 1 file could not be read" in text
+    whole = json.loads(said("json", True))
+    assert whole["hiding"] == 3 and [f["file"] for f in whole["files"]] == ["_dir/x.txt", "_underscore.txt", "bids.xlsx", "deal.docx", "photo.jpg"]
+    deal = whole["files"][3]
+    assert {f["detector"] for f in deal["findings"]} >= {"deleted-text", "hidden-sheet", "attached-file"} and whole["files"][4]["refusal"]
+    assert "not read" in said("markdown", True) and "<h2>what was found</h2>" in said("html", True)
+    assert "secret" in said(None, False) and "not read: it begins like a JPEG" in said(None, False)
+    assert len(said("json", False).splitlines()) == 5
+
+
+def test_words_of_a_rendered_page():
+    from underlay.sources import rendered
+
+    head = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n"
+    rows = "1\t1\t0\t0\t0\t0\t0\t0\t1700\t2200\t-1\t\n5\t1\t1\t1\t1\t1\t200\t100\t300\t50\t91.5\tHello\n5\t1\t1\t1\t1\t2\t600\t100\t10\t50\t40\t \n"
+    assert list(rendered.words(head + rows, 3)) == [{"page": 3, "word_no": 1, "text": "Hello", "x0": 72.0, "y0": 738.0, "x1": 180.0, "y1": 756.0, "conf": 91.5}]

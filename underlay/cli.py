@@ -1,40 +1,68 @@
-"""python -m underlay.cli FOLDER_OR_FILE [--json | --markdown | --html]: scan, report, exit status 0, 1 or 2."""
+"""python -m underlay.cli FILE_OR_FOLDER [--files] [--json | --markdown | --html] [--ocr]: scan, report, exit status 0, 1 or 2."""
 
 from __future__ import annotations
 
 import argparse
+import contextlib
+import shutil
 import sys
 import tempfile
 
+from pyarrow import fs
+
 from .operators import survey
-from .operators.findings import ordered
-from .plans.scan import scan
-from .sources import sinks
+from .plans.scan import remarks_of, scan
+from .sources import rendered, sinks
+from .sources.casefiles import filesystem
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="underlay")
     p.add_argument("address", help="a file or folder; any file system that pyarrow knows")
-    p.add_argument("--records", help="where record tables are stored; on a cluster a shared folder")
+    p.add_argument("--records", help="where record tables are stored, a folder that all machines share; on one machine a folder of its own, removed at the end")
+    p.add_argument("--files", action="store_true", help="of a folder, each file's findings instead of a survey")
+    p.add_argument("--ocr", action="store_true", help="read the rendered pages of one PDF too; takes seconds a page")
     for form in ("json", "markdown", "html"):
         p.add_argument(f"--{form}", action="store_const", dest="form", const=form)
     args = p.parse_args(argv)
+    system, path = filesystem(args.address)
+    folder = system.get_file_info(path).type == fs.FileType.Directory
+    if args.ocr and (folder or rendered.missing()):
+        p.error("--ocr reads one file, not a folder" if folder else f"--ocr needs {' and '.join(rendered.missing())}")
     from pyspark.sql import SparkSession
-    from pyspark.sql import functions as F
 
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    records, found = scan(spark, args.address, args.records or f"{tempfile.mkdtemp(prefix='records-')}/t")
-    files, found = records.files(), found.persist()
+    if not args.records and not spark.sparkContext.master.startswith("local"):
+        p.error("on a cluster, --records names a folder that all machines share")
+    with contextlib.ExitStack() as stack:
+        stored = args.records
+        if not stored:
+            own = tempfile.mkdtemp(prefix="records-")
+            stack.callback(shutil.rmtree, own, ignore_errors=True)
+            stored = f"{own}/t"
+        ocr = rendered.words_of(spark, args.address) if args.ocr else None
+        records, found = scan(spark, args.address, stored, ocr)
+        return report(args.address, records, found.persist(), args.form, folder and not args.files)
+
+
+def report(root: str, records, found, form: str | None, as_survey: bool, out=None) -> int:
+    """Writes the report line by line; rows come from the executors partition by partition."""
+    write = lambda line: print(line, file=out or sys.stdout)
+    files, said = records.files(), remarks_of(records)
     total = survey.totals(files, found).first()
-    if args.form == "json":
-        for r in sinks.scan_json(files, found, records["remarks"]).orderBy("file_id").toLocalIterator():
-            print(r["json"])
+    if form == "json":
+        texts = (r["json"] for r in sinks.scan_json(files, found, said).orderBy("file_id").toLocalIterator())
+        for line in sinks.survey_json(root, total, texts) if as_survey else texts:
+            write(line)
+    elif as_survey:
+        show = {"markdown": sinks.survey_markdown, "html": sinks.survey_page}.get(form, sinks.survey_text)
+        parts = (df.toLocalIterator() for df in (survey.files_per_kind(files, found), survey.hiding(files, found), survey.refused(files)))
+        for line in show(root, total, *parts):
+            write(line)
     else:
-        show = {"markdown": sinks.markdown, "html": sinks.page}.get(args.form, sinks.text)
-        for f in files.orderBy("file_id").toLocalIterator():  # file by file
-            rows = ordered(found.where(F.col("file_id") == f["file_id"])).collect()
-            said = [r["text"] for r in records["remarks"].where(F.col("file_id") == f["file_id"]).orderBy("inside", "seq").collect()]
-            print(show(f["rel_path"], f["searched"], rows, [*said, *([f"not read: {f['refusal']}"] if f["refusal"] else [])]))
+        show = {"markdown": sinks.markdown, "html": sinks.page}.get(form, sinks.text)
+        for f in sinks.per_file(files, found, said).orderBy("file_id").toLocalIterator():
+            write(show(f["rel_path"], f["searched"], f["found"], [*f["said"], *([f"not read: {f['refusal']}"] if f["refusal"] else [])]))
     return total["exit_code"]
 
 

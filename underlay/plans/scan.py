@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import characters, geometry, metadata, revisions, sheets, slides
 from ..operators.findings import union
 from ..sources.casefiles import Records, case_files
 
 
-def findings_of(r: Records) -> DataFrame:
-    """Every detector over every record table; what is inside a carried package keeps its name in `inside`."""
+def findings_of(r: Records, ocr: DataFrame | None = None, previews: DataFrame | None = None) -> DataFrame:
+    """Every detector over every record table; what is inside a carried package keeps its name in `inside`.
+
+    ocr: words read off rendered pages; previews: words read off previews, held against those of ocr.
+    """
     unread = r["files"].where("text_unread")
     parts = [
         *characters.detect(r["units"]),
@@ -26,9 +32,20 @@ def findings_of(r: Records) -> DataFrame:
         revisions.attached_files(r["attachments"]),
         *metadata.detect(r["meta_fields"], r["meta_history"], r["units"], unread),
     ]
+    if ocr is not None:
+        parts += [geometry.unrendered_text(r["glyphs"], ocr), geometry.unextractable_text(r["glyphs"], ocr)]
+    if ocr is not None and previews is not None:
+        parts.append(geometry.unseen_words(previews, ocr))
     return union(parts)
 
 
-def scan(spark: SparkSession, address: str, stored_at: str) -> tuple[Records, DataFrame]:
+def remarks_of(r: Records) -> DataFrame:
+    """remarks(file_id, inside, phase, seq, text): what the readers, the page detectors and the metadata have to say beside findings."""
+    said = [r["remarks"], geometry.remarks(r["glyphs"], r["shapes"], r["annotations"]), metadata.claims(r["meta_fields"])]
+    parts = [df.select("file_id", "inside", F.lit(phase).alias("phase"), "seq", "text") for phase, df in enumerate(said)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def scan(spark: SparkSession, address: str, stored_at: str, ocr: DataFrame | None = None, previews: DataFrame | None = None) -> tuple[Records, DataFrame]:
     records = Records(case_files(spark, address), stored_at)
-    return records, findings_of(records)
+    return records, findings_of(records, ocr, previews)

@@ -3,14 +3,16 @@
 `case_files` lists a folder with whatever file system its address names, in tasks
 reads the bytes, and never drops a name for its first letter but a dot: Spark's
 own file source passes over names that begin with an underscore.  `Records` runs
-the parsers once, stores what they give partitioned by record table, and hands out
-each table; a file that cannot be read is a row with a reason.
+the parsers once, stores what they give as typed columns, partitioned by record
+table, and hands out each table; a file that cannot be read is a row with a reason,
+and one that is damaged half-way keeps the records read before, with a remark.
 """
 
 from __future__ import annotations
 
 import hashlib
 import posixpath
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,11 +25,10 @@ from . import legacy, media, office, pdf
 from .records import SCHEMAS, Refused, Sink
 
 FILES = "path string, rel_path string, length long, content binary"
-LARGEST_FILE = 512 << 20
 BATCH_BYTES = 32 << 20
 
 
-def _open(address: str) -> tuple[fs.FileSystem, str]:
+def filesystem(address: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(address) if "://" in address else (fs.LocalFileSystem(), address)
 
 
@@ -42,7 +43,7 @@ class _Reader(DataSourceReader):
         self.address = address
 
     def partitions(self):
-        system, root = _open(self.address)
+        system, root = filesystem(self.address)
         info = system.get_file_info(root)
         if info.type == fs.FileType.File:
             found = [(root, posixpath.basename(root), info.size)]
@@ -61,15 +62,13 @@ class _Reader(DataSourceReader):
         return [_Batch(b) for b in batches]
 
     def read(self, partition: _Batch) -> Iterator[tuple]:
-        system, _ = _open(self.address)
+        system, _ = filesystem(self.address)
         for path, rel, size in partition.files:
-            content = None
-            if size <= LARGEST_FILE:
-                try:
-                    with system.open_input_stream(path) as f:
-                        content = f.read()
-                except OSError:
-                    content = None
+            try:
+                with system.open_input_stream(path) as f:
+                    content = f.read()
+            except OSError:
+                content = None
             yield path, rel, size, content
 
 
@@ -106,7 +105,7 @@ def magic(content) -> F.Column:
 
 def parse(data: bytes | None, out: Sink) -> None:
     if data is None:
-        raise Refused("it could not be opened, or is larger than is read")
+        raise Refused("it could not be opened")
     kind = next((k for k, head in MAGIC if data.startswith(head)), "plain")
     if kind == "zip":
         office.read_zip(data, out)
@@ -120,32 +119,52 @@ def parse(data: bytes | None, out: Sink) -> None:
         legacy.read_compound(data, out)
 
 
-def extract(data: bytes | None, inside: str = "") -> list[tuple[str, str, str]]:
-    """(inside, record, JSON) of everything in a file, and of the packages it carries, one level down."""
+def extract(data: bytes | None, inside: str = "") -> list[tuple[str, str, dict]]:
+    """(inside, record, fields) of everything in a file, and of the packages it carries, one level down."""
     out, refusal = Sink(inside), None
     try:
         parse(data, out)
     except Refused as e:
         refusal = str(e)
-    except (RecursionError, MemoryError, ValueError, KeyError, IndexError, AttributeError, TypeError) as e:
-        refusal = f"damaged: {type(e).__name__}"
+    except (RecursionError, MemoryError, ValueError, KeyError, IndexError, AttributeError, TypeError, struct.error) as e:
+        if any(out.rows[record] for record in out.rows if record not in ("files", "remarks")):
+            out.remark(f"the file is damaged ({type(e).__name__}); what was read before that is all there is")
+        else:
+            refusal = f"damaged: {type(e).__name__}"
     if refusal:
         out = Sink(inside)
     if not inside or not refusal:
         searched = bool(out.count("units"))
         out.add("files", kind=out.kind, searched=searched, text_unread=out.text_unread, refusal=refusal, sha256=hashlib.sha256(data).hexdigest() if data is not None else "", length=len(data or b""))
-    found = [(inside, record, row) for record, row in out.encoded()]
+    found = [(inside, record, row) for record, rows in out.rows.items() for row in rows]
     if not inside:
         for name, content in out.carried:
             found += extract(content, name)
     return found
 
 
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+#: (name, type) of the record tables' own columns, and their Arrow types.
+FIELDS = {record: [tuple(part.rsplit(" ", 1)) for part in ddl.split("inside string, ", 1)[1].split(", ")] for record, ddl in SCHEMAS.items()}
+TYPES = {record: pa.struct([(name.strip("`"), _ARROW[t]) for name, t in fields]) for record, fields in FIELDS.items()}
+STORED = "file_id string, inside string, record string, " + ", ".join(f"{record} struct<{', '.join(f'{name}: {t}' for name, t in fields)}>" for record, fields in FIELDS.items()).replace(": long", ": bigint")
+BATCH_ROWS = 20_000
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch holds rows of one record table; the columns of the others are null and cost nothing."""
+    names = ["file_id", "inside", "record", *TYPES]
     for batch in batches:
         for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows = extract(content)
-            yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.string()), *(pa.array(c, pa.string()) for c in zip(*rows))], names=["file_id", "inside", "record", "data"])
+            by_record: dict[tuple[str, str], list[dict]] = {}
+            for inside, record, row in extract(content):
+                by_record.setdefault((inside, record), []).append(row)
+            for (inside, record), every in by_record.items():
+                for lo in range(0, len(every), BATCH_ROWS):
+                    rows = every[lo : lo + BATCH_ROWS]
+                    n = len(rows)
+                    own = {name: pa.array(rows, t) if name == record else pa.nulls(n, t) for name, t in TYPES.items()}
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.string()), pa.array([inside] * n, pa.string()), pa.array([record] * n, pa.string()), *own.values()], names=names)
 
 
 class Records:
@@ -154,15 +173,13 @@ class Records:
     def __init__(self, files: DataFrame, stored_at: str):
         """stored_at: a folder that driver and executors share."""
         self.spark, self.path = files.sparkSession, stored_at
-        parsed = files.select("rel_path", "content").mapInArrow(_parsed, "file_id string, inside string, record string, data string")
+        parsed = files.select("rel_path", "content").mapInArrow(_parsed, STORED)
         parsed.write.partitionBy("record").parquet(stored_at)
-        self._all = self.spark.read.schema("file_id string, inside string, data string, record string").parquet(stored_at)
+        self._all = self.spark.read.schema(STORED).parquet(stored_at)
 
     def __getitem__(self, record: str) -> DataFrame:
-        ddl = SCHEMAS[record]
-        own = ddl.split("inside string, ", 1)[1]
-        rows = self._all.where(F.col("record") == record).select("file_id", "inside", F.from_json("data", own).alias("d"))
-        return rows.select("file_id", "inside", "d.*")
+        """Reads the files of that record table and its columns alone."""
+        return self._all.where(F.col("record") == record).select("file_id", "inside", f"{record}.*")
 
     def files(self) -> DataFrame:
         """One row a file, not the packages inside."""

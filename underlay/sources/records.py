@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections import defaultdict
 
 _AT = "file_id string, inside string, "
@@ -72,9 +71,3 @@ class Sink:
     def field(self, name: str, value: str | None, part: str, role: str, container: str) -> None:
         if value and value.strip():
             self.add("meta_fields", seq=self.count("meta_fields"), name=name, value=value.strip(), part=part, role=role, container=container)
-
-    def encoded(self):
-        """(record, JSON) of each row."""
-        for record, rows in self.rows.items():
-            for r in rows:
-                yield record, json.dumps(r, ensure_ascii=False)

@@ -1,37 +1,48 @@
 """Reports: findings as JSON, Markdown, HTML and text.
 
 JSON is made by executors, one row a file.  The other forms are for a person to
-read and hold one file's or one folder's findings; they take rows already fetched.
+read: of one file, from its row of per_file(), or of a folder, as lines that come
+while its rows do, so that a folder of any size can be written out.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
 import textwrap
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+TOOL, VERSION = "underlay", "2"
 SCHEMA = "underlay-scan/1"
 SURVEY = "underlay-survey/1"
 
 
-def finding_json() -> Column:
-    """A finding as a struct whose empty parts to_json() leaves out."""
-    place = F.struct("page", "line", "column", F.when(F.col("inside") != "", F.col("inside")).alias("inside"))
-    return F.struct("detector", "basis", "summary", "human_sees", "machine_reads", place.alias("location"), "codepoints", "decoded")
+def per_file(files: DataFrame, findings: DataFrame, remarks: DataFrame) -> DataFrame:
+    """files with found (an array of findings in order) and said (an array of remarks): one job for any number of files."""
+    order = [F.coalesce("page", F.lit(0)).alias("p"), F.coalesce("line", F.lit(0)).alias("l"), F.coalesce("column", F.lit(0)).alias("c"), F.col("emit_phase").alias("ph"), F.col("emit_seq").alias("s"), F.col("detector").alias("d")]
+    fields = F.struct("detector", "basis", "summary", "human_sees", "machine_reads", "page", "line", "column", "inside", "codepoints", "decoded")
+    found = findings.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, fields.alias("f")))), lambda x: x["f"]).alias("found"))
+    rank = ["inside", *(c for c in ("phase",) if c in remarks.columns), "seq", "text"]
+    said = remarks.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*rank))), lambda x: x["text"]).alias("said"))
+    joined = files.join(found, "file_id", "left").join(said, "file_id", "left")
+    return joined.withColumn("found", F.coalesce("found", F.array())).withColumn("said", F.coalesce("said", F.array()))
 
 
 def scan_json(files: DataFrame, findings: DataFrame, remarks: DataFrame) -> DataFrame:
-    """(file_id, json): one JSON text a file, findings in order."""
-    order = [F.coalesce("page", F.lit(0)).alias("p"), F.coalesce("line", F.lit(0)).alias("l"), F.coalesce("column", F.lit(0)).alias("c"), F.col("emit_phase").alias("ph"), F.col("emit_seq").alias("s"), F.col("detector").alias("d")]
-    found = findings.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(*order, finding_json().alias("f")))).alias("all")).select("file_id", F.transform("all", lambda x: x["f"]).alias("findings"))
-    said = remarks.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("inside", "seq", "text"))), lambda x: x["text"]).alias("remarks"))
-    joined = files.select("file_id", "kind", "searched", "sha256", "refusal").join(found, "file_id", "left").join(said, "file_id", "left")
-    none = lambda c: F.coalesce(c, F.array())
-    body = F.struct(F.lit(SCHEMA).alias("schema"), F.col("file_id").alias("file"), "sha256", "kind", "searched", "refusal", none("remarks").alias("remarks"), none("findings").alias("findings"))
-    return joined.select("file_id", F.to_json(body).alias("json"))
+    """(file_id, json): one JSON text a file, findings in order; to_json() leaves out what is empty."""
+
+    def finding(f: Column) -> Column:
+        place = F.struct(f["page"].alias("page"), f["line"].alias("line"), f["column"].alias("column"), F.when(f["inside"] != "", f["inside"]).alias("inside"))
+        plain = [f[c].alias(c) for c in ("detector", "basis", "summary", "human_sees", "machine_reads")]
+        return F.struct(*plain, place.alias("location"), f["codepoints"].alias("codepoints"), f["decoded"].alias("decoded"))
+
+    whole = per_file(files, findings, remarks)
+    body = F.struct(F.lit(TOOL).alias("tool"), F.lit(VERSION).alias("version"), F.lit(SCHEMA).alias("schema"), F.col("file_id").alias("file"), "sha256", "kind", "searched", "refusal", F.col("said").alias("remarks"), F.transform("found", finding).alias("findings"))
+    return whole.select("file_id", F.to_json(body).alias("json"))
 
 
 def exit_status(files: int, read: int, findings: int) -> int:
@@ -91,3 +102,70 @@ def page(title: str, searched: bool, rows: list, remarks: list[str] = ()) -> str
         body.append(f'<section id="f{i}"><h2>{e(r["detector"])} <small>{e(r["basis"])}, {e(_place(r))}</small></h2><p>{e(r["summary"])}</p><dl>{seen}</dl></section>')
     notes = "".join(f"<li>{e(x)}</li>" for x in remarks)
     return f'<!doctype html><html><head><meta charset="utf-8"><title>{e(title)}</title></head><body>{"".join(body)}<ul>{notes}</ul></body></html>\n'
+
+
+# Surveys of a folder: lines, from its totals and from rows that may come one by one.
+
+
+def _count(n: int, word: str) -> str:
+    return f"{n} {word}" + ("" if n == 1 else "s")
+
+
+def survey_tail(total) -> str:
+    """What was searched, and what was not: never one without the other."""
+    if not total["files"]:
+        return "there are no files here to read"
+    if not total["read"]:
+        return f"none of {_count(total['files'], 'file')} could be read, so nothing was searched"
+    more = f"; {_count(total['refused'], 'file')} could not be read, so nothing in them was searched" if total["refused"] else ""
+    return f"searched {_count(total['read'], 'file')}{more}"
+
+
+def _sections(total, kinds: Iterable, hiding: Iterable, refused: Iterable):
+    """(heading, rows of label and value) of a survey."""
+    yield "", iter([("read", f"{_count(total['read'], 'file')}, {_count(total['findings'], 'finding')}"), ("not read", _count(total["refused"], "file"))])
+    yield "what was found", ((r["detector"], f"{_count(r['files'], 'file')}, first in {r['first']}") for r in kinds)
+    yield "files that hide something", ((r["rel_path"], r["detectors"]) for r in hiding)
+    yield "not read", ((r["rel_path"], r["refusal"]) for r in refused)
+
+
+def survey_text(root: str, total, kinds: Iterable, hiding: Iterable, refused: Iterable, width: int = 88) -> Iterator[str]:
+    yield f"{root}: {total['hiding']} of {_count(total['files'], 'file')} hide something"
+    for heading, rows in _sections(total, kinds, hiding, refused):
+        for i, (label, value) in enumerate(rows):
+            if not i:
+                yield f"\n{heading}" if heading else ""
+            yield from textwrap.wrap(f"{label}: {value}", width, initial_indent="  ", subsequent_indent="    ", break_long_words=True, break_on_hyphens=False)
+    yield ""
+    yield survey_tail(total)
+
+
+def survey_markdown(root: str, total, kinds: Iterable, hiding: Iterable, refused: Iterable) -> Iterator[str]:
+    yield f"# {_escaped(root)}"
+    yield f"\n{total['hiding']} of {_count(total['files'], 'file')} hide something"
+    for heading, rows in _sections(total, kinds, hiding, refused):
+        for i, (label, value) in enumerate(rows):
+            if not i:
+                yield f"\n## {heading}\n" if heading else ""
+            yield f"- {_escaped(label)}: {_escaped(value)}"
+    yield f"\n{survey_tail(total)}"
+
+
+def survey_page(root: str, total, kinds: Iterable, hiding: Iterable, refused: Iterable) -> Iterator[str]:
+    e = html.escape
+    yield f'<!doctype html><html><head><meta charset="utf-8"><title>{e(root)}</title></head><body><h1>{e(root)}</h1><p>{total["hiding"]} of {_count(total["files"], "file")} hide something</p>'
+    for heading, rows in _sections(total, kinds, hiding, refused):
+        for i, (label, value) in enumerate(rows):
+            if not i and heading:
+                yield f"<h2>{heading}</h2>"
+            yield f"<dl><dt>{e(label)}</dt><dd>{e(value)}</dd></dl>"
+    yield f"<p>{e(survey_tail(total))}</p></body></html>"
+
+
+def survey_json(root: str, total, texts: Iterable[str]) -> Iterator[str]:
+    """One JSON object; texts: the files' own, as scan_json() gives them."""
+    head = json.dumps({"tool": TOOL, "version": VERSION, "schema": SURVEY, "root": root, **{k: total[k] for k in ("files", "read", "refused", "hiding", "findings")}}, ensure_ascii=False)
+    yield head[:-1].replace('"files"', '"file_count"', 1) + ', "files": ['
+    for i, text_ in enumerate(texts):
+        yield ("," if i else "") + text_
+    yield "]}"

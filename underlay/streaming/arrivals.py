@@ -16,10 +16,10 @@ from ..operators.findings import union
 def watch(arrivals: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """arrivals: a stream of units with an `arrived` timestamp; findings go to `out` as Parquet, a folder a batch.
 
-    A text seen within a day is dropped before it is judged.  A batch that is
+    A file's text that was seen within a day is dropped before it is judged; another file with the same text is not.  A batch that is
     repeated after a failure overwrites its own folder, so nothing counts twice.
     """
-    fresh = arrivals.withColumn("digest", F.sha2("text", 256)).withWatermark("arrived", "1 day").dropDuplicatesWithinWatermark(["digest"]).drop("digest")
+    fresh = arrivals.withColumn("digest", F.sha2("text", 256)).withWatermark("arrived", "1 day").dropDuplicatesWithinWatermark(["file_id", "inside", "unit_no", "digest"]).drop("digest")
 
     def judge(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
