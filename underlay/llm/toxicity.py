@@ -1,27 +1,31 @@
 """Operator 2, toxicity: class-conditional Kneser-Ney models compared per word.
 
 Two bigram models, one of texts labelled toxic and one of the others, share
-their backoff.  In the Kneser-Ney manner a count is a number of distinct places:
-the training documents that hold a word or bigram, so a text that repeats itself
-or is one of many copies adds one.  Both classes back off from bigrams to words
-with the same weight (distinct followers of the context over its count) and from
-words to the shared counts of both classes.  A class's count is discounted by
-what the shared count explains: only its excess over the expected share beyond
-``SPREAD`` standard deviations (and one) stays with the class.  Rare expressions
-have no such excess, so for them both classes have the shared estimate and they
-do not vote.
-
-A text's evidence is log P_toxic - log P_ordinary of its bigrams, each distinct
-one once, over their number (the length-normalised difference).  A logistic curve of
-it, of the same sum over the root of the length, of the sum, and of the log length turns it
-into a score; it is fitted on documents kept out of the counts.
+their backoff.  Both go from bigrams to words with one weight (distinct followers
+of the context over its count) and from words to one shared lower order, the
+Kneser-Ney continuation counts of both classes together: in how many distinct
+contexts a word stands, absolutely discounted, the discount dealt out to all words.
+A class departs from the shared estimate only where its own counts do.  They are
+numbers of training documents that hold a word or bigram, so a text that repeats
+itself or is one of many copies adds one; of what a class has beyond its expected
+share, one and ``SPREAD`` standard deviations are discounted, and the rest turns into
+a factor of the shared estimate, after which each class's words sum to one again.
+Rare expressions have no such excess: for them both classes back off to the same
+shared counts, and they do not vote.
+
+A text's evidence is one number: log P_toxic - log P_ordinary of its bigrams, each
+distinct one once, over the root of their number, which is how the spread of such
+a sum grows with length.  A logistic curve of that
+number, fitted on documents kept out of the counts, is the score.
 
 Training uses a bounded sample: of each class the ``max_documents`` distinct
 texts of smallest hash, every fifth of them for the curve.  The counts of so many
 texts bound what the driver gathers and broadcasts.  Scoring reads every text.
 
 Cases: null and empty texts, and texts without words, are scored by the curve at
-evidence 0; label rows with a null id or label, or with labels that contradict
+evidence 0; equal texts, repeated rows too, get equal scores, a row each, and train
+as one; a very long text is scored whole; ties of the sample's hash go to the smaller
+id; an empty document table gives an empty result; label rows with a null id or label, or with labels that contradict
 each other, do not train; without labels of both classes every score is the
 share of toxic labels (0 without labels).
 """
@@ -50,11 +54,11 @@ class Model:
 
     words: np.ndarray
     word: np.ndarray  # (2, V) P_c(w)
+    unknown: np.ndarray  # (2,) P_c of any other word
     contexts: np.ndarray
     context: np.ndarray  # (H,) weight of the backoff
     pairs: np.ndarray
     pair: np.ndarray  # (2, B) P_c(w|h) above the backoff
-    unknown: float
     curve: np.ndarray
     prior: float
 
@@ -140,7 +144,7 @@ SPREAD = 3.0
 
 
 def _merge(block: pa.Table) -> pa.Table:
-    """Of one bucket: words, bigrams and contexts that two documents hold, with the counts of both classes."""
+    """Of one bucket: words, bigrams and contexts that two documents hold, with the counts of both classes; and in how many of its contexts each word stands."""
     toxic = np.asarray(block["toxic"].to_pylist())
     raw = [[np.frombuffer(x, dtype) for x in block[c].to_pylist()] for c, dtype in (("before", U64), ("word", U64), ("n", np.int64))]
     sides = []
@@ -166,6 +170,10 @@ def _merge(block: pa.Table) -> pa.Table:
                 out[name].pop()
 
     own = before == NO_WORD
+    follower, contexts = np.unique(word[~own], return_counts=True)
+    out["kind"].append("reach")
+    for name, v in zip(list(out)[1:], (follower, follower, contexts.astype(np.float64), contexts.astype(np.float64), contexts.astype(np.float64))):
+        out[name].append(v.tobytes())
     add("word", word[own], word[own], both[:, own], np.ones(int(own.sum())))
     add("pair", keys[~own], before[~own], both[:, ~own], np.ones(int((~own).sum())))
     h, at = np.unique(before[~own], return_inverse=True)
@@ -197,8 +205,23 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _features(evidence: np.ndarray, n: np.ndarray) -> np.ndarray:
-    n = np.maximum(n, 1)
-    return np.stack([np.ones(len(n)), 10 * evidence / n, evidence / np.sqrt(n), np.clip(evidence, -20, 20) / 4, np.log(n) / 4], axis=1)
+    return np.stack([np.ones(len(n)), evidence / np.sqrt(np.maximum(n, 1))], axis=1)
+
+
+def _shared(reach: list) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sorted words, their shared lower-order probability, and that of any other word."""
+    keys, counts = (np.concatenate([np.frombuffer(r[c], t) for r in reach] or [np.zeros(0, t)]) for c, t in (("key", U64), ("a", float)))
+    words, at = np.unique(keys, return_inverse=True)
+    contexts = np.bincount(at, counts, len(words))
+    once, twice = (contexts == 1).sum(), (contexts == 2).sum()
+    discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
+    rest = discount * len(words) / max(contexts.sum(), 1) / (len(words) + 1)
+    return words, np.maximum(contexts - discount, 0) / max(contexts.sum(), 1) + rest, rest
+
+
+def _share_factor(excess: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """(2, n): what each class makes of a shared estimate, given toxic's excess over what each expects."""
+    return np.maximum(1 + np.stack([-excess, excess]) / np.maximum(expected, 1e-12), 1e-3)
 
 
 def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -230,7 +253,7 @@ def evidence(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
         return np.zeros(len(counts)), counts
     types, which = np.unique(words, return_inverse=True)
     at, known = _found(model.words, types)
-    p = np.where(known, model.word[:, at], model.unknown)[:, which]
+    p = np.where(known, model.word[:, at], model.unknown[:, None])[:, which]
     contexts, which = np.unique(before, return_inverse=True)
     at, known = _found(model.contexts, contexts)
     backoff = (np.where(known, model.context[at], 1.0) if len(model.contexts) else np.ones(len(contexts)))[which]
@@ -269,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total = sum(r["all"] for r in shares.values())
     prior = shares[1]["all"] / total if 1 in shares else 0.0
     none = np.zeros(0, U64)
-    empty = Model(none, np.zeros((2, 0)), none, np.zeros(0), none, np.zeros((2, 0)), 1.0, np.zeros(0), prior)
+    empty = Model(none, np.zeros((2, 0)), np.ones(2), none, np.zeros(0), none, np.zeros((2, 0)), np.zeros(0), prior)
     if len(shares) < 2:
         return empty
     picked = None
@@ -281,7 +304,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     p = partitions(docs, 256 << 20)
     blocks = texts.where("not curve").select("toxic", "text").mapInArrow(_count(4 * p), "bucket int, toxic int, before binary, word binary, n binary")
     counted = blocks.repartition(p, "bucket").groupBy("bucket").applyInArrow(_merge, "kind string, key binary, of binary, a binary, b binary, types binary")
-    rows: dict[str, list] = {"pair": [], "context": [], "word": [], "rest": []}
+    rows: dict[str, list] = {"pair": [], "context": [], "word": [], "rest": [], "reach": []}
     for r in counted.collect():
         rows[r["kind"]].append(r)
     words, _, n, _ = _gathered(rows["word"])
@@ -290,8 +313,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     totals = n.sum(axis=1) + _gathered(rows["rest"])[2].sum(axis=1)
     share = totals[1] / totals.sum()
     x = _excess(n, share)
-    shared_p = n.sum(axis=0) / totals.sum()
-    word = np.maximum(shared_p + np.stack([-x, x]) / np.maximum(totals, 1)[:, None], shared_p * 1e-3)
+    factor = _share_factor(x, totals[:, None] * n.sum(axis=0) / totals.sum())
+    every, lower, rest = _shared(rows["reach"])
+    at, _ = _found(every, words)
+    # Each class's words, the unchanged ones and any other word included, sum to one.
+    whole = 1 + ((factor - 1) * lower[at]).sum(axis=1)
+    word = factor * lower[at] / whole[:, None]
     total = h.sum(axis=0)
     at, _ = _found(contexts, of)
     # A context holds its bigrams' counts, so each bigram that two documents hold has its context among the kept.
@@ -299,7 +326,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     x = _excess(m, share)
     above = np.maximum(m.sum(axis=0) - 1, 0) / total[at]
     pair = np.maximum(above + np.stack([-x, x]) / np.maximum(h[:, at], 1), above * 1e-3)
-    model = Model(words, word, contexts, followers / total, pairs, pair, 1 / totals.sum(), np.zeros(0), prior)
+    model = Model(words, word, rest / whole, contexts, followers / total, pairs, pair, np.zeros(0), prior)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held = texts.where("curve").select("toxic", "text").mapInArrow(_scorer(shared, 1, True), "toxic int, evidence double, n long").collect()
     if {r["toxic"] for r in held} == {0, 1}:
