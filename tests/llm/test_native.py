@@ -112,6 +112,65 @@ def test_pii_terms_and_sanitising(spark, none):
     assert P.find(none).count() == 0
 
 
+def terms_by_hand(texts):
+    """Disclosing terms counted in plain Python."""
+    import math
+
+    word = re.compile(P.WORD)
+    words = lambda t: {w for w in word.findall(t.lower()) if len(w) >= 3 and re.search("[^0-9]", w)}
+    near, held, total = set(), {}, 0
+    for t in texts:
+        lines = [] if t is None else t.split("\n")
+        total += len(lines)
+        for i, line in enumerate(lines):
+            held.setdefault(line, words(line))
+            for a, _, b, kind in base(line):
+                above = lines[i - 1][-P.REACH :] if i else ""
+                below = lines[i + 1][: P.REACH] if i + 1 < len(lines) else ""
+                before, after = f"{above} {line[max(a - P.REACH, 0) : a]}", f"{line[b : b + P.REACH]} {below}"
+                near.add((f"{kind}:{line[a:b]}", f"{before[-P.REACH :]} {after[: P.REACH]}"))
+    met, of = {}, {}
+    for e, around in near:
+        of[e] = of.get(e, 0) + 1
+        for w in words(around):
+            met[w, e] = met.get((w, e), 0) + 1
+    out = {}
+    for (w, e), n in met.items():
+        if n >= P.SUPPORT:
+            c = sum(w in x for x in held.values())
+            if c and (share := min(n / c, 1)) >= P.DISCLOSURE and math.log2(share * total / of[e]) >= P.BITS:
+                out[w, e] = (n, c)
+    return out
+
+
+def test_pii_terms_against_plain_python(spark):
+    rng = random.Random(12)
+    names, mails = ["Marisol Vega", "Oskar Lind", "Tui Aroha"], ["mv@corp.example.com", "+44 20 7946 0018", "10.20.30.40"]
+    texts = [None, ""]
+    for i in range(240):
+        rows = ["plain " + " ".join(rng.choice("stone river cloud paper winter light".split()) for _ in range(8)) for _ in range(rng.randint(1, 4))]
+        if i % 6 == 0:
+            k = rng.randrange(3)
+            rows[rng.randrange(len(rows)) : 0] = [f"{names[k]} {i}", f"write to {mails[k]} soon"] if i % 12 else [f"{names[k]}, item {i}, at {mails[k]}"]
+        texts.append("\n".join(rows))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = terms_by_hand(texts)
+    assert {(r.term, r.entity): (r.met, r.held) for r in P.disclosing_terms(df).collect()} == want and {"marisol", "lind", "aroha"} <= {w for w, _ in want}
+    terms = {w for w, _ in want}
+    for r in P.find(df).select("doc_id", "spans").collect():
+        t, own = texts[r.doc_id] or "", [tuple(x) for x in r.spans]
+        based = base(t)
+        hits = [(m.start(), 4, m.end(), "term") for m in re.finditer(P.WORD, t) if m.group().lower() in terms]
+        assert own == sorted(based + [h for h in hits if not any(a < h[2] and h[0] < b for a, _, b, _ in based)])
+
+
+def test_many_matches_in_one_text(spark):
+    text = "a@b.c 1.2.3.4 " * 20_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = df.select(P.base_spans(F.col("text")).alias("b")).first().b
+    assert len(got) == 40_000 and tuple(got[-1]) == (len(text) - 8, 1, len(text) - 1, "ip")
+
+
 def test_pii_digest(spark, texts):
     df = spark.createDataFrame(texts, "doc_id long, text string")
     got = sorted(r[0] for r in P.find(df).select(F.sha2(P.listed(F.col("base")), 256)).collect())

@@ -2,22 +2,26 @@
 
 E-mail and IP addresses, card and telephone numbers are the protected entities.
 Around each entity the corpus is read for terms: a term and an entity meet once
-for every distinct line that holds the term within REACH code points of the
-entity, so copies of a line count once.  For terms that meet one entity at least
-SUPPORT times, the distinct lines of the whole corpus that hold the term are counted.
-A term t discloses an entity e if P(e|t) = c(t,e) / c(t) reaches DISCLOSURE and
-the information gained, log2 of P(e|t) / P(e), reaches BITS (P(e) = c(e) / lines).
-Every occurrence of such a term is a span too; sanitised() generalises
-entities to their kind and removes disclosing terms.
+for every distinct window that holds both.  A window reaches REACH code points to
+both sides of the entity, over the ends of its line into the lines beside it; copies
+of one count once.  For terms that meet one entity at least SUPPORT times, the
+distinct lines of the whole corpus that hold the term are counted.
+A term t discloses an entity e if P(e|t) = c(t,e) / c(t), at most 1, reaches
+DISCLOSURE and the information gained, log2 of P(e|t) / P(e), reaches BITS (P(e) is
+the share of the corpus's lines that hold windows of e).  Every occurrence of such
+a term is a span too; sanitised() generalises entities to their kind and removes
+disclosing terms.
 
 Positions come from the pieces between the matches: split() and
-regexp_extract_all() see the same matches, so sums of lengths are offsets.  The
-patterns are written with possessive quantifiers and start only where a leftmost
-match can start; they find the same matches and stay linear on long runs.
+regexp_extract_all() see the same matches, so running sums of lengths are offsets.
+The sums are taken BLOCK pieces at a time, so a text of many matches costs in
+proportion to them.  The patterns are written with possessive quantifiers and start
+only where a leftmost match can start; they find the same matches and stay linear on
+long runs.
 
 Cases: a null or empty text has no spans; repeated rows give equal results; a
-text of one kind of sign, of any length, is read once; null ids stand for
-themselves.
+text of one kind of sign, of any length, is read once; spans that start alike are
+ordered by kind; null ids stand for themselves; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ SUPPORT = 3
 DISCLOSURE = 0.5
 BITS = 4.0
 BROADCAST_TERMS = 200_000
+BLOCK = 256
 #: Kinds in the order of the result.
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = "A-Za-z0-9._%+-"
@@ -79,24 +84,43 @@ def _span(start: Column, end: Column, kind: str) -> Column:
     return F.struct(start.cast("int").alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.cast("int").alias("end"), F.lit(kind).alias("kind"))
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def running(sizes: Column) -> Column:
+    """Of each of the sizes, the sum of those before it."""
+
+    def sums(block: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(block, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    def joined(blocks: Column) -> Column:
+        before = sums(F.transform(blocks, lambda b: b["at"]))["out"]
+        return F.flatten(F.zip_with(blocks, before, lambda b, at: F.transform(b["out"], lambda x: x + at)))
+
+    def cut(s: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)), F.lit(BLOCK)), lambda i: sums(F.slice(s, i + 1, F.lit(BLOCK))))
+
+    return _let(sizes, lambda s: _let(cut(s), joined))
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """Sorted spans of one kind in a text that is not null."""
     pattern = F.lit(PATTERNS[kind])
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     between = F.split(text, PATTERNS[kind], -1)
-    zipped = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("n"), _valid(kind, m).alias("ok")))
-    start = F.struct(F.lit(0).alias("at"), _no_spans().alias("out"))
+    zipped = _let(matches, lambda m: F.zip_with(F.slice(between, F.lit(1), F.size(m)), m, lambda b, x: F.struct(F.length(b).alias("b"), F.length(x).alias("n"), _valid(kind, x).alias("ok"))))
 
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + x["b"]
-        end = begin + x["n"]
-        return F.struct(end.alias("at"), F.when(x["ok"], F.concat(a["out"], F.array(_span(begin, end, kind)))).otherwise(a["out"]).alias("out"))
+    def placed(z: Column) -> Column:
+        starts = running(F.transform(z, lambda x: x["b"] + x["n"]))
+        return F.filter(F.zip_with(z, starts, lambda x, at: F.when(x["ok"], _span(at + x["b"], at + x["b"] + x["n"], kind))), lambda s: s.isNotNull())
 
-    found = F.aggregate(zipped, start, step, lambda a: a["out"])
     some = text.rlike(PATTERNS[kind])
     if kind in ("email", "phone"):
         some = F.contains(text, F.lit("@" if kind == "email" else "+")) & some
-    return F.when(some, found).otherwise(_no_spans())
+    return F.when(some, _let(zipped, placed)).otherwise(_no_spans())
 
 
 def base_spans(text: Column) -> Column:
@@ -123,13 +147,19 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE, bits: float = BITS) -> DataFrame:
     """term, entity, met (c(t,e)), held (c(t)), disclosure and bits of all terms over the thresholds."""
     text = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
-    lines = text.where(_may_hold(F.col("text"))).select(F.explode_outer(F.split("text", "\n", -1)).alias("line")).where(_may_hold(F.col("line")))
-    found = lines.select("line", F.xxhash64("line").alias("of"), base_spans(F.col("line")).alias("spans")).select("line", "of", F.explode("spans").alias("s"))
-    near = found.select(
-        "of",
-        F.concat(F.col("s.kind"), F.lit(":"), F.substring("line", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))).alias("entity"),
-        F.concat_ws(" ", F.substring("line", F.greatest(F.col("s.start") - REACH, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(REACH))), F.substring("line", F.col("s.end") + 1, F.lit(REACH))).alias("around"),
-    ).distinct()
+    # A line with what is near of the lines beside it.
+    beside = lambda x, i, lines: F.struct(F.right(F.coalesce(F.get(lines, i - 1), F.lit("")), F.lit(REACH)).alias("above"), x.alias("line"), F.substring(F.coalesce(F.get(lines, i + 1), F.lit("")), 1, REACH).alias("below"))
+    triples = _let(F.split("text", "\n", -1), lambda lines: F.filter(F.transform(lines, lambda x, i: F.when(_may_hold(x), beside(x, i, lines))), lambda t: t.isNotNull()))
+    lines = text.where(_may_hold(F.col("text"))).select(F.inline(triples))
+
+    def window(s: Column) -> Column:
+        before = F.concat_ws(" ", F.col("above"), F.substring("line", F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH))))
+        after = F.concat_ws(" ", F.substring("line", s["end"] + 1, F.lit(REACH)), F.col("below"))
+        entity = F.concat(s["kind"], F.lit(":"), F.substring("line", s["start"] + 1, s["end"] - s["start"]))
+        return F.struct(entity.alias("entity"), F.concat_ws(" ", F.right(before, F.lit(REACH)), F.substring(after, 1, REACH)).alias("around"))
+
+    spans = lines.select("above", "line", "below", base_spans(F.col("line")).alias("spans"))
+    near = spans.select(F.inline(F.transform("spans", window))).distinct().select("entity", "around", F.xxhash64("entity", "around").alias("of"))
     near = keep(near)
     met = near.select("of", "entity", F.explode(_terms(F.col("around"))).alias("term")).distinct().groupBy("term", "entity").agg(F.count("*").alias("met")).where(F.col("met") >= support)
     met = keep(met)
@@ -142,7 +172,7 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUP
     held = words.join(_small(terms, n), "term").distinct().groupBy("term").agg(F.count("*").alias("held"))
     total = text.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0]
     of_entity = near.select("entity", "of").distinct().groupBy("entity").agg(F.count("*").alias("lines"))
-    rated = met.join(held, "term").join(of_entity, "entity").withColumn("disclosure", F.col("met") / F.col("held"))
+    rated = met.join(held, "term").join(of_entity, "entity").withColumn("disclosure", F.least(F.col("met") / F.col("held"), F.lit(1.0)))
     rated = rated.withColumn("bits", F.log2(F.col("disclosure") * F.lit(float(total)) / F.col("lines")))
     return keep(rated.where((F.col("disclosure") >= disclosure) & (F.col("bits") >= bits)).select("term", "entity", "met", "held", "disclosure", "bits"))
 
@@ -153,17 +183,12 @@ def term_spans(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) ->
     n = terms.count()
     if not n:
         return None
-    pieces = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("of"), F.split(text_col, WORD, -1).alias("gaps"), F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)).alias("words")
-    )
-    placed = pieces.select("doc", "of", "gaps", "words", F.posexplode_outer("words").alias("i", "word")).where(F.col("word").isNotNull()).withColumn("term", F.lower("word"))
-    hit = placed.join(_small(terms, n), "term")
-
-    def lengths(c: str, k: Column) -> Column:
-        return F.aggregate(F.slice(F.col(c), F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x))
-
-    start = lengths("gaps", F.col("i") + 1) + lengths("words", F.col("i"))
-    spans = hit.select("doc", "of", _span(start, start + F.length("word"), "term").alias("s"))
+    found = _let(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), lambda words: _let(
+        F.zip_with(F.slice(F.split(text_col, WORD, -1), F.lit(1), F.size(words)), words, lambda g, w: F.struct(F.length(g).alias("gap"), w.alias("word"))),
+        lambda z: F.zip_with(z, running(F.transform(z, lambda x: x["gap"] + F.length(x["word"]))), lambda x, at: F.struct((at + x["gap"]).alias("start"), x["word"].alias("word"))),
+    ))
+    placed = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("of"), F.inline_outer(found)).where(F.col("word").isNotNull()).withColumn("term", F.lower("word"))
+    spans = placed.join(_small(terms, n), "term").select("doc", "of", _span(F.col("start"), F.col("start") + F.length("word"), "term").alias("s"))
     return spans.groupBy("doc", "of").agg(F.collect_set("s").alias("terms"))
 
 
@@ -182,15 +207,18 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
 
 def sanitised(text: Column, spans: Column) -> Column:
     """The text with entities generalised to their kind and disclosing terms removed; overlapping spans go as one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
-        put = F.when(s["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        fresh = s["start"] >= a["at"]
-        out = F.when(fresh, F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), put)).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
+        fresh = F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), s["start"].alias("end"), s["kind"].alias("kind"))))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], fresh).otherwise(a["out"]).alias("out"))
+
+    def put(k: Column) -> Column:
+        """What is kept before a span, and what stands for it."""
+        mark = F.when(k["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(k["kind"]), F.lit("]")))
+        return F.concat(F.substring(text, k["start"] + 1, k["end"] - k["start"]), mark)
 
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return _let(F.aggregate(spans, start, step), lambda a: F.concat(F.array_join(F.transform(a["out"], put), ""), F.substring(text, a["at"] + 1, F.length(text))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -200,4 +228,5 @@ def query(spark, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [of_kind(k) for k in PATTERNS]
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    clean = F.sha2(sanitised(F.coalesce("text", F.lit("")), F.col("spans")), 256).alias("sanitised_sha256")
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), clean)
