@@ -40,6 +40,27 @@ def test_against_the_library(reference):
         assert B.decode(B.load(PATH), np.array(ids, np.int64)) == reference.decode(ids, skip_special_tokens=False) == t
 
 
+def test_streams_give_the_tokens_of_the_whole(reference):
+    """Windows of a few dozen bytes over texts with runs of all kinds, contractions, special tokens and pieces longer than a window."""
+    b, rng = B.load(PATH), random.Random(9)
+    parts = [*"abest '\n\t12é.!-— 　中😀", "'ll", " 're", "'s", "<|endoftext|>", "<|endof", "the ", "    ", "=" * 70 + "'s", "x" * 150, "é" * 90, " " * 130, "7" * 111, "don't", "''ve"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    for t, want in zip(texts, reference.encode_batch(texts, add_special_tokens=False)):
+        data = np.frombuffer(t.encode(), np.uint8)
+        got = [i for part in b.stream(data, rng.choice([40, 64, 100])) for i in part.tolist()]
+        assert got == want.ids, t
+
+
+def test_a_long_text_is_streamed(spark, reference):
+    """Longer than a chunk: the digests are those of the whole."""
+    t = ("word " * 1000 + "x" * 3000 + " é😀\n") * 300
+    assert len(t.encode()) > B.CHUNK
+    want = reference.encode(t, add_special_tokens=False).ids
+    r = B.encode(spark.createDataFrame([(1, t)], "doc_id long, text string"), PATH, want=("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")).first()
+    assert r.n_tokens == len(want) and r.ids == want and r.decoded == t
+    assert r.ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
 def test_windows_give_the_tokens_of_the_whole():
     b, rng = B.load(PATH), random.Random(2)
     for _ in range(10):

@@ -13,7 +13,8 @@ until then both ways of reading on agree on the left; so
 in order of rank, and the lookahead is the largest best.  A token that ends that
 many bytes before the end of the buffer is final.  WindowEncoder reads a piece of
 any length in windows of that size plus a constant and emits tokens once they are
-final, so its memory is constant.  Pieces (the byte-level pattern's words, numbers,
+final, so its memory is constant.  A text longer than CHUNK is read a window at a
+time (stream), and its tokens go on to digests and decoder as they come.  Pieces (the byte-level pattern's words, numbers,
 signs and blanks) of at most SHORT bytes are merged many at a time in numpy, one
 merge a piece and round; a bounded cache holds the tokens of recent pieces.
 Decoding looks up each token's bytes and passes them, block by block, to an
@@ -23,7 +24,9 @@ Special tokens in a text are tokens of their own, as the tokenizers library has
 it; the file's truncation and padding are not used.
 
 Cases: a null or empty text has no tokens; texts of any length are read whole,
-several windows if need be; repeated rows give equal results.
+several windows if need be; repeated rows give equal results, a row each; null ids
+are carried like others; of merges of equal rank the leftmost is done first, as the
+library does; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,6 +54,8 @@ CHUNK = 2 << 20
 WINDOW = 4096
 NONE = 1 << 30
 BLOCK_TOKENS = 1 << 16
+#: Bytes after a piece that decide where it ends: two characters at most.
+MARGIN = 16
 
 LETTER, NUMBER, BLANK, OTHER = 0, 1, 2, 3
 #: The code points with the property White_Space.
@@ -239,11 +244,8 @@ class BPE:
     def _cache_reset(self) -> None:
         self.keys, self.at, self.size, self.flat = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def encode_chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of the texts of a chunk: (flat tokens, tokens per text)."""
-        texts = len(offsets) - 1
-        if not len(data):
-            return np.zeros(0, np.int64), np.zeros(texts, np.int64)
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+        """Where the pieces of the texts start, and the places and ids of special tokens, which are pieces of their own."""
         raw = data.tobytes()
         border = np.zeros(len(data) + 1, bool)
         border[offsets] = True
@@ -262,7 +264,70 @@ class BPE:
             for s, i in zip(special_at, special_id):
                 inside[s + 1 : s + len(self.bytes[i])] = True
             starts = starts[~inside[starts]]
-        ends = np.append(starts[1:], len(data))
+        return starts, special_at, special_id
+
+    def encode_chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the texts of a chunk: (flat tokens, tokens per text)."""
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
+        starts, special_at, special_id = self._pieces(data, offsets)
+        tokens, until = self._encode_pieces(data, starts, len(data), special_at, special_id)
+        return tokens, np.diff(until[np.searchsorted(starts, offsets)])
+
+    def stream(self, data: np.ndarray, window: int | None = None) -> Iterator[np.ndarray]:
+        """Tokens of one text of any length, a window of it at a time.
+
+        A piece's end is decided by what follows it, so pieces count as read only if MARGIN
+        bytes of the window come after their end; the rest is read again with the next
+        window.  A piece longer than that goes through the transducer as it comes, with one
+        character of it kept before the next window, so that it is known for the same piece.
+        """
+        window, at, long, kept = window or CHUNK, 0, None, 0
+        margin = max([MARGIN, *(len(t.encode()) for t in self.special)])
+        while at < len(data):
+            end = min(at + kept + window, len(data))
+            while end < len(data) and data[end] & 0xC0 == 0x80:
+                end -= 1
+            own = data[at:end]
+            starts, special_at, special_id = self._pieces(own, np.array([0, len(own)]))
+            sure = len(own) if end == len(data) else len(own) - margin
+            lo = 0
+            if long is not None:
+                follows = starts[1] if len(starts) > 1 else len(own)
+                lo = int(follows) if follows <= sure or end == len(data) else max(sure, kept)
+                while lo < len(own) and own[lo] & 0xC0 == 0x80:
+                    lo -= 1
+                yield np.fromiter(long.feed(own[kept:lo].tobytes()), np.int64)
+                if follows > sure and end < len(data):
+                    kept = _last_character(own, lo)
+                    at += lo - kept
+                    continue
+                yield np.fromiter(long.finish(), np.int64)
+                long, kept = None, 0
+            whole = starts[(starts >= lo) & (starts <= sure)]
+            cut = len(own) if end == len(data) else int(whole[-1]) if len(whole) else lo
+            if cut > lo:
+                some = [k for k, s in enumerate(special_at) if lo <= s < cut]
+                yield self._encode_pieces(own, whole[whole < cut], cut, [special_at[k] for k in some], [special_id[k] for k in some])[0]
+                at += cut
+            elif lo:
+                at += lo
+            else:
+                # The window's first piece goes on beyond it.
+                long, upto = WindowEncoder(self), sure
+                while own[upto] & 0xC0 == 0x80:
+                    upto -= 1
+                yield np.fromiter(long.feed(own[:upto].tobytes()), np.int64)
+                kept = _last_character(own, upto)
+                at += upto - kept
+        if long is not None:
+            yield np.fromiter(long.finish(), np.int64)
+
+    def _encode_pieces(self, data: np.ndarray, starts: np.ndarray, end: int, special_at: list[int], special_id: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the pieces that start at starts, the last one until end, and how many there are before each piece and in all."""
+        if not len(starts):
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        ends = np.append(starts[1:], end)
         hashes = K.mix(K.span_hashes(data, starts, ends) + (ends - starts).astype(U64))
         types, some, which = np.unique(hashes, return_index=True, return_inverse=True)
         at, size = self._lookup(types, data, starts[some], ends[some])
@@ -279,8 +344,7 @@ class BPE:
         tokens = self.flat[np.repeat(at_all - (ends_of - size_all), size_all) + np.arange(int(ends_of[-1]))]
         if special_at:
             self.flat = self.flat[:n]
-        until = np.concatenate([[0], ends_of])[np.searchsorted(starts, offsets)]
-        return tokens, np.diff(until)
+        return tokens, np.concatenate([[0], ends_of])
 
     def _lookup(self, types: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in self.flat the tokens of each distinct piece stand, and how many; new ones are merged first."""
@@ -318,6 +382,14 @@ class BPE:
         return self.token_bytes[np.repeat(self.token_start[tokens] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
 
 
+def _last_character(data: np.ndarray, end: int) -> int:
+    """Bytes of the character that ends there."""
+    n = 1
+    while n < end and data[end - n] & 0xC0 == 0x80:
+        n += 1
+    return n
+
+
 class WindowEncoder:
     """Tokens of one piece of any length, in constant memory: feed() gives those that are final so far."""
 
@@ -364,6 +436,35 @@ def decode(bpe: BPE, tokens: np.ndarray) -> str:
     return "".join([*(d.feed(tokens[i : i + BLOCK_TOKENS]) for i in range(0, len(tokens), BLOCK_TOKENS)), d.finish()])
 
 
+class Result:
+    """What is wanted of one text, from its tokens as they come: both digests are fed token block by token block, and no text or id list is held that is not asked for."""
+
+    def __init__(self, want: tuple[str, ...], bpe: BPE, parts: Iterable[np.ndarray]):
+        self.n, ids, texts = 0, [], []
+        of_ids, of_text, decoder = hashlib.sha256(), hashlib.sha256(), Decoder(bpe)
+        decodes = "decoded" in want or "decoded_sha256" in want
+
+        def said(text: str) -> None:
+            of_text.update(text.encode())
+            if "decoded" in want:
+                texts.append(text)
+
+        for tokens in parts:
+            self.n += len(tokens)
+            if "ids_sha256" in want:
+                of_ids.update(tokens.astype("<u4").tobytes())
+            if "ids" in want:
+                ids.append(tokens)
+            for i in range(0, len(tokens), BLOCK_TOKENS) if decodes else ():
+                said(decoder.feed(tokens[i : i + BLOCK_TOKENS]))
+        if decodes:
+            said(decoder.finish())
+        self._of = {"ids": lambda: np.concatenate(ids or [np.zeros(0, np.int64)]), "decoded": lambda: "".join(texts), "n_tokens": lambda: self.n, "ids_sha256": of_ids.hexdigest, "decoded_sha256": of_text.hexdigest}
+
+    def of(self, what: str):
+        return self._of[what]()
+
+
 _loaded: dict[str, BPE] = {}
 
 
@@ -385,17 +486,14 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", carry: tuple[str,
         bpe = load(path)
         for batch in batches:
             for lo, hi, data, offsets in K.chunks(batch.column(k), CHUNK):
-                tokens, counts = bpe.encode_chunk(data, offsets)
-                out: dict[str, list] = {w: [] for w in want}
-                end = 0
-                for n in counts.tolist():
-                    own = tokens[end : end + n]
-                    end += n
-                    text = decode(bpe, own) if "decoded" in out or "decoded_sha256" in out else ""
-                    for w, values in out.items():
-                        values.append(own if w == "ids" else text if w == "decoded" else n if w == "n_tokens" else hashlib.sha256(own.astype("<u4").tobytes() if w == "ids_sha256" else text.encode()).hexdigest())
+                if len(data) > CHUNK:  # one long text
+                    results = [Result(want, bpe, bpe.stream(data))]
+                else:
+                    tokens, counts = bpe.encode_chunk(data, offsets)
+                    cuts = np.cumsum(counts)
+                    results = [Result(want, bpe, [tokens[e - n : e]]) for e, n in zip(cuts.tolist(), counts.tolist())]
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns[:k], *(pa.array(v, kinds[w][1]) for w, v in out.items())], names=[*batch.schema.names[:k], *want])
+                yield pa.RecordBatch.from_arrays([*part.columns[:k], *(pa.array([r.of(w) for r in results], kinds[w][1]) for w in want)], names=[*batch.schema.names[:k], *want])
 
     ddl = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), *(f"{w} {kinds[w][0]}" for w in want)])
     return docs.select(*carry, F.col(text_col).alias("text_")).mapInArrow(run, ddl)
