@@ -58,3 +58,9 @@ def test_blocks_change_nothing(spark, docs, texts, items, monkeypatch):
 def test_empty(spark, docs, none, texts):
     assert run(spark, docs, []) == brute(texts, [])
     assert run(spark, none, [(1, "a b c")]) == []
+
+
+def test_ids_of_items_may_be_texts(spark, docs, texts):
+    items = [("b-2", " ".join(dict(texts)[200].split()[:9])), ("b-10", " ".join(dict(texts)[200].split()[3:12])), (None, "x y")]
+    got = D.contamination(docs, D.build(docs, spark.createDataFrame(items, "item_id string, text string"))).where("doc_id = 200").first()
+    assert got["items"] == ["b-10", "b-2"]

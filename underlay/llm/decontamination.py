@@ -10,13 +10,18 @@ start; the bounds of the document (length, position) are applied to it and the
 window's words are compared one by one.  Every word within an occurrence is hit.
 
 The benchmark is read in blocks of at most BLOCK_WORDS words, each broadcast on
-its own; a task holds one block's index at a time, so a large benchmark costs
-more broadcasts and no more memory.  Documents never move: there is no shuffle
-of the corpus and a passage that every document holds meets no other in a task.
+its own; a task holds one block's index at a time.  The driver holds all of them
+while it builds, about 100 bytes for a word of the benchmark: this is the bound of
+the method as it is, and it grows with the benchmark, never with the corpus.
+Documents never move: there is no shuffle of the corpus and a passage that every
+document holds meets no other in a task.  Words are told by 64-bit hashes; each
+word of a window is compared, so a false hit needs a collision in place.
 
 Cases: null, empty and word-free texts have no words and no hits; null, empty and
 word-free items have no windows; repeated item ids count once; windows shared by
-items count for each; an empty benchmark hits nothing.
+items count for each; an empty benchmark hits nothing; repeated document rows give
+equal results, a row each; a very long text is one chunk and read whole; windows of
+equal rarity are indexed by their first shingle; ids of items may be texts.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from . import kernel as K
 from .common import table
@@ -45,11 +52,19 @@ class Block:
 
     words: np.ndarray
     lengths: np.ndarray
-    items: list[list[int]]
+    items: list[list]
     #: (shingle length, sorted prefix shingles, first of each one's windows, windows, offsets within)
     index: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
+@dataclass
+class Index:
+    """Broadcast blocks, and the type of item ids."""
+
+    blocks: list[Broadcast]
+    item_type: DataType
+
+
 def _shingles(hashes: np.ndarray, q: int) -> np.ndarray:
     """Rolling shingles of q words at every place, also over borders of documents."""
     total = max(len(hashes) - q + 1, 0)
@@ -59,7 +74,7 @@ def _shingles(hashes: np.ndarray, q: int) -> np.ndarray:
     return K.mix(out)
 
 
-def make_block(items: list[tuple[int, str]], window: int) -> Block:
+def make_block(items: list[tuple], window: int) -> Block:
     seen: dict[bytes, int] = {}
     words, lengths, owners = [], [], []
     w = K.words(*_joined([t for _, t in items]), K.NON_ALNUM)
@@ -128,12 +143,13 @@ def _members(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return some[hit], at[hit]
 
 
-def build(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> list[Broadcast]:
-    """Broadcast blocks of windows, each indexed by its rarest shingle in docs."""
+def build(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> Index:
+    """Broadcast blocks of windows, each indexed by its rarest shingle in docs.  Item ids may be of any type that can be sorted."""
+    item_type = benchmark.schema[item_col].dataType
     spark = docs.sparkSession
     sc = spark.sparkContext
     blocks: list[Block] = []
-    held: list[tuple[int, str]] = []
+    held: list[tuple] = []
     words = 0
     rows = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).distinct()
     for r in rows.toLocalIterator():
@@ -146,7 +162,7 @@ def build(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
         blocks.append(make_block(held, window))
     blocks = [b for b in blocks if len(b.words)]
     if not blocks:
-        return []
+        return Index([], item_type)
     places = [list(_places(b)) for b in blocks]
     wanted = [[(q, np.unique(np.concatenate([s.ravel() for p, _, s in own if p == q]))) for q in sorted({p for p, _, _ in own})] for own in places]
     counted = docs.select(text_col).mapInArrow(_counter([sc.broadcast(w) for w in wanted]), "block int, at long, n long").groupBy("block", "at").agg(F.sum("n").alias("n"))
@@ -169,7 +185,7 @@ def build(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
             order = np.argsort(prefix, kind="stable")
             heads, first = np.unique(prefix[order], return_index=True)
             block.index.append((q, heads, np.append(first, len(order)), windows[order], offset[order]))
-    return [sc.broadcast(b) for b in blocks]
+    return Index([sc.broadcast(b) for b in blocks], item_type)
 
 
 def occurrences(block: Block, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -197,9 +213,9 @@ def occurrences(block: Block, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found_windows), np.concatenate(found_starts)
 
 
-def contamination(docs: DataFrame, blocks: list[Broadcast], text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def contamination(docs: DataFrame, index: Index, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """carry columns of docs, n_words, n_hit, and items, the sorted ids of the items that occur."""
-    k = len(carry)
+    k, blocks, of_items = len(carry), index.blocks, to_arrow_type(index.item_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,9 +245,9 @@ def contamination(docs: DataFrame, blocks: list[Broadcast], text_col: str = "tex
                 n_hit.append(np.diff(hit))
                 items += [sorted(x) for x in own]
             new = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (n_words, n_hit)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], *new, pa.array(items, pa.list_(pa.int64()))], names=[*batch.schema.names[:k], "n_words", "n_hit", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], *new, pa.array(items, pa.list_(of_items))], names=[*batch.schema.names[:k], "n_words", "n_hit", "items"])
 
-    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + ", n_words long, n_hit long, items array<long>"
+    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + f", n_words long, n_hit long, items array<{index.item_type.simpleString()}>"
     return docs.select(*carry, F.col(text_col).alias("text_")).mapInArrow(run, ddl)
 
 
