@@ -63,7 +63,7 @@ FREQUENT = 65_536
 BLOCK_DOCS = 4_096
 #: Records a block before it is sent on: enough for each bucket, few enough that no row of it is large.
 BLOCK_RECORDS = (250_000, 1_000_000)
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 400_000
 CELLS, FINE_CELLS = 128, 512
 TURNS = 2
 TASK_BYTES = 16 << 20
