@@ -61,3 +61,18 @@ def test_estimates_stay_within_the_bound():
     estimate = ((q @ turn) * signs / 8).sum(axis=1) / scalar
     error = A.EPSILON * np.sqrt(1 - scalar**2) / scalar / np.sqrt(63)
     assert (np.abs(estimate - (u * q).sum(axis=1)) <= error).mean() > 0.99
+
+
+def test_popcounts_are_inner_products():
+    """Within the stated bound of the unpacked codes' products, for any number of dimensions."""
+    rng = np.random.default_rng(3)
+    for d in (1, 3, 8, 63, 64, 65, 200):
+        u = A.unit(rng.standard_normal((50, d)))
+        turn = A.rotation(d)
+        bits, scalar = A.encode(u, turn)
+        codes = A.packed(bits)
+        signs = np.where(u @ turn > 0, 1, -1) / np.sqrt(d)
+        assert np.allclose((signs * (u @ turn)).sum(axis=1), scalar)
+        for q in A.unit(rng.standard_normal((5, d))) @ turn:
+            got, bound = A.products(codes, np.bitwise_count(codes).sum(axis=0, dtype=np.int64), q)
+            assert (np.abs(got - signs @ q) <= bound + 1e-9).all() and bound < 0.1

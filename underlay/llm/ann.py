@@ -2,10 +2,15 @@
 
 A vector is normalised, turned by a fixed random rotation, and kept as one bit a
 dimension (the sign) with one correction scalar, <code, vector>.  For a query q
-the inner product with a vector o is estimated as <code, q> / <code, o>; with
-high probability the error stays below
+the inner product with a vector o is estimated as <code, q> / <code, o>.  The query
+is quantised to PLANES bits a dimension, so <code, q> is a sum of popcounts of the
+packed code with the query's bit planes; codes are never unpacked.  With high
+probability the error of the estimate stays below
 
-    EPSILON * sqrt((1 - <code, o>**2) / <code, o>**2) / sqrt(d - 1)
+    (EPSILON * sqrt(1 - <code, o>**2) / sqrt(d - 1) + R) / <code, o>
+
+R, the sum of what quantising took from the query's dimensions over sqrt(d), is no
+estimate but a bound.
 
 A block of vectors is searched with a block of queries: the vectors of largest
 estimates are measured first, which gives a k-th best exact cosine; then every
@@ -19,7 +24,8 @@ fitted, the rotation comes from a fixed seed.
 Cases: null, empty and zero vectors and those with null or non-finite components
 take no part; vectors are compared within one number of dimensions; ties go to the
 smaller id; copies of a vector are all candidates; rows with a null id take no
-part; of rows with one id each is a candidate, except for a query of that id.
+part; of rows with one id each is a candidate, except for a query of that id; very
+long vectors are rows like others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +43,7 @@ BLOCK_QUERIES = 8_192
 BLOCK_VECTORS = 32_768
 SEED = 7
 FIRST = 64
+PLANES = 6
 
 
 def rotation(d: int) -> np.ndarray:
@@ -60,28 +67,45 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1)
 
 
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of packed bytes as (words, rows) of 64 bits."""
+    wide = np.zeros((len(bits), -(-bits.shape[1] // 8) * 8), np.uint8)
+    wide[:, : bits.shape[1]] = bits
+    return np.ascontiguousarray(wide.view(np.uint64).T)
+
+
+def products(codes: np.ndarray, ones: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, float]:
+    """<code, query> of each packed code, from popcounts alone, and how far quantising may have moved any of them."""
+    d, low = len(query), query.min()
+    step = (query.max() - low) / ((1 << PLANES) - 1) or 1.0
+    levels = np.rint((query - low) / step).astype(np.uint8)
+    total = np.zeros(codes.shape[1], np.int64)
+    for b in range(PLANES):
+        plane = packed(np.packbits(levels >> b & 1)[None])
+        total += np.bitwise_count(codes & plane).sum(axis=0, dtype=np.int64) << b
+    chosen = low * ones + step * total
+    return (2 * chosen - (low * d + step * int(levels.sum()))) / np.sqrt(d), float(np.abs(query - (low + step * levels)).sum() / np.sqrt(d))
+
+
 def search(ids: np.ndarray, units: np.ndarray, bits: np.ndarray, scalar: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, cosine) of the k nearest in one block for each query."""
-    d = units.shape[1]
-    signs = (np.unpackbits(bits, axis=1, count=d).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(d))
-    error = epsilon * np.sqrt(np.maximum(1 - scalar**2, 0) / scalar**2) / np.sqrt(max(d - 1, 1)) + 1e-5
+    d, codes = units.shape[1], packed(bits)
+    ones = np.bitwise_count(codes).sum(axis=0, dtype=np.int64)
+    spread = epsilon * np.sqrt(np.maximum(1 - scalar**2, 0)) / np.sqrt(max(d - 1, 1))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    step = max(1, (8 << 20) // max(len(ids), 1))
-    for lo in range(0, len(query_ids), step):
-        turned = (queries[lo : lo + step] @ turn).astype(np.float32)
-        estimates = turned @ signs.T / scalar.astype(np.float32)
-        for i in range(len(turned)):
-            e, q, own = estimates[i], queries[lo + i], query_ids[lo + i]
-            e[ids == own] = -np.inf
-            some = np.argpartition(-e, FIRST)[:FIRST] if len(e) > FIRST else np.arange(len(e))
-            some = some[np.isfinite(e[some])]
+    for own, q in zip(query_ids, queries):
+        inner, rounding = products(codes, ones, q @ turn)
+        e, error = inner / scalar, (spread + rounding) / scalar + 1e-9
+        e[ids == own] = -np.inf
+        some = np.argpartition(-e, FIRST)[:FIRST] if len(e) > FIRST else np.arange(len(e))
+        some = some[np.isfinite(e[some])]
+        exact = cosines(units[some], q)
+        if len(e) > FIRST:
+            least = np.partition(exact, -k)[-k] if len(exact) >= k else -np.inf
+            some = np.flatnonzero((e + error >= least) & np.isfinite(e))
             exact = cosines(units[some], q)
-            if len(e) > FIRST:
-                least = np.partition(exact, -k)[-k] if len(exact) >= k else -np.inf
-                some = np.flatnonzero((e + error >= least) & np.isfinite(e))
-                exact = cosines(units[some], q)
-            best = np.lexsort((ids[some], -exact))[:k]
-            out.append((np.full(len(best), own), ids[some[best]], exact[best]))
+        best = np.lexsort((ids[some], -exact))[:k]
+        out.append((np.full(len(best), own), ids[some[best]], exact[best]))
     return tuple(np.concatenate([x[j] for x in out]) if out else np.zeros(0, t) for j, t in enumerate((np.int64, np.int64, float)))
 
 
