@@ -27,6 +27,13 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder as compressed Parquet and read again: for wide rows of which later steps read some columns."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release(*kept: DataFrame) -> None:
     """Deletes what keep() stored, once nothing needs it, and lets Spark's cleaner take the shuffles that led to it."""
     spark = kept[0].sparkSession

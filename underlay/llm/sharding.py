@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, partitions, rows_of, table
+from .common import keep, partitions, rows_of, stored, table
 
 SHARDS = 24
 BLOCK_ROWS = 250_000
@@ -109,7 +109,7 @@ def _share(draw: Column, parts: int) -> Column:
 def shard(rows: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFrame:
     """rows with two more columns: shard, and slot, which runs from 0 without gaps in each shard."""
     spark = rows.sparkSession
-    drawn = keep(rows.withColumn("draw_", F.xxhash64(F.lit(seed), *rows.columns, F.monotonically_increasing_id())))
+    drawn = stored(rows.withColumn("draw_", F.xxhash64(F.lit(seed), *rows.columns, F.monotonically_increasing_id())), "draws")
     n, p = drawn.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     large = partitions(rows, BLOCK_BYTES)
     blocks = int(min(max(-(-n // BLOCK_ROWS), 4 * p, large), MAX_BLOCKS))
