@@ -32,7 +32,13 @@ def register(name: str, oracle: str | None, *tables: str):
     return wrap
 
 
+def _count(n: str, word: str) -> str:
+    """SQL of a number with its noun."""
+    return f"({n}) || ' {word}' || CASE WHEN ({n}) = 1 THEN '' ELSE 's' END"
+
+
 def shown(df: DataFrame, *more: str) -> DataFrame:
+    more = (*more, *(() if "summary" in more else ("summary",)))
     codes = [F.array_join("codepoints", " ").alias("codepoints")] if "codepoints" in more else []
     return df.select(*BASE, *(c for c in more if c != "codepoints"), *codes)
 
@@ -46,6 +52,7 @@ def shown(df: DataFrame, *more: str) -> DataFrame:
 c AS (SELECT file_id, line, body, unnest(range(1, length(body) + 1)) AS pos FROM l WHERE contains(body, '{C.ZWSP}')),
 h AS (SELECT file_id, line, body, pos, pos - row_number() OVER (PARTITION BY file_id, line ORDER BY pos) AS g FROM c WHERE substr(body, pos, 1) = '{C.ZWSP}')
 SELECT file_id, 'direct' AS basis, replace(body, '{C.ZWSP}', '') AS human_sees, replace(body, '{C.ZWSP}', '⟨U+200B⟩') AS machine_reads,
+  CASE WHEN count(*) = 1 THEN 'ZERO WIDTH SPACE (U+200B), which a reader cannot see' ELSE count(*) || ' characters a reader cannot see: ZERO WIDTH SPACE' END AS summary,
   line::INT AS line, min(pos)::INT AS "column", string_agg('U+200B', ' ') AS codepoints FROM h GROUP BY file_id, line, body, g""",
     "units_zero_width",
 )
@@ -57,10 +64,11 @@ def char_zero_width(units: DataFrame) -> DataFrame:
     "char_bidi",
     f"""SELECT doc_id::VARCHAR AS file_id, 'direct' AS basis, CASE WHEN doc_id % 2 = 0 THEN concat(a, reverse(b), c) ELSE concat(a, reverse(concat(b, c))) END AS human_sees,
   concat(a, '⟨U+202E⟩', b, CASE WHEN doc_id % 2 = 0 THEN '⟨U+202C⟩' ELSE '' END, c) AS machine_reads, 1 AS line,
-  (length(a) + 1 + k * (length(b) + 1))::INT AS "column", CASE k WHEN 0 THEN 'U+202E' ELSE 'U+202C' END AS codepoints
+  (length(a) + 1 + k * (length(b) + 1))::INT AS "column", CASE k WHEN 0 THEN 'U+202E' ELSE 'U+202C' END AS codepoints,
+  CASE k WHEN 0 THEN 'RIGHT-TO-LEFT OVERRIDE (U+202E)' || CASE WHEN doc_id % 2 = 1 THEN ', never closed before the text ends' ELSE '' END ELSE 'POP DIRECTIONAL FORMATTING (U+202C)' END AS summary
 FROM bidi_parts, (SELECT unnest([0, 1]) AS k) WHERE (k = 0 OR doc_id % 2 = 0) AND length(b) > 0
-UNION ALL SELECT doc_id::VARCHAR, 'direct', concat(a, c), concat(a, '⟨U+202E⟩⟨U+202C⟩', c), 1, (length(a) + 1)::INT, 'U+202E U+202C' FROM bidi_parts WHERE length(b) = 0 AND doc_id % 2 = 0
-UNION ALL SELECT doc_id::VARCHAR, 'direct', concat(a, reverse(c)), concat(a, '⟨U+202E⟩', c), 1, (length(a) + 1)::INT, 'U+202E' FROM bidi_parts WHERE length(b) = 0 AND doc_id % 2 = 1""",
+UNION ALL SELECT doc_id::VARCHAR, 'direct', concat(a, c), concat(a, '⟨U+202E⟩⟨U+202C⟩', c), 1, (length(a) + 1)::INT, 'U+202E U+202C', 'RIGHT-TO-LEFT OVERRIDE, POP DIRECTIONAL FORMATTING (U+202E, U+202C)' FROM bidi_parts WHERE length(b) = 0 AND doc_id % 2 = 0
+UNION ALL SELECT doc_id::VARCHAR, 'direct', concat(a, reverse(c)), concat(a, '⟨U+202E⟩', c), 1, (length(a) + 1)::INT, 'U+202E', 'RIGHT-TO-LEFT OVERRIDE (U+202E), never closed before the text ends' FROM bidi_parts WHERE length(b) = 0 AND doc_id % 2 = 1""",
     "units_bidi",
 )
 def char_bidi(units: DataFrame) -> DataFrame:
@@ -79,7 +87,7 @@ def char_bidi_unclosed(units: DataFrame) -> DataFrame:
 @register(
     "char_tags",
     f"""SELECT doc_id::VARCHAR AS file_id, 'direct' AS basis, line AS human_sees, concat(substr(line, 1, 10), '⟨tag characters: SECRET⟩', substr(line, 11)) AS machine_reads,
-  1 AS line, (least(length(line), 10) + 1)::INT AS "column", '{" ".join(f"U+{ord(c):04X}" for c in C.SECRET)}' AS codepoints, 'SECRET' AS decoded FROM (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents)""",
+  1 AS line, (least(length(line), 10) + 1)::INT AS "column", '{" ".join(f"U+{ord(c):04X}" for c in C.SECRET)}' AS codepoints, 'SECRET' AS decoded, '6 tag characters that no renderer draws' AS summary FROM (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents)""",
     "units_tags",
 )
 def char_tags(units: DataFrame) -> DataFrame:
@@ -89,7 +97,7 @@ def char_tags(units: DataFrame) -> DataFrame:
 @register(
     "char_mixed_script",
     f"""SELECT doc_id::VARCHAR AS file_id, 'circumstantial' AS basis, concat(z, 'p{C.CYRILLIC_A}ypal ', line) AS human_sees, concat(z, 'p⟨U+0430 Cyrillic⟩ypal ', line) AS machine_reads,
-  1 AS line, (length(z) + 2)::INT AS "column", 'U+0430' AS codepoints FROM (SELECT doc_id, repeat('z ', (doc_id % 7)::INT) AS z, split_part(text, chr(10), 1) AS line FROM documents)""",
+  1 AS line, (length(z) + 2)::INT AS "column", 'U+0430' AS codepoints, 'one word, "p{C.CYRILLIC_A}ypal", mixes Cyrillic and Latin' AS summary FROM (SELECT doc_id, repeat('z ', (doc_id % 7)::INT) AS z, split_part(text, chr(10), 1) AS line FROM documents)""",
     "units_mixed",
 )
 def char_mixed_script(units: DataFrame) -> DataFrame:
@@ -109,20 +117,25 @@ _NOT_BLANK = "length(trim(text)) > 0"
 
 @register(
     "sheet_hidden",
-    f"""SELECT c.file_id, 'direct' AS basis, '' AS human_sees, string_agg(text, ' | ' ORDER BY cell_no) AS machine_reads, sheet_no FROM cells c JOIN sheets s USING (file_id, sheet_no)
+    f"""SELECT c.file_id, 'direct' AS basis, '' AS human_sees, string_agg(text, ' | ' ORDER BY cell_no) AS machine_reads, sheet_no,
+  'sheet "' || any_value(name) || '" is marked ' || CASE any_value(hidden) WHEN 'very hidden' THEN 'very hidden, which the application itself cannot undo' ELSE 'hidden' END || ', and the file still holds its ' || {_count("count(*)", "value")} AS summary FROM cells c JOIN sheets s USING (file_id, sheet_no)
 WHERE hidden IS NOT NULL AND {_NOT_BLANK} GROUP BY c.file_id, sheet_no""",
     "sheets",
     "cells",
 )
 def sheet_hidden(s: DataFrame, c: DataFrame) -> DataFrame:
-    return sheets.hidden_sheets(s, c).select(*BASE, F.col("emit_seq").alias("sheet_no"))
+    return sheets.hidden_sheets(s, c).select(*BASE, "summary", F.col("emit_seq").alias("sheet_no"))
 
 
-def _axis_oracle(axis: str, place: str, basis: str) -> str:
-    return f"""+ i AS (SELECT DISTINCT h.file_id, h.sheet_no, idx FROM hidden_axis h JOIN sheets s USING (file_id, sheet_no) WHERE {axis} AND hidden IS NULL),
-g AS (SELECT *, idx - row_number() OVER (PARTITION BY file_id, sheet_no ORDER BY idx) AS island FROM i)
-SELECT g.file_id, '{basis}' AS basis, '' AS human_sees, string_agg(text, ' | ' ORDER BY idx, cell_no) AS machine_reads
-FROM g JOIN cells c ON c.file_id = g.file_id AND c.sheet_no = g.sheet_no AND c.{place} = g.idx WHERE {_NOT_BLANK} GROUP BY g.file_id, g.sheet_no, island"""
+def _axis_oracle(axis: str, place: str, basis: str, noun: str = "row", how: str = "hidden") -> str:
+    name = "chr((64 + {0})::INT)" if noun == "column" else "{0}"
+    first, last = name.format("any_value(lo)"), name.format("any_value(hi)")
+    where = f"CASE WHEN any_value(lo) = any_value(hi) THEN '{noun} ' || {first} ELSE '{noun}s ' || {first} || ' to ' || {last} END || ' of sheet \"' || any_value(name) || '\" ' || CASE WHEN any_value(lo) = any_value(hi) THEN 'is' ELSE 'are' END"
+    return f"""+ i AS (SELECT DISTINCT h.file_id, h.sheet_no, idx, name FROM hidden_axis h JOIN sheets s USING (file_id, sheet_no) WHERE {axis} AND hidden IS NULL),
+g AS (SELECT *, idx - row_number() OVER (PARTITION BY file_id, sheet_no ORDER BY idx) AS island FROM i),
+e AS (SELECT *, min(idx) OVER (PARTITION BY file_id, sheet_no, island) AS lo, max(idx) OVER (PARTITION BY file_id, sheet_no, island) AS hi FROM g)
+SELECT e.file_id, '{basis}' AS basis, '' AS human_sees, string_agg(text, ' | ' ORDER BY idx, cell_no) AS machine_reads, {where} || ' {how}, and the file still holds ' || {_count("count(*)", "value")} || ' there' AS summary
+FROM e JOIN cells c ON c.file_id = e.file_id AND c.sheet_no = e.sheet_no AND c.{place} = e.idx WHERE {_NOT_BLANK} GROUP BY e.file_id, e.sheet_no, island"""
 
 
 @register("sheet_hidden_rows", _axis_oracle("axis = 'row'", "row", "direct"), "sheets", "cells", "hidden_axis")
@@ -130,12 +143,12 @@ def sheet_hidden_rows(s: DataFrame, c: DataFrame, a: DataFrame) -> DataFrame:
     return shown(sheets.hidden_rows(s, c, a))
 
 
-@register("sheet_hidden_columns", _axis_oracle("axis = 'column'", "col", "direct"), "sheets", "cells", "hidden_axis")
+@register("sheet_hidden_columns", _axis_oracle("axis = 'column'", "col", "direct", "column"), "sheets", "cells", "hidden_axis")
 def sheet_hidden_columns(s: DataFrame, c: DataFrame, a: DataFrame) -> DataFrame:
     return shown(sheets.hidden_columns(s, c, a))
 
 
-@register("sheet_filtered_rows", _axis_oracle("axis = 'filter' AND (h.file_id, h.sheet_no, idx) NOT IN (SELECT (file_id, sheet_no, idx) FROM hidden_axis WHERE axis = 'row')", "row", "circumstantial"), "sheets", "cells", "hidden_axis")
+@register("sheet_filtered_rows", _axis_oracle("axis = 'filter' AND (h.file_id, h.sheet_no, idx) NOT IN (SELECT (file_id, sheet_no, idx) FROM hidden_axis WHERE axis = 'row')", "row", "circumstantial", how="held back by a filter that the file does not show"), "sheets", "cells", "hidden_axis")
 def sheet_filtered_rows(s: DataFrame, c: DataFrame, a: DataFrame) -> DataFrame:
     return shown(sheets.filtered_rows(s, c, a))
 
@@ -143,7 +156,8 @@ def sheet_filtered_rows(s: DataFrame, c: DataFrame, a: DataFrame) -> DataFrame:
 @register(
     "sheet_changed_cell",
     """+ now AS (SELECT c.file_id, name, row, col, arg_min(text, cell_no) AS text FROM cells c JOIN sheets s USING (file_id, sheet_no) GROUP BY c.file_id, name, row, col)
-SELECT h.file_id, 'direct' AS basis, coalesce(text, '') AS human_sees, previous AS machine_reads FROM cell_changes h LEFT JOIN now ON h.file_id = now.file_id AND h.sheet = now.name AND h.row = now.row AND h.col = now.col
+SELECT h.file_id, 'direct' AS basis, coalesce(text, '') AS human_sees, previous AS machine_reads,
+ 'cell A' || h.row || ' of sheet "' || h.sheet || '" was changed by ' || coalesce(author, 'somebody the file does not name') || ', at a time the file does not give; the file still holds the earlier value' AS summary FROM cell_changes h LEFT JOIN now ON h.file_id = now.file_id AND h.sheet = now.name AND h.row = now.row AND h.col = now.col
 WHERE length(trim(previous)) > 0""",
     "sheets",
     "cells",
@@ -171,14 +185,15 @@ def sheet_visible_text(s: DataFrame, c: DataFrame, a: DataFrame) -> DataFrame:
 
 @register(
     "slide_hidden",
-    """SELECT file_id, 'direct' AS basis, '' AS human_sees, concat_ws('  ', nullif(text, ''), nullif(trim(notes), '')) AS machine_reads, number FROM slides WHERE hidden AND (text <> '' OR trim(notes) <> '')""",
+    f"""SELECT file_id, 'direct' AS basis, '' AS human_sees, said AS machine_reads, number, 'slide ' || number || ' is marked hidden and skipped in a show; the file still holds its ' || {_count("length(said)", "character")} AS summary
+FROM (SELECT *, concat_ws('  ', nullif(text, ''), nullif(trim(notes), '')) AS said FROM slides) WHERE hidden AND (text <> '' OR trim(notes) <> '')""",
     "slides",
 )
 def slide_hidden(s: DataFrame) -> DataFrame:
-    return slides.hidden_slides(s).select(*BASE, F.col("emit_seq").alias("number"))
+    return slides.hidden_slides(s).select(*BASE, "summary", F.col("emit_seq").alias("number"))
 
 
-@register("slide_notes", "SELECT file_id, 'direct' AS basis, '' AS human_sees, notes AS machine_reads FROM slides WHERE NOT hidden AND trim(notes) <> ''", "slides")
+@register("slide_notes", "SELECT file_id, 'direct' AS basis, '' AS human_sees, notes AS machine_reads, 'slide ' || number || ' has a speaker note, which is in the file and on no screen' AS summary FROM slides WHERE NOT hidden AND trim(notes) <> ''", "slides")
 def slide_notes(s: DataFrame) -> DataFrame:
     return shown(slides.speaker_notes(s))
 
@@ -191,12 +206,15 @@ def slide_visible_text(s: DataFrame) -> DataFrame:
 # Revisions, attachments
 
 
-@register("rev_deleted_text", "SELECT file_id, 'direct' AS basis, '' AS human_sees, text AS machine_reads, seq FROM revisions WHERE kind IN ('deletion', 'move-from') AND trim(text) <> ''", "revisions")
+_BY = "coalesce(nullif(author, ''), 'an author the file does not give') || coalesce(' on ' || nullif(date, ''), ', at a time the file does not give')"
+
+
+@register("rev_deleted_text", f"SELECT file_id, 'direct' AS basis, '' AS human_sees, text AS machine_reads, seq, {_count('length(text)', 'character')} || CASE kind WHEN 'deletion' THEN ' deleted by ' ELSE ' moved away by ' END || {_BY} || '; the file still holds the text' AS summary FROM revisions WHERE kind IN ('deletion', 'move-from') AND trim(text) <> ''", "revisions")
 def rev_deleted_text(r: DataFrame) -> DataFrame:
-    return revisions.deleted_text(r).select(*BASE, F.col("emit_seq").alias("seq"))
+    return revisions.deleted_text(r).select(*BASE, "summary", F.col("emit_seq").alias("seq"))
 
 
-@register("rev_comment", "SELECT file_id, 'direct' AS basis, '' AS human_sees, text AS machine_reads FROM comments WHERE trim(text) <> ''", "comments")
+@register("rev_comment", f"SELECT file_id, 'direct' AS basis, '' AS human_sees, text AS machine_reads, 'a comment by ' || {_BY} || ', in the file and not in the document''s body' AS summary FROM comments WHERE trim(text) <> ''", "comments")
 def rev_comment(c: DataFrame) -> DataFrame:
     return shown(revisions.comments(c))
 
@@ -218,14 +236,15 @@ def rev_history(r: DataFrame, c: DataFrame) -> DataFrame:
     return shown(revisions.revision_history(r, c), "summary")
 
 
-@register("word_hidden", "SELECT file_id, 'direct' AS basis, '' AS human_sees, text AS machine_reads FROM word_hidden", "word_hidden")
+@register("word_hidden", f"SELECT file_id, 'direct' AS basis, '' AS human_sees, text AS machine_reads, {_count('length(text)', 'character')} || ' with Word''s hidden attribute' || CASE part WHEN 'the document' THEN '' ELSE ', in ' || part END || '; no screen and no print shows them' AS summary FROM word_hidden", "word_hidden")
 def word_hidden(h: DataFrame) -> DataFrame:
     return shown(revisions.word_hidden(h))
 
 
 @register(
     "attach_file",
-    "SELECT file_id, 'direct' AS basis, CASE WHEN part LIKE '/Names%' THEN '' ELSE 'a rendering of it' END AS human_sees, coalesce(text, description) AS machine_reads FROM attachments",
+    f"""SELECT file_id, 'direct' AS basis, CASE WHEN part LIKE '/Names%' THEN '' ELSE 'a rendering of it' END AS human_sees, coalesce(text, description) AS machine_reads,
+ 'the document carries a file named "' || name || '" in ' || part || ', ' || {_count("size", "byte")} || ', ' || CASE WHEN part LIKE '/Names%' THEN 'on no page and in no print' ELSE 'of which the page shows a picture and not the file' END AS summary FROM attachments""",
     "attachments",
 )
 def attach_file(a: DataFrame) -> DataFrame:
@@ -234,10 +253,11 @@ def attach_file(a: DataFrame) -> DataFrame:
 
 @register(
     "pdf_earlier_revision",
-    """+ l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS spot FROM documents),
+    f"""+ l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS spot FROM documents),
 q AS (SELECT doc_id, spot, trim(regexp_replace(raw, '[ \\t\\r\\f\\v]+', ' ', 'g')) AS line FROM l),
 now AS (SELECT DISTINCT doc_id, line FROM q WHERE spot % 3 <> 0)
-SELECT doc_id::VARCHAR AS file_id, 'direct' AS basis, '' AS human_sees, string_agg(line, chr(10) ORDER BY spot) AS machine_reads FROM q WHERE line <> '' AND (doc_id, line) NOT IN (SELECT (doc_id, line) FROM now) GROUP BY doc_id""",
+SELECT doc_id::VARCHAR AS file_id, 'direct' AS basis, '' AS human_sees, string_agg(line, chr(10) ORDER BY spot) AS machine_reads,
+ 'the file holds 2 revisions of itself; revision 1 (' || {_count("doc_id % 3 + 1", "page")} || ', ending at byte ' || doc_id * 100 || ') still holds text that no page shows now' AS summary FROM q WHERE line <> '' AND (doc_id, line) NOT IN (SELECT (doc_id, line) FROM now) GROUP BY doc_id""",
     "documents",
     "earlier",
 )
@@ -255,7 +275,7 @@ _PATHLIKE = r"regexp_matches(v, '^(/[^/\s][^\s]*|[A-Za-z]:[\\/][^\s]*|\\\\[^\\\s
 @register(
     "meta_undisclosed",
     f"""+ f AS (SELECT *, trim(value) AS v FROM meta_fields WHERE role = 'content')
-SELECT f.file_id, 'self-reported' AS basis, '' AS human_sees, v AS machine_reads FROM f JOIN meta_units u USING (file_id) WHERE NOT {_PATHLIKE} AND (length(v) < 4 OR NOT contains(lower(u.text), lower(v)))""",
+SELECT f.file_id, 'self-reported' AS basis, '' AS human_sees, v AS machine_reads, 'field ' || name || ' of ' || part || ' holds a value that the document''s text shows nowhere' AS summary FROM f JOIN meta_units u USING (file_id) WHERE NOT {_PATHLIKE} AND (length(v) < 4 OR NOT contains(lower(u.text), lower(v)))""",
     "meta_fields",
     "meta_units",
 )
@@ -263,7 +283,7 @@ def meta_undisclosed(f: DataFrame, u: DataFrame) -> DataFrame:
     return shown(metadata.undisclosed(f, u))
 
 
-@register("meta_path", f"SELECT file_id, 'self-reported' AS basis, '' AS human_sees, v AS machine_reads FROM (SELECT *, trim(value) AS v FROM meta_fields) WHERE role <> 'tool' AND {_PATHLIKE}", "meta_fields")
+@register("meta_path", f"SELECT file_id, 'self-reported' AS basis, '' AS human_sees, v AS machine_reads, 'field ' || name || ' of ' || part || ' holds a file system path, which names folders and mostly an account' AS summary FROM (SELECT *, trim(value) AS v FROM meta_fields) WHERE role <> 'tool' AND {_PATHLIKE}", "meta_fields")
 def meta_path(f: DataFrame) -> DataFrame:
     return shown(metadata.paths(f))
 
@@ -271,7 +291,7 @@ def meta_path(f: DataFrame) -> DataFrame:
 @register(
     "meta_conflict_time",
     """+ t AS (SELECT file_id, max(CASE WHEN name = 'CreationDate' THEN value END) AS made, max(CASE WHEN name = 'ModDate' THEN value END) AS changed FROM meta_fields GROUP BY file_id)
-SELECT file_id, 'self-reported' AS basis, '' AS human_sees, 'ModDate ' || changed AS machine_reads FROM t WHERE changed::TIMESTAMPTZ < made::TIMESTAMPTZ""",
+SELECT file_id, 'self-reported' AS basis, '' AS human_sees, 'ModDate ' || changed AS machine_reads, 'by its own account the file was modified at ' || changed || ' and created at ' || made || '; a clock, a time zone, a copy or an edit can do this' AS summary FROM t WHERE changed::TIMESTAMPTZ < made::TIMESTAMPTZ""",
     "meta_fields",
 )
 def meta_conflict_time(f: DataFrame) -> DataFrame:
@@ -280,7 +300,7 @@ def meta_conflict_time(f: DataFrame) -> DataFrame:
 
 @register(
     "meta_conflict_copies",
-    """SELECT a.file_id, 'self-reported' AS basis, '' AS human_sees, b.value AS machine_reads FROM meta_fields a JOIN meta_fields b ON a.file_id = b.file_id AND a.name = 'Author' AND b.name = 'dc:creator' WHERE trim(a.value) <> trim(b.value)""",
+    """SELECT a.file_id, 'self-reported' AS basis, '' AS human_sees, b.value AS machine_reads, 'the Info dictionary gives Author as "' || a.value || '", the XMP packet gives dc:creator as "' || b.value || '"; a tool that clears one of the two leaves this' AS summary FROM meta_fields a JOIN meta_fields b ON a.file_id = b.file_id AND a.name = 'Author' AND b.name = 'dc:creator' WHERE trim(a.value) <> trim(b.value)""",
     "meta_fields",
 )
 def meta_conflict_copies(f: DataFrame) -> DataFrame:
@@ -308,7 +328,7 @@ def meta_claims(f: DataFrame) -> DataFrame:
     return metadata.claims(f).select("file_id", "text")
 
 
-@register("thumb_stale", "SELECT file_id, 'circumstantial' AS basis, 'a picture ' || w || 'x' || h AS human_sees, 'a preview ' || tw || 'x' || th || ', of something else' AS machine_reads FROM images WHERE th > 0 AND abs(w::DOUBLE / h - tw::DOUBLE / th) / (w::DOUBLE / h) > 0.02", "images")
+@register("thumb_stale", "SELECT file_id, 'circumstantial' AS basis, 'a picture ' || w || 'x' || h AS human_sees, 'a preview ' || tw || 'x' || th || ', of something else' AS machine_reads, 'the picture is ' || w || 'x' || h || ' and the preview inside it ' || tw || 'x' || th || '; another shape, so it was made from another picture' AS summary FROM images WHERE th > 0 AND abs(w::DOUBLE / h - tw::DOUBLE / th) / (w::DOUBLE / h) > 0.02", "images")
 def thumb_stale(i: DataFrame) -> DataFrame:
     return shown(metadata.stale_thumbnail(i))
 
@@ -320,10 +340,13 @@ _PAINTED = "mode IN (0, 1, 2, 4, 5, 6) AND alpha > 0.01"
 
 def _under_oracle(kind: str) -> str:
     """Glyphs are ten wide on a grid of ten, so a bar covers a glyph wholly or not at all."""
-    return f"""+ s AS (SELECT s.*, CASE WHEN kind = 'image' OR r IS NULL THEN '▒' WHEN r < 0.25 THEN '█' ELSE ' ' END AS block FROM shapes s JOIN drawn_pages p USING (file_id, page) WHERE kind = '{kind}' AND s.alpha >= 0.999 AND NOT (x1 - x0 >= (bx1 - bx0) * 0.9 AND y1 - y0 >= (by1 - by0) * 0.9)),
+    return f"""+ s AS (SELECT s.*, CASE WHEN kind = 'image' THEN 'an image; a scan over its text layer looks the same' WHEN r IS NULL THEN 'a shape of unstated colour' WHEN r < 0.25 THEN 'a black shape' ELSE 'a white shape' END AS what, CASE WHEN kind = 'image' OR r IS NULL THEN '▒' WHEN r < 0.25 THEN '█' ELSE ' ' END AS block FROM shapes s JOIN drawn_pages p USING (file_id, page) WHERE kind = '{kind}' AND s.alpha >= 0.999 AND NOT (x1 - x0 >= (bx1 - bx0) * 0.9 AND y1 - y0 >= (by1 - by0) * 0.9)),
 o AS (SELECT g.*, row_number() OVER (PARTITION BY file_id ORDER BY ox) AS n FROM glyphs g WHERE {_PAINTED}),
-h AS (SELECT o.file_id, o.n, o.ch, block, o.n - row_number() OVER (PARTITION BY o.file_id ORDER BY o.n) AS island FROM o JOIN s ON o.file_id = s.file_id AND o.ord <= s.ord AND o.x0 >= s.x0 AND o.x1 <= s.x1)
-SELECT file_id, 'direct' AS basis, repeat(any_value(block), length(trim(string_agg(ch, '' ORDER BY n)))) AS human_sees, trim(string_agg(ch, '' ORDER BY n)) AS machine_reads FROM h GROUP BY file_id, island HAVING trim(string_agg(ch, '' ORDER BY n)) <> ''"""
+h AS (SELECT o.file_id, o.n, o.ch, block, what, o.n - row_number() OVER (PARTITION BY o.file_id ORDER BY o.n) AS island FROM o JOIN s ON o.file_id = s.file_id AND o.ord <= s.ord AND o.x0 >= s.x0 AND o.x1 <= s.x1),
+c AS (SELECT file_id, any_value(block) AS block, any_value(what) AS what, trim(string_agg(ch, '' ORDER BY n)) AS said, min(n) FILTER (WHERE trim(ch) <> '') AS lo, max(n) FILTER (WHERE trim(ch) <> '') AS hi FROM h GROUP BY file_id, island),
+l AS (SELECT c.file_id, lo, trim(regexp_replace(string_agg(ch, '' ORDER BY n) FILTER (WHERE n < lo OR n > hi), '\\s+', ' ', 'g')) AS rest FROM c JOIN o USING (file_id) GROUP BY c.file_id, lo)
+SELECT c.file_id, 'direct' AS basis, repeat(block, length(said)) AS human_sees, said AS machine_reads,
+ {_count("length(said)", "character")} || ' under ' || what || CASE WHEN coalesce(rest, '') = '' THEN '' ELSE '; the line goes on "' || rest || '"' END AS summary FROM c JOIN l ON c.file_id = l.file_id AND c.lo = l.lo WHERE said <> ''"""
 
 
 @register("pdf_covered", _under_oracle("fill"), "glyphs", "shapes", "drawn_pages")
@@ -343,8 +366,9 @@ def pdf_lines(g: DataFrame) -> DataFrame:
 
 @register(
     "pdf_invisible",
-    """+ w AS (SELECT file_id, ox, ch, CASE WHEN mode = 3 THEN 'direct' WHEN alpha <= 0.15 THEN 'circumstantial' END AS basis FROM glyphs)
-SELECT file_id, basis, '' AS human_sees, string_agg(ch, '' ORDER BY ox) AS machine_reads FROM w WHERE basis IS NOT NULL GROUP BY file_id, basis HAVING trim(string_agg(ch, '' ORDER BY ox)) <> ''""",
+    f"""+ w AS (SELECT file_id, ox, ch, CASE WHEN mode = 3 THEN 'direct' WHEN alpha <= 0.15 THEN 'circumstantial' END AS basis FROM glyphs)
+SELECT file_id, basis, '' AS human_sees, string_agg(ch, '' ORDER BY ox) AS machine_reads,
+ {_count("count(*)", "character")} || CASE basis WHEN 'direct' THEN ' drawn in render mode 3, which paints nothing' ELSE ' painted at opacity 0.1, which a reader may miss, and watermarks use' END AS summary FROM w WHERE basis IS NOT NULL GROUP BY file_id, basis HAVING trim(string_agg(ch, '' ORDER BY ox)) <> ''""",
     "glyphs",
 )
 def pdf_invisible(g: DataFrame) -> DataFrame:
@@ -353,10 +377,11 @@ def pdf_invisible(g: DataFrame) -> DataFrame:
 
 @register(
     "pdf_low_contrast",
-    f"""+ o AS (SELECT g.file_id, g.ch, g.fr, CASE WHEN s.file_id IS NULL THEN 1.0 WHEN s.kind = 'image' THEN NULL ELSE s.r END AS back, row_number() OVER (PARTITION BY g.file_id ORDER BY g.ox) AS n
+    f"""+ o AS (SELECT g.file_id, g.ch, g.fr, s.file_id IS NULL AS paper, CASE WHEN s.file_id IS NULL THEN 1.0 WHEN s.kind = 'image' THEN NULL ELSE s.r END AS back, row_number() OVER (PARTITION BY g.file_id ORDER BY g.ox) AS n
   FROM glyphs g LEFT JOIN shapes s ON g.file_id = s.file_id AND s.alpha >= 0.999 AND s.ord < g.ord AND g.x0 >= s.x0 AND g.x1 <= s.x1 WHERE g.mode IN (0, 1, 2, 4, 5, 6) AND g.alpha > 0.01),
 h AS (SELECT *, n - row_number() OVER (PARTITION BY file_id ORDER BY n) AS island FROM o WHERE back IS NOT NULL AND abs(fr - back) <= 0.08)
-SELECT file_id, 'direct' AS basis, '' AS human_sees, string_agg(ch, '' ORDER BY n) AS machine_reads FROM h GROUP BY file_id, island HAVING trim(string_agg(ch, '' ORDER BY n)) <> ''""",
+SELECT file_id, 'direct' AS basis, '' AS human_sees, string_agg(ch, '' ORDER BY n) AS machine_reads, {_count("count(*)", "character")} || ' painted ' || CASE WHEN arg_min(fr, n) = 1 THEN '#ffffff on #ffffff' ELSE '#000000 on #000000' END || ', one colour; the background is '
+ || CASE WHEN arg_min(paper, n) THEN 'the paper' ELSE 'a shape painted before' END AS summary FROM h GROUP BY file_id, island HAVING trim(string_agg(ch, '' ORDER BY n)) <> ''""",
     "glyphs",
     "shapes",
 )
@@ -366,9 +391,10 @@ def pdf_low_contrast(g: DataFrame, s: DataFrame) -> DataFrame:
 
 @register(
     "pdf_off_page",
-    """+ o AS (SELECT g.file_id, ox, ch, ox >= bx1 AS off FROM glyphs g JOIN drawn_pages p USING (file_id)),
+    f"""+ o AS (SELECT g.file_id, ox, ch, ox >= bx1 AS off FROM glyphs g JOIN drawn_pages p USING (file_id)),
 r AS (SELECT file_id, string_agg(ch, '' ORDER BY ox) FILTER (WHERE off) AS text, bool_or(NOT off AND trim(ch) <> '') AS remains FROM o GROUP BY file_id)
-SELECT file_id, CASE WHEN remains THEN 'circumstantial' ELSE 'direct' END AS basis, '' AS human_sees, text AS machine_reads FROM r WHERE trim(text) <> ''""",
+SELECT file_id, CASE WHEN remains THEN 'circumstantial' ELSE 'direct' END AS basis, '' AS human_sees, text AS machine_reads,
+ {_count("length(text)", "character")} || ' wholly outside the visible area' || CASE WHEN remains THEN '; the rest of the line is on the page, so it may be an overflow' ELSE '' END AS summary FROM r WHERE trim(text) <> ''""",
     "glyphs",
     "drawn_pages",
 )
@@ -377,7 +403,7 @@ def pdf_off_page(g: DataFrame, p: DataFrame) -> DataFrame:
     return shown(geometry.off_page_text(g.withColumn("run_no", F.lit(1)), p))
 
 
-@register("pdf_annotation_comment", "SELECT file_id, 'direct' AS basis, '' AS human_sees, contents AS machine_reads FROM annotations WHERE subtype IN ('Text', 'Highlight') AND trim(contents) <> ''", "annotations")
+@register("pdf_annotation_comment", "SELECT file_id, 'direct' AS basis, '' AS human_sees, contents AS machine_reads, 'a /' || subtype || ' annotation by ' || author || ', attached to the page and no part of it' AS summary FROM annotations WHERE subtype IN ('Text', 'Highlight') AND trim(contents) <> ''", "annotations")
 def pdf_annotation_comment(a: DataFrame) -> DataFrame:
     return shown(geometry.annotation_comments(a))
 
@@ -401,7 +427,7 @@ _ALNUM = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
     f"""+ w AS (SELECT file_id, ox, ch, {_ALNUM.format("ch")} AS key FROM apart_glyphs WHERE {_PAINTED} AND {_ALNUM.format("ch")} <> ''),
 n AS (SELECT w.file_id, w.ox, w.ch, row_number() OVER (PARTITION BY w.file_id ORDER BY w.ox) AS n, NOT contains(coalesce({_ALNUM.format("r.text")}, ''), key) AS lost FROM w LEFT JOIN ocr_words r ON r.file_id = w.file_id AND r.x0 = w.ox AND r.y0 < 110),
 h AS (SELECT *, n - row_number() OVER (PARTITION BY file_id ORDER BY n) AS island FROM n WHERE lost)
-SELECT file_id, 'circumstantial' AS basis, '' AS human_sees, string_agg(ch, ' ' ORDER BY n) AS machine_reads FROM h GROUP BY file_id, island HAVING count(*) >= 3""",
+SELECT file_id, 'circumstantial' AS basis, '' AS human_sees, string_agg(ch, ' ' ORDER BY n) AS machine_reads, count(*) || ' words in a row are in the file and were not read off a rendering of the page; a reader that fails looks the same' AS summary FROM h GROUP BY file_id, island HAVING count(*) >= 3""",
     "apart_glyphs",
     "ocr_words",
 )
@@ -412,7 +438,7 @@ def ocr_unrendered(g: DataFrame, o: DataFrame) -> DataFrame:
 @register(
     "ocr_unextractable",
     f"""+ o AS (SELECT r.* FROM ocr_words r LEFT JOIN apart_glyphs g ON g.file_id = r.file_id AND g.ox = r.x0 AND r.y0 < 110 AND trim(g.ch) <> '' WHERE g.file_id IS NULL AND conf >= 60 AND {_ALNUM.format("r.text")} <> '')
-SELECT file_id, 'circumstantial' AS basis, string_agg(text, ' ' ORDER BY word_no) AS human_sees, '' AS machine_reads FROM o GROUP BY file_id HAVING count(*) >= 3""",
+SELECT file_id, 'circumstantial' AS basis, string_agg(text, ' ' ORDER BY word_no) AS human_sees, '' AS machine_reads, count(*) || ' words were read off a rendering of the page with no text of the file under them; a scan without a text layer looks the same' AS summary FROM o GROUP BY file_id HAVING count(*) >= 3""",
     "apart_glyphs",
     "ocr_words",
 )
@@ -423,7 +449,7 @@ def ocr_unextractable(g: DataFrame, o: DataFrame) -> DataFrame:
 @register(
     "thumb_unseen_words",
     f"""+ a AS (SELECT file_id, word_no, text, {_ALNUM.format("text")} AS key FROM ocr_words WHERE conf >= 60 AND {_ALNUM.format("text")} <> '')
-SELECT file_id, 'circumstantial' AS basis, '' AS human_sees, string_agg(text, ' ' ORDER BY word_no) AS machine_reads FROM a WHERE word_no % 2 = 0 AND (file_id, key) NOT IN (SELECT (file_id, key) FROM a WHERE word_no % 2 = 1) GROUP BY file_id HAVING count(*) >= 2""",
+SELECT file_id, 'circumstantial' AS basis, '' AS human_sees, string_agg(text, ' ' ORDER BY word_no) AS machine_reads, count(*) || ' words can be read in the preview inside the file and not in the picture itself' AS summary FROM a WHERE word_no % 2 = 0 AND (file_id, key) NOT IN (SELECT (file_id, key) FROM a WHERE word_no % 2 = 1) GROUP BY file_id HAVING count(*) >= 2""",
     "ocr_words",
 )
 def thumb_unseen_words(o: DataFrame) -> DataFrame:
