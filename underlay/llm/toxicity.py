@@ -172,8 +172,8 @@ def _merge(block: pa.Table) -> pa.Table:
     own = before == NO_WORD
     follower, contexts = np.unique(word[~own], return_counts=True)
     out["kind"].append("reach")
-    for name, v in zip(list(out)[1:], (follower, follower, contexts.astype(np.float64), contexts.astype(np.float64), contexts.astype(np.float64))):
-        out[name].append(v.tobytes())
+    for name, v in zip(list(out)[1:], (follower.tobytes(), b"", contexts.astype(np.uint32).tobytes(), b"", b"")):
+        out[name].append(v)
     add("word", word[own], word[own], both[:, own], np.ones(int(own.sum())))
     add("pair", keys[~own], before[~own], both[:, ~own], np.ones(int((~own).sum())))
     h, at = np.unique(before[~own], return_inverse=True)
@@ -210,7 +210,7 @@ def _features(evidence: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _shared(reach: list) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted words, their shared lower-order probability, and that of any other word."""
-    keys, counts = (np.concatenate([np.frombuffer(r[c], t) for r in reach] or [np.zeros(0, t)]) for c, t in (("key", U64), ("a", float)))
+    keys, counts = (np.concatenate([np.frombuffer(r[c], t) for r in reach] or [np.zeros(0, t)]) for c, t in (("key", U64), ("a", np.uint32)))
     words, at = np.unique(keys, return_inverse=True)
     contexts = np.bincount(at, counts, len(words))
     once, twice = (contexts == 1).sum(), (contexts == 2).sum()
