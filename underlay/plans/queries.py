@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import characters, geometry, metadata, revisions, sheets, slides, survey
 from ..operators.findings import union
 from . import carriers as C
+from . import packages as P
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -526,3 +527,93 @@ def findings_union_ordered(t: DataFrame, m: DataFrame) -> DataFrame:
 
     both = union([characters.tag_characters(t), characters.mixed_script(m)])
     return both.select("file_id", "detector", F.row_number().over(Window.partitionBy("file_id").orderBy(*order()[1:])).cast("long").alias("place"))
+
+
+# Sources: files made of the tables, and what their readers find
+
+
+def _people(customers: DataFrame) -> DataFrame:
+    return customers.select(F.col("c_custkey").alias("key"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.concat(F.lit("A"), F.col("c_nationkey")).alias("author"))
+
+
+@register("source_plain", "SELECT doc_id || '.txt' AS file_id, text FROM documents WHERE regexp_matches(text, '[^\\s]')", "documents")
+def source_plain(docs: DataFrame) -> DataFrame:
+    (units,) = P.records_of(docs.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text")), lambda r: r["text"].encode(), "txt", "units")
+    return units.select("file_id", "text")
+
+
+@register(
+    "source_word",
+    """SELECT c_custkey || '.docx' AS file_id, 'units' AS record, c_name || chr(10) || 'of ' || CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END AS text, NULL AS author, NULL AS date FROM customer
+UNION ALL SELECT c_custkey || '.docx', CASE WHEN c_custkey % 2 = 0 THEN 'insertion' ELSE 'deletion' END, c_mktsegment, 'A' || c_nationkey, CASE WHEN c_custkey % 2 = 1 THEN '2024-01-02T00:00:00Z' END FROM customer
+UNION ALL SELECT c_custkey || '.docx', 'creator', 'A' || c_nationkey, NULL, NULL FROM customer""",
+    "customer",
+)
+def source_word(customers: DataFrame) -> DataFrame:
+    units, changes, fields = P.records_of(_people(customers), P.word, "docx", "units", "revisions", "meta_fields")
+    none = F.lit(None).cast("string")
+    rows = units.select("file_id", F.lit("units").alias("record"), "text", none.alias("author"), none.alias("date"))
+    rows = rows.unionByName(changes.select("file_id", F.col("kind").alias("record"), "text", "author", "date"))
+    return rows.unionByName(fields.select("file_id", F.lower(F.regexp_replace("name", "^.*:", "")).alias("record"), F.col("value").alias("text"), none.alias("author"), none.alias("date")))
+
+
+@register(
+    "source_open_text",
+    """SELECT c_custkey || '.odt' AS file_id, c_name AS shown, c_mktsegment AS deleted, 'A' || c_nationkey AS author, '2024-05-01' AS date FROM customer""",
+    "customer",
+)
+def source_open_text(customers: DataFrame) -> DataFrame:
+    units, changes = P.records_of(_people(customers), P.open_text, "odt", "units", "revisions")
+    return units.select("file_id", F.col("text").alias("shown")).join(changes.where("kind = 'deletion'").select("file_id", F.col("text").alias("deleted"), "author", "date"), "file_id")
+
+
+_SUPPLIERS = "SELECT s_nationkey AS key, s_suppkey AS id, s_name AS name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey, s_name) AS n FROM supplier"
+
+
+@register(
+    "source_workbook",
+    f"""+ s AS ({_SUPPLIERS})
+SELECT key || '.xlsx' AS file_id, 'cell' AS record, n AS row, c AS col, CASE c WHEN 1 THEN name ELSE id::VARCHAR END AS text FROM s, (SELECT unnest([1, 2]) AS c)
+UNION ALL SELECT key || '.xlsx', 'row', n, NULL, NULL FROM s WHERE id % 3 = 0
+UNION ALL SELECT DISTINCT key || '.xlsx', 'column', 2, NULL::INT, NULL FROM s""",
+    "supplier",
+)
+def source_workbook(suppliers: DataFrame) -> DataFrame:
+    cells, axis = P.records_of(P.grouped(suppliers, "s_nationkey", "s_suppkey", "s_name"), P.workbook, "xlsx", "cells", "hidden_axis")
+    rows = cells.select("file_id", F.lit("cell").alias("record"), "row", "col", "text")
+    return rows.unionByName(axis.select("file_id", F.col("axis").alias("record"), F.col("idx").alias("row"), F.lit(None).cast("long").alias("col"), F.lit(None).cast("string").alias("text")))
+
+
+@register(
+    "source_open_sheet",
+    f"""+ s AS ({_SUPPLIERS})
+SELECT key || '.ods' AS file_id, 'cell' AS record, n AS row, name AS text FROM s UNION ALL SELECT key || '.ods', CASE WHEN id % 5 = 0 THEN 'row' ELSE 'filter' END, n, NULL FROM s WHERE id % 5 = 0 OR id % 2 = 0""",
+    "supplier",
+)
+def source_open_sheet(suppliers: DataFrame) -> DataFrame:
+    cells, axis = P.records_of(P.grouped(suppliers, "s_nationkey", "s_suppkey", "s_name"), P.open_sheet, "ods", "cells", "hidden_axis")
+    return cells.select("file_id", F.lit("cell").alias("record"), "row", "text").unionByName(axis.select("file_id", F.col("axis").alias("record"), F.col("idx").alias("row"), F.lit(None).cast("string").alias("text")))
+
+
+@register("source_deck", "SELECT conv_id || '.pptx' AS file_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS number, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, turn % 3 = 2 AS hidden FROM conversations", "conversations")
+def source_deck(turns: DataFrame) -> DataFrame:
+    (slides_,) = P.records_of(P.grouped(turns, "conv_id", "turn", "text"), P.deck, "pptx", "slides")
+    return slides_.select("file_id", "number", "text", "hidden")
+
+
+@register(
+    "source_portable",
+    """SELECT c_custkey || '.pdf' AS file_id, c_name || chr(10) || c_mktsegment AS drawn, c_mktsegment AS unpainted, 'A' || c_nationkey AS author FROM customer""",
+    "customer",
+)
+def source_portable(customers: DataFrame) -> DataFrame:
+    glyphs, units, fields = P.records_of(_people(customers), P.portable, "pdf", "glyphs", "units", "meta_fields")
+    text = lambda df, name: df.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_no", "glyph_no", "ch"))), lambda g: g["ch"]), "").alias(name))
+    drawn = units.select("file_id", F.col("text").alias("drawn"))
+    return drawn.join(text(glyphs.where("mode = 3"), "unpainted"), "file_id").join(fields.where("name = 'Author'").select("file_id", F.col("value").alias("author")), "file_id")
+
+
+@register("source_photograph", "SELECT p_partkey || '.jpg' AS file_id, 800 AS w, p_partkey % 97 + 400 AS h, 160 AS tw, 84 AS th, p_name AS creator FROM part", "part")
+def source_photograph(parts: DataFrame) -> DataFrame:
+    images, fields = P.records_of(parts.select(F.col("p_partkey").alias("key"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), P.photograph, "jpg", "images", "meta_fields")
+    return images.select("file_id", "w", "h", "tw", "th").join(fields.where("name = 'dc:creator'").select("file_id", F.col("value").alias("creator")), "file_id")

@@ -167,14 +167,18 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.string()), pa.array([inside] * n, pa.string()), pa.array([record] * n, pa.string()), *own.values()], names=names)
 
 
+def parsed(files: DataFrame) -> DataFrame:
+    """What the parsers give for files (rel_path, content): file_id, inside, record, and a column for each record table."""
+    return files.select("rel_path", "content").mapInArrow(_parsed, STORED)
+
+
 class Records:
     """The record tables of files(path, rel_path, length, content); the file id is the relative path."""
 
     def __init__(self, files: DataFrame, stored_at: str):
         """stored_at: a folder that driver and executors share."""
         self.spark, self.path = files.sparkSession, stored_at
-        parsed = files.select("rel_path", "content").mapInArrow(_parsed, STORED)
-        parsed.write.partitionBy("record").parquet(stored_at)
+        parsed(files).write.partitionBy("record").parquet(stored_at)
         self._all = self.spark.read.schema(STORED).parquet(stored_at)
 
     def __getitem__(self, record: str) -> DataFrame:
