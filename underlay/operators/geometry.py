@@ -6,8 +6,10 @@ dx, dy, size, mode, alpha, fr, fg, fb, sr, sg, sb, cx0, cy0, cx1, cy1, ord, widt
 annotations(.., page, seq, subtype, contents, author, has_appearance), and
 ocr_words(.., page, word_no, text, x0, y0, x1, y1, conf).
 
-A page is the equi-key of every join, so a spatial join is a hash join with a
-residual.  Lines come from each glyph's angle and distance across it; all
+A page is cut into cells of CELL points, and page and cell are the equi-key of every
+spatial join: a shape is in all cells it covers, a glyph in the one of its middle, and
+of two boxes that touch, the cell where their overlap begins reports them once.  So a
+pair that is far apart on its page never meets.  Lines come from each glyph's angle and distance across it; all
 grouping is by line and islands, never by drawing operation.
 """
 
@@ -27,6 +29,8 @@ CLEAR, FAINT, OPAQUE, PAGE_SIZED = 0.01, 0.15, 0.999, 0.9
 WORD_GAP, JOIN_GAP = 0.20, 0.15
 CONFIDENT, UNREAD_RUN, UNSEEN_WORDS = 60, 3, 2
 PAINTING = (0, 1, 2, 4, 5, 6)
+#: Cells of the spatial joins, in points; places beyond LAST_CELL cells count as there, which changes no pair.
+CELL, LAST_CELL = 64, 1024
 NOTES = ("Text", "Highlight", "Underline", "StrikeOut", "Squiggly", "Square", "Circle", "Line", "Polygon", "PolyLine", "Ink", "Stamp", "Caret", "FileAttachment", "Sound", "Movie", "Redact")
 
 
@@ -57,6 +61,31 @@ def _shapes(shapes: DataFrame) -> DataFrame:
     return shapes.select(*PAGE, "shape_no", *(F.col(a).alias(b) for a, b in named.items())).where(F.col("s_alpha") >= OPAQUE)
 
 
+def _cell(place: Column) -> Column:
+    return F.greatest(F.least(F.floor(place / CELL), F.lit(LAST_CELL)), F.lit(-LAST_CELL)).cast("int")
+
+
+def _in_cells(boxes: DataFrame, p: str) -> DataFrame:
+    """boxes, a row for each cell (gx, gy) that a box is in."""
+    across = boxes.withColumn("gx", F.explode(F.sequence(_cell(F.least(f"{p}x0", f"{p}x1")), _cell(F.greatest(f"{p}x0", f"{p}x1")))))
+    return across.withColumn("gy", F.explode(F.sequence(_cell(F.least(f"{p}y0", f"{p}y1")), _cell(F.greatest(f"{p}y0", f"{p}y1")))))
+
+
+def _on_shapes(glyphs: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Glyphs with the shapes of their page that hold their middle: whatever covers over half of a glyph does.  A glyph without area is where its corner is."""
+    flat = _area() <= 0
+    middle = lambda a, b: F.when(flat, F.col(a)).otherwise((F.col(a) + F.col(b)) / 2)
+    placed = glyphs.withColumn("gx", _cell(middle("x0", "x1"))).withColumn("gy", _cell(middle("y0", "y1")))
+    return placed.join(_in_cells(shapes, "s_"), [*PAGE, "gx", "gy"]).drop("gx", "gy")
+
+
+def _touching_pairs(words_: DataFrame, read: DataFrame) -> DataFrame:
+    """Words and readings of a page whose boxes overlap, each pair once."""
+    pairs = _in_cells(words_, "").join(_in_cells(read, "r_"), [*PAGE, "gx", "gy"]).where(_touching())
+    first = (F.col("gx") == _cell(F.greatest("x0", "r_x0"))) & (F.col("gy") == _cell(F.greatest("y0", "r_y0")))
+    return pairs.where(first).drop("gx", "gy")
+
+
 def _blank_char() -> Column:
     return T.blank(F.col("ch"))
 
@@ -83,7 +112,7 @@ def under(glyphs: DataFrame, shapes: DataFrame, pages: DataFrame, kind: str, det
     set_ = lines(glyphs.where(_painted()))
     corner = F.col("x0").between(F.col("s_x0"), F.col("s_x1")) & F.col("y0").between(F.col("s_y0"), F.col("s_y1"))
     covered = F.when(_area() <= 0, corner).otherwise(_overlap("x0", "y0", "x1", "y1", "s_x0", "s_y0", "s_x1", "s_y1") >= _area() * COVERAGE)
-    hit = set_.join(some, list(PAGE)).where((F.col("ord") <= F.col("s_ord")) & covered).withColumn("hit", F.lit(True))
+    hit = _on_shapes(set_, some).where((F.col("ord") <= F.col("s_ord")) & covered).withColumn("hit", F.lit(True))
     key = [*LINE, "shape_no"]
     spans = _spans(hit, key, "hit")
     # Blank glyphs at the ends of a span are padding of the bar.
@@ -146,7 +175,7 @@ def backgrounds(glyphs: DataFrame, shapes: DataFrame) -> DataFrame:
     set_ = lines(glyphs.where(_painted()))
     behind = _shapes(shapes.where(F.col("kind").isin("fill", "image")))
     glyph = [*PAGE, "run_no", "glyph_no"]
-    over = set_.join(behind, list(PAGE)).where((F.col("s_ord") < F.col("ord")) & (_overlap("x0", "y0", "x1", "y1", "s_x0", "s_y0", "s_x1", "s_y1") >= _area() * COVERAGE))
+    over = _on_shapes(set_, behind).where((F.col("s_ord") < F.col("ord")) & (_overlap("x0", "y0", "x1", "y1", "s_x0", "s_y0", "s_x1", "s_y1") >= _area() * COVERAGE))
     top = over.groupBy(*glyph).agg(F.max_by(F.struct("s_kind", "s_r", "s_g", "s_b"), F.struct("s_ord", -F.col("shape_no"))).alias("back"))
     return set_.join(top, glyph, "left")
 
@@ -218,7 +247,7 @@ def unrendered_text(glyphs: DataFrame, ocr: DataFrame) -> DataFrame:
     """Runs of at least UNREAD_RUN words that no reading of the page near them holds; pages without any reading are silent."""
     read = _read(ocr)
     wanted = words(glyphs).withColumn("key", T.alphanumeric(F.col("text"))).where("key <> ''").join(ocr.select(*PAGE).distinct(), list(PAGE), "left_semi")
-    near = wanted.select(*PAGE, "word_no", "x0", "y0", "x1", "y1").join(read, list(PAGE)).where(_touching()).groupBy(*PAGE, "word_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_no", "r_text"))), lambda r: T.alphanumeric(r["r_text"])), "").alias("near"))
+    near = _touching_pairs(wanted.select(*PAGE, "word_no", "x0", "y0", "x1", "y1"), read).groupBy(*PAGE, "word_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_no", "r_text"))), lambda r: T.alphanumeric(r["r_text"])), "").alias("near"))
     judged = wanted.join(near, [*PAGE, "word_no"], "left").withColumn("lost", ~F.contains(F.coalesce("near", F.lit("")), F.col("key")))
     by = Window.partitionBy(*PAGE).orderBy("word_no")
     numbered = judged.withColumn("n", F.row_number().over(by)).where("lost").withColumn("island", F.col("n") - F.row_number().over(by))
@@ -230,11 +259,8 @@ def unrendered_text(glyphs: DataFrame, ocr: DataFrame) -> DataFrame:
 def unextractable_text(glyphs: DataFrame, ocr: DataFrame) -> DataFrame:
     """One row a page with at least UNREAD_RUN confident readings that lie on no word of the file."""
     sure = _read(ocr).where((F.col("conf") >= CONFIDENT) & (T.alphanumeric(F.col("r_text")) != ""))
-    held = words(glyphs, False).select(*(F.col(c).alias(f"w_{c}") for c in PAGE), "x0", "y0", "x1", "y1")
-    on = _touching()
-    for c in PAGE:
-        on = on & (F.col(c) == F.col(f"w_{c}"))
-    lost = sure.join(held, on, "left_anti")
+    on = _touching_pairs(words(glyphs, False).select(*PAGE, "x0", "y0", "x1", "y1"), sure).select(*PAGE, "r_no").distinct()
+    lost = sure.join(on, [*PAGE, "r_no"], "left_anti")
     df = lost.groupBy(*PAGE).agg(F.count("*").alias("k"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_no", "r_text"))), lambda w: w["r_text"]), " ").alias("words")).where(F.col("k") >= UNREAD_RUN)
     summary = F.concat(F.col("k").cast("string"), F.lit(" words were read off a rendering of the page with no text of the file under them; a scan without a text layer looks the same"))
     return findings(df, "ocr", "unextractable-text", CIRCUMSTANTIAL, summary, "", F.col("words"), seq=F.col("page").cast("long") * (1 << 32) + (1 << 31), page=F.col("page"))

@@ -7,7 +7,7 @@ images(file_id, inside, w, h, tw, th).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -75,8 +75,8 @@ def time_conflicts(fields: DataFrame) -> DataFrame:
 
 def copy_conflicts(fields: DataFrame) -> DataFrame:
     """Info dictionary and XMP packet that state one thing differently; times are compared as instants where both are times."""
-    spark: SparkSession = fields.sparkSession
-    pairs = F.broadcast(spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(PAIRS)], "pair int, info string, xmp string"))  # 8 rows
+    listed = F.array(*(F.struct(F.lit(i).alias("pair"), F.lit(a).alias("info"), F.lit(b).alias("xmp")) for i, (a, b) in enumerate(PAIRS)))
+    pairs = F.broadcast(fields.sparkSession.range(1).select(F.inline(listed)))  # an expression: no Python worker starts for it
 
     def first(side: DataFrame, name: str, out: str) -> DataFrame:
         return side.join(pairs, F.col("name") == F.col(name)).groupBy(*KEY, "pair", "info", "xmp").agg(F.min_by(F.struct("value", "role"), "seq").alias(out))

@@ -73,8 +73,10 @@ def _squashed(df: DataFrame, *keep: str) -> DataFrame:
 
 def earlier_revisions(earlier: DataFrame, units: DataFrame) -> DataFrame:
     """Lines of an earlier revision that the document no longer shows, in order, repeats kept."""
-    shown = _squashed(units).select(*KEY, "line").distinct()
-    dropped = _squashed(earlier, "number", "ends_at", "pages").join(shown, [*KEY, "line"], "left_anti")
+    # Lines are compared by 128 bits of hash, so that no text but the earlier revision's moves.
+    name = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
+    shown = _squashed(units).select(*KEY, *name).distinct()
+    dropped = _squashed(earlier, "number", "ends_at", "pages").select("*", *name).join(shown, [*KEY, "h1", "h2"], "left_anti")
     df = dropped.groupBy(*KEY, "number", "ends_at", "pages").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda c: c["line"]), "\n").alias("gone"))
     total = earlier.groupBy(*KEY).agg((F.count("*") + 1).alias("total"))
     df = df.join(total, list(KEY))
