@@ -5,6 +5,12 @@ stage's result as Parquet in the shared folder and reads it again, so a stage's
 lineage ends with its input.  All stages but the last return the columns of
 documents.  SQL cannot express the first stage, so the whole pipeline is tested
 against plain Python instead.
+
+Cases, for every stage: a null text counts as empty and stays null where a stage
+keeps it; null ids are rows of unknown documents; repeated rows are decided alike; a
+very long text is read whole; ties go to the smaller id; an empty table gives an
+empty one; of a table with more columns, or with some of the names that operators
+use themselves, the columns of documents are read and the others ignored.
 """
 
 from __future__ import annotations
@@ -20,13 +26,21 @@ HIT_WORDS = decontamination.WINDOW
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model predicts toxic go; it learns from the labelled ones outside the held-out fold."""
+    """Documents that the toxicity model predicts toxic go; it learns from the labelled ones outside the held-out fold.
+
+    Without labels of both classes, and for texts without words, the score is the share of toxic labels.  Equal rows
+    stay or go together; a null id has no label and is scored like others.
+    """
     model = toxicity.train(docs.where(fold(F.col("doc_id"), 5) != 0), table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a smaller id holds go; the documents stay, with the text and length that are left."""
+    """Lines that a smaller id holds go; the documents stay, with the text and length that are left.
+
+    A null id ranks after all others, and rows of one id count as one document.  A null text comes back as an empty
+    one, and a document that loses all its lines stays as an empty text.
+    """
     kept = line_dedup.dedup(docs, carry=("doc_id", "lang", "source"))
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
@@ -57,13 +71,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with as many words in occurrences of benchmark windows as one window has go, of whatever items they are."""
+    """Documents with as many words in occurrences of benchmark windows as one window has go, of whatever items they are.
+
+    A hit of a shorter item alone is too few words, so common phrases cost no document.  Without a benchmark, and
+    without words, nothing is hit.
+    """
     blocks = decontamination.build(docs, table(spark, sf_dir, "benchmark"))
     return decontamination.contamination(docs, blocks, carry=COLUMNS).where(F.col("n_hit") < HIT_WORDS).select(*COLUMNS)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of what is left: their number, and digests of the ids and of the text decoded from them."""
+    """Tokens of what is left: their number, and digests of the ids and of the text decoded from them.
+
+    A row a document, null ids and repeated rows too; an empty text has no tokens and the digests of nothing.
+    """
     return bpe.encode(docs, bpe.tokenizer_path(), carry=("doc_id", "lang", "source"), want=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
