@@ -59,3 +59,29 @@ def test_null_and_repeated_ids(spark):
         else:
             assert sorted(unnamed, key=str) == sorted([*own, *more, far[5], far[6], None, None, "", ""], key=str)
             assert sorted(kept, key=str) == sorted([*((None, t) for t in unnamed), (2, near), (3, far[2])], key=str)
+
+
+def test_cases_of_every_stage(spark, none, tmp_path):
+    """Null ids and texts, empty and very long texts, repeated rows, clashing names, an empty table and empty side tables."""
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, held_out string, root long, h1 long, digest long, items string, score double, text_ string"
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, "some plain words about a river", "en"), (1, "some plain words about a river", "en"), (None, None, None), (None, "an unknown document of words", "en"), (2, None, "en"), (3, "", None), (4, long, "en"), (5, " \n\n", "en")]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or ""), "z", 1, 1, 1, "q", 0.5, "x") for i, t, lang in rows], ddl).repartition(3)
+    for given, labels in (("full", [(1, 1, 0), (None, 1, 1), (3, 0, None)]), ("none", [])):
+        sf = str(tmp_path / given)
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([(1, None), (None, "w1 w2 w3"), (2, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        for start in (docs, docs.where("false")):
+            now = start
+            for k, (name, stage) in enumerate(C.STAGES):
+                path = f"{sf}/{k}-{start is docs}"
+                stage(spark, now, sf).write.parquet(path)
+                now = spark.read.parquet(path)
+                assert name == "bpe" or now.columns == list(C.COLUMNS)
+            kept = now.collect()
+            if start is not docs:
+                assert not kept
+                continue
+            assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 2, 3, 4, 5] and sum(r.doc_id is None for r in kept) == 2
+            (held,) = [r for r in kept if r.doc_id == 4]
+            assert held.decoded_sha256 == hashlib.sha256(long.encode()).hexdigest()
