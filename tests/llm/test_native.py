@@ -164,6 +164,15 @@ def test_pii_terms_against_plain_python(spark):
         assert own == sorted(based + [h for h in hits if not any(a < h[2] and h[0] < b for a, _, b, _ in based)])
 
 
+def test_pieces_are_the_text_and_cut_no_word(spark):
+    rng = random.Random(2)
+    texts = ["", "x" * 9000, " " * 5000, "a" * 2047 + " b", "a" * 2048 + "b c", " " + "é" * 5000 + "!" * 3000] + ["".join(rng.choice(["a", " ", "\n", "wordé", "x" * 900]) for _ in range(400)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.regexp_extract_all("t", F.lit(P.PIECE), F.lit(0)).alias("p"))
+    for r in df.collect():
+        assert "".join(r.p) == texts[r.i]
+        assert [w for x in r.p for w in re.findall(P.WORD, x)] == re.findall(P.WORD, texts[r.i])
+
+
 def test_many_matches_in_one_text(spark):
     text = "a@b.c 1.2.3.4 " * 20_000
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")

@@ -36,7 +36,7 @@ SUPPORT = 3
 DISCLOSURE = 0.5
 BITS = 4.0
 BROADCAST_TERMS = 200_000
-BLOCK = 256
+BLOCK = 64
 #: Kinds in the order of the result.
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = "A-Za-z0-9._%+-"
@@ -47,6 +47,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_IN_WORD = "[^" + WORD[2:-1]
+#: A text's pieces: up to 2,048 code points that end where no word goes on, or else one long word.
+PIECE = rf"(?s).{{1,2048}}(?!{_IN_WORD})|.{_IN_WORD}*+"
 _PART = r"0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 
 
@@ -183,12 +186,17 @@ def term_spans(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) ->
     n = terms.count()
     if not n:
         return None
-    found = _let(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), lambda words: _let(
-        F.zip_with(F.slice(F.split(text_col, WORD, -1), F.lit(1), F.size(words)), words, lambda g, w: F.struct(F.length(g).alias("gap"), w.alias("word"))),
-        lambda z: F.zip_with(z, running(F.transform(z, lambda x: x["gap"] + F.length(x["word"]))), lambda x, at: F.struct((at + x["gap"]).alias("start"), x["word"].alias("word"))),
-    ))
-    placed = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("of"), F.inline_outer(found)).where(F.col("word").isNotNull()).withColumn("term", F.lower("word"))
-    spans = placed.join(_small(terms, n), "term").select("doc", "of", _span(F.col("start"), F.col("start") + F.length("word"), "term").alias("s"))
+    # Positions are summed up within pieces of bounded length, and only for words that are terms.
+    pieces = _let(F.regexp_extract_all(F.col(text_col), F.lit(PIECE), F.lit(0)), lambda p: F.zip_with(p, running(F.transform(p, F.length)), lambda x, at: F.struct(x.alias("piece"), at.alias("at"))))
+    cut = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("of"), F.inline(pieces))
+    worded = cut.select("doc", "of", "at", F.split("piece", WORD, -1).alias("gaps"), F.regexp_extract_all("piece", F.lit(WORD), F.lit(0)).alias("words"))
+    placed = worded.select("*", F.posexplode_outer("words").alias("i", "word")).where(F.col("word").isNotNull()).withColumn("term", F.lower("word"))
+
+    def lengths(c: str, k: Column) -> Column:
+        return F.aggregate(F.slice(F.col(c), F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x))
+
+    start = F.col("at") + lengths("gaps", F.col("i") + 1) + lengths("words", F.col("i"))
+    spans = placed.join(_small(terms, n), "term").select("doc", "of", _span(start, start + F.length("word"), "term").alias("s"))
     return spans.groupBy("doc", "of").agg(F.collect_set("s").alias("terms"))
 
 
