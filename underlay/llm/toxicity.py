@@ -208,15 +208,37 @@ def _features(evidence: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(n)), evidence / np.sqrt(np.maximum(n, 1))], axis=1)
 
 
-def _shared(reach: list) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sorted words, their shared lower-order probability, and that of any other word."""
-    keys, counts = (np.concatenate([np.frombuffer(r[c], t) for r in reach] or [np.zeros(0, t)]) for c, t in (("key", U64), ("a", np.uint32)))
-    words, at = np.unique(keys, return_inverse=True)
-    contexts = np.bincount(at, counts, len(words))
-    once, twice = (contexts == 1).sum(), (contexts == 2).sum()
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of the buckets' words and contexts."""
+    for batch in batches:
+        for key, n in zip(*(c.to_pylist() for c in batch.columns)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(key, np.int64)), pa.array(np.frombuffer(n, np.uint32).astype(np.int64))], names=["word", "n"])
+
+
+_REACH_DDL = "words long, contexts long, once long, twice long, keys binary, counts binary"
+
+
+def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of a task's words: their sums, and those that stand in two contexts or more."""
+    parts = [[b.column(i).to_numpy() for i in (0, 1)] for b in batches if b.num_rows]
+    if parts:
+        words, n = (np.concatenate(x) for x in zip(*parts))
+        several = n > 1
+        row = [len(n), int(n.sum()), int((n == 1).sum()), int((n == 2).sum()), words[several].tobytes(), n[several].astype(np.uint32).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64()] * 4 + [pa.binary()] * 2)], names=[c.split()[0] for c in _REACH_DDL.split(", ")])
+
+
+def _shared(reach: list, words: np.ndarray) -> tuple[np.ndarray, float]:
+    """Shared lower-order probabilities of words, and that of a word that is not known."""
+    known, total, once, twice = (sum(r[c] for r in reach) for c in ("words", "contexts", "once", "twice"))
     discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
-    rest = discount * len(words) / max(contexts.sum(), 1) / (len(words) + 1)
-    return words, np.maximum(contexts - discount, 0) / max(contexts.sum(), 1) + rest, rest
+    rest = discount * known / max(total, 1) / (known + 1)
+    keys, counts = (np.concatenate([np.frombuffer(r[c], t) for r in reach] or [np.zeros(0, t)]) for c, t in (("keys", U64), ("counts", np.uint32)))
+    order = np.argsort(keys)
+    at, several = _found(keys[order], words)
+    contexts = np.ones(len(words))
+    contexts[several] = counts[order][at[several]]
+    return np.maximum(contexts - discount, 0) / max(total, 1) + rest, rest
 
 
 def _share_factor(excess: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -303,9 +325,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")  # at most 2 * max_documents ids
     p = partitions(docs, 256 << 20)
     blocks = texts.where("not curve").select("toxic", "text").mapInArrow(_count(4 * p), "bucket int, toxic int, before binary, word binary, n binary")
-    counted = blocks.repartition(p, "bucket").groupBy("bucket").applyInArrow(_merge, "kind string, key binary, of binary, a binary, b binary, types binary")
-    rows: dict[str, list] = {"pair": [], "context": [], "word": [], "rest": [], "reach": []}
-    for r in counted.collect():
+    counted = keep(blocks.repartition(p, "bucket").groupBy("bucket").applyInArrow(_merge, "kind string, key binary, of binary, a binary, b binary, types binary"))
+    reach = counted.where("kind = 'reach'").select("key", "a").mapInArrow(_contexts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(_reached, _REACH_DDL).collect()
+    rows: dict[str, list] = {"pair": [], "context": [], "word": [], "rest": []}
+    for r in counted.where("kind <> 'reach'").collect():
         rows[r["kind"]].append(r)
     words, _, n, _ = _gathered(rows["word"])
     contexts, _, h, followers = _gathered(rows["context"])
@@ -314,11 +337,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = totals[1] / totals.sum()
     x = _excess(n, share)
     factor = _share_factor(x, totals[:, None] * n.sum(axis=0) / totals.sum())
-    every, lower, rest = _shared(rows["reach"])
-    at, _ = _found(every, words)
+    lower, rest = _shared(reach, words)
     # Each class's words, the unchanged ones and any other word included, sum to one.
-    whole = 1 + ((factor - 1) * lower[at]).sum(axis=1)
-    word = factor * lower[at] / whole[:, None]
+    whole = 1 + ((factor - 1) * lower).sum(axis=1)
+    word = factor * lower / whole[:, None]
     total = h.sum(axis=0)
     at, _ = _found(contexts, of)
     # A context holds its bigrams' counts, so each bigram that two documents hold has its context among the kept.
