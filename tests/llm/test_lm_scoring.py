@@ -44,6 +44,20 @@ def test_filter_gives_back_levels():
     assert not L.probe_filter(bits, m, k, keys[:0]).size
 
 
+def test_segments_laid_end_to_end_answer_like_each(docs):
+    model = L.train(docs)
+    rows = model.parts.where("ngram = 2").orderBy("bucket").collect()
+    pairs = np.unique(np.random.default_rng(8).integers(0, 1 << 63, 5000).astype(np.uint64))
+    cuts = np.searchsorted(L.bucket_of(pairs, model.buckets), np.arange(model.buckets + 1))
+    for some in (rows, rows[1:], rows[::3]):
+        got, want = np.zeros(len(pairs), np.uint8), np.zeros(len(pairs), np.uint8)
+        L.Segments(some).levels(pairs, cuts, got)
+        for r in some:
+            own = slice(cuts[r.bucket], cuts[r.bucket + 1])
+            want[own] = L.probe_filter(np.frombuffer(r.payload, np.uint8), r.m, r.k, pairs[own] & L.LOW40)
+        assert (got == want).all()
+
+
 def test_score_against_brute_force(docs, texts):
     """With so many bits that the filter has no false positives."""
     got = L.score(docs, L.train(docs, bits_per_entry=60)).collect()

@@ -90,8 +90,8 @@ def probes(keys: np.ndarray, level: int, m: int, k: int) -> Iterator[np.ndarray]
         h = h + step
 
 
-def hash_functions(m: int, entries: int) -> int:
-    return max(1, min(8, round(0.69 * m / max(entries, 1))))
+def hash_functions(bits_per_entry: float) -> int:
+    return max(1, min(8, round(0.69 * bits_per_entry)))
 
 
 def build_filter(keys: np.ndarray, counts: np.ndarray, bits_per_entry: float) -> tuple[np.ndarray, int, int]:
@@ -101,7 +101,7 @@ def build_filter(keys: np.ndarray, counts: np.ndarray, bits_per_entry: float) ->
     m = max(64, int(entries * bits_per_entry) + 1)
     if m >> 32:
         raise OverflowError("a segment has places for 2**32 bits; train with more partitions")
-    k = hash_functions(m, entries)
+    k = hash_functions(bits_per_entry)
     bits = np.zeros(m, bool)
     level = 1
     while len(keys):
@@ -113,25 +113,47 @@ def build_filter(keys: np.ndarray, counts: np.ndarray, bits_per_entry: float) ->
     return np.packbits(bits, bitorder="little"), m, k
 
 
-def probe_filter(bits: np.ndarray, m: int, k: int, keys: np.ndarray) -> np.ndarray:
-    """The level found for each key; 0: absent."""
+def probe_filter(bits: np.ndarray, m: np.ndarray | int, k: int, keys: np.ndarray, base: np.ndarray | int = 0) -> np.ndarray:
+    """The level found for each key; 0: absent.  m and base: the size of the key's segment and where it begins, in bits."""
     out = np.zeros(len(keys), np.uint8)
     alive = np.arange(len(keys))
+    sizes, bases = (np.broadcast_to(np.asarray(x, U64), len(keys)) for x in (m, base))
     for level in range(1, MAX_LEVEL):
-        at_level = keys[alive]
+        at_level, size, begin = keys[alive], sizes[alive], bases[alive]
         for i in range(k):
             h = K.mix(at_level + U64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
             if i:
                 h = h + (K.mix(h) | U64(1)) * U64(i)
-            at = (h >> U64(32)) * U64(m) >> U64(32)
+            at = ((h >> U64(32)) * size >> U64(32)) + begin
             hit = (bits[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1 > 0
-            alive, at_level = alive[hit], at_level[hit]
+            alive, at_level, size, begin = alive[hit], at_level[hit], size[hit], begin[hit]
             if not len(alive):
                 return out
         out[alive] = level
     return out
 
 
+class Segments:
+    """Filter segments of neighbouring buckets laid end to end, so that one pass probes all of them."""
+
+    def __init__(self, rows: list):
+        self.first, self.past, self.k = rows[0]["bucket"], rows[-1]["bucket"] + 1, rows[0]["k"]
+        sizes = [len(r["payload"]) for r in rows]
+        self.bits = np.frombuffer(b"".join(r["payload"] for r in rows), np.uint8)
+        self.m, self.base = np.ones(self.past - self.first, U64), np.zeros(self.past - self.first, U64)
+        own = np.array([r["bucket"] - self.first for r in rows])
+        self.m[own], self.base[own] = [r["m"] for r in rows], 8 * (np.cumsum(sizes) - sizes)
+        self.empty = np.ones(self.past - self.first, bool)
+        self.empty[own] = False
+
+    def levels(self, pairs: np.ndarray, cuts: np.ndarray, out: np.ndarray) -> None:
+        """Writes the levels of those pairs that are in these buckets; cuts: where each bucket's pairs begin."""
+        own = slice(cuts[self.first], cuts[self.past])
+        bucket = np.repeat(np.arange(self.past - self.first), np.diff(cuts[self.first : self.past + 1]))
+        found = probe_filter(self.bits, self.m[bucket], self.k, pairs[own] & LOW40, self.base[bucket])
+        out[own] = np.where(self.empty[bucket], 0, found)
+
+
 def _counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, with the sum of their counts."""
     if counts is None:
@@ -346,7 +368,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[st
 def _by_broadcast(text: DataFrame, model: Model, k: int, numbers: tuple, ddl: str) -> DataFrame:
     sc = text.sparkSession.sparkContext
     vocabulary = [sc.broadcast(_vocabulary([(r["payload"], r["n"]) for r in g])) for g in _groups(model.parts, 1)]
-    filters = [sc.broadcast([(r["bucket"], r["m"], r["k"], np.frombuffer(r["payload"], np.uint8)) for r in g]) for g in _groups(model.parts, 2)]
+    filters = [sc.broadcast(Segments(g)) for g in _groups(model.parts, 2)]
     buckets = model.buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,9 +380,7 @@ def _by_broadcast(text: DataFrame, model: Model, k: int, numbers: tuple, ddl: st
                     seen = np.maximum(seen, _known(asked.types, keys, known))
                 level = np.zeros(len(asked.pairs), np.uint8)
                 for group in _held(filters):
-                    for b, m, h, bits in group:
-                        own = slice(*asked.cuts[1][b : b + 2])
-                        level[own] = probe_filter(bits, m, h, asked.pairs[own] & LOW40)
+                    group.levels(asked.pairs, asked.cuts[1], level)
                 yield _with_scores(batch.slice(lo, hi - lo).select(range(k)), asked.scores(seen, level, numbers))
 
     return text.mapInArrow(run, ddl)
