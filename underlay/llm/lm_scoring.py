@@ -45,7 +45,7 @@ from . import kernel as K
 from .common import fold, keep, partitions, table
 
 U64 = np.uint64
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 BROADCAST_BYTES = 256 << 20
 SCORED_BYTES = 4 << 20
 FLUSH_TOKENS = 1_500_000
