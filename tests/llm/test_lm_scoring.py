@@ -99,6 +99,22 @@ def test_both_ways_to_the_model_agree(docs, none):
     assert L.score(none, model, max_broadcast_bytes=0).count() == 0
 
 
+def test_blocks_ask_ranges_of_buckets(docs, monkeypatch):
+    """A block asks with a row a range of the model, not with two a bucket; neither ranges, blocks nor passes change a score."""
+    real, made = type(docs).mapInArrow, []
+    with monkeypatch.context() as m:
+        m.setattr(L, "partitions", lambda *_: 32)
+        model = L.train(docs.where("doc_id % 3 <> 0"))
+    carry = ("doc_id", "text")
+    want = sorted(map(str, L.score(docs, model, carry=carry).collect()))
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
+    assert model.buckets == 256 and sorted(map(str, L.score(docs, model, carry=carry, max_broadcast_bytes=0).collect())) == want
+    assert made[0].count() <= 5 * 2
+    for name, size in (("RANGE_BYTES", 3000), ("ASKED_BYTES", 2000), ("ANSWERED_KEYS", 50), ("RANGE_BYTES", 1)):
+        monkeypatch.setattr(L, name, size)
+        assert sorted(map(str, L.score(docs, model, carry=carry, max_broadcast_bytes=0).collect())) == want
+
+
 def test_groups_of_segments_change_nothing(docs, monkeypatch):
     model = L.train(docs)
     whole = {tuple(r) for r in L.score(docs, model).collect()}

@@ -13,8 +13,9 @@ an entry has the same bits at every size.  Token counts are exact and dealt into
 same buckets.  A model of at most ``max_broadcast_bytes`` is broadcast in groups of
 at most GROUP_BYTES, of which a task holds one at a time.  Of a larger one nothing
 goes to the driver: each block of documents sends its distinct tokens and bigrams to
-their buckets, is answered from the segment there, and is put together again by
-block.  Both ways give the same scores.
+ranges of buckets, one row a range of about RANGE_BYTES of the model, is answered in
+passes over many blocks' rows as they stream by the range's segments, and is put
+together again by block.  Both ways give the same scores.
 
 Model: P(w|h) = (1-u) * min(2**(q-1), c(h), c(w)) / c(h) + u * (c(w)+1)/(N+V+1),
 where u, the mass of unseen bigrams, is the Good-Turing estimate (bigrams seen
@@ -32,6 +33,7 @@ empty table to score gives an empty result.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,12 +44,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import fold, keep, partitions, table
+from .common import fold, forget, keep, partitions, table
 
 U64 = np.uint64
 GROUP_BYTES = 8 << 20
 BROADCAST_BYTES = 256 << 20
 SCORED_BYTES = 4 << 20
+ASKED_BYTES = 8 << 20
+RANGE_BYTES = 1 << 20
+ANSWERED_KEYS = 1_000_000
 FLUSH_TOKENS = 1_500_000
 MERGED_ENTRIES = 1_000_000
 LOW40 = U64((1 << 40) - 1)
@@ -136,8 +141,8 @@ def probe_filter(bits: np.ndarray, m: np.ndarray | int, k: int, keys: np.ndarray
 class Segments:
     """Filter segments of neighbouring buckets laid end to end, so that one pass probes all of them."""
 
-    def __init__(self, rows: list):
-        self.first, self.past, self.k = rows[0]["bucket"], rows[-1]["bucket"] + 1, rows[0]["k"]
+    def __init__(self, rows: list, first: int | None = None, past: int | None = None):
+        self.first, self.past, self.k = rows[0]["bucket"] if first is None else first, rows[-1]["bucket"] + 1 if past is None else past, rows[0]["k"]
         sizes = [len(r["payload"]) for r in rows]
         self.bits = np.frombuffer(b"".join(r["payload"] for r in rows), np.uint8)
         self.m, self.base = np.ones(self.past - self.first, U64), np.zeros(self.past - self.first, U64)
@@ -150,8 +155,11 @@ class Segments:
         """Writes the levels of those pairs that are in these buckets; cuts: where each bucket's pairs begin."""
         own = slice(cuts[self.first], cuts[self.past])
         bucket = np.repeat(np.arange(self.past - self.first), np.diff(cuts[self.first : self.past + 1]))
-        found = probe_filter(self.bits, self.m[bucket], self.k, pairs[own] & LOW40, self.base[bucket])
-        out[own] = np.where(self.empty[bucket], 0, found)
+        out[own] = self.found(pairs[own] & LOW40, bucket)
+
+    def found(self, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """The levels of keys; bucket: of each, counted from the first."""
+        return np.where(self.empty[bucket], 0, probe_filter(self.bits, self.m[bucket], self.k, keys, self.base[bucket]))
 
 
 def _counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -173,6 +181,17 @@ _BLOCK_DDL = "bucket int, ngram tinyint, keys binary, counts binary"
 _PART_DDL = "bucket int, ngram tinyint, n long, total long, once long, m long, k int, payload binary"
 
 
+def _narrow(keys: np.ndarray) -> np.ndarray:
+    """The lower 40 bits of each key, as 5 bytes."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def _wide(raw: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = raw.reshape(-1, 5)
+    return wide.view(U64).ravel()
+
+
 def _count_blocks(buckets: int):
     def flush(tokens: list[np.ndarray], pairs: list[np.ndarray]) -> pa.RecordBatch:
         out: dict[str, list] = {"bucket": [], "ngram": [], "keys": [], "counts": []}
@@ -183,7 +202,7 @@ def _count_blocks(buckets: int):
                 lo, hi = cuts[b], cuts[b + 1]
                 if lo < hi:
                     raw = keys[lo:hi]
-                    raw = raw.tobytes() if order == 1 else raw.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+                    raw = raw.tobytes() if order == 1 else _narrow(raw).tobytes()
                     out["bucket"].append(b)
                     out["ngram"].append(order)
                     out["keys"].append(raw)
@@ -210,13 +229,7 @@ def _count_blocks(buckets: int):
 def _entries(part: pa.Table, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for raw, counts in zip(part["keys"], part["counts"]):
         raw = np.frombuffer(raw.as_buffer(), np.uint8)
-        if order == 1:
-            keys = raw.view(U64)
-        else:
-            wide = np.zeros((len(raw) // 5, 8), np.uint8)
-            wide[:, :5] = raw.reshape(-1, 5)
-            keys = wide.view(U64).ravel()
-        yield keys, np.frombuffer(counts.as_buffer(), np.uint32)
+        yield raw.view(U64) if order == 1 else _wide(raw), np.frombuffer(counts.as_buffer(), np.uint32)
 
 
 def _merged(blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -386,62 +399,147 @@ def _by_broadcast(text: DataFrame, model: Model, k: int, numbers: tuple, ddl: st
     return text.mapInArrow(run, ddl)
 
 
-_ASK_DDL = "bucket int, block long, ngram tinyint, data binary"
-_ASK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("ngram", pa.int8()), ("data", pa.binary())])
+#: Rows of a range, in this order: counts of tokens (x), filter segments (x, m, k), what blocks ask (x: tokens, y: bigrams a bucket, z: bigrams), documents of blocks (x).
+COUNTS, SEGMENT, ASKS, DOCUMENTS = range(4)
+_ASK = pa.schema([("range", pa.int32()), ("kind", pa.int8()), ("id", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
+_ASK_DDL = "range int, kind tinyint, id long, x binary, y binary, z binary"
+_ANSWER = pa.schema([("block", pa.int64()), ("range", pa.int32()), ("x", pa.binary()), ("z", pa.binary())])
+_ANSWER_DDL = "block long, range int, x binary, z binary"
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that lie end to end in data; ends: where each begins, in bytes, and the last ends."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a binary column."""
+    col = col.cast(pa.large_binary())
+    data = col.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], k: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows in blocks of about limit bytes of text, whatever the size of the batches."""
+    held, size = [], 0
+    for batch in batches:
+        for lo, hi, data, _ in K.chunks(batch.column(k), limit):
+            held.append(batch.slice(lo, hi - lo))
+            size += len(data)
+            if size >= limit:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _asked(block: pa.RecordBatch, k: int, buckets: int) -> Asked:
+    ((_, _, data, offsets),) = K.chunks(block.column(k), 1 << 62)
+    return Asked(data, offsets, buckets)
+
+
+class _Range:
+    """The part of the model in a range of buckets."""
+
+    def __init__(self, first: int, past: int, counts: list[bytes], segments: list[dict]):
+        self.width = past - first
+        self.vocabulary = _vocabulary([(x, len(x) // 16) for x in counts])
+        self.segments = Segments(segments, first, past) if segments else None
+
+    def answers(self, types: np.ndarray, per_bucket: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of types and levels of pairs; per_bucket: pairs of each bucket, one block after the other."""
+        bucket = np.repeat(np.arange(len(per_bucket)) % self.width, per_bucket)
+        levels = self.segments.found(pairs, bucket) if self.segments else np.zeros(len(pairs), np.uint8)
+        return _known(types, *self.vocabulary), levels.astype(np.uint8)
+
+
+def _answer(edges: np.ndarray):
+    """Over rows sorted by range and kind, answers those that ask and hands on documents; edges: the first bucket of each range."""
+
+    def asks(rows: pa.RecordBatch, of: _Range) -> Iterator[pa.RecordBatch]:
+        (types, t), (per_bucket, b), (pairs, p) = (_flat(rows[c]) for c in ("x", "y", "z"))
+        per_bucket = per_bucket[b[0] : b[-1]].view(np.uint32).reshape(rows.num_rows, of.width)
+        lo = 0
+        while lo < rows.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(t // 8 + p // 5, t[lo] // 8 + p[lo] // 5 + ANSWERED_KEYS, "right")) - 1)
+            known, levels = of.answers(types[t[lo] : t[hi]].view(U64), per_bucket[lo:hi].ravel(), _wide(pairs[p[lo] : p[hi]]))
+            part = rows.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([part["id"], part["range"], _binary(known.view(np.uint8), t[lo : hi + 1] - t[lo]), _binary(levels, (p[lo : hi + 1] - p[lo]) // 5)], schema=_ANSWER)
+            lo = hi
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, counts, segments, model = -1, [], [], None
+        for batch in batches:
+            group = batch["range"].to_numpy().astype(np.int64) * 4 + batch["kind"].to_numpy()
+            cuts = [0, *(1 + np.flatnonzero(group[1:] != group[:-1])).tolist(), len(group)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                rows, (r, kind) = batch.slice(lo, hi - lo), divmod(int(group[lo]), 4)
+                if r != at:
+                    at, counts, segments, model = r, [], [], None
+                if kind == COUNTS:
+                    counts += rows["x"].to_pylist()
+                elif kind == SEGMENT:
+                    segments += [{"bucket": b, "m": m, "k": n, "payload": x} for b, m, n, x in zip(*(rows[c].to_pylist() for c in ("id", "m", "k", "x")))]
+                elif kind == ASKS:
+                    model = model or _Range(int(edges[r]), int(edges[r + 1]), counts, segments)
+                    yield from asks(rows, model)
+                else:
+                    for i in range(rows.num_rows):
+                        yield pa.RecordBatch.from_arrays([rows["id"][i : i + 1], pa.array([-1], pa.int32()), rows["x"][i : i + 1], pa.nulls(1, pa.binary())], schema=_ANSWER)
+
+    return run
 
 
 def _by_bucket(text: DataFrame, model: Model, k: int, numbers: tuple, ddl: str) -> DataFrame:
-    """A block's row of bucket -1 holds its documents; the others ask a bucket, and come back with answers in the order asked."""
-    buckets = model.buckets
+    """Blocks of documents ask the ranges of buckets.  A block's documents take the same way, so that no text is read or put into blocks twice.
+
+    A task that is run again must make the same blocks: what has no fixed order of rows is stored first.
+    """
+    if "Exchange" in text._jdf.queryExecution().executedPlan().toString():
+        text = keep(text)
+    buckets, ranges = model.buckets, max(1, min(model.buckets, -(-model.bytes // RANGE_BYTES)))
+    edges = -(-np.arange(ranges + 1) * buckets // ranges)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            for lo, hi, data, offsets in K.chunks(batch.column(k), SCORED_BYTES):
-                asked = Asked(data, offsets, buckets)
-                rows = [(-1, 0, _packed(batch.slice(lo, hi - lo)))]
-                for ngram, keys in ((1, asked.types), (2, asked.pairs)):
-                    cuts = asked.cuts[ngram - 1]
-                    rows += [(b, ngram, keys[cuts[b] : cuts[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(cuts)).tolist()]
-                yield K.rows(_ASK, bucket=[r[0] for r in rows], block=[task + n] * len(rows), ngram=[r[1] for r in rows], data=[r[2] for r in rows])
-                n += 1
-
-    def answer(asks: pa.Table, parts: pa.Table) -> pa.Table:
-        held = {r["ngram"]: r for r in parts.to_pylist()}
-        out = []
-        for ngram, data in zip(asks["ngram"].to_pylist(), asks["data"]):
-            keys = np.frombuffer(data.as_buffer(), U64)
-            part = held.get(ngram)
-            if ngram == 1:
-                found = _known(keys, *_vocabulary([(part["payload"], part["n"])] if part else []))
-            else:
-                found = probe_filter(np.frombuffer(part["payload"], np.uint8), part["m"], part["k"], keys & LOW40) if part else np.zeros(len(keys), np.uint8)
-            out.append(found.tobytes())
-        return asks.select(["bucket", "block", "ngram"]).append_column("data", pa.array(out, pa.binary()))
+        task = TaskContext.get().partitionId() << 32
+        for n, block in enumerate(_blocks(batches, k, ASKED_BYTES)):
+            asked = _asked(block, k, buckets)
+            t, p = (cuts[edges] for cuts in asked.cuts)
+            own = (np.diff(t) > 0) | (np.diff(p) > 0)
+            per_bucket = _binary(np.diff(asked.cuts[1]).astype(np.uint32).view(np.uint8), 4 * edges)
+            columns = [pa.array(np.arange(ranges, dtype=np.int32)), pa.array(np.full(ranges, ASKS, np.int8)), pa.array(np.full(ranges, task + n)), _binary(asked.types.view(np.uint8), 8 * t), per_bucket, _binary(_narrow(asked.pairs), 5 * p)]
+            yield pa.RecordBatch.from_arrays(columns, schema=_ASK).filter(pa.array(own))
+            yield K.rows(_ASK, range=[n % ranges], kind=[DOCUMENTS], id=[task + n], x=[_packed(block)], y=[None], z=[None])
 
     def finish(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("ngram", "ascending"), ("bucket", "ascending")]).to_pylist()
-        batch = _unpacked(rows[0]["data"])
-        ((_, _, data, offsets),) = K.chunks(batch.column(k), 1 << 62)
-        asked = Asked(data, offsets, buckets)
-        seen, level = (np.frombuffer(b"".join(r["data"] for r in rows if r["ngram"] == g), t) for g, t in ((1, np.int64), (2, np.uint8)))
-        return pa.Table.from_batches([_with_scores(batch.select(range(k)), asked.scores(seen, level, numbers))])
-
-    p = partitions(text)
-    asks = keep(text.mapInArrow(ask, _ASK_DDL))
-    parts = model.parts.select("bucket", "ngram", "n", "m", "k", "payload").repartition(p, "bucket").groupBy("bucket")
-    answers = asks.where("bucket >= 0").select(*(F.col(c).alias(c) for c in _ASK.names)).repartition(p, "bucket").groupBy("bucket").cogroup(parts).applyInArrow(answer, _ASK_DDL)
-    return asks.where("bucket < 0").unionAll(answers).repartition(p, "block").groupBy("block").applyInArrow(finish, ddl)
+        rows = rows.sort_by("range")
+        block = _unpacked(rows["x"][0].as_buffer())
+        seen, level = (np.frombuffer(b"".join(rows[c][1:].to_pylist()), t) for c, t in (("x", np.int64), ("z", np.uint8)))
+        return pa.Table.from_batches([_with_scores(block.select(range(k)), _asked(block, k, buckets).scores(seen, level, numbers))])
+
+    # The blocks that training shuffled are needed no more; without collect() Python's DataFrames would hold on to them.
+    gc.collect()
+    forget(text.sparkSession)
+    p = partitions(text, 16 << 20)
+    of_model = model.parts.select(
+        F.expr(f"int(bigint(bucket) * {ranges} div {buckets})").alias("range"), F.when(F.col("ngram") == 1, COUNTS).otherwise(SEGMENT).cast("tinyint").alias("kind"), F.col("bucket").cast("long").alias("id"),
+        F.col("payload").alias("x"), F.lit(None).cast("binary").alias("y"), F.lit(None).cast("binary").alias("z"), "m", "k",
+    )
+    asks = text.mapInArrow(ask, _ASK_DDL).select("*", F.lit(None).cast("long").alias("m"), F.lit(None).cast("int").alias("k"))
+    answers = of_model.unionAll(asks).repartition(p, "range").sortWithinPartitions("range", "kind", "id").mapInArrow(_answer(edges), _ANSWER_DDL)
+    return answers.repartition(p, "block").groupBy("block").applyInArrow(finish, ddl)
 
 
 def _packed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
-def _unpacked(data: bytes) -> pa.RecordBatch:
+def _unpacked(data: pa.Buffer) -> pa.RecordBatch:
     return pa.ipc.open_stream(data).read_next_batch()
 
 
