@@ -112,7 +112,11 @@ def test_blocks_ask_ranges_of_buckets(docs, monkeypatch):
     assert made[0].count() <= 5 * 2
     for name, size in (("RANGE_BYTES", 3000), ("ASKED_BYTES", 2000), ("ANSWERED_KEYS", 50), ("RANGE_BYTES", 1)):
         monkeypatch.setattr(L, name, size)
+        made.clear()
         assert sorted(map(str, L.score(docs, model, carry=carry, max_broadcast_bytes=0).collect())) == want
+    # Documents go with all ranges, not with the first ones of each task.
+    at = [r.range for r in made[0].where(F.col("kind") == L.DOCUMENTS).collect()]
+    assert len(set(at)) > 0.5 * min(len(at), model.buckets)
 
 
 def test_groups_of_segments_change_nothing(docs, monkeypatch):

@@ -511,7 +511,7 @@ def _by_bucket(text: DataFrame, model: Model, k: int, numbers: tuple, ddl: str)
             per_bucket = _binary(np.diff(asked.cuts[1]).astype(np.uint32).view(np.uint8), 4 * edges)
             columns = [pa.array(np.arange(ranges, dtype=np.int32)), pa.array(np.full(ranges, ASKS, np.int8)), pa.array(np.full(ranges, task + n)), _binary(asked.types.view(np.uint8), 8 * t), per_bucket, _binary(_narrow(asked.pairs), 5 * p)]
             yield pa.RecordBatch.from_arrays(columns, schema=_ASK).filter(pa.array(own))
-            yield K.rows(_ASK, range=[n % ranges], kind=[DOCUMENTS], id=[task + n], x=[_packed(block)], y=[None], z=[None])
+            yield K.rows(_ASK, range=[int(K.mix(np.array([task + n], U64))[0]) % ranges], kind=[DOCUMENTS], id=[task + n], x=[_packed(block)], y=[None], z=[None])
 
     def finish(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("range")
