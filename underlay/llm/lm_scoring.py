@@ -34,6 +34,7 @@ empty table to score gives an empty result.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -520,7 +521,9 @@ def _by_bucket(text: DataFrame, model: Model, k: int, numbers: tuple, ddl: str)
         return pa.Table.from_batches([_with_scores(block.select(range(k)), _asked(block, k, buckets).scores(seen, level, numbers))])
 
     # The blocks that training shuffled are needed no more; without collect() Python's DataFrames would hold on to them.
+    # Py4J tells the JVM what Python has let go in a thread that may sleep for a second in between.
     gc.collect()
+    time.sleep(2)
     forget(text.sparkSession)
     p = partitions(text, 16 << 20)
     of_model = model.parts.select(
