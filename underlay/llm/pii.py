@@ -5,7 +5,9 @@ Around each entity the corpus is read for terms: a term and an entity meet once
 for every distinct window that holds both.  A window reaches REACH code points to
 both sides of the entity, over the ends of its line into the lines beside it; copies
 of one count once.  For terms that meet one entity at least SUPPORT times, the
-distinct lines of the whole corpus that hold the term are counted.
+distinct lines of the whole corpus that hold the term are counted; before that, of
+one line in SAMPLE by hash, and a term that those alone put below a threshold is left
+out.  No term that would reach it is.
 A term t discloses an entity e if P(e|t) = c(t,e) / c(t), at most 1, reaches
 DISCLOSURE and the information gained, log2 of P(e|t) / P(e), reaches BITS (P(e) is
 the share of the corpus's lines that hold windows of e).  Every occurrence of such
@@ -37,6 +39,8 @@ DISCLOSURE = 0.5
 BITS = 4.0
 BROADCAST_TERMS = 200_000
 BLOCK = 64
+#: One in so many distinct lines is counted first.
+SAMPLE = 16
 #: Kinds in the order of the result.
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = "A-Za-z0-9._%+-"
@@ -147,6 +151,15 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_TERMS else df
 
 
+def held_by(text: DataFrame, terms: DataFrame, n: int, one_in: int = 1) -> DataFrame:
+    """Of each of the n terms, the distinct lines that hold it: of all lines, or of those whose hash one_in divides."""
+    lines = text.select(F.explode_outer(F.split("text", "\n", -1)).alias("line")).select(F.xxhash64("line").alias("of"), "line")
+    if one_in > 1:
+        lines = lines.where(F.pmod("of", F.lit(one_in)) == 0)
+    words = lines.select("of", F.explode_outer(_terms(F.col("line"))).alias("term"))
+    return _small(words.join(_small(terms, n), "term").distinct().groupBy("term").agg(F.count("*").alias("held")), n)
+
+
 def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE, bits: float = BITS) -> DataFrame:
     """term, entity, met (c(t,e)), held (c(t)), disclosure and bits of all terms over the thresholds."""
     text = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
@@ -168,16 +181,24 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUP
     met = keep(met)
     terms = keep(met.select("term").distinct())
     n = terms.count()
-    empty = met.select("term", "entity", "met", F.lit(0).cast("long").alias("held"), F.lit(0.0).alias("disclosure"), F.lit(0.0).alias("bits"))
+    empty = met.where(F.lit(False)).select("term", "entity", "met", F.lit(0).cast("long").alias("held"), F.lit(0.0).alias("disclosure"), F.lit(0.0).alias("bits"))
     if not n:
         return empty
-    words = text.select(F.explode_outer(F.split("text", "\n", -1)).alias("line")).select(F.xxhash64("line").alias("of"), F.explode_outer(_terms(F.col("line"))).alias("term"))
-    held = words.join(_small(terms, n), "term").distinct().groupBy("term").agg(F.count("*").alias("held"))
     total = text.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0]
     of_entity = near.select("entity", "of").distinct().groupBy("entity").agg(F.count("*").alias("lines"))
-    rated = met.join(held, "term").join(of_entity, "entity").withColumn("disclosure", F.least(F.col("met") / F.col("held"), F.lit(1.0)))
-    rated = rated.withColumn("bits", F.log2(F.col("disclosure") * F.lit(float(total)) / F.col("lines")))
-    return keep(rated.where((F.col("disclosure") >= disclosure) & (F.col("bits") >= bits)).select("term", "entity", "met", "held", "disclosure", "bits"))
+
+    def rated(pairs: DataFrame, held: DataFrame, how: str) -> DataFrame:
+        r = pairs.join(held, "term", how).withColumn("disclosure", F.least(F.col("met") / F.greatest(F.coalesce("held", F.lit(0)), F.lit(1)), F.lit(1.0)))
+        r = r.withColumn("bits", F.log2(F.col("disclosure") * F.lit(float(total)) / F.col("lines")))
+        return r.where((F.col("disclosure") >= disclosure) & (F.col("bits") >= bits))
+
+    # Some of the lines hold a term at most as often as all do, so what they rate too low is too low; frequent words go here.
+    likely = keep(rated(met.join(of_entity, "entity"), held_by(text, terms, n, SAMPLE), "left").select("term", "entity", "met", "lines"))
+    terms = keep(likely.select("term").distinct())
+    n = terms.count()
+    if not n:
+        return empty
+    return keep(rated(likely, held_by(text, terms, n), "inner").select("term", "entity", "met", "held", "disclosure", "bits"))
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
