@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import fold, keep, partitions, table
+from .common import fold, keep, partitions, stored, table
 
 U64 = np.uint64
 MAX_DOCUMENTS = 8_000
@@ -321,8 +321,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for c in (0, 1):
         part = marked.where(F.col("toxic") == c).select("id", "toxic", "of").orderBy("of", "id").limit(max_documents)
         picked = part if picked is None else picked.unionByName(part)
-    picked = keep(picked.select("id", "toxic", (F.pmod("of", F.lit(5)) == 0).alias("curve")))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")  # at most 2 * max_documents ids
+    picked = keep(picked.select("id", "toxic", "of", (F.pmod("of", F.lit(5)) == 0).alias("curve")))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("of", F.xxhash64("text"))
+    # A row for each picked text, however often an id repeats it, and however many other texts the id has.
+    texts = texts.join(F.broadcast(picked), ["id", "of"]).groupBy("id", "of", "toxic", "curve").agg(F.min("text").alias("text"))  # at most 2 * max_documents rows
+    texts = stored(texts, "training")
     p = partitions(docs, 256 << 20)
     blocks = texts.where("not curve").select("toxic", "text").mapInArrow(_count(4 * p), "bucket int, toxic int, before binary, word binary, n binary")
     counted = keep(blocks.repartition(p, "bucket").groupBy("bucket").applyInArrow(_merge, "kind string, key binary, of binary, a binary, b binary, types binary"))
