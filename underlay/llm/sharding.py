@@ -107,38 +107,40 @@ def _share(draw: Column, parts: int) -> Column:
 
 
 def shard(rows: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFrame:
-    """rows with two more columns: shard, and slot, which runs from 0 without gaps in each shard."""
+    """rows' columns, then shard, and slot, which runs from 0 without gaps in each shard.  Columns of rows that have these two names are left out."""
     spark = rows.sparkSession
-    drawn = stored(rows.withColumn("draw_", F.xxhash64(F.lit(seed), *rows.columns, F.monotonically_increasing_id())), "draws")
+    # A row is one struct from here on, so that none of its names meets one of this plan's.
+    packed = rows.select(F.struct(*(rows[f"`{c.replace('`', '``')}`"] for c in rows.columns if c.lower() not in ("shard", "slot"))).alias("row"))
+    drawn = stored(packed.select("row", F.xxhash64(F.lit(seed), "row", F.monotonically_increasing_id()).alias("draw")), "draws")
     n, p = drawn.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     large = partitions(rows, BLOCK_BYTES)
     blocks = int(min(max(-(-n // BLOCK_ROWS), 4 * p, large), MAX_BLOCKS))
     cells = int(min(max(-(-n // (shards * BLOCK_ROWS)), -(-4 * p // shards), -(-large // shards)), MAX_BLOCKS))
-    dealt = drawn.withColumn("block_", _share(F.shiftright("draw_", 32), blocks))
-    counts = {r["block_"]: r["n"] for r in dealt.groupBy("block_").agg(F.count("*").alias("n")).collect()}  # at most MAX_BLOCKS rows
+    dealt = drawn.withColumn("block", _share(F.shiftright("draw", 32), blocks))
+    counts = {r["block"]: r["n"] for r in dealt.groupBy("block").agg(F.count("*").alias("n")).collect()}  # at most MAX_BLOCKS rows
     present = sorted(counts)
     matrix = communication_matrix([counts[b] for b in present], shard_sizes(n, shards, seed), seed)
     bounds = [(b, [int(x) for x in np.cumsum(m)]) for b, m in zip(present, matrix)]
-    cuts = rows_of(spark, bounds or [(0, [0])], "block_ int, until_ array<bigint>")  # blocks * shards numbers
-    local = Window.partitionBy("block_").orderBy("draw_", _mixed(seed + 1, "draw_"))
+    cuts = rows_of(spark, bounds or [(0, [0])], "block int, until array<bigint>")  # blocks * shards numbers
+    local = Window.partitionBy("block").orderBy("draw", _mixed(seed + 1, "draw"))
 
     def sent(df: DataFrame) -> DataFrame:
         """The permuted blocks, cut; a cell is a range of the second hash, so that cells in order make one permutation of the shard."""
-        ranked = df.withColumn("rank_", F.row_number().over(local).cast("long")).join(F.broadcast(cuts), "block_")
-        placed = ranked.withColumn("shard", F.size(F.filter("until_", lambda x: x < F.col("rank_"))).cast("int")).drop("block_", "rank_", "until_")
-        return placed.withColumn("again_", _mixed(seed + 2, "draw_")).withColumn("cell_", _share(F.col("again_"), cells))
+        ranked = df.withColumn("rank", F.row_number().over(local).cast("long")).join(F.broadcast(cuts), "block")
+        placed = ranked.withColumn("shard", F.size(F.filter("until", lambda x: x < F.col("rank"))).cast("int")).drop("block", "rank", "until")
+        return placed.withColumn("again", _mixed(seed + 2, "draw")).withColumn("cell", _share(F.col("again"), cells))
 
     # The cells' sizes follow from the draws alone; the rows themselves move twice and no more.
-    sizes = keep(sent(dealt.select("draw_", "block_")).groupBy("shard", "cell_").agg(F.count("*").alias("size_")))  # shards * cells rows
-    before = Window.partitionBy("shard").orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("shard", "cell_", F.coalesce(F.sum("size_").over(before), F.lit(0)).alias("offset_"))
-    again = Window.partitionBy("shard", "cell_").orderBy(F.pmod("again_", F.lit(1 << 30)), "again_", "draw_")
-    placed = sent(dealt).withColumn("place_", F.row_number().over(again) - 1).join(F.broadcast(offsets), ["shard", "cell_"])
-    return placed.select(*rows.columns, "shard", (F.col("offset_") + F.col("place_")).cast("long").alias("slot"))
+    sizes = keep(sent(dealt.select("draw", "block")).groupBy("shard", "cell").agg(F.count("*").alias("size")))  # shards * cells rows
+    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("shard", "cell", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    again = Window.partitionBy("shard", "cell").orderBy(F.pmod("again", F.lit(1 << 30)), "again", "draw")
+    placed = sent(dealt).withColumn("place", F.row_number().over(again) - 1).join(F.broadcast(offsets), ["shard", "cell"])
+    return placed.select("row.*", "shard", (F.col("offset") + F.col("place")).cast("long").alias("slot"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = shard(table(spark, sf_dir, "documents"))
+    out = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce(F.col("text"), F.lit(""))
     size, crc = (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     return out.select("doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
