@@ -40,7 +40,7 @@ N, BUCKETS = 2, 10_000
 SEED, PERCENT, LEAST_WORDS = 7, 25, 20
 CHUNK_WORDS = 4096
 #: Texts of more bytes than this are dealt out chunk by chunk.
-LONG_BYTES = 128 << 10
+LONG_BYTES = 64 << 10
 #: Bound of distinct scores: |gain| < 1000 ln 2**64, noise between -3200 and 22300.
 SCORES = 2 * 44_400 + 25_500
 
