@@ -125,8 +125,8 @@ def test_quality_rules(spark, texts, none):
 
 def test_quality_of_the_whole_row(spark):
     """What a page of prose loses, and a page of links."""
-    prose = "\n".join(f"The river number {i} runs slowly past the old stone bridge and the mill of {i}." for i in range(8))
-    df = spark.createDataFrame([(1, prose + "\nHome | About | Help\nAll rights reserved."), (2, "\n".join(f"link {i} to somewhere" for i in range(40)))], "doc_id long, text string")
+    prose = "\n".join(f"River {i} runs {i}a slowly {i}b past {i}c an {i}d old {i}e bridge {i}f." for i in range(8))
+    df = spark.createDataFrame([(1, prose + "\nHome | About | Help\nAll rights reserved."), (2, "\n".join(f"link{i} to some{i} place" for i in range(40)))], "doc_id long, text string")
     got = {r.doc_id: r for r in Q.clean(df).collect()}
     assert got[1].kept and got[1].kept_text == prose and (got[1].boilerplate_lines, got[1].navigation_lines) == (1, 1)
     assert not got[2].base_failed and not got[2].kept and got[2].punctuation_lines == 40

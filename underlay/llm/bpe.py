@@ -331,20 +331,40 @@ class BPE:
         hashes = K.mix(K.span_hashes(data, starts, ends) + (ends - starts).astype(U64))
         types, some, which = np.unique(hashes, return_index=True, return_inverse=True)
         at, size = self._lookup(types, data, starts[some], ends[some])
+        at, size = self._compared(at[which], size[which], data, starts, ends)
         if special_at:
             # Whole special tokens stand for themselves, whatever their bytes would merge to.
             n = len(self.flat)
             self.flat = np.concatenate([self.flat, np.array(special_id, np.int64)])
             place = np.searchsorted(starts, special_at)
-            at_all, size_all = at[which], size[which]
-            at_all[place], size_all[place] = n + np.arange(len(special_at)), 1
-        else:
-            at_all, size_all = at[which], size[which]
-        ends_of = np.cumsum(size_all)
-        tokens = self.flat[np.repeat(at_all - (ends_of - size_all), size_all) + np.arange(int(ends_of[-1]))]
+            at, size = at.copy(), size.copy()
+            at[place], size[place] = n + np.arange(len(special_at)), 1
+        tokens = self.flat[_spread(at, size)]
         if special_at:
             self.flat = self.flat[:n]
-        return tokens, np.concatenate([[0], ends_of])
+        return tokens, np.concatenate([[0], np.cumsum(size)])
+
+    def _compared(self, at: np.ndarray, size: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """at and size of pieces that were found by their hashes, with those whose bytes are others' merged on their own."""
+        tokens = self.flat[_spread(at, size)]
+        sums = np.concatenate([[0], np.cumsum(self.token_size[tokens])])
+        last = np.cumsum(size)
+        same = sums[last] - sums[last - size] == ends - starts
+        if same.all():
+            theirs = self.token_bytes[_spread(self.token_start[tokens], self.token_size[tokens])]
+            unlike = theirs != data[starts[0] : ends[-1]]
+            if not unlike.any():
+                return at, size
+            same[np.searchsorted(starts, starts[0] + np.flatnonzero(unlike), "right") - 1] = False
+        else:
+            for i in np.flatnonzero(same).tolist():
+                same[i] = b"".join(self.bytes[t] for t in tokens[last[i] - size[i] : last[i]].tolist()) == data[starts[i] : ends[i]].tobytes()
+        at, size = at.copy(), size.copy()
+        for i in np.flatnonzero(~same).tolist():
+            own = np.array(list(WindowEncoder(self).run([data[starts[i] : ends[i]].tobytes()])), np.int64)
+            at[i], size[i] = len(self.flat), len(own)
+            self.flat = np.concatenate([self.flat, own])
+        return at, size
 
     def _lookup(self, types: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in self.flat the tokens of each distinct piece stand, and how many; new ones are merged first."""
@@ -377,9 +397,13 @@ class BPE:
         return self.at[place], self.size[place]
 
     def decode_bytes(self, tokens: np.ndarray) -> bytes:
-        size = self.token_size[tokens]
-        ends = np.cumsum(size)
-        return self.token_bytes[np.repeat(self.token_start[tokens] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        return self.token_bytes[_spread(self.token_start[tokens], self.token_size[tokens])].tobytes()
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """size places from each first on, one run after another."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 def _last_character(data: np.ndarray, end: int) -> int:

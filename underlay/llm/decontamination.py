@@ -52,6 +52,11 @@ class Block:
 
     words: np.ndarray
     lengths: np.ndarray
+    #: The items' lower-cased bytes, where their words lie, and each window's first word among them.
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray
     items: list[list]
     #: (shingle length, sorted prefix shingles, first of each one's windows, windows, offsets within)
     index: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -76,19 +81,23 @@ def _shingles(hashes: np.ndarray, q: int) -> np.ndarray:
 
 def make_block(items: list[tuple], window: int) -> Block:
     seen: dict[bytes, int] = {}
-    words, lengths, owners = [], [], []
-    w = K.words(*_joined([t for _, t in items]), K.NON_ALNUM)
+    words, lengths, owners, first = [], [], [], []
+    data, offsets = _joined([t for _, t in items])
+    w = K.words(data, offsets, K.NON_ALNUM)
+    data = K.LOWER[data]
+    spelt = [data[a:b].tobytes() for a, b in zip(w.starts, w.ends)]
     for (item, _), lo, n in zip(items, w.first, w.counts):
         for at in range(lo, lo + max(n - window, 0) + 1) if n else ():
             own = w.hashes[at : at + min(n, window)]
-            k = seen.setdefault(own.tobytes(), len(words))
+            k = seen.setdefault(b" ".join(spelt[at : at + len(own)]), len(words))
             if k == len(words):
+                first.append(at)
                 words.append(np.pad(own, (0, window - len(own))))
                 lengths.append(len(own))
                 owners.append([])
             if item not in owners[k]:
                 owners[k].append(item)
-    return Block(np.stack(words) if words else np.zeros((0, window), U64), np.array(lengths, np.int64), owners, [])
+    return Block(np.stack(words) if words else np.zeros((0, window), U64), np.array(lengths, np.int64), data, w.starts, w.ends, np.array(first, np.int64), owners, [])
 
 
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -188,8 +197,24 @@ def build(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     return Index([sc.broadcast(b) for b in blocks], item_type)
 
 
-def occurrences(block: Block, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
-    """(window, word where it starts) of every verified occurrence in a chunk's documents."""
+def _spelt_alike(block: Block, window: np.ndarray, w: K.Words, data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which windows' words have the very bytes of the words from start on."""
+    size = block.lengths[window]
+    ends = np.cumsum(size)
+    nth = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
+    theirs, own = np.repeat(block.first[window], size) + nth, np.repeat(start, size) + nth
+    long, n = block.ends[theirs] - block.starts[theirs], w.ends[own] - w.starts[own]
+    alike = long == n
+    n = np.where(alike, n, 0)
+    until = np.cumsum(n)
+    byte = np.arange(int(until[-1]) if len(until) else 0) - np.repeat(until - n, n)
+    unlike = block.data[np.repeat(block.starts[theirs], n) + byte] != K.LOWER[data[np.repeat(w.starts[own], n) + byte]]
+    alike &= np.diff(np.concatenate([[0], np.cumsum(unlike)])[np.concatenate([[0], until])]) == 0
+    return np.diff(np.concatenate([[0], np.cumsum(~alike)])[np.concatenate([[0], ends])]) == 0
+
+
+def occurrences(block: Block, w: K.Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, word where it starts) of every verified occurrence in a chunk's documents, whose bytes are data."""
     first = w.first
     found_windows, found_starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for q, heads, firsts, windows, offsets in block.index:
@@ -208,6 +233,8 @@ def occurrences(block: Block, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
         for t in range(block.words.shape[1]):
             has = length > t
             same[has] &= w.hashes[start[has] + t] == block.words[window[has], t]
+        window, start = window[same], start[same]
+        same = _spelt_alike(block, window, w, data, start)
         found_windows.append(window[same])
         found_starts.append(start[same])
     return np.concatenate(found_windows), np.concatenate(found_starts)
@@ -231,7 +258,7 @@ def contamination(docs: DataFrame, index: Index, text_col: str = "text", carry:
                     if block is None:
                         continue
                     border, first, own = marks[c]
-                    window, start = occurrences(block, w)
+                    window, start = occurrences(block, w, data)
                     np.add.at(border, start, 1)
                     np.add.at(border, start + block.lengths[window], -1)
                     doc = np.searchsorted(first, start, "right") - 1

@@ -10,6 +10,7 @@ longer than a chunk costs a few bytes of memory for each of its own.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,8 +43,10 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NON_ALNUM = np.zeros(256, dtype=bool)
 NON_ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+#: Bytes of a span that the table tells by their place; longer spans are hashed one by one.
+_PLACES = 64
+#: A random number for each place and byte, drawn from a fixed seed so that every task has the same.
+_TABLE = np.frombuffer(hashlib.shake_256(b"words of a text").digest(_PLACES * 256 * 8), U64)
 END_WORD = U64(0x1F83D9ABFB41BD6B)
 START_WORD = U64(0x5BE0CD19137E2179)
 
@@ -58,36 +61,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int) -> np.ndarray:
-    out = np.full(BLOCK + 1, U64(base))
-    out[0] = 1
-    return np.multiply.accumulate(out, out=out)
-
-
-_POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A mixed polynomial of the bytes of each span (in order, apart), BLOCK bytes of text at a time; a longer span is summed up in pieces."""
+    """A 64-bit hash of each span of bytes (in order, apart), BLOCK bytes of text at a time.
+
+    Tabulation: the sum of a random number for each byte at its place.  Unlike a polynomial modulo a power of two it has
+    no texts that collide by their structure.  Longer spans are hashed by BLAKE2b.
+    """
     out = np.empty(len(starts), U64)
     i = 0
     while i < len(starts):
         lo = starts[i]
-        j = int(np.searchsorted(ends, lo + BLOCK, "right"))
-        if j == i:
-            total, power = 0, 1
-            for at in range(lo, ends[i], BLOCK):
-                piece = _BYTE[data[at : min(at + BLOCK, ends[i])]]
-                total += int((piece * _POWER[: len(piece)]).sum(dtype=U64)) * power
-                power = power * pow(_BASE, BLOCK, 1 << 64) % (1 << 64)
-            out[i] = total % (1 << 64)
-            i += 1
-            continue
-        span = data[lo : ends[j - 1]]
-        sums = np.zeros(len(span) + 1, U64)
-        np.cumsum(_BYTE[span] * _POWER[: len(span)], out=sums[1:])
-        first, past = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (sums[past] - sums[first]) * _INVERSE[first]
+        j = max(int(np.searchsorted(ends, lo + BLOCK, "right")), i + 1)
+        size = ends[i:j] - starts[i:j]
+        short = size <= _PLACES
+        some, size = starts[i:j][short], size[short]
+        if len(some):
+            span = data[lo : some[-1] + size[-1]]
+            # The place within its span: bytes counted from the latest start; what lies between spans is never summed.
+            place = np.arange(len(span), dtype=np.int32)
+            from_ = np.zeros(len(span), np.int32)
+            from_[some[size > 0] - lo] = place[some[size > 0] - lo]
+            place -= np.maximum.accumulate(from_)
+            np.minimum(place, _PLACES - 1, out=place)
+            place <<= 8
+            place |= span
+            sums = np.zeros(len(span) + 1, U64)
+            np.cumsum(_TABLE[place], out=sums[1:])
+            out[i:j][short] = sums[some + size - lo] - sums[some - lo]
+        for k in (i + np.flatnonzero(~short)).tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
         i = j
     return mix(out)
 
