@@ -1,4 +1,4 @@
-"""python -m underlay.cli FILE_OR_FOLDER [--files] [--json | --markdown | --html] [--ocr]: scan, report, exit status 0, 1 or 2."""
+"""python -m underlay.cli FILE_OR_FOLDER [--files] [--json | --markdown | --html] [--ocr] [--only NAMES]: scan, report, exit status 0, 1 or 2."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ import tempfile
 from pyarrow import fs
 
 from .operators import survey
+from .plans import detectors
 from .plans.scan import remarks_of, scan
 from .sources import rendered, sinks
 from .sources.casefiles import filesystem
@@ -22,6 +23,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--records", help="where record tables are stored, a folder that all machines share; on one machine a folder of its own, removed at the end")
     p.add_argument("--files", action="store_true", help="of a folder, each file's findings instead of a survey")
     p.add_argument("--ocr", action="store_true", help="read the rendered pages of one PDF too; takes seconds a page")
+    p.add_argument("--only", metavar="NAMES", help=f"these detectors alone, separated by commas, of: {', '.join(detectors.REGISTRY)}")
     for form in ("json", "markdown", "html"):
         p.add_argument(f"--{form}", action="store_const", dest="form", const=form)
     args = p.parse_args(argv)
@@ -29,6 +31,12 @@ def main(argv: list[str] | None = None) -> int:
     folder = system.get_file_info(path).type == fs.FileType.Directory
     if args.ocr and (folder or rendered.missing()):
         p.error("--ocr reads one file, not a folder" if folder else f"--ocr needs {' and '.join(rendered.missing())}")
+    only = [n.strip() for n in args.only.split(",")] if args.only else None
+    try:
+        if not detectors.chosen(only, ["ocr"] if args.ocr else []):
+            p.error("these detectors need --ocr")
+    except ValueError as e:
+        p.error(str(e))
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -41,7 +49,8 @@ def main(argv: list[str] | None = None) -> int:
             stack.callback(shutil.rmtree, own, ignore_errors=True)
             stored = f"{own}/t"
         ocr = rendered.words_of(spark, args.address) if args.ocr else None
-        records, found = scan(spark, args.address, stored, ocr)
+        records, found = scan(spark, args.address, stored, ocr, only=only)
+        stack.callback(records.forget)
         return report(args.address, records, found.persist(), args.form, folder and not args.files)
 
 

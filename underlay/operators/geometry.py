@@ -6,11 +6,10 @@ dx, dy, size, mode, alpha, fr, fg, fb, sr, sg, sb, cx0, cy0, cx1, cy1, ord, widt
 annotations(.., page, seq, subtype, contents, author, has_appearance), and
 ocr_words(.., page, word_no, text, x0, y0, x1, y1, conf).
 
-A page is cut into cells of CELL points, and page and cell are the equi-key of every
-spatial join: a shape is in all cells it covers, a glyph in the one of its middle, and
-of two boxes that touch, the cell where their overlap begins reports them once.  So a
-pair that is far apart on its page never meets.  Lines come from each glyph's angle and distance across it; all
-grouping is by line and islands, never by drawing operation.
+lay() deals glyphs and shapes out by page, once, in the order of lines; every detector
+reads that one table, and its windows by line and page need no exchange and no sort of
+their own.  Boxes of a page meet in page_join.  Lines come from each glyph's angle and
+distance across it; all grouping is by line and islands, never by drawing operation.
 """
 
 from __future__ import annotations
@@ -19,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import Bucketed
+from . import page_join as J
 from .findings import CIRCUMSTANTIAL, DIRECT, findings
 
 PAGE = ("file_id", "inside", "page")
@@ -29,8 +30,7 @@ CLEAR, FAINT, OPAQUE, PAGE_SIZED = 0.01, 0.15, 0.999, 0.9
 WORD_GAP, JOIN_GAP = 0.20, 0.15
 CONFIDENT, UNREAD_RUN, UNSEEN_WORDS = 60, 3, 2
 PAINTING = (0, 1, 2, 4, 5, 6)
-#: Cells of the spatial joins, in points; places beyond LAST_CELL cells count as there, which changes no pair.
-CELL, LAST_CELL = 64, 1024
+ORDER = (*LINE, "along", "run_no", "glyph_no")
 NOTES = ("Text", "Highlight", "Underline", "StrikeOut", "Squiggly", "Square", "Circle", "Line", "Polygon", "PolyLine", "Ink", "Stamp", "Caret", "FileAttachment", "Sound", "Movie", "Redact")
 
 
@@ -38,52 +38,43 @@ def _painted() -> Column:
     return F.col("mode").isin(*PAINTING) & (F.col("alpha") > CLEAR)
 
 
-def lines(glyphs: DataFrame) -> DataFrame:
-    """Glyphs with angle, across (the line) and n, their place along it.  Halves round to even."""
+def lay(glyphs: DataFrame, shapes: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """Glyphs with angle, across (the line), along (the place on it) and solid (its run is not blank alone), and rows of opaque shapes
+    (side, shape_no, s_ columns), dealt out by page and sorted along lines; shapes come first.  Halves round to even."""
     angle = F.rint(F.degrees(F.atan2("dy", "dx"))).cast("int")
     across = F.rint(-F.col("ox") * F.col("dy") + F.col("oy") * F.col("dx")).cast("long")
-    placed = glyphs.withColumn("angle", angle).withColumn("across", across).withColumn("along", F.col("ox") * F.col("dx") + F.col("oy") * F.col("dy"))
-    return placed.withColumn("n", F.row_number().over(Window.partitionBy(*LINE).orderBy("along", "run_no", "glyph_no")))
-
+    placed = glyphs.select("*", angle.alias("angle"), across.alias("across"), (F.col("ox") * F.col("dx") + F.col("oy") * F.col("dy")).alias("along"), F.lit(False).alias("side"))
+    if shapes is not None:
+        placed = placed.unionByName(_shapes(shapes).withColumn("side", F.lit(True)), allowMissingColumns=True)
+    dealt = placed.repartition(*([parts] if parts else []), *PAGE)
+    solid = F.max(~_blank_char()).over(Window.partitionBy(*PAGE, "run_no"))
+    return dealt.withColumn("solid", solid).sortWithinPartitions(*ORDER)
 
-def _overlap(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1) -> Column:
-    width = F.least(F.col(ax1), F.col(bx1)) - F.greatest(F.col(ax0), F.col(bx0))
-    height = F.least(F.col(ay1), F.col(by1)) - F.greatest(F.col(ay0), F.col(by0))
-    return F.greatest(width, F.lit(0.0)) * F.greatest(height, F.lit(0.0))
 
+def stored_layout(glyphs: DataFrame, shapes: DataFrame, path: str, buckets: int) -> Bucketed:
+    """lay(), stored in buckets of pages: the one exchange of glyphs for all detectors that read it."""
+    return Bucketed(lay(glyphs, shapes, buckets), buckets, PAGE, ORDER, path)
 
-def _area(p: str = "") -> Column:
-    return F.greatest(F.col(f"{p}x1") - F.col(f"{p}x0"), F.lit(0.0)) * F.greatest(F.col(f"{p}y1") - F.col(f"{p}y0"), F.lit(0.0))
 
-
-def _shapes(shapes: DataFrame) -> DataFrame:
-    named = {"kind": "s_kind", "alpha": "s_alpha", "ord": "s_ord", "x0": "s_x0", "y0": "s_y0", "x1": "s_x1", "y1": "s_y1", "r": "s_r", "g": "s_g", "b": "s_b"}
-    return shapes.select(*PAGE, "shape_no", *(F.col(a).alias(b) for a, b in named.items())).where(F.col("s_alpha") >= OPAQUE)
+def _glyphs(laid: DataFrame) -> DataFrame:
+    return laid.where(~F.col("side"))
 
 
-def _cell(place: Column) -> Column:
-    return F.greatest(F.least(F.floor(place / CELL), F.lit(LAST_CELL)), F.lit(-LAST_CELL)).cast("int")
+def numbered(laid: DataFrame) -> DataFrame:
+    """laid's rows with n, their place along the line."""
+    return laid.withColumn("n", F.row_number().over(Window.partitionBy(*LINE).orderBy("along", "run_no", "glyph_no")))
 
 
-def _in_cells(boxes: DataFrame, p: str) -> DataFrame:
-    """boxes, a row for each cell (gx, gy) that a box is in."""
-    across = boxes.withColumn("gx", F.explode(F.sequence(_cell(F.least(f"{p}x0", f"{p}x1")), _cell(F.greatest(f"{p}x0", f"{p}x1")))))
-    return across.withColumn("gy", F.explode(F.sequence(_cell(F.least(f"{p}y0", f"{p}y1")), _cell(F.greatest(f"{p}y0", f"{p}y1")))))
+def lines(glyphs: DataFrame) -> DataFrame:
+    """Glyphs with angle, across (the line) and n, their place along it."""
+    return numbered(_glyphs(lay(glyphs)))
 
 
-def _on_shapes(glyphs: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Glyphs with the shapes of their page that hold their middle: whatever covers over half of a glyph does.  A glyph without area is where its corner is."""
-    flat = _area() <= 0
-    middle = lambda a, b: F.when(flat, F.col(a)).otherwise((F.col(a) + F.col(b)) / 2)
-    placed = glyphs.withColumn("gx", _cell(middle("x0", "x1"))).withColumn("gy", _cell(middle("y0", "y1")))
-    return placed.join(_in_cells(shapes, "s_"), [*PAGE, "gx", "gy"]).drop("gx", "gy")
+SHAPE = ("s_kind", "s_alpha", "s_ord", "s_x0", "s_y0", "s_x1", "s_y1", "s_r", "s_g", "s_b")
 
 
-def _touching_pairs(words_: DataFrame, read: DataFrame) -> DataFrame:
-    """Words and readings of a page whose boxes overlap, each pair once."""
-    pairs = _in_cells(words_, "").join(_in_cells(read, "r_"), [*PAGE, "gx", "gy"]).where(_touching())
-    first = (F.col("gx") == _cell(F.greatest("x0", "r_x0"))) & (F.col("gy") == _cell(F.greatest("y0", "r_y0")))
-    return pairs.where(first).drop("gx", "gy")
+def _shapes(shapes: DataFrame) -> DataFrame:
+    return shapes.select(*PAGE, "shape_no", *(F.col(c.removeprefix("s_")).alias(c) for c in SHAPE)).where(F.col("s_alpha") >= OPAQUE)
 
 
 def _blank_char() -> Column:
@@ -104,25 +95,27 @@ def _points(text: str) -> Column:
     return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: T.label(F.ascii(c)))
 
 
-def under(glyphs: DataFrame, shapes: DataFrame, pages: DataFrame, kind: str, detector: str, number: int) -> DataFrame:
+def under(laid: DataFrame, pages: DataFrame, kind: str, detector: str, number: int) -> DataFrame:
     """Spans of a line under one opaque shape, drawn after them and smaller than the page."""
-    p = pages.select(*PAGE, "bx0", "by0", "bx1", "by1")
-    some = _shapes(shapes.where(F.col("kind") == kind)).join(p, list(PAGE))
-    some = some.where(~(((F.col("s_x1") - F.col("s_x0")) >= (F.col("bx1") - F.col("bx0")) * PAGE_SIZED) & ((F.col("s_y1") - F.col("s_y0")) >= (F.col("by1") - F.col("by0")) * PAGE_SIZED)))
-    set_ = lines(glyphs.where(_painted()))
-    corner = F.col("x0").between(F.col("s_x0"), F.col("s_x1")) & F.col("y0").between(F.col("s_y0"), F.col("s_y1"))
-    covered = F.when(_area() <= 0, corner).otherwise(_overlap("x0", "y0", "x1", "y1", "s_x0", "s_y0", "s_x1", "s_y1") >= _area() * COVERAGE)
-    hit = _on_shapes(set_, some).where((F.col("ord") <= F.col("s_ord")) & covered).withColumn("hit", F.lit(True))
+    p = pages.select(*PAGE, (F.col("bx1") - F.col("bx0")).alias("wide"), (F.col("by1") - F.col("by0")).alias("high"))
+    smaller = ~(((F.col("s_x1") - F.col("s_x0")) >= F.col("wide") * PAGE_SIZED) & ((F.col("s_y1") - F.col("s_y0")) >= F.col("high") * PAGE_SIZED))
+    # By page alone, the laid rows stay where they are.
+    rows = laid.join(p, list(PAGE)).where(F.when(F.col("side"), (F.col("s_kind") == kind) & smaller).otherwise(_painted()))
+    set_ = numbered(rows)
+    told = ("at int, size int, estimated boolean, line string", J.line_texts)
+    hit = J.join(set_, [*LINE[3:], "n", "ch", "x0", "y1"], ["shape_no", *SHAPE], J.pairs(J.covered_later(COVERAGE)), reads=("ord", "widths_estimated"), more=told)
     key = [*LINE, "shape_no"]
-    spans = _spans(hit, key, "hit")
-    # Blank glyphs at the ends of a span are padding of the bar.
-    inked = spans.where(~_blank_char()).groupBy(*key, "island").agg(F.min("n").alias("from"), F.max("n").alias("to"))
-    held = spans.join(inked, [*key, "island"]).where(F.col("n").between(F.col("from"), F.col("to")))
     first = lambda c: F.first(c).alias(c)
-    df = held.groupBy(*key, "island", "from", "to").agg(_text().alias("text"), F.max("y1").alias("top"), F.min("x0").alias("left"), *(first(c) for c in ("s_kind", "s_r", "s_g", "s_b", "s_x0", "s_x1", "s_y0", "s_y1")))
-    whole = set_.join(df.select(*LINE).distinct(), list(LINE), "left_semi").groupBy(*LINE).agg(F.array_sort(F.collect_list(F.struct("n", "ch"))).alias("all"), F.max("widths_estimated").alias("estimated"))
-    df = df.join(whole, list(LINE))
-    rest = F.array_join(F.transform(F.filter("all", lambda c: ~c["n"].between(F.col("from"), F.col("to"))), lambda c: c["ch"]), "")
+    spans = _spans(hit.withColumn("hit", F.lit(True)), key, "hit").groupBy(*key, "island").agg(
+        F.array_sort(F.collect_list(F.struct("n", "ch", "x0", "y1", "at", "size"))).alias("all"), F.max("line").alias("line"), F.max("estimated").alias("estimated"), *(first(c) for c in ("s_kind", "s_r", "s_g", "s_b"))
+    )
+    # Blank glyphs at the ends of a span are padding of the bar.
+    inked = spans.withColumn("inked", F.filter("all", lambda g: ~T.blank(g["ch"]))).where(F.size("inked") > 0).withColumn("from", F.col("inked")[0]).withColumn("to", F.element_at("inked", -1))
+    held = inked.withColumn("held", F.filter("all", lambda g: g["n"].between(F.col("from.n"), F.col("to.n"))))
+    of = lambda c: F.transform("held", lambda g: g[c])
+    rest = F.concat(F.substr("line", F.lit(1), F.col("from.at")), F.substr("line", F.col("to.at") + F.col("to.size") + 1))
+    df = held.select(*key, F.col("from.n").alias("from"), F.array_join(of("ch"), "").alias("text"), F.array_max(of("y1")).alias("top"), F.array_min(of("x0")).alias("left"), "estimated", "s_kind", "s_r", "s_g", "s_b", rest.alias("rest"))
+    rest = F.col("rest")
     light = 0.2126 * F.col("s_r") + 0.7152 * F.col("s_g") + 0.0722 * F.col("s_b")
     block = F.when((F.col("s_kind") == "image") | light.isNull(), "▒").when(light < 0.25, "█").when(light > 0.85, " ").otherwise("▓")
     what = F.when(F.col("s_kind") == "image", "an image").when(light.isNull(), "a shape of unstated colour").when(light < 0.25, "a black shape").when(light > 0.85, "a white shape").otherwise(F.concat(F.lit("a shape of luminance "), F.format_number(light, 2)))
@@ -135,12 +128,20 @@ def under(glyphs: DataFrame, shapes: DataFrame, pages: DataFrame, kind: str, det
     return findings(df, "page", detector, DIRECT, summary, F.col("text"), F.repeat(block, F.length("text")), seq=(number << 40) + F.col("rank"), page=F.col("page"), codepoints=_points("text"))
 
 
+def covered(laid: DataFrame, pages: DataFrame) -> DataFrame:
+    return under(laid, pages, "fill", "covered-text", 0)
+
+
+def under_image(laid: DataFrame, pages: DataFrame) -> DataFrame:
+    return under(laid, pages, "image", "text-under-image", 1)
+
+
 def covered_text(glyphs: DataFrame, shapes: DataFrame, pages: DataFrame) -> DataFrame:
-    return under(glyphs, shapes, pages, "fill", "covered-text", 0)
+    return covered(lay(glyphs, shapes), pages)
 
 
 def text_under_image(glyphs: DataFrame, shapes: DataFrame, pages: DataFrame) -> DataFrame:
-    return under(glyphs, shapes, pages, "image", "text-under-image", 1)
+    return under_image(lay(glyphs, shapes), pages)
 
 
 def _down_the_page() -> list[Column]:
@@ -155,9 +156,13 @@ def annotation_comments(annotations: DataFrame) -> DataFrame:
 
 
 def invisible_text(glyphs: DataFrame) -> DataFrame:
+    return invisible(lay(glyphs))
+
+
+def invisible(laid: DataFrame) -> DataFrame:
     """By line and reason; a gap in the line becomes a space."""
     why = F.when(~F.col("mode").isin(*PAINTING), F.concat(F.lit("mode-"), F.col("mode").cast("string"))).when(F.col("alpha") <= CLEAR, "clear").when(F.col("alpha") <= FAINT, "faint")
-    some = lines(glyphs.withColumn("why", why).where("why is not null"))
+    some = numbered(_glyphs(laid).withColumn("why", why).where("why is not null"))
     key = [*LINE, "why"]
     along = Window.partitionBy(*key).orderBy("n")
     gap = (F.col("x0") - F.lag("x1").over(along) > F.col("size") * JOIN_GAP) & ~T.blank(F.lag("ch").over(along))
@@ -170,14 +175,10 @@ def invisible_text(glyphs: DataFrame) -> DataFrame:
     return findings(df, "page", "invisible-text", basis, F.concat(T.characters(F.col("text")), said), F.col("text"), seq=(3 << 40) + F.col("rank"), page=F.col("page"), codepoints=_points("text"))
 
 
-def backgrounds(glyphs: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Painted glyphs in lines, with back: the topmost opaque shape painted before that covers them (null: paper)."""
-    set_ = lines(glyphs.where(_painted()))
-    behind = _shapes(shapes.where(F.col("kind").isin("fill", "image")))
-    glyph = [*PAGE, "run_no", "glyph_no"]
-    over = _on_shapes(set_, behind).where((F.col("s_ord") < F.col("ord")) & (_overlap("x0", "y0", "x1", "y1", "s_x0", "s_y0", "s_x1", "s_y1") >= _area() * COVERAGE))
-    top = over.groupBy(*glyph).agg(F.max_by(F.struct("s_kind", "s_r", "s_g", "s_b"), F.struct("s_ord", -F.col("shape_no"))).alias("back"))
-    return set_.join(top, glyph, "left")
+def backgrounds(laid: DataFrame, *more: str) -> DataFrame:
+    """Painted glyphs: their line, n, ch and more columns, with the topmost opaque shape painted before that covers them (null: paper)."""
+    rows = numbered(laid.where(F.when(F.col("side"), F.col("s_kind").isin("fill", "image")).otherwise(_painted())))
+    return J.join(rows, [*LINE[3:], "n", "ch", *more], ["shape_no", "s_kind", "s_r", "s_g", "s_b"], J.topmost(COVERAGE), reads=("ord", "s_ord"))
 
 
 def _hex(*rgb: Column) -> Column:
@@ -185,12 +186,17 @@ def _hex(*rgb: Column) -> Column:
 
 
 def low_contrast_text(glyphs: DataFrame, shapes: DataFrame) -> DataFrame:
-    set_ = backgrounds(glyphs, shapes)
-    paper = F.col("back").isNull()
+    return low_contrast(lay(glyphs, shapes))
+
+
+def low_contrast(laid: DataFrame) -> DataFrame:
     stroked = F.col("mode").isin(1, 5)
+    inks = {f"i_{c}": F.when(stroked, F.col(f"s{c}")).otherwise(F.col(f"f{c}")) for c in "rgb"}
+    set_ = backgrounds(laid.withColumns(inks), *inks)
+    paper = F.col("shape_no").isNull()
     for c in "rgb":
-        known = F.when(F.col("back.s_kind") == "image", F.lit(None).cast("double")).otherwise(F.col(f"back.s_{c}"))
-        set_ = set_.withColumn(f"i_{c}", F.when(stroked, F.col(f"s{c}")).otherwise(F.col(f"f{c}"))).withColumn(f"b_{c}", F.when(paper, F.lit(1.0)).otherwise(known))
+        known = F.when(F.col("s_kind") == "image", F.lit(None).cast("double")).otherwise(F.col(f"s_{c}"))
+        set_ = set_.withColumn(f"b_{c}", F.when(paper, F.lit(1.0)).otherwise(known))
     gaps = [F.abs(F.col(f"i_{c}") - F.col(f"b_{c}")) for c in "rgb"]
     known = F.lit(True)
     for g in gaps:
@@ -208,9 +214,12 @@ def low_contrast_text(glyphs: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def off_page_text(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
+    return off_page(lay(glyphs), pages)
+
+
+def off_page(laid: DataFrame, pages: DataFrame) -> DataFrame:
     """Spans without any overlap with the page within the clip; runs of blanks alone do not count, unpainted ones do."""
-    run = Window.partitionBy(*PAGE, "run_no")
-    some = lines(glyphs.withColumn("any", F.max(~_blank_char()).over(run)).where("any")).join(pages.select(*PAGE, "bx0", "by0", "bx1", "by1"), list(PAGE))
+    some = numbered(_glyphs(laid).where("solid")).join(pages.select(*PAGE, "bx0", "by0", "bx1", "by1"), list(PAGE))
     for side, pick in (("x0", F.greatest), ("y0", F.greatest), ("x1", F.least), ("y1", F.least)):
         some = some.withColumn(f"v{side}", F.when(F.col("cx0").isNull(), F.col(f"b{side}")).otherwise(pick(F.col(f"b{side}"), F.col(f"c{side}"))))
     empty = (F.least("x1", "vx1") - F.greatest("x0", "vx0") <= 0) | (F.least("y1", "vy1") - F.greatest("y0", "vy0") <= 0)
@@ -224,8 +233,12 @@ def off_page_text(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def words(glyphs: DataFrame, painted_only: bool = True) -> DataFrame:
+    return words_of(lay(glyphs), painted_only)
+
+
+def words_of(laid: DataFrame, painted_only: bool = True) -> DataFrame:
     """Words of lines, across drawing operations: word_no in reading order, text and box."""
-    set_ = lines(glyphs.where(_painted()) if painted_only else glyphs)
+    set_ = numbered(_glyphs(laid).where(_painted()) if painted_only else _glyphs(laid))
     along = Window.partitionBy(*LINE).orderBy("n")
     extent = F.abs((F.col("x1") - F.col("x0")) * F.col("dx")) + F.abs((F.col("y1") - F.col("y0")) * F.col("dy"))
     ends = set_.withColumn("end", F.col("along") + extent)
@@ -239,15 +252,20 @@ def _read(ocr: DataFrame) -> DataFrame:
     return ocr.select(*PAGE, F.col("word_no").alias("r_no"), F.col("text").alias("r_text"), "conf", *(F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")))
 
 
-def _touching() -> Column:
-    return (F.least("x1", "r_x1") > F.greatest("x0", "r_x0")) & (F.least("y1", "r_y1") > F.greatest("y0", "r_y0"))
+def _touching_pairs(words_: DataFrame, read: DataFrame, own: list[str], theirs: list[str]) -> DataFrame:
+    """Words and readings of a page whose boxes overlap, each pair once."""
+    return J.join(J.together(words_, read), own, theirs, J.pairs(J.touching), theirs=("r_x0", "r_y0", "r_x1", "r_y1"))
 
 
 def unrendered_text(glyphs: DataFrame, ocr: DataFrame) -> DataFrame:
+    return unrendered(lay(glyphs), ocr)
+
+
+def unrendered(laid: DataFrame, ocr: DataFrame) -> DataFrame:
     """Runs of at least UNREAD_RUN words that no reading of the page near them holds; pages without any reading are silent."""
     read = _read(ocr)
-    wanted = words(glyphs).withColumn("key", T.alphanumeric(F.col("text"))).where("key <> ''").join(ocr.select(*PAGE).distinct(), list(PAGE), "left_semi")
-    near = _touching_pairs(wanted.select(*PAGE, "word_no", "x0", "y0", "x1", "y1"), read).groupBy(*PAGE, "word_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_no", "r_text"))), lambda r: T.alphanumeric(r["r_text"])), "").alias("near"))
+    wanted = words_of(laid).withColumn("key", T.alphanumeric(F.col("text"))).where("key <> ''").join(ocr.select(*PAGE).distinct(), list(PAGE), "left_semi")
+    near = _touching_pairs(wanted.select(*PAGE, "word_no", "x0", "y0", "x1", "y1"), read, ["word_no"], ["r_no", "r_text"]).groupBy(*PAGE, "word_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_no", "r_text"))), lambda r: T.alphanumeric(r["r_text"])), "").alias("near"))
     judged = wanted.join(near, [*PAGE, "word_no"], "left").withColumn("lost", ~F.contains(F.coalesce("near", F.lit("")), F.col("key")))
     by = Window.partitionBy(*PAGE).orderBy("word_no")
     numbered = judged.withColumn("n", F.row_number().over(by)).where("lost").withColumn("island", F.col("n") - F.row_number().over(by))
@@ -257,9 +275,13 @@ def unrendered_text(glyphs: DataFrame, ocr: DataFrame) -> DataFrame:
 
 
 def unextractable_text(glyphs: DataFrame, ocr: DataFrame) -> DataFrame:
+    return unextractable(lay(glyphs), ocr)
+
+
+def unextractable(laid: DataFrame, ocr: DataFrame) -> DataFrame:
     """One row a page with at least UNREAD_RUN confident readings that lie on no word of the file."""
     sure = _read(ocr).where((F.col("conf") >= CONFIDENT) & (T.alphanumeric(F.col("r_text")) != ""))
-    on = _touching_pairs(words(glyphs, False).select(*PAGE, "x0", "y0", "x1", "y1"), sure).select(*PAGE, "r_no").distinct()
+    on = _touching_pairs(words_of(laid, False).select(*PAGE, "x0", "y0", "x1", "y1"), sure, [], ["r_no"]).distinct()
     lost = sure.join(on, [*PAGE, "r_no"], "left_anti")
     df = lost.groupBy(*PAGE).agg(F.count("*").alias("k"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_no", "r_text"))), lambda w: w["r_text"]), " ").alias("words")).where(F.col("k") >= UNREAD_RUN)
     summary = F.concat(F.col("k").cast("string"), F.lit(" words were read off a rendering of the page with no text of the file under them; a scan without a text layer looks the same"))
@@ -277,14 +299,15 @@ def unseen_words(preview: DataFrame, picture: DataFrame) -> DataFrame:
 
 
 def remarks(glyphs: DataFrame, shapes: DataFrame, annotations: DataFrame) -> DataFrame:
+    return page_remarks(lay(glyphs, shapes), annotations)
+
+
+def page_remarks(laid: DataFrame, annotations: DataFrame) -> DataFrame:
     """remarks(file_id, inside, seq, text): what could not be established of a page."""
-    unknown = (F.col("back").isNotNull()) & ((F.col("back.s_kind") == "image") | F.col("back.s_r").isNull())
-    on = backgrounds(glyphs, shapes).where(~_blank_char() & unknown).groupBy(*PAGE).agg(F.count("*").alias("n"))
+    unknown = F.col("shape_no").isNotNull() & ((F.col("s_kind") == "image") | F.col("s_r").isNull())
+    on = backgrounds(laid).where(~_blank_char() & unknown).groupBy(*PAGE).agg(F.count("*").alias("n"))
     picture = on.select("file_id", "inside", (F.col("page") * 2 + 1).cast("long").alias("seq"), F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(" has "), T.plural(F.col("n"), "character"), F.lit(" on a picture or a fill of unstated colour; whether they can be read was not established")).alias("text"))
     drawn = annotations.where("has_appearance and subtype <> 'Popup'").groupBy(*PAGE).agg(F.count("*").alias("n"))
     notes = drawn.select("file_id", "inside", (F.col("page") * 2).cast("long").alias("seq"), F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(" has "), F.col("n").cast("string"), F.lit(" annotation(s) with an appearance of their own, which was not interpreted")).alias("text"))
     return notes.unionByName(picture)
 
-
-def detect(glyphs: DataFrame, shapes: DataFrame, pages: DataFrame, annotations: DataFrame) -> list[DataFrame]:
-    return [covered_text(glyphs, shapes, pages), text_under_image(glyphs, shapes, pages), annotation_comments(annotations), invisible_text(glyphs), low_contrast_text(glyphs, shapes), off_page_text(glyphs, pages)]

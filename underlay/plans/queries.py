@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import characters, geometry, metadata, revisions, sheets, slides, survey
 from ..operators.findings import union
+from ..sources.shared import buckets_for, shared_path
 from . import carriers as C
+from . import detectors
 from . import packages as P
 
 QUERIES: dict = {}
@@ -27,7 +29,7 @@ def register(name: str, oracle: str | None, *tables: str):
         QUERIES[name] = run
         if oracle is not None:
             text, more = oracle.strip(), [t for t in tables if t not in C.TABLES]
-            ORACLE[name] = f"{C.with_clause(*more)}{',' if text.startswith('+') else ''}\n{text.lstrip('+')}" if more else text.lstrip("+").strip() if not text.startswith("+") else "WITH " + text.lstrip("+").strip()
+            ORACLE[name] = oracle if name == "page_detectors" else f"{C.with_clause(*more)}{',' if text.startswith('+') else ''}\n{text.lstrip('+')}" if more else text.lstrip("+").strip() if not text.startswith("+") else "WITH " + text.lstrip("+").strip()
         return f
 
     return wrap
@@ -470,6 +472,32 @@ def pdf_page_remarks(g: DataFrame, s: DataFrame, a: DataFrame) -> DataFrame:
     return geometry.remarks(g, s, a).select("file_id", "text")
 
 
+def _ranked(detector: str, of: str, order: str = "lo") -> str:
+    return f"SELECT '{detector}' AS detector, file_id, basis, human_sees, machine_reads, summary FROM ({ORACLE[of]})"
+
+
+#: Off the page as in pdf_off_page, but by the drawing operations as they are: those that draw a blank alone do not count.
+_OFF_RUNS = f"""{C.with_clause("glyphs", "drawn_pages")}, o AS (SELECT g.file_id, ox, ch, ox >= bx1 AS off FROM glyphs g JOIN drawn_pages p USING (file_id) WHERE trim(ch) <> ''),
+r AS (SELECT file_id, string_agg(ch, '' ORDER BY ox) FILTER (WHERE off) AS text, bool_or(NOT off) AS remains FROM o GROUP BY file_id)
+SELECT 'off-page-text' AS detector, file_id, CASE WHEN remains THEN 'circumstantial' ELSE 'direct' END AS basis, '' AS human_sees, text AS machine_reads,
+ {_count("length(text)", "character")} || ' wholly outside the visible area' || CASE WHEN remains THEN '; the rest of the line is on the page, so it may be an overflow' ELSE '' END AS summary FROM r WHERE text IS NOT NULL"""
+
+
+@register(
+    "page_detectors",
+    " UNION ALL ".join([*(_ranked(d, q) for d, q in (("covered-text", "pdf_covered"), ("text-under-image", "pdf_under_image"), ("invisible-text", "pdf_invisible"), ("low-contrast-text", "pdf_low_contrast"))), f"SELECT * FROM ({_OFF_RUNS})"]),
+    "glyphs",
+    "shapes",
+    "drawn_pages",
+)
+def page_detectors(g: DataFrame, s: DataFrame, p: DataFrame) -> DataFrame:
+    """All detectors of text on pages, from the registry, over one stored layout: glyphs are exchanged once."""
+    spark = g.sparkSession
+    laid = geometry.stored_layout(g, s, shared_path(spark, "laid"), buckets_for(g)).table()
+    names = [d.name for d in detectors.REGISTRY.values() if set(d.inputs) <= {"laid", "pages"}]
+    return detectors.found(detectors.chosen(names), {"laid": laid, "pages": p}.__getitem__, {}).select("detector", *BASE, "summary")
+
+
 # Folders
 
 

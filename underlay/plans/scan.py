@@ -2,50 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import characters, geometry, metadata, revisions, sheets, slides
-from ..operators.findings import union
+from ..operators import geometry, metadata
 from ..sources.casefiles import Records, case_files
+from . import detectors
 
 
-def findings_of(r: Records, ocr: DataFrame | None = None, previews: DataFrame | None = None) -> DataFrame:
-    """Every detector over every record table; what is inside a carried package keeps its name in `inside`.
+def findings_of(r: Records, ocr: DataFrame | None = None, previews: DataFrame | None = None, only: Iterable[str] | None = None) -> DataFrame:
+    """The chosen detectors (all, if none are named) over the record tables that they need; what is inside a carried package keeps its name in `inside`.
 
     ocr: words read off rendered pages; previews: words read off previews, held against those of ocr.
     """
-    unread = r["files"].where("text_unread")
-    parts = [
-        *characters.detect(r["units"]),
-        *geometry.detect(r["glyphs"], r["shapes"], r["pages"], r["annotations"]),
-        revisions.deleted_text(r["revisions"]),
-        revisions.comments(r["comments"]),
-        revisions.revision_history(r["revisions"], r["comments"]),
-        *sheets.detect(r["sheets"], r["cells"], r["hidden_axis"], r["cell_changes"]),
-        *slides.detect(r["slides"]),
-        revisions.word_hidden(r["word_hidden"]),
-        metadata.stale_thumbnail(r["images"]),
-        revisions.earlier_revisions(r["earlier"], r["units"]),
-        revisions.attached_files(r["attachments"]),
-        *metadata.detect(r["meta_fields"], r["meta_history"], r["units"], unread),
-    ]
-    if ocr is not None:
-        parts += [geometry.unrendered_text(r["glyphs"], ocr), geometry.unextractable_text(r["glyphs"], ocr)]
-    if ocr is not None and previews is not None:
-        parts.append(geometry.unseen_words(previews, ocr))
-    return union(parts)
+    outside = {name: df for name, df in (("ocr", ocr), ("previews", previews)) if df is not None}
+    special = {"laid": r.laid, "unread": lambda: r["files"].where("text_unread")}
+    return detectors.found(detectors.chosen(only, outside), lambda name: special[name]() if name in special else r[name], outside)
 
 
 def remarks_of(r: Records) -> DataFrame:
     """remarks(file_id, inside, phase, seq, text): what the readers, the page detectors and the metadata have to say beside findings."""
-    said = [r["remarks"], geometry.remarks(r["glyphs"], r["shapes"], r["annotations"]), metadata.claims(r["meta_fields"])]
+    said = [r["remarks"], geometry.page_remarks(r.laid(), r["annotations"]), metadata.claims(r["meta_fields"])]
     parts = [df.select("file_id", "inside", F.lit(phase).alias("phase"), "seq", "text") for phase, df in enumerate(said)]
     return reduce(DataFrame.unionByName, parts)
 
 
-def scan(spark: SparkSession, address: str, stored_at: str, ocr: DataFrame | None = None, previews: DataFrame | None = None) -> tuple[Records, DataFrame]:
+def scan(spark: SparkSession, address: str, stored_at: str, ocr: DataFrame | None = None, previews: DataFrame | None = None, only: Iterable[str] | None = None) -> tuple[Records, DataFrame]:
     records = Records(case_files(spark, address), stored_at)
-    return records, findings_of(records, ocr, previews)
+    return records, findings_of(records, ocr, previews, only)

@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators import geometry
 from . import legacy, media, office, pdf
 from .records import SCHEMAS, Refused, Sink
+from .shared import Bucketed, buckets_for
 
 FILES = "path string, rel_path string, length long, content binary"
 BATCH_BYTES = 32 << 20
@@ -180,11 +182,24 @@ class Records:
         self.spark, self.path = files.sparkSession, stored_at
         parsed(files).write.partitionBy("record").parquet(stored_at)
         self._all = self.spark.read.schema(STORED).parquet(stored_at)
+        self._laid: Bucketed | None = None
 
     def __getitem__(self, record: str) -> DataFrame:
         """Reads the files of that record table and its columns alone."""
         return self._all.where(F.col("record") == record).select("file_id", "inside", f"{record}.*")
 
+    def laid(self) -> DataFrame:
+        """Glyphs and shapes dealt out by page, stored once, beside the records, for all that reads them."""
+        if self._laid is None:
+            self._laid = geometry.stored_layout(self["glyphs"], self["shapes"], f"{self.path.rstrip('/')}-laid", buckets_for(self._all))
+        return self._laid.table()
+
+    def forget(self) -> None:
+        """Takes the laid table out of the catalog again; its files stay with the records."""
+        if self._laid is not None:
+            self._laid.drop()
+            self._laid = None
+
     def files(self) -> DataFrame:
         """One row a file, not the packages inside."""
         return self["files"].where("inside = ''").withColumn("rel_path", F.col("file_id"))
