@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.casefiles import parsed
+from ..sources.casefiles import Records
+from ..sources.shared import shared_path
 
 _W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 _X = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -48,6 +49,18 @@ def word(r: dict) -> bytes:
     return _zip({"word/document.xml": body, "docProps/core.xml": core})
 
 
+def container(r: dict) -> bytes:
+    """A word document of its own, which carries one for each of its rows."""
+    own = {"segment": "carries", "author": "A", "id": 1}
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(word(own | {"name": f"container {r['key']}"}))) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as more:
+        for name in z.namelist():
+            more.writestr(name, z.read(name))
+        for s in r["rows"]:
+            more.writestr(f"word/embeddings/s{s['id']}.docx", word(own | s))
+    return out.getvalue()
+
+
 def workbook(r: dict) -> bytes:
     """A row a supplier; every third is hidden, and so is the column of numbers."""
     rows = "".join(f'<row r="{i}"{" hidden=\"1\"" if s["id"] % 3 == 0 else ""}><c r="A{i}" t="inlineStr"><is><t>{escape(s["name"])}</t></is></c><c r="B{i}"><v>{s["id"]}</v></c></row>' for i, s in enumerate(r["rows"], 1))
@@ -114,15 +127,16 @@ def photograph(r: dict) -> bytes:
 
 
 def records_of(rows: DataFrame, build: Callable[[dict], bytes], ending: str, *wanted: str) -> list[DataFrame]:
-    """Record tables of the files that build makes of rows (key, and what it reads)."""
+    """Record tables of the files that build makes of rows (key, and what it reads): parsed once, and stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = batch.to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([f"{r['key']}.{ending}" for r in every], pa.string()), pa.array([build(r) for r in every], pa.binary())], names=["rel_path", "content"])
 
-    stored = parsed(rows.mapInArrow(run, "rel_path string, content binary"))
-    return [stored.where(F.col("record") == w).select("file_id", "inside", f"{w}.*") for w in wanted]
+    files = rows.mapInArrow(run, "rel_path string, content binary")
+    records = Records(files, shared_path(rows.sparkSession, "records"), wanted)
+    return [records[w] for w in wanted]
 
 
 def grouped(rows: DataFrame, key: str, number: str, name: str) -> DataFrame:

@@ -595,6 +595,22 @@ def source_open_text(customers: DataFrame) -> DataFrame:
     return units.select("file_id", F.col("text").alias("shown")).join(changes.where("kind = 'deletion'").select("file_id", F.col("text").alias("deleted"), "author", "date"), "file_id")
 
 
+@register(
+    "source_carried",
+    """SELECT s_nationkey || '.docx' AS file_id, 's' || s_suppkey || '.docx' AS inside, 'units' AS record, s_name || chr(10) || 'of ' || CASE WHEN s_suppkey % 2 = 0 THEN 'carries' ELSE '' END AS text FROM supplier
+UNION ALL SELECT s_nationkey || '.docx', 's' || s_suppkey || '.docx', CASE WHEN s_suppkey % 2 = 0 THEN 'insertion' ELSE 'deletion' END, 'carries' FROM supplier
+UNION ALL SELECT s_nationkey || '.docx', '', 'attachment', 's' || s_suppkey || '.docx' FROM supplier
+UNION ALL SELECT DISTINCT s_nationkey || '.docx', '', 'units', 'container ' || s_nationkey || chr(10) || 'of ' FROM supplier
+UNION ALL SELECT DISTINCT s_nationkey || '.docx', '', 'deletion', 'carries' FROM supplier""",
+    "supplier",
+)
+def source_carried(suppliers: DataFrame) -> DataFrame:
+    """A container a nation, which carries a package a supplier: the packages are rows, dealt out anew and parsed apart."""
+    units, changes, attached = P.records_of(P.grouped(suppliers, "s_nationkey", "s_suppkey", "s_name"), P.container, "docx", "units", "revisions", "attachments")
+    rows = units.select("file_id", "inside", F.lit("units").alias("record"), "text")
+    return rows.unionByName(changes.select("file_id", "inside", F.col("kind").alias("record"), "text")).unionByName(attached.select("file_id", "inside", F.lit("attachment").alias("record"), F.col("name").alias("text")))
+
+
 _SUPPLIERS = "SELECT s_nationkey AS key, s_suppkey AS id, s_name AS name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey, s_name) AS n FROM supplier"
 
 

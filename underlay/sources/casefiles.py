@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import posixpath
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -121,8 +121,8 @@ def parse(data: bytes | None, out: Sink) -> None:
         legacy.read_compound(data, out)
 
 
-def extract(data: bytes | None, inside: str = "") -> list[tuple[str, str, dict]]:
-    """(inside, record, fields) of everything in a file, and of the packages it carries, one level down."""
+def read_one(data: bytes | None, inside: str = "") -> Sink:
+    """Everything in a file (or, with its name, in a package that a file carries), but for what packages it carries itself."""
     out, refusal = Sink(inside), None
     try:
         parse(data, out)
@@ -138,14 +138,17 @@ def extract(data: bytes | None, inside: str = "") -> list[tuple[str, str, dict]]
     if not inside or not refusal:
         searched = bool(out.count("units"))
         out.add("files", kind=out.kind, searched=searched, text_unread=out.text_unread, refusal=refusal, sha256=hashlib.sha256(data).hexdigest() if data is not None else "", length=len(data or b""))
-    found = [(inside, record, row) for record, rows in out.rows.items() for row in rows]
-    if not inside:
-        for name, content in out.carried:
-            found += extract(content, name)
-    return found
+    return out
+
+
+def extract(data: bytes | None) -> list[tuple[str, str, dict]]:
+    """(inside, record, fields) of everything in a file, and of the packages it carries, one level down."""
+    outer = read_one(data)
+    each = [outer, *(read_one(content, name) for name, content in outer.carried)]
+    return [(out.inside, record, row) for out in each for record, rows in out.rows.items() for row in rows]
 
 
-_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
 #: (name, type) of the record tables' own columns, and their Arrow types.
 FIELDS = {record: [tuple(part.rsplit(" ", 1)) for part in ddl.split("inside string, ", 1)[1].split(", ")] for record, ddl in SCHEMAS.items()}
 TYPES = {record: pa.struct([(name.strip("`"), _ARROW[t]) for name, t in fields]) for record, fields in FIELDS.items()}
@@ -153,36 +156,82 @@ STORED = "file_id string, inside string, record string, " + ", ".join(f"{record}
 BATCH_ROWS = 20_000
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A batch holds rows of one record table; the columns of the others are null and cost nothing."""
-    names = ["file_id", "inside", "record", *TYPES]
-    for batch in batches:
-        for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            by_record: dict[tuple[str, str], list[dict]] = {}
-            for inside, record, row in extract(content):
-                by_record.setdefault((inside, record), []).append(row)
-            for (inside, record), every in by_record.items():
-                for lo in range(0, len(every), BATCH_ROWS):
-                    rows = every[lo : lo + BATCH_ROWS]
-                    n = len(rows)
-                    own = {name: pa.array(rows, t) if name == record else pa.nulls(n, t) for name, t in TYPES.items()}
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.string()), pa.array([inside] * n, pa.string()), pa.array([record] * n, pa.string()), *own.values()], names=names)
+def _columns(record: str, rows: list[dict]) -> pa.Array:
+    """Rows of one record table as a struct array, made column by column."""
+    fields = list(TYPES[record])
+    return pa.StructArray.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in fields], fields=fields)
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """What the parsers give for files (rel_path, content): file_id, inside, record, and a column for each record table."""
-    return files.select("rel_path", "content").mapInArrow(_parsed, STORED)
+def _parser(only: frozenset[str] | None, nested: bool):
+    """Batches of rows of one record table each, gathered over files; the columns of the others are null and cost nothing.
+
+    A task reads one file after another.  Nested: of packages (file_id, name, content), which carry no others.
+    """
+    names = ["file_id", "inside", "record", *TYPES]
+
+    def gathered(held: dict[str, list[tuple[str, str, dict]]]) -> Iterator[pa.RecordBatch]:
+        for record, every in held.items():
+            for lo in range(0, len(every), BATCH_ROWS):
+                some = every[lo : lo + BATCH_ROWS]
+                n = len(some)
+                own = {name: _columns(record, [r for _, _, r in some]) if name == record else pa.nulls(n, t) for name, t in TYPES.items()}
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in some], pa.string()), pa.array([i for _, i, _ in some], pa.string()), pa.array([record] * n, pa.string()), *own.values()], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[str, str, dict]]] = {}
+        rows = carried = 0
+        for batch in batches:
+            for at in range(batch.num_rows):
+                key, content = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+                out = read_one(content, batch.column(2)[at].as_py() if nested else "")
+                if not nested:
+                    for name, data in out.carried:
+                        out.add("carried", name=name, length=len(data), content=data)
+                        carried += len(data)
+                for record, every in out.rows.items():
+                    if only is None or record in only:
+                        held.setdefault(record, []).extend((key, out.inside, row) for row in every)
+                        rows += len(every)
+                if rows >= BATCH_ROWS or carried >= BATCH_BYTES:
+                    yield from gathered(held)
+                    held, rows, carried = {}, 0, 0
+        yield from gathered(held)
+
+    return run
+
+
+def parsed(files: DataFrame, only: Iterable[str] | None = None) -> DataFrame:
+    """What the parsers give for files (rel_path, content): file_id, inside, record, and a column for each record table.
+
+    Packages that a file carries are rows of the record table `carried`, for parsed_inside.
+    """
+    return files.select("rel_path", "content").mapInArrow(_parser(None if only is None else frozenset(only), False), STORED)
+
+
+def parsed_inside(carried: DataFrame, only: Iterable[str] | None = None) -> DataFrame:
+    """The same for carried packages (file_id, name, content), one level down."""
+    return carried.select("file_id", "content", "name").mapInArrow(_parser(None if only is None else frozenset(only), True), STORED)
 
 
 class Records:
-    """The record tables of files(path, rel_path, length, content); the file id is the relative path."""
+    """The record tables of files(path, rel_path, length, content); the file id is the relative path.
+
+    Files are parsed first.  What they carry is then dealt out anew, over all tasks, whatever file it came from: a
+    container of a thousand packages is the work of all, and only its own parts are the work of one.
+    """
 
-    def __init__(self, files: DataFrame, stored_at: str):
-        """stored_at: a folder that driver and executors share."""
+    def __init__(self, files: DataFrame, stored_at: str, only: Iterable[str] | None = None):
+        """stored_at: a folder that driver and executors share.  only: the record tables wanted; all, if none are named."""
         self.spark, self.path = files.sparkSession, stored_at
-        parsed(files).write.partitionBy("record").parquet(stored_at)
-        self._all = self.spark.read.schema(STORED).parquet(stored_at)
         self._laid: Bucketed | None = None
+        wanted = None if only is None else {*only, "carried"}
+        parsed(files, wanted).write.partitionBy("record").parquet(stored_at)
+        self._all = self.spark.read.schema(STORED).parquet(stored_at)
+        n, size = self["carried"].agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        if n:
+            tasks = max(min(n, self.spark.sparkContext.defaultParallelism), -(-size // BATCH_BYTES))
+            parsed_inside(self["carried"].repartition(int(tasks)), wanted).write.mode("append").partitionBy("record").parquet(stored_at)
+            self._all = self.spark.read.schema(STORED).parquet(stored_at)
 
     def __getitem__(self, record: str) -> DataFrame:
         """Reads the files of that record table and its columns alone."""

@@ -32,6 +32,10 @@ GLYPH_NAMES = {
 BLANK, DELIMITER = b"\0\t\n\x0c\r ", b"()<>[]{}/%"
 
 
+class StreamTooLong(ValueError):
+    """A stream that is not read, since it could not be read whole."""
+
+
 class Name(str):
     """/Name"""
 
@@ -244,7 +248,11 @@ class Document:
         for f, p in zip(filters, parms):
             f, p = self.get(f), self.get(p)
             if f in ("FlateDecode", "Fl"):
-                data = _unpredicted(zlib.decompressobj().decompress(data, LARGEST_STREAM), p if isinstance(p, dict) else {})
+                inflater = zlib.decompressobj()
+                data = inflater.decompress(data, LARGEST_STREAM)
+                if inflater.unconsumed_tail:
+                    raise StreamTooLong(f"a stream is longer than {LARGEST_STREAM} bytes")
+                data = _unpredicted(data, p if isinstance(p, dict) else {})
             elif f in ("ASCIIHexDecode", "AHx"):
                 data = Lexer(b"<" + data.split(b">")[0] + b">").next()
             elif f in ("ASCII85Decode", "A85"):

@@ -26,6 +26,7 @@ SCHEMAS = {
     "shapes": _AT + "page int, shape_no long, kind string, x0 double, y0 double, x1 double, y1 double, r double, g double, b double, alpha double, ord long",
     "glyphs": _AT + "page int, run_no long, glyph_no long, ch string, x0 double, y0 double, x1 double, y1 double, ox double, oy double, dx double, dy double, size double, mode int, alpha double, "
     "fr double, fg double, fb double, sr double, sg double, sb double, cx0 double, cy0 double, cx1 double, cy1 double, ord long, widths_estimated boolean",
+    "carried": _AT + "name string, length long, content binary",
     "annotations": _AT + "page int, seq long, subtype string, contents string, author string, has_appearance boolean",
 }
 
