@@ -41,3 +41,9 @@ def totals(files: DataFrame, findings: DataFrame) -> DataFrame:
     code = F.when((F.col("files") > 0) & (F.col("read") == 0), 2).when(F.col("findings") > 0, 1).otherwise(0)
     one = F.lit(1).alias("one")  # two single rows
     return f.select("*", one).join(g.select("*", one), "one").drop("one").withColumn("exit_code", code)
+
+
+def shape_kinds(shapes: DataFrame) -> DataFrame:
+    """A row a page, kind of shape and way of painting: how many there are, and the area they take."""
+    paint = F.when(F.col("alpha") >= 0.999, "opaque").otherwise("translucent").alias("paint")
+    return shapes.groupBy("file_id", "inside", "page", "kind", paint).agg(F.count("*").alias("shapes"), F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))

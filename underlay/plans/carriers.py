@@ -50,9 +50,9 @@ SQL: dict[str, str] = {
     # Tracked changes: a file per fifty customers
     "revisions": """SELECT CAST(o_custkey % 50 AS STRING) AS file_id, '' AS inside, o_orderkey AS seq, CASE o_orderstatus WHEN 'F' THEN 'deletion' WHEN 'O' THEN 'insertion' ELSE 'move-from' END AS kind,
         CASE WHEN o_orderkey % 7 = 0 THEN ' ' ELSE o_orderpriority END AS text, CASE WHEN o_custkey % 50 = 0 THEN NULL ELSE concat('c', CAST(o_custkey AS STRING)) END AS author,
-        CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE substr(CAST(o_orderdate AS STRING), 1, 10) END AS date, 'word/document.xml' AS part FROM {orders} WHERE o_orderkey % 3 < 2""",
+        CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE substr(CAST(o_orderdate AS STRING), 1, 10) END AS date, 'word/document.xml' AS part FROM {orders}""",
     "comments": """SELECT CAST(o_custkey % 50 AS STRING) AS file_id, '' AS inside, o_orderkey AS seq, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('see ', o_orderpriority) END AS text,
-        CASE WHEN o_custkey % 50 = 0 THEN '' ELSE concat('k', CAST(o_custkey % 20 AS STRING)) END AS author, substr(CAST(o_orderdate AS STRING), 1, 10) AS date, CAST(NULL AS STRING) AS initials FROM {orders} WHERE o_orderkey % 3 = 2""",
+        CASE WHEN o_custkey % 50 = 0 THEN '' ELSE concat('k', CAST(o_custkey % 20 AS STRING)) END AS author, substr(CAST(o_orderdate AS STRING), 1, 10) AS date, CAST(NULL AS STRING) AS initials FROM {orders}""",
     "word_hidden": f"SELECT {_ID}, doc_id AS seq, CASE WHEN doc_id % 2 = 0 THEN 'the document' ELSE 'the footnotes' END AS part, text FROM {{documents}}",
     # An earlier revision is a document, the current one lacks every third line
     "earlier": f"SELECT {_ID}, 1 AS number, doc_id * 100 AS ends_at, CAST(doc_id % 3 + 1 AS INT) AS pages, text FROM {{documents}}",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import characters, geometry, metadata, revisions, sheets, slides, survey
+from ..operators import characters, geometry, intervals, metadata, revisions, sheets, slides, survey
 from ..operators.findings import union
 from ..sources.shared import buckets_for, shared_path
 from . import carriers as C
@@ -498,6 +498,37 @@ def page_detectors(g: DataFrame, s: DataFrame, p: DataFrame) -> DataFrame:
     return detectors.found(detectors.chosen(names), {"laid": laid, "pages": p}.__getitem__, {}).select("detector", *BASE, "summary")
 
 
+@register("shape_kinds", "SELECT kind, CASE WHEN alpha >= 0.999 THEN 'opaque' ELSE 'translucent' END AS paint, count(*) AS shapes, count(DISTINCT file_id) AS pages, sum((x1 - x0) * (y1 - y0)) AS area FROM shapes GROUP BY ALL", "shapes")
+def shape_kinds(s: DataFrame) -> DataFrame:
+    return survey.shape_kinds(s).groupBy("kind", "paint").agg(F.sum("shapes").alias("shapes"), F.count("*").alias("pages"), F.sum("area").alias("area"))
+
+
+# Intervals
+
+_DAYS = "datediff('day', DATE '1970-01-01', CAST({} AS DATE))"
+
+
+@register(
+    "interval_join",
+    f"""+ a AS (SELECT l_suppkey AS k, l_linestatus AS m, {_DAYS.format("l_shipdate")} AS lo, {_DAYS.format("l_shipdate")} + l_linenumber * 3 AS hi FROM lineitem),
+o AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY k, m ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM a),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY k, m ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM o),
+r AS (SELECT k, m, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY k, m, run),
+b AS (SELECT l_suppkey AS k, {_DAYS.format("l_shipdate")} + CAST(l_quantity AS BIGINT) % 7 AS lo, {_DAYS.format("l_shipdate")} + CAST(l_quantity AS BIGINT) AS hi FROM lineitem WHERE l_returnflag = 'R')
+SELECT r.k AS supplier, m AS status, count(*) AS pairs, sum(least(r.hi, b.hi) - greatest(r.lo, b.lo))::BIGINT AS days, min(greatest(r.lo, b.lo))::BIGINT AS first FROM r JOIN b ON r.k = b.k AND r.lo < b.hi AND b.lo < r.hi WHERE b.lo < b.hi GROUP BY r.k, m""",
+    "lineitem",
+)
+def interval_join(items: DataFrame) -> DataFrame:
+    """Days on which a supplier ships lines of some status (runs merged), against the days after returned items."""
+    day = F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date")).cast("long")
+    amount = F.col("l_quantity").cast("long")
+    runs = intervals.merged(items.select("l_suppkey", "l_linestatus", day.alias("lo"), (day + F.col("l_linenumber") * 3).alias("hi")), ["l_suppkey", "l_linestatus"])
+    back = items.where("l_returnflag = 'R'").select("l_suppkey", (day + amount % 7).alias("lo"), (day + amount).alias("hi"))
+    met = intervals.overlapping(runs, back, ["l_suppkey"])
+    first, past = F.greatest("left.lo", "right.lo"), F.least("left.hi", "right.hi")
+    return met.groupBy(F.col("left.l_suppkey").alias("supplier"), F.col("left.l_linestatus").alias("status")).agg(F.count("*").alias("pairs"), F.sum(past - first).alias("days"), F.min(first).alias("first"))
+
+
 # Folders
 
 
