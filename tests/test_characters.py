@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from underlay.functions import text as T
+from underlay.operators import brackets
 from underlay.operators import characters as C
 from underlay.operators.findings import union
 
@@ -110,9 +111,8 @@ def rendered(body):
 @given(st.lists(st.text(st.sampled_from("ab\U0001f600" + "".join(map(chr, T.BIDI))), max_size=25), min_size=30, max_size=30))
 def test_stacks_and_overrides(spark, texts):
     units = spark.createDataFrame([(str(i), "", 0, None, t) for i, t in enumerate(texts)], UNIT)
-    hits = C.controls(units)
     got = {}
-    for r in C.unclosed(hits).where("open").collect():
+    for r in brackets.controls(units).where("open").collect():
         got.setdefault(int(r.file_id), set()).add(r.pos)
     for i, t in enumerate(texts):
         assert got.get(i, set()) == still_open(t)

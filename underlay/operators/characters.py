@@ -5,22 +5,23 @@ and then which lines hold a candidate; only those lines become rows, never their
 characters.  A line is cut by its detector's pattern into runs of hits and what
 lies between, so marking, stripping and reversing are joins of those parts, and
 columns are sums of their lengths.  All of this stays in the scan's stage.  Only
-brackets that cross lines need a window, over the control characters alone.
+brackets that cross lines need more (`brackets.py`), of the control characters alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import brackets
+from .brackets import AFTER_END as _AFTER_END
+from .brackets import CONTROL as _CONTROL
+from .brackets import UNIT
+from .brackets import cut as _cut
 from .findings import CIRCUMSTANTIAL, DIRECT, findings
 
-UNIT = ("file_id", "inside", "unit_no")
 _LINE = (*UNIT, "line")
-_ENDS = T.char_class(x for x in T.LINE_ENDS if x != 0x0D)
-#: The place after a line end; a carriage return before a line feed is half of one.
-_AFTER_END = rf"(?<={_ENDS}|\r(?!\n))"
 
 
 def _lines(units: DataFrame, pattern: str) -> DataFrame:
@@ -41,11 +42,6 @@ def _bracketed(text: Column) -> Column:
     return F.array_join(F.transform(_labels(text), lambda x: F.concat(F.lit(T.OPEN), x, F.lit(T.CLOSE))), "")
 
 
-def _cut(body: Column, pattern: str) -> tuple[Column, Column]:
-    """What lies between the matches of a pattern, and the matches."""
-    return F.split(body, pattern, -1), F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
-
-
 def _woven(between: Column, matches: Column, shown) -> Column:
     """The parts joined again, the matches as shown."""
     return F.concat(F.array_join(F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda b, m: F.concat(b, shown(m))), ""), F.element_at(between, -1))
@@ -97,7 +93,6 @@ def zero_width(units: DataFrame) -> DataFrame:
     return findings(df, "characters", "zero-width", DIRECT, F.when(n == 1, one).otherwise(several), **shown, codepoints=_labels(F.col("run")), **_placed(0))
 
 
-_CONTROL = T.char_class(T.BIDI)
 _CLOSING = T.char_class((T.POP, T.POP_ISOLATE))
 
 
@@ -108,32 +103,8 @@ def _rendered(body: Column) -> Column:
     return F.concat(F.array_join(F.zip_with(F.slice(before, F.lit(1), F.size(turned)), turned, lambda b, t: F.concat(plain(b), F.reverse(plain(t)))), ""), plain(F.element_at(before, -1)))
 
 
-def controls(units: DataFrame) -> DataFrame:
-    """A row for each control character: pos in the unit, line, nth in its line (all from 0), and cp; nothing of the text."""
-    some = units.where(F.col("text").rlike(_CONTROL))
-    gaps, hits = _cut(F.col("text"), _CONTROL)
-    ends = lambda gap: F.size(F.split(gap, _AFTER_END, -1)) - 1
-    rows = some.select(*UNIT, F.posexplode(F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, c: F.struct(F.length(g).alias("gap"), ends(g).alias("ends"), F.ascii(c).alias("cp")))).alias("k", "c"))
-    so_far = Window.partitionBy(*UNIT).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.select(*UNIT, "k", (F.sum("c.gap").over(so_far) + F.col("k")).cast("int").alias("pos"), F.sum("c.ends").over(so_far).cast("int").alias("line"), F.col("c.cp").alias("cp"))
-    return placed.withColumn("nth", F.col("k") - F.min("k").over(Window.partitionBy(*_LINE))).drop("k")
-
-
-def unclosed(hits: DataFrame) -> DataFrame:
-    """hits with `open`: an opener that nothing closes.  Depth is the running sum less its lowest value below zero; an opener stays open if no later depth is lower."""
-    by_unit = Window.partitionBy(*UNIT).orderBy("pos")
-    so_far, later = by_unit.rowsBetween(Window.unboundedPreceding, 0), by_unit.rowsBetween(1, Window.unboundedFollowing)
-    out, is_open = hits, F.lit(False)
-    for name, openers, pop in (("e", T.EMBEDDINGS, T.POP), ("i", T.ISOLATES, T.POP_ISOLATE)):
-        opens = F.col("cp").isin(*openers)
-        out = out.withColumn(f"s_{name}", F.sum(F.when(opens, 1).when(F.col("cp") == pop, -1).otherwise(0)).over(so_far))
-        out = out.withColumn(f"d_{name}", F.col(f"s_{name}") - F.least(F.lit(0), F.min(f"s_{name}").over(so_far)))
-        is_open = is_open | (opens & (F.coalesce(F.min(f"d_{name}").over(later), F.col(f"d_{name}")) >= F.col(f"d_{name}")))
-    return out.withColumn("open", is_open).drop("s_e", "d_e", "s_i", "d_i")
-
-
 def bidi_control(units: DataFrame) -> DataFrame:
-    still = unclosed(controls(units)).where("open").groupBy(*_LINE).agg(F.collect_list("nth").alias("open"))
+    still = brackets.controls(units).where("open").groupBy(*_LINE).agg(F.collect_list("nth").alias("open"))
     df = _runs(_lines(units, _CONTROL), f"{_CONTROL}+", _bracketed, _rendered).join(still, list(_LINE), "left")
     names, labels = F.array_join(F.transform(_chars(F.col("run")), lambda c: T.char_name(F.ascii(c))), ", "), F.array_join(_labels(F.col("run")), ", ")
     stays = F.coalesce(F.exists("open", lambda i: (i >= F.col("nth")) & (i < F.col("nth") + F.length("run"))), F.lit(False))

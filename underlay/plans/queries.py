@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import characters, geometry, intervals, metadata, revisions, sheets, slides, survey
+from ..operators import brackets, characters, geometry, intervals, metadata, revisions, sheets, slides, survey
 from ..operators.findings import union
 from ..sources.shared import buckets_for, shared_path
 from . import carriers as C
@@ -84,7 +84,7 @@ def char_bidi(units: DataFrame) -> DataFrame:
     "units_bidi",
 )
 def char_bidi_unclosed(units: DataFrame) -> DataFrame:
-    return characters.unclosed(characters.controls(units)).where("open").select("file_id", "pos")
+    return brackets.controls(units).where("open").select("file_id", "pos")
 
 
 @register(
