@@ -77,7 +77,8 @@ def controls(units: DataFrame, block: int = BLOCK) -> DataFrame:
     units(file_id, inside, unit_no, text), a row a unit; null texts have none.  block: characters that one task holds of a text.
     """
     within = _within(_blocks(units, block))
-    df = within.where("cp is not null").join(_entries(within), list(_PART))
+    # Merged where the blocks lie and as they are sorted; a broadcast of the controls would bring a text's blocks together again.
+    df = within.where("cp is not null").join(_entries(within).hint("merge"), list(_PART))
     part = Window.partitionBy(*_PART)
     so_far, later = part.orderBy("k").rowsBetween(Window.unboundedPreceding, 0), part.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
     is_open = F.lit(False)
