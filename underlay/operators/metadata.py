@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import sought
 from .findings import CIRCUMSTANTIAL, KEY, SELF_REPORTED, findings
 
 #: An absolute path, the shortest value that is sought, and the Info names with their XMP names.
@@ -24,11 +25,6 @@ PAIRS = (
 TIMES = (("creationdate", "moddate"), ("created", "modified"))
 
 
-def shown_text(units: DataFrame) -> DataFrame:
-    """One row a file: its text in lower case, units joined by line feeds."""
-    return units.groupBy(*KEY).agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_no", "text"))), lambda c: c["text"]), "\n")).alias("shown"))
-
-
 def _about(name: Column) -> Column:
     low = F.lower(name)
     return F.when(F.contains(low, F.lit("originaldocumentid")), "; it names the document from which this one was made").when(F.contains(low, F.lit("derivedfrom")), "; it names a document from which this one derives").otherwise("")
@@ -39,8 +35,8 @@ def undisclosed(fields: DataFrame, units: DataFrame, unread: DataFrame | None =
     content = fields.where("role = 'content'").withColumn("v", T.strip(F.col("value"))).where((F.col("v") != "") & ~F.col("v").rlike(PATH))
     if unread is not None:
         content = content.join(unread.select(*KEY), list(KEY), "left_anti")
-    df = content.join(shown_text(units), list(KEY), "left")
-    df = df.where((F.length("v") < SHORTEST) | ~F.contains(F.coalesce("shown", F.lit("")), F.lower("v")))
+    content = content.withColumn("low", F.lower("v"))
+    df = content.join(sought.present(content.where(F.length("v") >= SHORTEST), units), [*KEY, "low"], "left_anti")
     summary = F.concat(F.lit("field "), "name", F.lit(" of "), "part", F.lit(" holds a value that the document's text shows nowhere"), _about(F.col("name")))
     return findings(df, "metadata", "undisclosed-metadata", SELF_REPORTED, summary, F.col("v"), seq=F.col("seq"))
 

@@ -65,6 +65,10 @@ SQL: dict[str, str] = {
         UNION ALL SELECT CAST(c_custkey AS STRING), '', 6, 'CreationDate', concat('2024-01-', lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0'), 'T10:00:00Z'), '/Info', 'time', 'pdf' FROM {customer}
         UNION ALL SELECT CAST(c_custkey AS STRING), '', 7, 'ModDate', concat('2024-01-', lpad(CAST(c_custkey % 5 + 10 AS STRING), 2, '0'), 'T12:00:00+02:00'), '/Info', 'time', 'pdf' FROM {customer}""",
     "meta_units": "SELECT CAST(c_custkey AS STRING) AS file_id, '' AS inside, 0 AS unit_no, CAST(NULL AS INT) AS page, CASE WHEN c_custkey % 2 = 0 THEN concat('Dear ', upper(c_name)) ELSE concat('on ', c_mktsegment) END AS text FROM {customer}",
+    # A document's lines are the units of a file, which says of itself what stands in it (across lines too) or in a document of an earlier id
+    "line_units": "SELECT CAST(doc_id AS STRING) AS file_id, '' AS inside, CAST(n AS BIGINT) AS unit_no, CAST(NULL AS INT) AS page, split_part(text, chr(10), n) AS text FROM (SELECT doc_id, text, explode(sequence(1, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INT))) AS n FROM {documents}) AS d",
+    "line_fields": """SELECT CAST(doc_id + k AS STRING) AS file_id, '' AS inside, k AS seq, 'Subject' AS name, substr(text, CAST(floor(length(text) / 3) * k AS INT) + 1, 20 + 40 * k) AS value, '/Info' AS part, 'content' AS role, 'pdf' AS container
+        FROM (SELECT doc_id, text, explode(sequence(0, 2)) AS k FROM {documents}) AS d""",
     "meta_history": "SELECT CAST(user_id AS STRING) AS file_id, '' AS inside, event_id AS seq, event_type AS action, CASE WHEN event_id % 4 = 0 THEN NULL ELSE concat('tool ', event_type) END AS software, CAST(NULL AS STRING) AS `when`, CASE WHEN event_id % 2 = 0 THEN '/' END AS changed, CAST(NULL AS STRING) AS instance FROM {events}",
     "images": "SELECT CAST(p_partkey AS STRING) AS file_id, '' AS inside, 800 AS w, 400 + p_size AS h, 160 AS tw, CASE WHEN p_partkey % 9 = 0 THEN 0 ELSE 84 END AS th FROM {part}",
     "attachments": """SELECT CAST(page_id AS STRING) AS file_id, '' AS inside, page_id AS att_no, url AS name, CAST(length(html) AS BIGINT) AS size, CASE WHEN page_id % 3 = 0 THEN NULL ELSE html END AS text,

@@ -286,6 +286,19 @@ def meta_undisclosed(f: DataFrame, u: DataFrame) -> DataFrame:
     return shown(metadata.undisclosed(f, u))
 
 
+@register(
+    "meta_undisclosed_lines",
+    f"""+ f AS (SELECT *, trim(value, {" || ".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 8232, 8233, 12288))}) AS v FROM line_fields)
+SELECT f.file_id, 'self-reported' AS basis, '' AS human_sees, v AS machine_reads, 'field ' || name || ' of ' || part || ' holds a value that the document''s text shows nowhere' AS summary FROM f LEFT JOIN documents d ON d.doc_id::VARCHAR = f.file_id
+WHERE v <> '' AND NOT {_PATHLIKE} AND (length(v) < 4 OR NOT contains(coalesce(lower(d.text), ''), lower(v)))""",
+    "line_fields",
+    "line_units",
+)
+def meta_undisclosed_lines(f: DataFrame, u: DataFrame) -> DataFrame:
+    """Values that lie in one line of a document, across several, or in none."""
+    return shown(metadata.undisclosed(f, u))
+
+
 @register("meta_path", f"SELECT file_id, 'self-reported' AS basis, '' AS human_sees, v AS machine_reads, 'field ' || name || ' of ' || part || ' holds a file system path, which names folders and mostly an account' AS summary FROM (SELECT *, trim(value) AS v FROM meta_fields) WHERE role <> 'tool' AND {_PATHLIKE}", "meta_fields")
 def meta_path(f: DataFrame) -> DataFrame:
     return shown(metadata.paths(f))
