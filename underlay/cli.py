@@ -12,9 +12,9 @@ from pyarrow import fs
 
 from .operators import survey
 from .plans import detectors
-from .plans.scan import remarks_of, scan
+from .plans.scan import findings_of, remarks_of
 from .sources import rendered, sinks
-from .sources.casefiles import filesystem
+from .sources.casefiles import Records, case_files, filesystem
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -22,15 +22,15 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("address", help="a file or folder; any file system that pyarrow knows")
     p.add_argument("--records", help="where record tables are stored, a folder that all machines share; on one machine a folder of its own, removed at the end")
     p.add_argument("--files", action="store_true", help="of a folder, each file's findings instead of a survey")
-    p.add_argument("--ocr", action="store_true", help="read the rendered pages of one PDF too; takes seconds a page")
+    p.add_argument("--ocr", action="store_true", help="read the rendered pages of PDF files too; takes seconds a page")
     p.add_argument("--only", metavar="NAMES", help=f"these detectors alone, separated by commas, of: {', '.join(detectors.REGISTRY)}")
     for form in ("json", "markdown", "html"):
         p.add_argument(f"--{form}", action="store_const", dest="form", const=form)
     args = p.parse_args(argv)
     system, path = filesystem(args.address)
     folder = system.get_file_info(path).type == fs.FileType.Directory
-    if args.ocr and (folder or rendered.missing()):
-        p.error("--ocr reads one file, not a folder" if folder else f"--ocr needs {' and '.join(rendered.missing())}")
+    if args.ocr and rendered.missing():
+        p.error(f"--ocr needs {' and '.join(rendered.missing())}")
     only = [n.strip() for n in args.only.split(",")] if args.only else None
     try:
         if not detectors.chosen(only, ["ocr"] if args.ocr else []):
@@ -48,16 +48,17 @@ def main(argv: list[str] | None = None) -> int:
             own = tempfile.mkdtemp(prefix="records-")
             stack.callback(shutil.rmtree, own, ignore_errors=True)
             stored = f"{own}/t"
-        ocr = rendered.words_of(spark, args.address) if args.ocr else None
-        records, found = scan(spark, args.address, stored, ocr, only=only)
+        records = Records(case_files(spark, args.address), stored)
         stack.callback(records.forget)
-        return report(args.address, records, found.persist(), args.form, folder and not args.files)
+        reading = rendered.Reading(spark, args.address, records["pages"], f"{stored.rstrip('/')}-ocr") if args.ocr else None
+        found = findings_of(records, reading.words() if reading else None, only=only)
+        return report(args.address, records, found.persist(), args.form, folder and not args.files, unread=reading.remarks() if reading else None)
 
 
-def report(root: str, records, found, form: str | None, as_survey: bool, out=None) -> int:
-    """Writes the report line by line; rows come from the executors partition by partition."""
+def report(root: str, records, found, form: str | None, as_survey: bool, out=None, unread=None) -> int:
+    """Writes the report line by line; rows come from the executors partition by partition.  unread: remarks on pages whose picture was not read."""
     write = lambda line: print(line, file=out or sys.stdout)
-    files, said = records.files(), remarks_of(records)
+    files, said = records.files(), remarks_of(records, unread)
     total = survey.totals(files, found).first()
     if form == "json":
         texts = (r["json"] for r in sinks.scan_json(files, found, said).orderBy("file_id").toLocalIterator())

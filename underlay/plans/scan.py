@@ -23,9 +23,9 @@ def findings_of(r: Records, ocr: DataFrame | None = None, previews: DataFrame |
     return detectors.found(detectors.chosen(only, outside), lambda name: special[name]() if name in special else r[name], outside)
 
 
-def remarks_of(r: Records) -> DataFrame:
-    """remarks(file_id, inside, phase, seq, text): what the readers, the page detectors and the metadata have to say beside findings."""
-    said = [r["remarks"], geometry.page_remarks(r.laid(), r["annotations"]), metadata.claims(r["meta_fields"])]
+def remarks_of(r: Records, unread: DataFrame | None = None) -> DataFrame:
+    """remarks(file_id, inside, phase, seq, text): what the readers, the page detectors and the metadata have to say beside findings; and on pages left unread."""
+    said = [r["remarks"], geometry.page_remarks(r.laid(), r["annotations"]), metadata.claims(r["meta_fields"]), *([] if unread is None else [unread])]
     parts = [df.select("file_id", "inside", F.lit(phase).alias("phase"), "seq", "text") for phase, df in enumerate(said)]
     return reduce(DataFrame.unionByName, parts)
 
