@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import brackets, characters, geometry, intervals, metadata, revisions, sheets, slides, survey
+from ..operators import brackets, characters, geometry, intervals, metadata, revisions, rollup, sheets, slides, survey
 from ..operators.findings import union
 from ..sources.shared import buckets_for, shared_path
 from . import carriers as C
@@ -584,6 +584,29 @@ def survey_totals(f: DataFrame, g: DataFrame) -> DataFrame:
     return survey.totals(f, g)
 
 
+@register(
+    "survey_merged",
+    """+ d AS (SELECT file_id, rel_path, refusal, unnest(['', split_part(rel_path, '/', 1)]) AS folder FROM survey_files),
+b AS (SELECT file_id, detector, count(*) AS n, min((line, emit_seq)) AS spot FROM survey_findings GROUP BY ALL),
+e AS (SELECT * FROM d JOIN b USING (file_id))
+SELECT folder, detector, NULL::BIGINT AS files, NULL::BIGINT AS read, NULL::BIGINT AS refused, count(*) AS hiding, sum(n)::BIGINT AS findings, arg_min(rel_path, (string_split(rel_path, '/'), spot)) AS first FROM e GROUP BY folder, detector
+UNION ALL SELECT folder, NULL, files, read, refused, hiding, findings, first
+FROM (SELECT folder, count(*) AS files, count(*) FILTER (WHERE refusal IS NULL) AS read, count(*) FILTER (WHERE refusal IS NOT NULL) AS refused FROM d GROUP BY folder)
+JOIN (SELECT folder, count(DISTINCT file_id) AS hiding, sum(n)::BIGINT AS findings, arg_min(rel_path, (string_split(rel_path, '/'), spot)) AS first FROM e GROUP BY folder) USING (folder)""",
+    "survey_files",
+    "survey_findings",
+)
+def survey_merged(f: DataFrame, g: DataFrame) -> DataFrame:
+    """Files arrive in three batches, the second of them twice, and the first two are settled; the totals are those of all files at once."""
+    grown = rollup.Growing(f.sparkSession, shared_path(f.sparkSession, "survey"))
+    batch = F.crc32("file_id") % 3
+    for number in (0, 1, 1, 2):
+        grown.add(number, f.where(batch <= number), g)
+        if number == 1:
+            grown.settle(1)
+    return grown.totals()
+
+
 @register(
     "findings_union_ordered",
     f"""+ f AS (SELECT doc_id::VARCHAR AS file_id, 'tag-characters' AS detector, least(length(split_part(text, chr(10), 1)), 10) + 1 AS c FROM documents UNION ALL SELECT doc_id::VARCHAR, 'mixed-script', 2 * (doc_id % 7) + 2 FROM documents)
