@@ -11,8 +11,9 @@ import pytest
 from underlay.operators import survey
 from underlay.plans.scan import scan
 from underlay.sources import media, office
-from underlay.sources.casefiles import case_files, extract
+from underlay.sources.casefiles import extract
 from underlay.sources.records import Sink
+from underlay.sources.walk import case_files
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 X = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'

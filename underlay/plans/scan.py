@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import geometry, metadata
-from ..sources.casefiles import Records, case_files
+from ..sources.casefiles import Records
+from ..sources.walk import case_files
 from . import detectors
 
 

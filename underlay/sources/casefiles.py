@@ -1,97 +1,26 @@
-"""A folder of files as a table, and files as record tables.
-
-`case_files` lists a folder with whatever file system its address names, in tasks
-reads the bytes, and never drops a name for its first letter but a dot: Spark's
-own file source passes over names that begin with an underscore.  `Records` runs
-the parsers once, stores what they give as typed columns, partitioned by record
-table, and hands out each table; a file that cannot be read is a row with a reason,
-and one that is damaged half-way keeps the records read before, with a remark.
+"""Files as record tables.
+
+`Records` runs the parsers once over the files of a walk, stores what they give as
+typed columns, partitioned by record table, and hands out each table; a file that
+cannot be read is a row with a reason, and one that is damaged half-way keeps the
+records read before, with a remark.
 """
 
 from __future__ import annotations
 
 import hashlib
-import posixpath
 import struct
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators import geometry
 from . import legacy, media, office, pdf
 from .records import SCHEMAS, Refused, Sink
 from .shared import Bucketed, buckets_for
-
-FILES = "path string, rel_path string, length long, content binary"
-BATCH_BYTES = 32 << 20
-
-
-def filesystem(address: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(address) if "://" in address else (fs.LocalFileSystem(), address)
-
-
-class _Batch(InputPartition):
-    def __init__(self, files: list[tuple[str, str, int]]):
-        super().__init__(None)
-        self.files = files
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, address: str):
-        self.address = address
-
-    def partitions(self):
-        system, root = filesystem(self.address)
-        info = system.get_file_info(root)
-        if info.type == fs.FileType.File:
-            found = [(root, posixpath.basename(root), info.size)]
-        else:
-            listed = system.get_file_info(fs.FileSelector(root, recursive=True))
-            base = root.rstrip("/") + "/"
-            found = [(i.path, i.path[i.path.find(base) + len(base) :] if base in i.path else i.path, i.size) for i in listed if i.type == fs.FileType.File]
-            found = [x for x in found if not any(part.startswith(".") for part in x[1].split("/"))]
-        batches, held = [[]], 0
-        for f in sorted(found, key=lambda x: x[1].split("/")):
-            if held and held + f[2] > BATCH_BYTES:
-                batches.append([])
-                held = 0
-            batches[-1].append(f)
-            held += f[2]
-        return [_Batch(b) for b in batches]
-
-    def read(self, partition: _Batch) -> Iterator[tuple]:
-        system, _ = filesystem(self.address)
-        for path, rel, size in partition.files:
-            try:
-                with system.open_input_stream(path) as f:
-                    content = f.read()
-            except OSError:
-                content = None
-            yield path, rel, size, content
-
-
-class CaseFiles(DataSource):
-    """spark.read.format("casefiles").load(folder or file)"""
-
-    @classmethod
-    def name(cls) -> str:
-        return "casefiles"
-
-    def schema(self) -> str:
-        return FILES
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
-
-
-def case_files(spark: SparkSession, address: str) -> DataFrame:
-    spark.dataSource.register(CaseFiles)
-    return spark.read.format("casefiles").load(address)
-
+from .walk import BATCH_BYTES
 
 MAGIC = (("pdf", b"%PDF-"), ("ole2", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"), ("jpeg", b"\xff\xd8\xff"), ("zip", b"PK\x03\x04"))
 

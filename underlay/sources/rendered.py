@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .casefiles import filesystem
+from .walk import filesystem
 
 TOOLS = ("gs", "tesseract")
 WORDS = "file_id string, inside string, page int, word_no long, text string, x0 double, y0 double, x1 double, y1 double, conf double"
