@@ -1,4 +1,4 @@
-"""python -m underlay.cli FILE_OR_FOLDER [--files] [--json | --markdown | --html] [--ocr] [--only NAMES]: scan, report, exit status 0, 1 or 2."""
+"""python -m underlay.cli FILE_OR_FOLDER [--files] [--json | --markdown | --html] [--out FOLDER] [--ocr] [--only NAMES]: scan, report, exit status 0, 1 or 2."""
 
 from __future__ import annotations
 
@@ -13,8 +13,9 @@ from pyarrow import fs
 from .operators import survey
 from .plans import detectors
 from .plans.scan import findings_of, remarks_of
-from .sources import rendered, sinks
-from .sources.casefiles import Records, case_files, filesystem
+from .sources import rendered, reports, sinks
+from .sources.casefiles import Records
+from .sources.walk import case_files, filesystem
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -22,6 +23,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("address", help="a file or folder; any file system that pyarrow knows")
     p.add_argument("--records", help="where record tables are stored, a folder that all machines share; on one machine a folder of its own, removed at the end")
     p.add_argument("--files", action="store_true", help="of a folder, each file's findings instead of a survey")
+    p.add_argument("--out", metavar="FOLDER", help="executors write a report a file there, and a manifest; on a cluster, a folder that all machines share")
     p.add_argument("--ocr", action="store_true", help="read the rendered pages of PDF files too; takes seconds a page")
     p.add_argument("--only", metavar="NAMES", help=f"these detectors alone, separated by commas, of: {', '.join(detectors.REGISTRY)}")
     for form in ("json", "markdown", "html"):
@@ -52,7 +54,15 @@ def main(argv: list[str] | None = None) -> int:
         stack.callback(records.forget)
         reading = rendered.Reading(spark, args.address, records["pages"], f"{stored.rstrip('/')}-ocr") if args.ocr else None
         found = findings_of(records, reading.words() if reading else None, only=only)
-        return report(args.address, records, found.persist(), args.form, folder and not args.files, unread=reading.remarks() if reading else None)
+        unread = reading.remarks() if reading else None
+        if args.out:
+            # Findings are stored first, so that reports and totals do not run the detectors twice.
+            found.write.parquet(f"{stored.rstrip('/')}-found")
+            found, files = spark.read.parquet(f"{stored.rstrip('/')}-found"), records.files()
+            made = reports.write(files, found, remarks_of(records, unread), args.form or "text", args.out)
+            print(f"{args.out}: {made['reports']} reports; {made['hiding']} of these files hide something, {made['refused']} could not be read")
+            return sinks.exit_status(made["reports"], made["reports"] - made["refused"], made["findings"])
+        return report(args.address, records, found.persist(), args.form, folder and not args.files, unread=unread)
 
 
 def report(root: str, records, found, form: str | None, as_survey: bool, out=None, unread=None) -> int:

@@ -32,17 +32,20 @@ def per_file(files: DataFrame, findings: DataFrame, remarks: DataFrame) -> DataF
     return joined.withColumn("found", F.coalesce("found", F.array())).withColumn("said", F.coalesce("said", F.array()))
 
 
-def scan_json(files: DataFrame, findings: DataFrame, remarks: DataFrame) -> DataFrame:
-    """(file_id, json): one JSON text a file, findings in order; to_json() leaves out what is empty."""
+def json_text() -> Column:
+    """The JSON text of a row of per_file(); to_json() leaves out what is empty."""
 
     def finding(f: Column) -> Column:
         place = F.struct(f["page"].alias("page"), f["line"].alias("line"), f["column"].alias("column"), F.when(f["inside"] != "", f["inside"]).alias("inside"))
         plain = [f[c].alias(c) for c in ("detector", "basis", "summary", "human_sees", "machine_reads")]
         return F.struct(*plain, place.alias("location"), f["codepoints"].alias("codepoints"), f["decoded"].alias("decoded"))
 
-    whole = per_file(files, findings, remarks)
-    body = F.struct(F.lit(TOOL).alias("tool"), F.lit(VERSION).alias("version"), F.lit(SCHEMA).alias("schema"), F.col("file_id").alias("file"), "sha256", "kind", "searched", "refusal", F.col("said").alias("remarks"), F.transform("found", finding).alias("findings"))
-    return whole.select("file_id", F.to_json(body).alias("json"))
+    return F.to_json(F.struct(F.lit(TOOL).alias("tool"), F.lit(VERSION).alias("version"), F.lit(SCHEMA).alias("schema"), F.col("file_id").alias("file"), "sha256", "kind", "searched", "refusal", F.col("said").alias("remarks"), F.transform("found", finding).alias("findings")))
+
+
+def scan_json(files: DataFrame, findings: DataFrame, remarks: DataFrame) -> DataFrame:
+    """(file_id, json): one JSON text a file, findings in order."""
+    return per_file(files, findings, remarks).select("file_id", json_text().alias("json"))
 
 
 def exit_status(files: int, read: int, findings: int) -> int:
