@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from underlay.plans import packages as P
 from underlay.sources import casefiles as C
+from underlay.sources import walk
 from underlay.sources import pdf
 
 
@@ -22,7 +23,7 @@ def container(n, key="c", more=()):
 
 
 def files(spark, **contents):
-    return spark.createDataFrame([(f"{k}.docx", f"{k}.docx", len(v or b""), v) for k, v in contents.items()], C.FILES)
+    return spark.createDataFrame([(f"{k}.docx", f"{k}.docx", len(v or b""), v) for k, v in contents.items()], walk.FILES)
 
 
 def test_one_container_is_the_work_of_all_tasks(spark, tmp_path, monkeypatch):
