@@ -53,16 +53,14 @@ def main(argv: list[str] | None = None) -> int:
         records = Records(case_files(spark, args.address), stored)
         stack.callback(records.forget)
         reading = rendered.Reading(spark, args.address, records["pages"], f"{stored.rstrip('/')}-ocr") if args.ocr else None
-        found = findings_of(records, reading.words() if reading else None, only=only)
-        unread = reading.remarks() if reading else None
+        # Findings are stored beside the records, so that a lost executor costs a reading of files, and nothing runs the detectors twice.
+        findings_of(records, reading.words() if reading else None, only=only).write.parquet(f"{stored.rstrip('/')}-found")
+        found, unread = spark.read.parquet(f"{stored.rstrip('/')}-found"), reading.remarks() if reading else None
         if args.out:
-            # Findings are stored first, so that reports and totals do not run the detectors twice.
-            found.write.parquet(f"{stored.rstrip('/')}-found")
-            found, files = spark.read.parquet(f"{stored.rstrip('/')}-found"), records.files()
-            made = reports.write(files, found, remarks_of(records, unread), args.form or "text", args.out)
+            made = reports.write(records.files(), found, remarks_of(records, unread), args.form or "text", args.out)
             print(f"{args.out}: {made['reports']} reports; {made['hiding']} of these files hide something, {made['refused']} could not be read")
             return sinks.exit_status(made["reports"], made["reports"] - made["refused"], made["findings"])
-        return report(args.address, records, found.persist(), args.form, folder and not args.files, unread=unread)
+        return report(args.address, records, found, args.form, folder and not args.files, unread=unread)
 
 
 def report(root: str, records, found, form: str | None, as_survey: bool, out=None, unread=None) -> int:
