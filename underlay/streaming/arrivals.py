@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import characters
 from ..operators.findings import union
+from ..operators.rollup import Growing
 
 
 def watch(arrivals: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -28,3 +29,22 @@ def watch(arrivals: DataFrame, out: str, checkpoint: str, once: bool = True) ->
 
     writer = fresh.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def watch_survey(arrivals: DataFrame, at: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """The same units with a `rel_path`, as batches of a growing survey stored at `at`; Growing(spark, at).totals() says what all files so far hide.
+
+    A file's units come in one batch.  A batch that is repeated after a failure overwrites its own rows, and a file that comes again in a later
+    batch is passed over, without state to keep in the stream.
+    """
+
+    def grow(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        files = batch.select("file_id", "rel_path", F.lit(None).cast("string").alias("refusal")).distinct()
+        # Units of one text that stand twice in a batch are judged once, as watch() does.
+        units = batch.dropDuplicates(["file_id", "inside", "unit_no", "text"])
+        Growing(batch.sparkSession, at).add(number, files, union(characters.detect(units)))
+        batch.unpersist()
+
+    writer = arrivals.writeStream.foreachBatch(grow).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
