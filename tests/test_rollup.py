@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from underlay.operators import rollup, survey
 
 FILES = "file_id string, rel_path string, refusal string"
@@ -72,3 +74,15 @@ def test_nothing_and_refusals_alone(spark, tmp_path):
     assert grown.totals().count() == 0
     grown.add(1, spark.createDataFrame([("a", "a", "no")], FILES), none)
     assert got(grown.totals()) == {("", None): (1, 0, 1, 0, 0, None)}
+
+
+def test_a_batch_that_failed_half_way_is_added_again(spark, tmp_path):
+    """Its files were registered before the findings failed; they are not taken for known ones."""
+    files, found = made(spark, 40)
+    f, g = spark.createDataFrame(files, FILES), spark.createDataFrame(found, FINDINGS)
+    grown = rollup.Growing(spark, str(tmp_path / "s"))
+    grown.add(0, f.limit(10), g)
+    with pytest.raises(Exception, match="lost"):
+        grown.add(1, f, g.selectExpr("file_id", "emit_phase", "emit_seq", "if(emit_seq = 7, raise_error('lost'), detector) AS detector", "page", "line", "`column`"))
+    grown.add(1, f, g)
+    assert got(grown.totals()) == expected(files, found)
