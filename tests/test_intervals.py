@@ -39,3 +39,18 @@ def test_runs(spark):
     got = sorted(str(tuple(r)) for r in I.merged(spark.createDataFrame(rows, "m string, lo long, hi long"), ["m"]).collect())
     assert got == sorted(str(x) for x in [("a", 1, 4), ("a", 6, 12), ("b", 3, 5), (None, 1, 3)])
     assert I.merged(spark.createDataFrame([], "m string, lo long, hi long"), ["m"]).count() == 0
+
+
+def test_runs_of_repeated_intervals(spark):
+    """Rows with equal bounds, many times over and in many tasks: the first of them alone opens a run."""
+    rng = random.Random(8)
+    rows = [("k", (lo := 7 * rng.randint(0, 400)), lo + rng.choice([3, 7, 12])) for _ in range(300)] * 20
+    days = sorted({d for _, lo, hi in rows for d in range(lo, hi + 1)})
+    got = sorted((r.lo, r.hi) for r in I.merged(spark.createDataFrame(rows, "m string, lo long, hi long").repartition(16), ["m"]).collect())
+    want = []
+    for lo, hi in sorted({(lo, hi) for _, lo, hi in rows}):
+        if want and lo <= want[-1][1]:
+            want[-1][1] = max(want[-1][1], hi)
+        else:
+            want.append([lo, hi])
+    assert got == [tuple(x) for x in want] and sum(hi - lo + 1 for lo, hi in got) == len(days)
