@@ -6,19 +6,23 @@ dx, dy, size, mode, alpha, fr, fg, fb, sr, sg, sb, cx0, cy0, cx1, cy1, ord, widt
 annotations(.., page, seq, subtype, contents, author, has_appearance), and
 ocr_words(.., page, word_no, text, x0, y0, x1, y1, conf).
 
-lay() deals glyphs and shapes out by page, once, in the order of lines; every detector
-reads that one table, and its windows by line and page need no exchange and no sort of
-their own.  Boxes of a page meet in page_join.  Lines come from each glyph's angle and
+lay() deals glyphs and shapes out by page, once, in the order of lines (glyphs that were
+made of lines dealt out by page stay where they are); every detector reads that one table,
+and its windows by line and page need no exchange and no sort of their own.  Boxes of a page meet in page_join.  Lines come from each glyph's angle and
 distance across it; all grouping is by line and islands, never by drawing operation.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import Bucketed
+from ..sources.shared import Bucketed, buckets_for
 from . import page_join as J
 from .findings import CIRCUMSTANTIAL, DIRECT, findings
 
@@ -38,17 +42,39 @@ def _painted() -> Column:
     return F.col("mode").isin(*PAINTING) & (F.col("alpha") > CLEAR)
 
 
+def _dealt(rows: DataFrame) -> tuple[tuple[str, ...], int] | None:
+    """The columns and the number of parts by which Spark plans rows dealt out, if each page's lie in one part: by the file, say,
+    before they were made of its lines."""
+    told = re.fullmatch(r"hashpartitioning\((.*), (\d+)\)", rows._jdf.queryExecution().sparkPlan().outputPartitioning().toString())
+    by = tuple(re.findall(r"(\w+)#\d+", told[1])) if told else ()
+    return (by, int(told[2])) if by and set(by) <= set(PAGE) else None
+
+
+def _beside(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """others as the other side of rows, dealt out as those are: if they lie by page, they stay where they are."""
+    at = _dealt(rows)
+    if at and _dealt(others) != at:
+        others = others.repartition(at[1], *at[0])
+    # Columns of their own: a table's name before them hides from a union that both sides are dealt out alike.
+    own = lambda df: df.withMetadata("file_id", {"laid": True}).withMetadata("inside", {"laid": True}).withMetadata("page", {"laid": True}) if at else df
+    return own(rows).unionByName(own(others.withColumn("side", F.lit(True))), allowMissingColumns=True)
+
+
+def _laid(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """rows dealt out by page, if they do not lie so, and sorted along lines; rows that are on no line come first.  With a number of
+    parts, as adaptive plans split those of an exchange without one."""
+    return (rows if not parts and _dealt(rows) else rows.repartition(parts or buckets_for(rows), *PAGE)).sortWithinPartitions(*ORDER)
+
+
 def lay(glyphs: DataFrame, shapes: DataFrame | None = None, parts: int | None = None) -> DataFrame:
-    """Glyphs with angle, across (the line), along (the place on it) and solid (its run is not blank alone), and rows of opaque shapes
-    (side, shape_no, s_ columns), dealt out by page and sorted along lines; shapes come first.  Halves round to even."""
+    """Glyphs with angle, across (the line) and along (the place on it), and rows of opaque shapes (side, shape_no, s_ columns), dealt out
+    by page and sorted along lines; shapes come first.  Halves round to even.  Rows that lie by page already stay where they are."""
     angle = F.rint(F.degrees(F.atan2("dy", "dx"))).cast("int")
     across = F.rint(-F.col("ox") * F.col("dy") + F.col("oy") * F.col("dx")).cast("long")
     placed = glyphs.select("*", angle.alias("angle"), across.alias("across"), (F.col("ox") * F.col("dx") + F.col("oy") * F.col("dy")).alias("along"), F.lit(False).alias("side"))
     if shapes is not None:
-        placed = placed.unionByName(_shapes(shapes).withColumn("side", F.lit(True)), allowMissingColumns=True)
-    dealt = placed.repartition(*([parts] if parts else []), *PAGE)
-    solid = F.max(~_blank_char()).over(Window.partitionBy(*PAGE, "run_no"))
-    return dealt.withColumn("solid", solid).sortWithinPartitions(*ORDER)
+        placed = _beside(placed, _shapes(shapes))
+    return _laid(placed, parts)
 
 
 def stored_layout(glyphs: DataFrame, shapes: DataFrame, path: str, buckets: int) -> Bucketed:
@@ -73,6 +99,11 @@ def lines(glyphs: DataFrame) -> DataFrame:
 SHAPE = ("s_kind", "s_alpha", "s_ord", "s_x0", "s_y0", "s_x1", "s_y1", "s_r", "s_g", "s_b")
 
 
+def line_texts(glyphs: DataFrame) -> DataFrame:
+    """PAGE, angle, across and text of each line."""
+    return J.lines(lines(glyphs))
+
+
 def _shapes(shapes: DataFrame) -> DataFrame:
     return shapes.select(*PAGE, "shape_no", *(F.col(c.removeprefix("s_")).alias(c) for c in SHAPE)).where(F.col("s_alpha") >= OPAQUE)
 
@@ -99,16 +130,11 @@ def under(laid: DataFrame, pages: DataFrame, kind: str, detector: str, number: i
     """Spans of a line under one opaque shape, drawn after them and smaller than the page."""
     p = pages.select(*PAGE, (F.col("bx1") - F.col("bx0")).alias("wide"), (F.col("by1") - F.col("by0")).alias("high"))
     smaller = ~(((F.col("s_x1") - F.col("s_x0")) >= F.col("wide") * PAGE_SIZED) & ((F.col("s_y1") - F.col("s_y0")) >= F.col("high") * PAGE_SIZED))
-    # By page alone, the laid rows stay where they are.
-    rows = laid.join(p, list(PAGE)).where(F.when(F.col("side"), (F.col("s_kind") == kind) & smaller).otherwise(_painted()))
-    set_ = numbered(rows)
-    told = ("at int, size int, estimated boolean, line string", J.line_texts)
-    hit = J.join(set_, [*LINE[3:], "n", "ch", "x0", "y1"], ["shape_no", *SHAPE], J.pairs(J.covered_later(COVERAGE)), reads=("ord", "widths_estimated"), more=told)
+    rows = numbered(laid.where(F.when(F.col("side"), F.col("s_kind") == kind).otherwise(_painted())))
+    # By page alone, and merged, the laid rows stay where and as they are.
+    set_ = rows.join(p.hint("merge"), list(PAGE)).where(~F.col("side") | smaller)
+    spans = J.runs(set_, ["ch", "x0", "y1"], ["shape_no", *SHAPE], J.pairs(J.covered_later(COVERAGE)), reads=("ord",), alike=True, lines=True)
     key = [*LINE, "shape_no"]
-    first = lambda c: F.first(c).alias(c)
-    spans = _spans(hit.withColumn("hit", F.lit(True)), key, "hit").groupBy(*key, "island").agg(
-        F.array_sort(F.collect_list(F.struct("n", "ch", "x0", "y1", "at", "size"))).alias("all"), F.max("line").alias("line"), F.max("estimated").alias("estimated"), *(first(c) for c in ("s_kind", "s_r", "s_g", "s_b"))
-    )
     # Blank glyphs at the ends of a span are padding of the bar.
     inked = spans.withColumn("inked", F.filter("all", lambda g: ~T.blank(g["ch"]))).where(F.size("inked") > 0).withColumn("from", F.col("inked")[0]).withColumn("to", F.element_at("inked", -1))
     held = inked.withColumn("held", F.filter("all", lambda g: g["n"].between(F.col("from.n"), F.col("to.n"))))
@@ -175,10 +201,27 @@ def invisible(laid: DataFrame) -> DataFrame:
     return findings(df, "page", "invisible-text", basis, F.concat(T.characters(F.col("text")), said), F.col("text"), seq=(3 << 40) + F.col("rank"), page=F.col("page"), codepoints=_points("text"))
 
 
+def _on_backgrounds(laid: DataFrame) -> DataFrame:
+    """Painted glyphs, numbered, and what may lie under them."""
+    return numbered(laid.where(F.when(F.col("side"), F.col("s_kind").isin("fill", "image")).otherwise(_painted())))
+
+
 def backgrounds(laid: DataFrame, *more: str) -> DataFrame:
     """Painted glyphs: their line, n, ch and more columns, with the topmost opaque shape painted before that covers them (null: paper)."""
-    rows = numbered(laid.where(F.when(F.col("side"), F.col("s_kind").isin("fill", "image")).otherwise(_painted())))
-    return J.join(rows, [*LINE[3:], "n", "ch", *more], ["shape_no", "s_kind", "s_r", "s_g", "s_b"], J.topmost(COVERAGE), reads=("ord", "s_ord"))
+    return J.join(_on_backgrounds(laid), [*LINE[3:], "n", "ch", *more], ["shape_no", "s_kind", "s_r", "s_g", "s_b"], J.topmost(COVERAGE), reads=("ord", "s_ord"))
+
+
+def _contrast(a: J.Boxes, b: J.Boxes, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Glyphs whose ink is close to what is under them, with the widest gap of a channel; the colour of an image is not known."""
+    gaps = []
+    for c in "rgb":
+        back = np.ones(len(i))
+        if len(b):
+            known = np.where(pc.equal(b.table["s_kind"], "image").to_numpy(), np.nan, b.column(f"s_{c}").astype(float))
+            back = np.where(j < 0, 1.0, known[j])
+        gaps.append(np.abs(a.column(f"i_{c}").astype(float)[i] - back))
+    gap = np.maximum.reduce(gaps)
+    return gap <= CONTRAST, [gap]
 
 
 def _hex(*rgb: Column) -> Column:
@@ -192,19 +235,12 @@ def low_contrast_text(glyphs: DataFrame, shapes: DataFrame) -> DataFrame:
 def low_contrast(laid: DataFrame) -> DataFrame:
     stroked = F.col("mode").isin(1, 5)
     inks = {f"i_{c}": F.when(stroked, F.col(f"s{c}")).otherwise(F.col(f"f{c}")) for c in "rgb"}
-    set_ = backgrounds(laid.withColumns(inks), *inks)
+    spans = J.runs(_on_backgrounds(laid.withColumns(inks)), ["ch", *inks], ["shape_no", "s_kind", "s_r", "s_g", "s_b"], J.topmost(COVERAGE), reads=("ord", "s_ord"), judge=("gap double", _contrast))
     paper = F.col("shape_no").isNull()
-    for c in "rgb":
-        known = F.when(F.col("s_kind") == "image", F.lit(None).cast("double")).otherwise(F.col(f"s_{c}"))
-        set_ = set_.withColumn(f"b_{c}", F.when(paper, F.lit(1.0)).otherwise(known))
-    gaps = [F.abs(F.col(f"i_{c}") - F.col(f"b_{c}")) for c in "rgb"]
-    known = F.lit(True)
-    for g in gaps:
-        known = known & g.isNotNull()
-    set_ = set_.withColumn("gap", F.when(known, F.greatest(*gaps))).withColumn("hit", F.coalesce(F.col("gap") <= CONTRAST, F.lit(False))).withColumn("paper", paper)
-    spans = _spans(set_, list(LINE), "hit")
-    head = F.struct("i_r", "i_g", "i_b", "b_r", "b_g", "b_b", "paper")
-    df = spans.groupBy(*LINE, "island").agg(_text().alias("text"), F.max("gap").alias("worst"), F.min_by(head, "n").alias("h"), F.min("n").alias("from")).where(~T.blank(F.col("text")))
+    backs = [F.when(paper, F.lit(1.0)).otherwise(F.col(f"s_{c}")).alias(f"b_{c}") for c in "rgb"]
+    head = F.struct(*(F.col("all")[0][c].alias(c) for c in inks), *backs, paper.alias("paper"))
+    of = lambda c: F.transform("all", lambda g: g[c])
+    df = spans.select(*LINE, F.array_join(of("ch"), "").alias("text"), F.array_max(of("gap")).alias("worst"), head.alias("h"), F.col("all")[0]["n"].alias("from")).where(~T.blank(F.col("text")))
     exact = F.col("worst") <= EXACT
     ink, back = _hex(*(F.col(f"h.i_{c}") for c in "rgb")), _hex(*(F.col(f"h.b_{c}") for c in "rgb"))
     by = F.when(exact, ", one colour").otherwise(F.concat(F.lit(", "), F.format_number("worst", 3), F.lit(" apart on the strongest channel")))
@@ -219,7 +255,8 @@ def off_page_text(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
 
 def off_page(laid: DataFrame, pages: DataFrame) -> DataFrame:
     """Spans without any overlap with the page within the clip; runs of blanks alone do not count, unpainted ones do."""
-    some = numbered(_glyphs(laid).where("solid")).join(pages.select(*PAGE, "bx0", "by0", "bx1", "by1"), list(PAGE))
+    solid = F.max(~_blank_char()).over(Window.partitionBy(*PAGE, "run_no"))
+    some = numbered(_glyphs(laid).withColumn("solid", solid).where("solid")).join(pages.select(*PAGE, "bx0", "by0", "bx1", "by1"), list(PAGE))
     for side, pick in (("x0", F.greatest), ("y0", F.greatest), ("x1", F.least), ("y1", F.least)):
         some = some.withColumn(f"v{side}", F.when(F.col("cx0").isNull(), F.col(f"b{side}")).otherwise(pick(F.col(f"b{side}"), F.col(f"c{side}"))))
     empty = (F.least("x1", "vx1") - F.greatest("x0", "vx0") <= 0) | (F.least("y1", "vy1") - F.greatest("y0", "vy0") <= 0)
@@ -236,25 +273,33 @@ def words(glyphs: DataFrame, painted_only: bool = True) -> DataFrame:
     return words_of(lay(glyphs), painted_only)
 
 
-def words_of(laid: DataFrame, painted_only: bool = True) -> DataFrame:
-    """Words of lines, across drawing operations: word_no in reading order, text and box."""
-    set_ = numbered(_glyphs(laid).where(_painted()) if painted_only else _glyphs(laid))
-    along = Window.partitionBy(*LINE).orderBy("n")
+def _in_words(laid: DataFrame, painted_only: bool) -> DataFrame:
+    """Glyphs that are no blanks, with the number of their word on the line, n and, beside them, the rows that are no glyphs."""
+    set_ = numbered(laid.where(F.col("side") | _painted()) if painted_only else laid)
+    along = Window.partitionBy(*LINE).orderBy("along", "run_no", "glyph_no")
     extent = F.abs((F.col("x1") - F.col("x0")) * F.col("dx")) + F.abs((F.col("y1") - F.col("y0")) * F.col("dy"))
     ends = set_.withColumn("end", F.col("along") + extent)
     apart = _blank_char() | F.coalesce(F.col("along") - F.lag("end").over(along) > F.col("size") * WORD_GAP, F.lit(False))
-    split = ends.withColumn("word", F.sum(apart.cast("int")).over(along)).where(~_blank_char())
-    df = split.groupBy(*LINE, "word").agg(_text().alias("text"), *(f(c).alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))))
-    return df.withColumn("word_no", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*_down_the_page(), "word")))
+    return ends.withColumn("word", F.sum(apart.cast("int")).over(along)).where(F.col("side") | ~_blank_char())
+
+
+def words_of(laid: DataFrame, painted_only: bool = True) -> DataFrame:
+    """Words of lines, across drawing operations: word_no in reading order, text and box."""
+    return J.words(_in_words(_glyphs(laid), painted_only)).drop("side")
+
+
+READ = ("r_no", "r_text", "r_key", "conf", "r_x0", "r_y0", "r_x1", "r_y1")
 
 
 def _read(ocr: DataFrame) -> DataFrame:
-    return ocr.select(*PAGE, F.col("word_no").alias("r_no"), F.col("text").alias("r_text"), "conf", *(F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")))
+    key = F.coalesce(T.alphanumeric(F.col("text")), F.lit(""))
+    return ocr.select(*PAGE, F.col("word_no").alias("r_no"), F.col("text").alias("r_text"), key.alias("r_key"), "conf", *(F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")))
 
 
-def _touching_pairs(words_: DataFrame, read: DataFrame, own: list[str], theirs: list[str]) -> DataFrame:
-    """Words and readings of a page whose boxes overlap, each pair once."""
-    return J.join(J.together(words_, read), own, theirs, J.pairs(J.touching), theirs=("r_x0", "r_y0", "r_x1", "r_y1"))
+def _words_and_readings(laid: DataFrame, read: DataFrame, painted_only: bool) -> DataFrame:
+    """The words of a page, and beside them (side) its readings, in one pass: neither leaves its task."""
+    glyphs = _glyphs(laid).select(*ORDER, "side", "ch", "x0", "y0", "x1", "y1", "dx", "dy", "size", "mode", "alpha")
+    return J.words(_in_words(_laid(_beside(glyphs, read)), painted_only), READ)
 
 
 def unrendered_text(glyphs: DataFrame, ocr: DataFrame) -> DataFrame:
@@ -263,13 +308,8 @@ def unrendered_text(glyphs: DataFrame, ocr: DataFrame) -> DataFrame:
 
 def unrendered(laid: DataFrame, ocr: DataFrame) -> DataFrame:
     """Runs of at least UNREAD_RUN words that no reading of the page near them holds; pages without any reading are silent."""
-    read = _read(ocr)
-    wanted = words_of(laid).withColumn("key", T.alphanumeric(F.col("text"))).where("key <> ''").join(ocr.select(*PAGE).distinct(), list(PAGE), "left_semi")
-    near = _touching_pairs(wanted.select(*PAGE, "word_no", "x0", "y0", "x1", "y1"), read, ["word_no"], ["r_no", "r_text"]).groupBy(*PAGE, "word_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_no", "r_text"))), lambda r: T.alphanumeric(r["r_text"])), "").alias("near"))
-    judged = wanted.join(near, [*PAGE, "word_no"], "left").withColumn("lost", ~F.contains(F.coalesce("near", F.lit("")), F.col("key")))
-    by = Window.partitionBy(*PAGE).orderBy("word_no")
-    numbered = judged.withColumn("n", F.row_number().over(by)).where("lost").withColumn("island", F.col("n") - F.row_number().over(by))
-    df = numbered.groupBy(*PAGE, "island").agg(F.count("*").alias("k"), F.min("n").alias("from"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda w: w["text"]), " ").alias("words")).where(F.col("k") >= UNREAD_RUN)
+    both = _words_and_readings(laid, _read(ocr), True).withColumn("key", T.alphanumeric(F.col("text")))
+    df = J.unread(both.where(F.col("side") | (F.col("key") != "")), UNREAD_RUN)
     summary = F.concat(F.col("k").cast("string"), F.lit(" words in a row are in the file and were not read off a rendering of the page; a reader that fails looks the same"))
     return findings(df, "ocr", "unrendered-text", CIRCUMSTANTIAL, summary, F.col("words"), seq=F.col("page").cast("long") * (1 << 32) + F.col("from"), page=F.col("page"))
 
@@ -280,10 +320,8 @@ def unextractable_text(glyphs: DataFrame, ocr: DataFrame) -> DataFrame:
 
 def unextractable(laid: DataFrame, ocr: DataFrame) -> DataFrame:
     """One row a page with at least UNREAD_RUN confident readings that lie on no word of the file."""
-    sure = _read(ocr).where((F.col("conf") >= CONFIDENT) & (T.alphanumeric(F.col("r_text")) != ""))
-    on = _touching_pairs(words_of(laid, False).select(*PAGE, "x0", "y0", "x1", "y1"), sure, [], ["r_no"]).distinct()
-    lost = sure.join(on, [*PAGE, "r_no"], "left_anti")
-    df = lost.groupBy(*PAGE).agg(F.count("*").alias("k"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_no", "r_text"))), lambda w: w["r_text"]), " ").alias("words")).where(F.col("k") >= UNREAD_RUN)
+    sure = _read(ocr).where((F.col("conf") >= CONFIDENT) & (F.col("r_key") != ""))
+    df = J.unfound(_words_and_readings(laid, sure, False), UNREAD_RUN)
     summary = F.concat(F.col("k").cast("string"), F.lit(" words were read off a rendering of the page with no text of the file under them; a scan without a text layer looks the same"))
     return findings(df, "ocr", "unextractable-text", CIRCUMSTANTIAL, summary, "", F.col("words"), seq=F.col("page").cast("long") * (1 << 32) + (1 << 31), page=F.col("page"))
 

@@ -5,7 +5,8 @@ for the right ones).  A task reads its rows in batches and works on all whole pa
 it holds, so pages are many to a batch, and no row is copied for each tile it is in.
 Left boxes are taken in blocks that lie close together; a block meets the right boxes
 that reach its own bounds.  What is held is a batch and one page: a page is part of one
-file, which one task has parsed whole.
+file, which one task has parsed whole.  Lines, words and runs of pairs end with their page
+too, so they are gathered in the same pass, and what leaves it is found text, not glyphs.
 """
 
 from __future__ import annotations
@@ -45,52 +46,215 @@ class Boxes:
         return np.maximum(self.x1 - self.x0, 0.0) * np.maximum(self.y1 - self.y0, 0.0)
 
 
-def laid(rows: DataFrame, *then: str) -> DataFrame:
-    """rows dealt out by page, each page's together and sorted."""
-    return rows.repartition(*PAGE).sortWithinPartitions(*PAGE, *then)
+Pick = Callable[[Boxes, Boxes], tuple[np.ndarray, np.ndarray]]
+def join(rows: DataFrame, left: list[str], right: list[str], pick: Pick, reads: tuple[str, ...] = ()) -> DataFrame:
+    """PAGE, left columns and right columns of the pairs that pick finds; a right place of -1 is no partner (nulls).
 
+    rows: laid out, with side and the columns named; reads names what else pick looks at.
+    """
+    names = list(dict.fromkeys([*PAGE, *left, *right]))
+    wanted = list(dict.fromkeys([*PAGE, "side", *left, *_OWN, *right, *_THEIRS, *reads]))
+    types = {f.name: f.dataType.simpleString() for f in rows.select(*wanted).schema}
 
-def together(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Both sides' rows, laid out by page.  Their columns beside the page are apart."""
-    both = left.withColumn("side", F.lit(False)).unionByName(right.withColumn("side", F.lit(True)), allowMissingColumns=True)
-    return laid(both)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_pages(batches):
+            a, b = _sides(table)
+            if not len(a):
+                continue
+            i, j = pick(a, b)
+            found = {c: a.table[c].take(pa.array(i)) for c in dict.fromkeys([*PAGE, *left])}
+            places = pa.array(j, mask=j < 0)
+            found |= {c: b.table[c].take(places) for c in right}
+            yield from pa.table(found).combine_chunks().to_batches(max_chunksize=10_000)
 
+    return rows.select(*wanted).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names))
 
-Pick = Callable[[Boxes, Boxes], tuple[np.ndarray, np.ndarray]]
-#: More columns of pairs: their DDL, and what makes them of the left boxes (in the rows' order), and the pairs' places.
-More = tuple[str, Callable[[Boxes, np.ndarray, np.ndarray], list[pa.Array]]]
 
+#: What is kept of pairs: which of them, and more columns of them (DDL, and what makes both of the boxes and the pairs' places).
+Judge = tuple[str, Callable[[Boxes, Boxes, np.ndarray, np.ndarray], tuple[np.ndarray, list[np.ndarray]]]]
 
-def join(rows: DataFrame, left: list[str], right: list[str], pick: Pick, own: tuple[str, ...] = ("x0", "y0", "x1", "y1"), theirs: tuple[str, ...] = ("s_x0", "s_y0", "s_x1", "s_y1"), reads: tuple[str, ...] = (), more: More | None = None) -> DataFrame:
-    """PAGE, left columns and right columns of the pairs that pick finds; a right place of -1 is no partner (nulls).
 
-    rows: laid out, with side and the columns named; own and theirs name the corners of either side's boxes, and reads
-    what else pick and more look at.
-    """
-    wanted = list(dict.fromkeys([*PAGE, "side", *left, *own, *right, *theirs, *reads]))
-    fields = {f.name: f for f in rows.select(*wanted).schema}
-    ddl = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in dict.fromkeys([*PAGE, *left, *right])) + (f", {more[0]}" if more else "")
+def runs(rows: DataFrame, listed: list[str], right: list[str], pick: Pick, reads: tuple[str, ...] = (), judge: Judge | None = None, alike: bool = False, lines: bool = False) -> DataFrame:
+    """A row a run of neighbours on a line that pick finds and judge keeps (alike: with the same right box), so that no pair leaves its task.
 
-    names = [*dict.fromkeys([*PAGE, *left, *right]), *(x.split()[0] for x in (more[0].split(", ") if more else ()))]
+    PAGE, angle, across, the first pair's right columns, and `all`: structs of n, the listed columns and judge's.  lines: also
+    where in the line's text each begins and how long it is (in `all`), the text, and whether a width of the line is estimated.
+    """
+    wanted = list(dict.fromkeys([*PAGE, "side", "angle", "across", "n", *listed, *_OWN, *right, *_THEIRS, *reads, *(("ch", "widths_estimated") if lines else ())]))
+    types = {f.name: f.dataType.simpleString() for f in rows.select(*wanted).schema}
+    item = [*((c, types[c]) for c in ("n", *listed)), *((("at", "int"), ("size", "int")) if lines else ()), *(tuple(x.split()) for x in (judge[0].split(", ") if judge else ()))]
+    outer = [*PAGE, "angle", "across"]
+    ddl = ", ".join([*(f"`{c}` {types[c]}" for c in (*outer, *right)), *(("estimated boolean", "line string") if lines else ()), f"all array<struct<{', '.join(f'{c}: {t}' for c, t in item)}>>"])
+    names = [*outer, *right, *(("estimated", "line") if lines else ()), "all"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_pages(batches):
-            page = np.concatenate([[0], np.cumsum(_changes(table))])
-            side = table["side"].to_numpy()
-            a, b = (_boxes(table.filter(pa.array(s)), page[s], names) for s, names in ((~side, own), (side, theirs)))
+            a, b = _sides(table)
             if not len(a):
                 continue
             i, j = pick(a, b)
-            found = {c: a.table[c].take(pa.array(i)) for c in dict.fromkeys([*PAGE, *left])}
-            places = pa.array(j, mask=j < 0)
-            found |= {c: b.table[c].take(places) for c in right}
-            arrays = more[1](a, i, j) if more else []
-            found |= {f"more{k}": x for k, x in enumerate(arrays)}
-            yield from pa.table(found).rename_columns(names).combine_chunks().to_batches(max_chunksize=10_000)
+            keep, more = judge[1](a, b, i, j) if judge else (np.ones(len(i), bool), [])
+            i, j, more = i[keep], j[keep], [m[keep] for m in more]
+            if not len(i):
+                continue
+            order = np.lexsort((i, j) if alike else (i,))
+            i, j, more = i[order], j[order], [m[order] for m in more]
+            line, first = _lines(a)
+            opens = np.ones(len(i), bool)
+            opens[1:] = (i[1:] != i[:-1] + 1) | (line[i[1:]] != line[i[:-1]]) | (alike & (j[1:] != j[:-1]))
+            heads = np.flatnonzero(opens)
+            parts = [_taken(a.table[c], i) for c in ("n", *listed)]
+            whole = []
+            if lines:
+                ch = _one(a.table["ch"])
+                size = pc.utf8_length(ch).to_numpy(zero_copy_only=False)
+                before = np.cumsum(size) - size
+                parts += [pa.array((before - before[first][line])[i], pa.int32()), pa.array(size[i], pa.int32())]
+                guessed = np.logical_or.reduceat(a.column("widths_estimated"), first)
+                whole = [pa.array(guessed[line[i[heads]]]), _joined(ch, first).take(pa.array(line[i[heads]]))]
+            parts += [pa.array(m) for m in more]
+            every = pa.ListArray.from_arrays(pa.array(np.append(heads, len(i)), pa.int32()), pa.StructArray.from_arrays(parts, names=[c for c, _ in item]))
+            places = pa.array(j[heads], mask=j[heads] < 0)
+            found = [*(_taken(a.table[c], i[heads]) for c in outer), *(_one(b.table[c].take(places)) for c in right), *whole, every]
+            yield from pa.table(found, names=names).to_batches(max_chunksize=10_000)
+
+    return rows.select(*wanted).mapInArrow(run, ddl)
+
+
+_OWN, _THEIRS = ("x0", "y0", "x1", "y1"), ("s_x0", "s_y0", "s_x1", "s_y1")
+
+
+def _sides(table: pa.Table, own: tuple[str, ...] = _OWN, theirs: tuple[str, ...] = _THEIRS) -> tuple[Boxes, Boxes]:
+    page = np.concatenate([[0], np.cumsum(_changes(table))])
+    side = table["side"].to_numpy()
+    return tuple(_boxes(table.filter(pa.array(s)), page[s], names) for s, names in ((~side, own), (side, theirs)))
+
+
+def _one(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _taken(column: pa.ChunkedArray, places: np.ndarray) -> pa.Array:
+    return _one(column.take(pa.array(places)))
+
+
+def _joined(texts: pa.Array, first: np.ndarray, between: str = "") -> pa.Array:
+    """The texts of each stretch (by its first place) as one."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(texts)), pa.int32()), pc.fill_null(texts.cast(pa.string()), "")), between)
+
+
+def _lines(a: Boxes, *more: str) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows along lines: the number of each row's line (and of what more columns tell apart on it), and each line's first place."""
+    starts = np.ones(len(a), bool)
+    starts[1:] = False
+    for c in (a.page, *(a.column(name) for name in ("angle", "across", *more))):
+        starts[1:] |= c[1:] != c[:-1]
+    return np.cumsum(starts) - 1, np.flatnonzero(starts)
+
+
+def lines(rows: DataFrame) -> DataFrame:
+    """PAGE, angle, across and text of the lines of rows that lie along them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_pages(batches):
+            page = np.concatenate([[0], np.cumsum(_changes(table))])
+            _, first = _lines(Boxes(page, page, page, page, page, table))
+            found = {c: _taken(table[c], first) for c in (*PAGE, "angle", "across")} | {"text": _joined(_one(table["ch"]), first)}
+            yield from pa.table(found).to_batches(max_chunksize=10_000)
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.select(*PAGE, "angle", "across", "ch", "n").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in (*PAGE, "angle", "across")) + ", text string")
+
+
+def words(rows: DataFrame, right: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of glyphs, along lines and with the number of their word, as words in reading order (word_no, text, box); rows of the
+    other side stay beside their page's words, with their right columns."""
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    wanted = [*PAGE, "side", "angle", "across", "word", "n", "ch", *_OWN, *right]
+    ddl = ", ".join([*(f"{c} {types[c]}" for c in (*PAGE, "side")), "word_no int, text string", *(f"{c} double" for c in _OWN), *(f"{c} {types[c]}" for c in right)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_pages(batches):
+            a, b = _sides(table, theirs=_OWN)
+            parts, pages = [], []
+            if len(a):
+                _, first = _lines(a, "word")
+                # Lines run down the page.
+                down = np.lexsort((np.arange(len(first)), -a.column("across")[first], -a.column("angle")[first], a.page[first]))
+                page = a.page[first][down]
+                number = np.arange(1, len(page) + 1) - np.searchsorted(page, page, "left")
+                found = {c: a.table[c].take(pa.array(first[down])) for c in (*PAGE, "side")} | {"word_no": pa.array(number, pa.int32()), "text": _joined(_one(a.table["ch"]), first).take(pa.array(down))}
+                found |= {c: pa.array(f.reduceat(getattr(a, c), first)[down]) for c, f in (("x0", np.minimum), ("y0", np.minimum), ("x1", np.maximum), ("y1", np.maximum))}
+                parts.append(pa.table(found | {c: pa.nulls(len(page), table.schema.field(c).type) for c in right}))
+                pages.append(page)
+            if right and len(b):
+                none = {"word_no": pa.nulls(len(b), pa.int32()), "text": pa.nulls(len(b), pa.string())} | {c: pa.nulls(len(b), pa.float64()) for c in _OWN}
+                parts.append(pa.table({c: b.table[c] for c in (*PAGE, "side")} | none | {c: b.table[c] for c in right}))
+                pages.append(b.page)
+            if parts:
+                both = pa.concat_tables(parts).take(pa.array(np.argsort(np.concatenate(pages), kind="stable")))
+                yield from both.combine_chunks().to_batches(max_chunksize=10_000)
 
     return rows.select(*wanted).mapInArrow(run, ddl)
 
 
+_READ = ("r_x0", "r_y0", "r_x1", "r_y1")
+
+
+def unread(rows: DataFrame, least: int) -> DataFrame:
+    """Of words (key: their letters and digits, none empty) with the readings of their page (r_key): PAGE, k, from and words of runs of
+    at least so many that no reading which touches them holds.  Pages without readings are silent."""
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_pages(batches):
+            a, b = _sides(table, theirs=_READ)
+            if not len(a) or not len(b):
+                continue
+            i, j = pairs(touching)(a, b)
+            order = np.lexsort((b.column("r_no")[j], i))
+            i, j = i[order], j[order]
+            near = np.full(len(a), "", object)
+            starts = np.flatnonzero(np.diff(i, prepend=-1))
+            near[i[starts]] = _joined(_taken(b.table["r_key"], j), starts).to_pylist()
+            lost = np.flatnonzero(np.fromiter((k not in t for k, t in zip(a.table["key"].to_pylist(), near)), bool, len(a)) & np.isin(a.page, b.page))
+            if not len(lost):
+                continue
+            opens = np.flatnonzero(np.concatenate([[True], (np.diff(lost) != 1) | (np.diff(a.page[lost]) != 0)]))
+            k = np.diff(np.append(opens, len(lost)))
+            long = k >= least
+            head = lost[opens][long]
+            found = {c: a.table[c].take(pa.array(head)) for c in PAGE} | {"k": pa.array(k[long], pa.int64()), "from": pa.array(head - np.searchsorted(a.page, a.page[head], "left") + 1, pa.int32())}
+            yield from pa.table(found | {"words": _joined(_taken(a.table["text"], lost), opens, " ").filter(pa.array(long))}).combine_chunks().to_batches(max_chunksize=10_000)
+
+    return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in PAGE) + ", k long, `from` int, words string")
+
+
+def unfound(rows: DataFrame, least: int) -> DataFrame:
+    """Of words with the readings of their page: PAGE, k and words of pages with at least so many readings that touch no word."""
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_pages(batches):
+            a, b = _sides(table, theirs=_READ)
+            if not len(b):
+                continue
+            on = np.zeros(len(b), bool)
+            if len(a):
+                on[pairs(touching)(a, b)[1]] = True
+            lost = np.flatnonzero(~on)
+            lost = lost[np.lexsort((b.column("r_no")[lost], b.page[lost]))]
+            if not len(lost):
+                continue
+            opens = np.flatnonzero(np.diff(b.page[lost], prepend=-1))
+            k = np.diff(np.append(opens, len(lost)))
+            long = k >= least
+            found = {c: b.table[c].take(pa.array(lost[opens][long])) for c in PAGE} | {"k": pa.array(k[long], pa.int64())}
+            yield from pa.table(found | {"words": _joined(_taken(b.table["r_text"], lost), opens, " ").filter(pa.array(long))}).combine_chunks().to_batches(max_chunksize=10_000)
+
+    return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in PAGE) + ", k long, words string")
+
+
 def _changes(table: pa.Table) -> np.ndarray:
     """For each row after the first, whether its page is another."""
     out = np.zeros(max(table.num_rows - 1, 0), bool)
@@ -124,29 +288,6 @@ def _boxes(table: pa.Table, page: np.ndarray, names: tuple[str, ...]) -> Boxes:
     return Boxes(page, *(table[c].to_numpy() for c in names), table)
 
 
-def line_texts(a: Boxes, i: np.ndarray, j: np.ndarray) -> list[pa.Array]:
-    """Of pairs of glyphs (rows along lines: angle, across, ch, widths_estimated): where in the line's text the glyph's
-    begins, how long it is, whether a width of the line is estimated, and the text itself with the first of each run of
-    neighbours under the same shape, null with the others."""
-    starts = np.zeros(len(a), bool)
-    starts[0] = True
-    for c in (a.page, a.column("angle"), a.column("across")):
-        starts[1:] |= c[1:] != c[:-1]
-    line, first = np.cumsum(starts) - 1, np.flatnonzero(starts)
-    ch = a.table["ch"].combine_chunks() if isinstance(a.table["ch"], pa.ChunkedArray) else a.table["ch"]
-    size = pc.utf8_length(ch).to_numpy(zero_copy_only=False)
-    before = np.cumsum(size) - size
-    order = np.lexsort((i, j))
-    opens = np.ones(len(i), bool)
-    at, under = i[order], j[order]
-    opens[1:] = (under[1:] != under[:-1]) | (at[1:] != at[:-1] + 1) | (line[at[1:]] != line[at[:-1]])
-    head = np.zeros(len(i), bool)
-    head[order] = opens
-    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(a)), pa.int32()), ch.cast(pa.string())), "")
-    guessed = np.logical_or.reduceat(a.table["widths_estimated"].to_numpy(), first)
-    return [pa.array((before - before[first][line])[i], pa.int32()), pa.array(size[i], pa.int32()), pa.array(guessed[line[i]]), whole.take(pa.array(line[i], mask=~head))]
-
-
 def _blocks(a: Boxes) -> Iterator[np.ndarray]:
     """Places of left boxes that lie close together."""
     order = np.lexsort((a.x0, a.y0, a.page))

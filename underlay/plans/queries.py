@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import brackets, characters, geometry, intervals, metadata, revisions, rollup, sheets, slides, survey
 from ..operators.findings import union
-from ..sources.shared import buckets_for, shared_path
+from ..sources.shared import shared_path
 from . import carriers as C
 from . import detectors
 from . import packages as P
@@ -377,7 +377,7 @@ def pdf_under_image(g: DataFrame, s: DataFrame, p: DataFrame) -> DataFrame:
 
 @register("pdf_lines", "SELECT file_id, 0 AS angle, 100::BIGINT AS across, string_agg(ch, '' ORDER BY ox) AS text FROM glyphs GROUP BY file_id", "glyphs")
 def pdf_lines(g: DataFrame) -> DataFrame:
-    return geometry.lines(g).groupBy("file_id", "angle", "across").agg(geometry._text().alias("text"))
+    return geometry.line_texts(g).select("file_id", "angle", "across", "text")
 
 
 @register(
@@ -504,9 +504,8 @@ SELECT 'off-page-text' AS detector, file_id, CASE WHEN remains THEN 'circumstant
     "drawn_pages",
 )
 def page_detectors(g: DataFrame, s: DataFrame, p: DataFrame) -> DataFrame:
-    """All detectors of text on pages, from the registry, over one stored layout: glyphs are exchanged once."""
-    spark = g.sparkSession
-    laid = geometry.stored_layout(g, s, shared_path(spark, "laid"), buckets_for(g)).table()
+    """All detectors of text on pages, from the registry: lines are exchanged, and glyphs laid out where those lie."""
+    laid = geometry.lay(g, s)
     names = [d.name for d in detectors.REGISTRY.values() if set(d.inputs) <= {"laid", "pages"}]
     return detectors.found(detectors.chosen(names), {"laid": laid, "pages": p}.__getitem__, {}).select("detector", *BASE, "summary")
 

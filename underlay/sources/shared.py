@@ -20,13 +20,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def buckets_for(df: DataFrame, least: int | None = None) -> int:
-    """Buckets of BUCKET_BYTES each by what Spark knows of df's size, and no fewer than Spark shuffles into."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def buckets_for(df: DataFrame, least: int | None = None, size: int = BUCKET_BYTES) -> int:
+    """Buckets of so many bytes each by what Spark knows of df's size, and no fewer than Spark shuffles into."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = least or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     most = int(df.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
     # A plan without known sizes reports the product of its parts; such a figure says nothing.
-    return max(least, min(-(-size // BUCKET_BYTES), most)) if size < 1 << 50 else least
+    return max(least, min(-(-known // size), most)) if known < 1 << 50 else least
 
 
 class Bucketed:
