@@ -274,8 +274,8 @@ def words(glyphs: DataFrame, painted_only: bool = True) -> DataFrame:
 
 
 def _in_words(laid: DataFrame, painted_only: bool) -> DataFrame:
-    """Glyphs that are no blanks, with the number of their word on the line, n and, beside them, the rows that are no glyphs."""
-    set_ = numbered(laid.where(F.col("side") | _painted()) if painted_only else laid)
+    """Glyphs that are no blanks, with the number of their word on the line, and, beside them, the rows that are no glyphs."""
+    set_ = laid.where(F.col("side") | _painted()) if painted_only else laid
     along = Window.partitionBy(*LINE).orderBy("along", "run_no", "glyph_no")
     extent = F.abs((F.col("x1") - F.col("x0")) * F.col("dx")) + F.abs((F.col("y1") - F.col("y0")) * F.col("dy"))
     ends = set_.withColumn("end", F.col("along") + extent)
@@ -288,18 +288,11 @@ def words_of(laid: DataFrame, painted_only: bool = True) -> DataFrame:
     return J.words(_in_words(_glyphs(laid), painted_only)).drop("side")
 
 
-READ = ("r_no", "r_text", "r_key", "conf", "r_x0", "r_y0", "r_x1", "r_y1")
-
-
-def _read(ocr: DataFrame) -> DataFrame:
-    key = F.coalesce(T.alphanumeric(F.col("text")), F.lit(""))
-    return ocr.select(*PAGE, F.col("word_no").alias("r_no"), F.col("text").alias("r_text"), key.alias("r_key"), "conf", *(F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")))
-
-
-def _words_and_readings(laid: DataFrame, read: DataFrame, painted_only: bool) -> DataFrame:
+def _words_and_readings(laid: DataFrame, readings: DataFrame, painted_only: bool) -> DataFrame:
     """The words of a page, and beside them (side) its readings, in one pass: neither leaves its task."""
     glyphs = _glyphs(laid).select(*ORDER, "side", "ch", "x0", "y0", "x1", "y1", "dx", "dy", "size", "mode", "alpha")
-    return J.words(_in_words(_laid(_beside(glyphs, read)), painted_only), READ)
+    read = readings.select(*PAGE, F.col("word_no").cast("long").alias("run_no"), F.col("text").alias("ch"), "x0", "y0", "x1", "y1")
+    return J.words(_in_words(_laid(_beside(glyphs, read)), painted_only))
 
 
 def unrendered_text(glyphs: DataFrame, ocr: DataFrame) -> DataFrame:
@@ -308,7 +301,8 @@ def unrendered_text(glyphs: DataFrame, ocr: DataFrame) -> DataFrame:
 
 def unrendered(laid: DataFrame, ocr: DataFrame) -> DataFrame:
     """Runs of at least UNREAD_RUN words that no reading of the page near them holds; pages without any reading are silent."""
-    both = _words_and_readings(laid, _read(ocr), True).withColumn("key", T.alphanumeric(F.col("text")))
+    read = ocr.withColumn("text", F.coalesce(T.alphanumeric(F.col("text")), F.lit("")))
+    both = _words_and_readings(laid, read, True).withColumn("key", F.when(F.col("side"), F.col("text")).otherwise(T.alphanumeric(F.col("text"))))
     df = J.unread(both.where(F.col("side") | (F.col("key") != "")), UNREAD_RUN)
     summary = F.concat(F.col("k").cast("string"), F.lit(" words in a row are in the file and were not read off a rendering of the page; a reader that fails looks the same"))
     return findings(df, "ocr", "unrendered-text", CIRCUMSTANTIAL, summary, F.col("words"), seq=F.col("page").cast("long") * (1 << 32) + F.col("from"), page=F.col("page"))
@@ -320,7 +314,7 @@ def unextractable_text(glyphs: DataFrame, ocr: DataFrame) -> DataFrame:
 
 def unextractable(laid: DataFrame, ocr: DataFrame) -> DataFrame:
     """One row a page with at least UNREAD_RUN confident readings that lie on no word of the file."""
-    sure = _read(ocr).where((F.col("conf") >= CONFIDENT) & (F.col("r_key") != ""))
+    sure = ocr.where((F.col("conf") >= CONFIDENT) & (T.alphanumeric(F.col("text")) != ""))
     df = J.unfound(_words_and_readings(laid, sure, False), UNREAD_RUN)
     summary = F.concat(F.col("k").cast("string"), F.lit(" words were read off a rendering of the page with no text of the file under them; a scan without a text layer looks the same"))
     return findings(df, "ocr", "unextractable-text", CIRCUMSTANTIAL, summary, "", F.col("words"), seq=F.col("page").cast("long") * (1 << 32) + (1 << 31), page=F.col("page"))

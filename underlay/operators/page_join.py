@@ -166,12 +166,11 @@ def lines(rows: DataFrame) -> DataFrame:
     return rows.select(*PAGE, "angle", "across", "ch", "n").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in (*PAGE, "angle", "across")) + ", text string")
 
 
-def words(rows: DataFrame, right: tuple[str, ...] = ()) -> DataFrame:
+def words(rows: DataFrame) -> DataFrame:
     """Rows of glyphs, along lines and with the number of their word, as words in reading order (word_no, text, box); rows of the
-    other side stay beside their page's words, with their right columns."""
+    other side stay beside their page's words (run_no, ch and box, as word_no, text and box)."""
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    wanted = [*PAGE, "side", "angle", "across", "word", "n", "ch", *_OWN, *right]
-    ddl = ", ".join([*(f"{c} {types[c]}" for c in (*PAGE, "side")), "word_no int, text string", *(f"{c} double" for c in _OWN), *(f"{c} {types[c]}" for c in right)])
+    ddl = ", ".join([*(f"{c} {types[c]}" for c in (*PAGE, "side")), "word_no long, text string", *(f"{c} double" for c in _OWN)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_pages(batches):
@@ -183,40 +182,37 @@ def words(rows: DataFrame, right: tuple[str, ...] = ()) -> DataFrame:
                 down = np.lexsort((np.arange(len(first)), -a.column("across")[first], -a.column("angle")[first], a.page[first]))
                 page = a.page[first][down]
                 number = np.arange(1, len(page) + 1) - np.searchsorted(page, page, "left")
-                found = {c: a.table[c].take(pa.array(first[down])) for c in (*PAGE, "side")} | {"word_no": pa.array(number, pa.int32()), "text": _joined(_one(a.table["ch"]), first).take(pa.array(down))}
-                found |= {c: pa.array(f.reduceat(getattr(a, c), first)[down]) for c, f in (("x0", np.minimum), ("y0", np.minimum), ("x1", np.maximum), ("y1", np.maximum))}
-                parts.append(pa.table(found | {c: pa.nulls(len(page), table.schema.field(c).type) for c in right}))
+                found = {c: a.table[c].take(pa.array(first[down])) for c in (*PAGE, "side")} | {"word_no": pa.array(number, pa.int64()), "text": _joined(_one(a.table["ch"]), first).take(pa.array(down))}
+                parts.append(pa.table(found | {c: pa.array(f.reduceat(getattr(a, c), first)[down]) for c, f in (("x0", np.minimum), ("y0", np.minimum), ("x1", np.maximum), ("y1", np.maximum))}))
                 pages.append(page)
-            if right and len(b):
-                none = {"word_no": pa.nulls(len(b), pa.int32()), "text": pa.nulls(len(b), pa.string())} | {c: pa.nulls(len(b), pa.float64()) for c in _OWN}
-                parts.append(pa.table({c: b.table[c] for c in (*PAGE, "side")} | none | {c: b.table[c] for c in right}))
+            if len(b):
+                parts.append(pa.table({c: b.table[c] for c in (*PAGE, "side")} | {"word_no": b.table["run_no"].cast(pa.int64()), "text": b.table["ch"]} | {c: b.table[c] for c in _OWN}))
                 pages.append(b.page)
             if parts:
-                both = pa.concat_tables(parts).take(pa.array(np.argsort(np.concatenate(pages), kind="stable")))
+                both = pa.concat_tables(parts)
+                if len(parts) > 1:
+                    both = both.take(pa.array(np.argsort(np.concatenate(pages), kind="stable")))
                 yield from both.combine_chunks().to_batches(max_chunksize=10_000)
 
-    return rows.select(*wanted).mapInArrow(run, ddl)
-
-
-_READ = ("r_x0", "r_y0", "r_x1", "r_y1")
+    return rows.select(*PAGE, "side", "angle", "across", "word", "run_no", "ch", *_OWN).mapInArrow(run, ddl)
 
 
 def unread(rows: DataFrame, least: int) -> DataFrame:
-    """Of words (key: their letters and digits, none empty) with the readings of their page (r_key): PAGE, k, from and words of runs of
+    """Of words (key: their letters and digits, none empty) and readings of their page (key): PAGE, k, from and words of runs of
     at least so many that no reading which touches them holds.  Pages without readings are silent."""
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_pages(batches):
-            a, b = _sides(table, theirs=_READ)
+            a, b = _sides(table, theirs=_OWN)
             if not len(a) or not len(b):
                 continue
             i, j = pairs(touching)(a, b)
-            order = np.lexsort((b.column("r_no")[j], i))
+            order = np.lexsort((b.column("word_no")[j], i))
             i, j = i[order], j[order]
             near = np.full(len(a), "", object)
             starts = np.flatnonzero(np.diff(i, prepend=-1))
-            near[i[starts]] = _joined(_taken(b.table["r_key"], j), starts).to_pylist()
+            near[i[starts]] = _joined(_taken(b.table["key"], j), starts).to_pylist()
             lost = np.flatnonzero(np.fromiter((k not in t for k, t in zip(a.table["key"].to_pylist(), near)), bool, len(a)) & np.isin(a.page, b.page))
             if not len(lost):
                 continue
@@ -236,21 +232,21 @@ def unfound(rows: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_pages(batches):
-            a, b = _sides(table, theirs=_READ)
+            a, b = _sides(table, theirs=_OWN)
             if not len(b):
                 continue
             on = np.zeros(len(b), bool)
             if len(a):
                 on[pairs(touching)(a, b)[1]] = True
             lost = np.flatnonzero(~on)
-            lost = lost[np.lexsort((b.column("r_no")[lost], b.page[lost]))]
+            lost = lost[np.lexsort((b.column("word_no")[lost], b.page[lost]))]
             if not len(lost):
                 continue
             opens = np.flatnonzero(np.diff(b.page[lost], prepend=-1))
             k = np.diff(np.append(opens, len(lost)))
             long = k >= least
             found = {c: b.table[c].take(pa.array(lost[opens][long])) for c in PAGE} | {"k": pa.array(k[long], pa.int64())}
-            yield from pa.table(found | {"words": _joined(_taken(b.table["r_text"], lost), opens, " ").filter(pa.array(long))}).combine_chunks().to_batches(max_chunksize=10_000)
+            yield from pa.table(found | {"words": _joined(_taken(b.table["text"], lost), opens, " ").filter(pa.array(long))}).combine_chunks().to_batches(max_chunksize=10_000)
 
     return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in PAGE) + ", k long, words string")
 
@@ -288,11 +284,11 @@ def _boxes(table: pa.Table, page: np.ndarray, names: tuple[str, ...]) -> Boxes:
     return Boxes(page, *(table[c].to_numpy() for c in names), table)
 
 
-def _blocks(a: Boxes) -> Iterator[np.ndarray]:
+def _blocks(a: Boxes, size: int = BLOCK) -> Iterator[np.ndarray]:
     """Places of left boxes that lie close together."""
     order = np.lexsort((a.x0, a.y0, a.page))
-    for k in range(0, len(order), BLOCK):
-        yield order[k : k + BLOCK]
+    for k in range(0, len(order), size):
+        yield order[k : k + size]
 
 
 def _reaching(a: Boxes, some: np.ndarray, b: Boxes) -> np.ndarray:
@@ -316,7 +312,8 @@ def pairs(test: Callable[[Boxes, np.ndarray, Boxes, np.ndarray], np.ndarray]) ->
 
     def pick(a: Boxes, b: Boxes) -> tuple[np.ndarray, np.ndarray]:
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for some in _blocks(a) if len(b) else ():
+        # Where right boxes are as many as left ones, a block meets about as many as it has: the smaller, the fewer tests.
+        for some in _blocks(a, CHUNK if 8 * len(b) > len(a) else BLOCK) if len(b) else ():
             near = _reaching(a, some, b)
             for k in range(0, len(near), SLICE):
                 j = near[k : k + SLICE]
