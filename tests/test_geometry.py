@@ -107,3 +107,21 @@ def test_notes(table):
 def test_lines_round_half_to_even(table):
     g = table("glyphs", glyphs("ab", y=100)).withColumn("oy", F.when(F.col("run_no") == 0, 100.5).otherwise(99.5))
     assert {r.across for r in G.lines(g).collect()} == {100}
+
+
+def test_letters_and_digits_of_any_script(spark):
+    from underlay.functions import text as T
+
+    said = ["One,", "#", "", "a-b_c 9", "É;x", "Σας!", "­١", "\x7f~^", None]
+    df = spark.createDataFrame([(t,) for t in said], "t string").select(T.alphanumeric(F.col("t")).alias("k"), T._alphanumeric(F.col("t")).alias("w"))
+    rows = df.collect()
+    assert [r.k for r in rows] == [r.w for r in rows] and [r.k for r in rows[:5]] == ["one", "", "", "abc9", "éx"]
+
+
+def test_glyphs_made_of_dealt_lines_are_not_exchanged(spark):
+    """By the plan: lines are dealt out by file, and neither glyphs nor shapes nor readings made of them are dealt out again."""
+    from underlay.plans import carriers as C
+
+    g, s, o = (C.load(spark, "/root/testdata/sf0.001", t) for t in ("glyphs", "shapes", "ocr_words"))
+    for df, sides in ((G.line_texts(g), 1), (G.backgrounds(G.lay(g, s)), 2), (G._words_and_readings(G.lay(g), o, True), 2)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(file_id") == sides

@@ -101,11 +101,22 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
-def alphanumeric(text: Column) -> Column:
+def _alphanumeric(text: Column) -> Column:
     """Lower case, letters and numbers only."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
 
 
+#: ASCII characters that are no letters or digits, and those that are, in lower case.
+_PLAIN = "abcdefghijklmnopqrstuvwxyz0123456789"
+_MARKS = "".join(chr(c) for c in range(1, 128) if not chr(c).isalnum())
+
+
+def alphanumeric(text: Column) -> Column:
+    """Lower-cased letters and digits.  A pattern costs a word ten times what it costs to drop ASCII marks, so it is for other scripts."""
+    low = F.translate(F.lower(text), _MARKS, "")
+    return F.when(F.translate(low, _PLAIN, "") == "", low).otherwise(_alphanumeric(text))
+
+
 def plural(n: Column, word: str) -> Column:
     return F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
 
