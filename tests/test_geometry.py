@@ -125,3 +125,21 @@ def test_glyphs_made_of_dealt_lines_are_not_exchanged(spark):
     g, s, o = (C.load(spark, "/root/testdata/sf0.001", t) for t in ("glyphs", "shapes", "ocr_words"))
     for df, sides in ((G.line_texts(g), 1), (G.backgrounds(G.lay(g, s)), 2), (G._words_and_readings(G.lay(g), o, True), 2)):
         assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(file_id") == sides
+
+
+def test_page_detectors_read_each_glyph_once(spark, table):
+    """By the plan: one pass over one layout for all five, and the findings of each alone."""
+    from underlay.operators import page_text as P
+    from underlay.plans import registry
+
+    df = registry.queries()["page_detectors"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning(file_id") == 3  # lines for glyphs, for shapes, for pages
+    seen, white = (0.0, 0.0, 600.0, 800.0), (1.0,) * 3
+    g = table("glyphs", [*glyphs(" a bar, fi "), *glyphs("ﬁrst", y=200, mode=3, start=20), *glyphs("none", y=300, fill=white, start=40), *glyphs("x y", x=585, y=400, start=60), *glyphs("  ", x=700, y=500, start=80)])
+    s, p = table("shapes", [bar(0, 75), bar(0, 75, kind="image", rgb=(None,) * 3, number=1)]), table("pages", [("f", "", 1, *seen)])
+    laid = G.lay(g, s)
+    alone = [G.covered(laid, p), G.under_image(laid, p), G.invisible(laid), G.low_contrast(laid), G.off_page(laid, p)]
+    each = sorted((r.detector, r.machine_reads, r.emit_seq) for df in alone for r in df.collect())
+    assert sorted((r.detector, r.machine_reads, r.emit_seq) for r in G.on_pages(laid, p, P.COVERED, P.UNDER_IMAGE, P.INVISIBLE, P.LOW_CONTRAST, P.OFF_PAGE).collect()) == each
+    assert [m for _, m, _ in each] == ["a bar,", "ﬁrst", "none", "y", "a bar,"]

@@ -16,21 +16,20 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.shared import Bucketed, buckets_for
 from . import page_join as J
+from . import page_text as P
 from .findings import CIRCUMSTANTIAL, DIRECT, findings
 
 PAGE = ("file_id", "inside", "page")
 LINE = (*PAGE, "angle", "across")
 #: Thresholds of the detectors' definitions.
 COVERAGE, CONTRAST, EXACT = 0.55, 0.08, 0.005
-CLEAR, FAINT, OPAQUE, PAGE_SIZED = 0.01, 0.15, 0.999, 0.9
+CLEAR, FAINT, OPAQUE = 0.01, 0.15, 0.999
 WORD_GAP, JOIN_GAP = 0.20, 0.15
 CONFIDENT, UNREAD_RUN, UNSEEN_WORDS = 60, 3, 2
 PAINTING = (0, 1, 2, 4, 5, 6)
@@ -112,54 +111,93 @@ def _blank_char() -> Column:
     return T.blank(F.col("ch"))
 
 
-def _spans(flagged: DataFrame, key: list[str], flag: str, *more: str) -> DataFrame:
-    """flagged's rows of maximal runs along n, with an island number."""
-    by = Window.partitionBy(*key).orderBy("n")
-    return flagged.where(flag).withColumn("island", F.col("n") - F.row_number().over(by))
-
-
-def _text(order: str = "n") -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "ch"))), lambda c: c["ch"]), "")
-
-
 def _points(text: str) -> Column:
     return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: T.label(F.ascii(c)))
 
 
-def under(laid: DataFrame, pages: DataFrame, kind: str, detector: str, number: int) -> DataFrame:
-    """Spans of a line under one opaque shape, drawn after them and smaller than the page."""
-    p = pages.select(*PAGE, (F.col("bx1") - F.col("bx0")).alias("wide"), (F.col("by1") - F.col("by0")).alias("high"))
-    smaller = ~(((F.col("s_x1") - F.col("s_x0")) >= F.col("wide") * PAGE_SIZED) & ((F.col("s_y1") - F.col("s_y0")) >= F.col("high") * PAGE_SIZED))
-    rows = numbered(laid.where(F.when(F.col("side"), F.col("s_kind") == kind).otherwise(_painted())))
-    # By page alone, and merged, the laid rows stay where and as they are.
-    set_ = rows.join(p.hint("merge"), list(PAGE)).where(~F.col("side") | smaller)
-    spans = J.runs(set_, ["ch", "x0", "y1"], ["shape_no", *SHAPE], J.pairs(J.covered_later(COVERAGE)), reads=("ord",), alike=True, lines=True)
-    key = [*LINE, "shape_no"]
-    # Blank glyphs at the ends of a span are padding of the bar.
-    inked = spans.withColumn("inked", F.filter("all", lambda g: ~T.blank(g["ch"]))).where(F.size("inked") > 0).withColumn("from", F.col("inked")[0]).withColumn("to", F.element_at("inked", -1))
-    held = inked.withColumn("held", F.filter("all", lambda g: g["n"].between(F.col("from.n"), F.col("to.n"))))
-    of = lambda c: F.transform("held", lambda g: g[c])
-    rest = F.concat(F.substr("line", F.lit(1), F.col("from.at")), F.substr("line", F.col("to.at") + F.col("to.size") + 1))
-    df = held.select(*key, F.col("from.n").alias("from"), F.array_join(of("ch"), "").alias("text"), F.array_max(of("y1")).alias("top"), F.array_min(of("x0")).alias("left"), "estimated", "s_kind", "s_r", "s_g", "s_b", rest.alias("rest"))
-    rest = F.col("rest")
-    light = 0.2126 * F.col("s_r") + 0.7152 * F.col("s_g") + 0.0722 * F.col("s_b")
-    block = F.when((F.col("s_kind") == "image") | light.isNull(), "▒").when(light < 0.25, "█").when(light > 0.85, " ").otherwise("▓")
-    what = F.when(F.col("s_kind") == "image", "an image").when(light.isNull(), "a shape of unstated colour").when(light < 0.25, "a black shape").when(light > 0.85, "a white shape").otherwise(F.concat(F.lit("a shape of luminance "), F.format_number(light, 2)))
+def spans(laid: DataFrame, pages: DataFrame | None, wanted: tuple[str, ...]) -> DataFrame:
+    """What the wanted detectors find of laid, in one pass of it: PAGE and page_text.SPAN.  pages: for those that need a page's box."""
+    kinds = [k for k, of in (("fill", (P.COVERED, P.LOW_CONTRAST)), ("image", (P.UNDER_IMAGE, P.LOW_CONTRAST))) if set(of) & set(wanted)]
+    glyph = ~F.col("side")
+    why = F.when(~F.col("mode").isin(*PAINTING), F.col("mode")).when(F.col("alpha") <= CLEAR, P.CLEAR).when(F.col("alpha") <= FAINT, P.FAINT).otherwise(P.SEEN)
+    needed = F.lit(False)
+    for name in wanted:
+        needed = needed | (F.lit(True) if name == P.OFF_PAGE else why != P.SEEN if name == P.INVISIBLE else F.coalesce(_painted(), F.lit(False)))
+    rows = numbered(laid.where(F.when(F.col("side"), F.col("s_kind").isin(*kinds)).otherwise(needed) if kinds else glyph & needed))
+    # A shape's box, order, number, colour and kind stand in the columns of a glyph's own.
+    either = lambda own, shape: F.when(F.col("side"), shape).otherwise(own) if kinds else own
+    take = {"side": F.col("side"), "n": F.col("n"), "ch": either(F.col("ch"), F.col("s_kind")), "run_no": either(F.col("run_no"), F.col("shape_no"))}
+    take |= {c: either(F.col(c), F.col(f"s_{c}")) for c in ("x0", "y0", "x1", "y1")}
+    if kinds:
+        stroked = F.col("mode").isin(1, 5)
+        take |= {"ord": either(F.col("ord"), F.col("s_ord")), "painted": F.coalesce(_painted(), F.lit(False)), "widths_estimated": F.coalesce("widths_estimated", F.lit(False))}
+        take |= {f"i_{c}": either(F.when(stroked, F.col(f"s{c}")).otherwise(F.col(f"f{c}")), F.col(f"s_{c}")) for c in "rgb"}
+    if P.INVISIBLE in wanted:
+        take |= {"why": why.cast("int"), "size": F.col("size"), "alpha": F.col("alpha")}
+    if P.OFF_PAGE in wanted:
+        take |= {c: F.col(c) for c in ("cx0", "cy0", "cx1", "cy1")}
+    rows = rows.select(*PAGE, *(c.alias(name) for name, c in take.items()))
+    if {P.COVERED, P.UNDER_IMAGE, P.OFF_PAGE} & set(wanted):
+        # By page alone, and merged, the laid rows stay where and as they are.
+        rows = rows.join(pages.select(*PAGE, "bx0", "by0", "bx1", "by1").hint("merge"), list(PAGE), "left" if {P.INVISIBLE, P.LOW_CONTRAST} & set(wanted) else "inner")
+    return P.found(rows, wanted, COVERAGE, CONTRAST, JOIN_GAP)
+
+
+def _told_under(image: Column) -> tuple[Column, Column]:
+    """Summary of a span under a shape, and how it looks."""
+    text, rest = F.col("text"), F.col("rest")
+    light = 0.2126 * F.col("r") + 0.7152 * F.col("g") + 0.0722 * F.col("b")
+    block = F.when(image | light.isNull(), "▒").when(light < 0.25, "█").when(light > 0.85, " ").otherwise("▓")
+    what = F.when(image, "an image").when(light.isNull(), "a shape of unstated colour").when(light < 0.25, "a black shape").when(light > 0.85, "a white shape").otherwise(F.concat(F.lit("a shape of luminance "), F.format_number(light, 2)))
     tail = F.when(T.blank(rest), "").otherwise(F.concat(F.lit('; the line goes on "'), T.squash(rest), F.lit('"')))
     guess = F.when(F.col("estimated"), "; the font states no widths, so the span's ends are estimates").otherwise("")
-    scan = F.when(F.col("s_kind") == "image", "; a scan over its text layer looks the same").otherwise("")
-    summary = F.concat(T.characters(F.col("text")), F.lit(" under "), what, scan, tail, guess)
-    rank = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("top"), "left", "shape_no", F.desc("angle"), F.desc("across"), "from"))
-    df = df.withColumn("rank", rank)
-    return findings(df, "page", detector, DIRECT, summary, F.col("text"), F.repeat(block, F.length("text")), seq=(number << 40) + F.col("rank"), page=F.col("page"), codepoints=_points("text"))
+    scan = F.when(image, "; a scan over its text layer looks the same").otherwise("")
+    return F.concat(T.characters(text), F.lit(" under "), what, scan, tail, guess), F.repeat(block, F.length(text))
+
+
+def _told_invisible() -> tuple[Column, Column]:
+    faint = F.col("why") == P.FAINT
+    at = F.concat(F.lit(" painted at opacity "), F.col("alpha").cast("string"))
+    said = F.when(faint, F.concat(at, F.lit(", which a reader may miss, and watermarks use"))).when(F.col("why") == P.CLEAR, F.concat(at, F.lit(", which leaves nothing on the page")))
+    said = said.otherwise(F.concat(F.lit(" drawn in render mode "), F.col("why").cast("string"), F.lit(", which paints nothing")))
+    return F.concat(T.characters(F.col("text")), said), F.when(faint, CIRCUMSTANTIAL).otherwise(DIRECT)
+
+
+def _told_contrast() -> tuple[Column, Column]:
+    exact = F.col("worst") <= EXACT
+    ink, back = _hex(*(F.col(f"ink_{c}") for c in "rgb")), _hex(*(F.col(c) for c in "rgb"))
+    by = F.when(exact, ", one colour").otherwise(F.concat(F.lit(", "), F.format_number("worst", 3), F.lit(" apart on the strongest channel")))
+    where = F.when(F.col("paper"), "; the background is the paper").otherwise("; the background is a shape painted before")
+    return F.concat(T.characters(F.col("text")), F.lit(" painted "), ink, F.lit(" on "), back, by, where), F.when(exact, DIRECT).otherwise(CIRCUMSTANTIAL)
+
+
+def _told_off() -> tuple[Column, Column]:
+    over = F.when(F.col("remains"), "; the rest of the line is on the page, so it may be an overflow").otherwise("")
+    return F.concat(T.characters(F.col("text")), F.lit(" wholly outside the visible area"), over), F.when(F.col("remains"), CIRCUMSTANTIAL).otherwise(DIRECT)
+
+
+#: Places of the detectors of a page in the order of emission.
+_EMITTED = {P.COVERED: 0, P.UNDER_IMAGE: 1, P.INVISIBLE: 3, P.LOW_CONTRAST: 4, P.OFF_PAGE: 5}
+
+
+def on_pages(laid: DataFrame, pages: DataFrame | None, *wanted: str) -> DataFrame:
+    """Findings of the wanted detectors of text on pages, each glyph read once for all of them."""
+    (under, looks), (unseen, how), (close, sure), (off, far) = _told_under(F.col("kind") == "image"), _told_invisible(), _told_contrast(), _told_off()
+    told = {P.COVERED: (under, DIRECT), P.UNDER_IMAGE: (under, DIRECT), P.INVISIBLE: (unseen, how), P.LOW_CONTRAST: (close, sure), P.OFF_PAGE: (off, far)}
+    is_ = lambda name: F.col("detector") == name
+    pick = lambda of: F.coalesce(*(F.when(is_(w), of(w)) for w in wanted))
+    summary, basis = pick(lambda w: told[w][0]), pick(lambda w: told[w][1])
+    seen = F.when(is_(P.COVERED) | is_(P.UNDER_IMAGE), looks).otherwise("")
+    seq = (pick(lambda w: F.lit(_EMITTED[w])).cast("long") * (1 << 40)) + F.col("rank")
+    return findings(spans(laid, pages, wanted), "page", F.col("detector"), basis, summary, F.col("text"), seen, seq=seq, page=F.col("page"), codepoints=_points("text"))
 
 
 def covered(laid: DataFrame, pages: DataFrame) -> DataFrame:
-    return under(laid, pages, "fill", "covered-text", 0)
+    return on_pages(laid, pages, P.COVERED)
 
 
 def under_image(laid: DataFrame, pages: DataFrame) -> DataFrame:
-    return under(laid, pages, "image", "text-under-image", 1)
+    return on_pages(laid, pages, P.UNDER_IMAGE)
 
 
 def covered_text(glyphs: DataFrame, shapes: DataFrame, pages: DataFrame) -> DataFrame:
@@ -170,10 +208,6 @@ def text_under_image(glyphs: DataFrame, shapes: DataFrame, pages: DataFrame) ->
     return under_image(lay(glyphs, shapes), pages)
 
 
-def _down_the_page() -> list[Column]:
-    return [F.desc("angle"), F.desc("across")]
-
-
 def annotation_comments(annotations: DataFrame) -> DataFrame:
     df = annotations.where(F.col("subtype").isin(*NOTES) & ~T.blank(F.col("contents")))
     who = F.when(F.coalesce("author", F.lit("")) != "", F.concat(F.lit(" by "), "author")).otherwise("")
@@ -187,18 +221,7 @@ def invisible_text(glyphs: DataFrame) -> DataFrame:
 
 def invisible(laid: DataFrame) -> DataFrame:
     """By line and reason; a gap in the line becomes a space."""
-    why = F.when(~F.col("mode").isin(*PAINTING), F.concat(F.lit("mode-"), F.col("mode").cast("string"))).when(F.col("alpha") <= CLEAR, "clear").when(F.col("alpha") <= FAINT, "faint")
-    some = numbered(_glyphs(laid).withColumn("why", why).where("why is not null"))
-    key = [*LINE, "why"]
-    along = Window.partitionBy(*key).orderBy("n")
-    gap = (F.col("x0") - F.lag("x1").over(along) > F.col("size") * JOIN_GAP) & ~T.blank(F.lag("ch").over(along))
-    spaced = some.withColumn("opening", F.coalesce(gap, F.lit(False))).withColumn("ch", F.when(F.col("opening"), F.concat(F.lit(" "), "ch")).otherwise(F.col("ch")))
-    df = spaced.groupBy(*key).agg(_text().alias("text"), F.min_by("alpha", "n").alias("alpha"), F.min("n").alias("from")).where(~T.blank(F.col("text")))
-    said = F.when(F.col("why") == "faint", F.concat(F.lit(" painted at opacity "), F.col("alpha").cast("string"), F.lit(", which a reader may miss, and watermarks use"))).when(F.col("why") == "clear", F.concat(F.lit(" painted at opacity "), F.col("alpha").cast("string"), F.lit(", which leaves nothing on the page")))
-    said = said.otherwise(F.concat(F.lit(" drawn in render mode "), F.substring("why", 6, 9), F.lit(", which paints nothing")))
-    df = df.withColumn("rank", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*_down_the_page(), "from")))
-    basis = F.when(F.col("why") == "faint", CIRCUMSTANTIAL).otherwise(DIRECT)
-    return findings(df, "page", "invisible-text", basis, F.concat(T.characters(F.col("text")), said), F.col("text"), seq=(3 << 40) + F.col("rank"), page=F.col("page"), codepoints=_points("text"))
+    return on_pages(laid, None, P.INVISIBLE)
 
 
 def _on_backgrounds(laid: DataFrame) -> DataFrame:
@@ -211,19 +234,6 @@ def backgrounds(laid: DataFrame, *more: str) -> DataFrame:
     return J.join(_on_backgrounds(laid), [*LINE[3:], "n", "ch", *more], ["shape_no", "s_kind", "s_r", "s_g", "s_b"], J.topmost(COVERAGE), reads=("ord", "s_ord"))
 
 
-def _contrast(a: J.Boxes, b: J.Boxes, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Glyphs whose ink is close to what is under them, with the widest gap of a channel; the colour of an image is not known."""
-    gaps = []
-    for c in "rgb":
-        back = np.ones(len(i))
-        if len(b):
-            known = np.where(pc.equal(b.table["s_kind"], "image").to_numpy(), np.nan, b.column(f"s_{c}").astype(float))
-            back = np.where(j < 0, 1.0, known[j])
-        gaps.append(np.abs(a.column(f"i_{c}").astype(float)[i] - back))
-    gap = np.maximum.reduce(gaps)
-    return gap <= CONTRAST, [gap]
-
-
 def _hex(*rgb: Column) -> Column:
     return F.concat(F.lit("#"), *(F.lower(F.lpad(F.hex(F.rint(c * 255).cast("long")), 2, "0")) for c in rgb))
 
@@ -233,20 +243,8 @@ def low_contrast_text(glyphs: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def low_contrast(laid: DataFrame) -> DataFrame:
-    stroked = F.col("mode").isin(1, 5)
-    inks = {f"i_{c}": F.when(stroked, F.col(f"s{c}")).otherwise(F.col(f"f{c}")) for c in "rgb"}
-    spans = J.runs(_on_backgrounds(laid.withColumns(inks)), ["ch", *inks], ["shape_no", "s_kind", "s_r", "s_g", "s_b"], J.topmost(COVERAGE), reads=("ord", "s_ord"), judge=("gap double", _contrast))
-    paper = F.col("shape_no").isNull()
-    backs = [F.when(paper, F.lit(1.0)).otherwise(F.col(f"s_{c}")).alias(f"b_{c}") for c in "rgb"]
-    head = F.struct(*(F.col("all")[0][c].alias(c) for c in inks), *backs, paper.alias("paper"))
-    of = lambda c: F.transform("all", lambda g: g[c])
-    df = spans.select(*LINE, F.array_join(of("ch"), "").alias("text"), F.array_max(of("gap")).alias("worst"), head.alias("h"), F.col("all")[0]["n"].alias("from")).where(~T.blank(F.col("text")))
-    exact = F.col("worst") <= EXACT
-    ink, back = _hex(*(F.col(f"h.i_{c}") for c in "rgb")), _hex(*(F.col(f"h.b_{c}") for c in "rgb"))
-    by = F.when(exact, ", one colour").otherwise(F.concat(F.lit(", "), F.format_number("worst", 3), F.lit(" apart on the strongest channel")))
-    where = F.when(F.col("h.paper"), "; the background is the paper").otherwise("; the background is a shape painted before")
-    df = df.withColumn("rank", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*_down_the_page(), "from")))
-    return findings(df, "page", "low-contrast-text", F.when(exact, DIRECT).otherwise(CIRCUMSTANTIAL), F.concat(T.characters(F.col("text")), F.lit(" painted "), ink, F.lit(" on "), back, by, where), F.col("text"), seq=(4 << 40) + F.col("rank"), page=F.col("page"), codepoints=_points("text"))
+    """Spans whose ink is close to what is under them; the colour of an image is not known."""
+    return on_pages(laid, None, P.LOW_CONTRAST)
 
 
 def off_page_text(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -255,18 +253,7 @@ def off_page_text(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
 
 def off_page(laid: DataFrame, pages: DataFrame) -> DataFrame:
     """Spans without any overlap with the page within the clip; runs of blanks alone do not count, unpainted ones do."""
-    solid = F.max(~_blank_char()).over(Window.partitionBy(*PAGE, "run_no"))
-    some = numbered(_glyphs(laid).withColumn("solid", solid).where("solid")).join(pages.select(*PAGE, "bx0", "by0", "bx1", "by1"), list(PAGE))
-    for side, pick in (("x0", F.greatest), ("y0", F.greatest), ("x1", F.least), ("y1", F.least)):
-        some = some.withColumn(f"v{side}", F.when(F.col("cx0").isNull(), F.col(f"b{side}")).otherwise(pick(F.col(f"b{side}"), F.col(f"c{side}"))))
-    empty = (F.least("x1", "vx1") - F.greatest("x0", "vx0") <= 0) | (F.least("y1", "vy1") - F.greatest("y0", "vy0") <= 0)
-    some = some.withColumn("off", empty)
-    rest = some.withColumn("remains", F.max(~F.col("off") & ~_blank_char()).over(Window.partitionBy(*LINE)))
-    spans = _spans(rest, list(LINE), "off")
-    df = spans.groupBy(*LINE, "island").agg(_text().alias("text"), F.max("remains").alias("remains"), F.min("n").alias("from")).where(~T.blank(F.col("text")))
-    summary = F.concat(T.characters(F.col("text")), F.lit(" wholly outside the visible area"), F.when(F.col("remains"), "; the rest of the line is on the page, so it may be an overflow").otherwise(""))
-    df = df.withColumn("rank", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*_down_the_page(), "from")))
-    return findings(df, "page", "off-page-text", F.when(F.col("remains"), CIRCUMSTANTIAL).otherwise(DIRECT), summary, F.col("text"), seq=(5 << 40) + F.col("rank"), page=F.col("page"), codepoints=_points("text"))
+    return on_pages(laid, pages, P.OFF_PAGE)
 
 
 def words(glyphs: DataFrame, painted_only: bool = True) -> DataFrame:

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 PAGE = ("file_id", "inside", "page")
 BLOCK, CHUNK, SLICE = 512, 64, 2048
+#: Fixed value: the share of a page's width and height from which on a shape is a background.
+PAGE_SIZED = 0.9
 
 
 @dataclass
@@ -70,57 +72,6 @@ def join(rows: DataFrame, left: list[str], right: list[str], pick: Pick, reads:
     return rows.select(*wanted).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names))
 
 
-#: What is kept of pairs: which of them, and more columns of them (DDL, and what makes both of the boxes and the pairs' places).
-Judge = tuple[str, Callable[[Boxes, Boxes, np.ndarray, np.ndarray], tuple[np.ndarray, list[np.ndarray]]]]
-
-
-def runs(rows: DataFrame, listed: list[str], right: list[str], pick: Pick, reads: tuple[str, ...] = (), judge: Judge | None = None, alike: bool = False, lines: bool = False) -> DataFrame:
-    """A row a run of neighbours on a line that pick finds and judge keeps (alike: with the same right box), so that no pair leaves its task.
-
-    PAGE, angle, across, the first pair's right columns, and `all`: structs of n, the listed columns and judge's.  lines: also
-    where in the line's text each begins and how long it is (in `all`), the text, and whether a width of the line is estimated.
-    """
-    wanted = list(dict.fromkeys([*PAGE, "side", "angle", "across", "n", *listed, *_OWN, *right, *_THEIRS, *reads, *(("ch", "widths_estimated") if lines else ())]))
-    types = {f.name: f.dataType.simpleString() for f in rows.select(*wanted).schema}
-    item = [*((c, types[c]) for c in ("n", *listed)), *((("at", "int"), ("size", "int")) if lines else ()), *(tuple(x.split()) for x in (judge[0].split(", ") if judge else ()))]
-    outer = [*PAGE, "angle", "across"]
-    ddl = ", ".join([*(f"`{c}` {types[c]}" for c in (*outer, *right)), *(("estimated boolean", "line string") if lines else ()), f"all array<struct<{', '.join(f'{c}: {t}' for c, t in item)}>>"])
-    names = [*outer, *right, *(("estimated", "line") if lines else ()), "all"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_pages(batches):
-            a, b = _sides(table)
-            if not len(a):
-                continue
-            i, j = pick(a, b)
-            keep, more = judge[1](a, b, i, j) if judge else (np.ones(len(i), bool), [])
-            i, j, more = i[keep], j[keep], [m[keep] for m in more]
-            if not len(i):
-                continue
-            order = np.lexsort((i, j) if alike else (i,))
-            i, j, more = i[order], j[order], [m[order] for m in more]
-            line, first = _lines(a)
-            opens = np.ones(len(i), bool)
-            opens[1:] = (i[1:] != i[:-1] + 1) | (line[i[1:]] != line[i[:-1]]) | (alike & (j[1:] != j[:-1]))
-            heads = np.flatnonzero(opens)
-            parts = [_taken(a.table[c], i) for c in ("n", *listed)]
-            whole = []
-            if lines:
-                ch = _one(a.table["ch"])
-                size = pc.utf8_length(ch).to_numpy(zero_copy_only=False)
-                before = np.cumsum(size) - size
-                parts += [pa.array((before - before[first][line])[i], pa.int32()), pa.array(size[i], pa.int32())]
-                guessed = np.logical_or.reduceat(a.column("widths_estimated"), first)
-                whole = [pa.array(guessed[line[i[heads]]]), _joined(ch, first).take(pa.array(line[i[heads]]))]
-            parts += [pa.array(m) for m in more]
-            every = pa.ListArray.from_arrays(pa.array(np.append(heads, len(i)), pa.int32()), pa.StructArray.from_arrays(parts, names=[c for c, _ in item]))
-            places = pa.array(j[heads], mask=j[heads] < 0)
-            found = [*(_taken(a.table[c], i[heads]) for c in outer), *(_one(b.table[c].take(places)) for c in right), *whole, every]
-            yield from pa.table(found, names=names).to_batches(max_chunksize=10_000)
-
-    return rows.select(*wanted).mapInArrow(run, ddl)
-
-
 _OWN, _THEIRS = ("x0", "y0", "x1", "y1"), ("s_x0", "s_y0", "s_x1", "s_y1")
 
 
@@ -354,7 +305,7 @@ def topmost(share: float, order: str = "ord", their_order: str = "s_ord", number
         if not len(b):
             return np.arange(len(a)), out
         down = np.lexsort((b.column(number), -b.column(their_order), b.page))
-        b = Boxes(b.page[down], b.x0[down], b.y0[down], b.x1[down], b.y1[down], b.table)
+        b = type(b)(b.page[down], b.x0[down], b.y0[down], b.x1[down], b.y1[down], b.table)
         painted, theirs, area = a.column(order), b.column(their_order)[down], a.area
         for some in _blocks(a):
             near = _reaching(a, some, b)

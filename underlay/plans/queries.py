@@ -504,10 +504,9 @@ SELECT 'off-page-text' AS detector, file_id, CASE WHEN remains THEN 'circumstant
     "drawn_pages",
 )
 def page_detectors(g: DataFrame, s: DataFrame, p: DataFrame) -> DataFrame:
-    """All detectors of text on pages, from the registry: lines are exchanged, and glyphs laid out where those lie."""
-    laid = geometry.lay(g, s)
+    """All detectors of text on pages, by their names in the registry: lines are exchanged, glyphs laid out where those lie, once for all."""
     names = [d.name for d in detectors.REGISTRY.values() if set(d.inputs) <= {"laid", "pages"}]
-    return detectors.found(detectors.chosen(names), {"laid": laid, "pages": p}.__getitem__, {}).select("detector", *BASE, "summary")
+    return geometry.on_pages(geometry.lay(g, s), p, *names).select("detector", *BASE, "summary")
 
 
 @register("shape_kinds", "SELECT kind, CASE WHEN alpha >= 0.999 THEN 'opaque' ELSE 'translucent' END AS paint, count(*) AS shapes, count(DISTINCT file_id) AS pages, sum((x1 - x0) * (y1 - y0)) AS area FROM shapes GROUP BY ALL", "shapes")
