@@ -219,3 +219,15 @@ def test_words_of_a_rendered_page():
     head = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n"
     rows = "1\t1\t0\t0\t0\t0\t0\t0\t1700\t2200\t-1\t\n5\t1\t1\t1\t1\t1\t200\t100\t300\t50\t91.5\tHello\n5\t1\t1\t1\t1\t2\t600\t100\t10\t50\t40\t \n"
     assert list(rendered.words(head + rows, 3)) == [{"page": 3, "word_no": 1, "text": "Hello", "x0": 72.0, "y0": 738.0, "x1": 180.0, "y1": 756.0, "conf": 91.5}]
+
+
+def test_made_files_are_dealt_out_over_tasks(spark):
+    """Rows that lie in one task, as small tables do, are made into files and parsed by all."""
+    from pyspark import TaskContext
+
+    from underlay.plans import packages as P
+
+    rows = spark.range(400).coalesce(1).withColumnRenamed("id", "key")
+    (units,) = P.records_of(rows, lambda r: f"task {TaskContext.get().partitionId()}".encode(), "txt", "units")
+    got = units.collect()
+    assert len({r.file_id for r in got}) == 400 and len({r.text for r in got}) >= spark.sparkContext.defaultParallelism

@@ -717,7 +717,7 @@ def source_deck(turns: DataFrame) -> DataFrame:
 )
 def source_portable(customers: DataFrame) -> DataFrame:
     glyphs, units, fields = P.records_of(_people(customers), P.portable, "pdf", "glyphs", "units", "meta_fields")
-    text = lambda df, name: df.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_no", "glyph_no", "ch"))), lambda g: g["ch"]), "").alias(name))
+    text = lambda df, name: df.groupBy("file_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("run_no", "glyph_no", "ch")))["ch"], "").alias(name))
     drawn = units.select("file_id", F.col("text").alias("drawn"))
     return drawn.join(text(glyphs.where("mode = 3"), "unpainted"), "file_id").join(fields.where("name = 'Author'").select("file_id", F.col("value").alias("author")), "file_id")
 
