@@ -50,7 +50,14 @@ WHITE = r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x
 def char_class(points=(), ranges=()) -> str:
     """A regex class of code points and ranges.  Those beyond U+FFFF stand as themselves: a lookbehind only then allows for their two units."""
     one = lambda p: chr(p) if p > 0xFFFF else f"\\x{{{p:X}}}"
-    return "[" + "".join(map(one, points)) + "".join(f"{one(a)}-{one(b)}" for a, b in ranges) + "]"
+    # Java asks of each character one range after another, and one point after another beyond Latin-1: neighbours there are one range.
+    folded: list[list[int]] = []
+    for p in sorted(set(points)):
+        if folded and p == folded[-1][1] + 1 and p > 0x100:
+            folded[-1][1] = p
+        else:
+            folded.append([p, p])
+    return "[" + "".join(one(a) if a == b else f"{one(a)}-{one(b)}" for a, b in (*folded, *ranges)) + "]"
 
 
 def within(cp: Column, ranges) -> Column:

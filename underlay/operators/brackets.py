@@ -23,6 +23,9 @@ CONTROL = T.char_class(T.BIDI)
 _ENDS = T.char_class(x for x in T.LINE_ENDS if x != 0x0D)
 #: The place after a line end; a carriage return before a line feed is half of one.
 AFTER_END = rf"(?<={_ENDS}|\r(?!\n))"
+_END = T.char_class(T.LINE_ENDS)
+#: A line with its end, or what follows the last; each character is looked at once, where AFTER_END looks back from every one.
+LINE = rf"[^{_END[1:-1]}]*+(?:\r\n|{_END}|\z)"
 #: The two kinds of brackets, which do not see each other.
 _KINDS = (("e", T.EMBEDDINGS, T.POP), ("i", T.ISOLATES, T.POP_ISOLATE))
 
@@ -32,11 +35,19 @@ def cut(body: Column, pattern: str) -> tuple[Column, Column]:
     return F.split(body, pattern, -1), F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
 
 
+def line_ends(text: Column) -> Column:
+    """How many lines end in a text; a carriage return with its line feed is one end."""
+    pairs = (F.length(text) - F.length(F.replace(text, F.lit("\r\n"), F.lit("")))) / 2
+    return (F.length(F.regexp_replace(text, rf"[^{_END[1:-1]}]++", "")) - pairs).cast("int")
+
+
 def _blocks(units: DataFrame, size: int) -> DataFrame:
     """A row a block of the texts with a control: what lies before each control and after the last (cp null), as lengths alone."""
-    some = units.where(F.col("text").rlike(CONTROL)).select(*UNIT, F.posexplode(F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{size}}}(?:(?<=\r)\n)?"), F.lit(0))).alias("block", "part"))
+    cuts = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{size}}}(?:(?<=\r)\n)?"), F.lit(0))
+    parts = F.when(F.length("text") <= size, F.array("text")).otherwise(cuts)
+    some = units.where(F.col("text").rlike(CONTROL)).select(*UNIT, F.posexplode(parts).alias("block", "part"))
     gaps, hits = cut(F.col("part"), CONTROL)
-    shape = F.zip_with(gaps, hits, lambda g, c: F.struct(F.length(g).alias("gap"), (F.size(F.split(g, AFTER_END, -1)) - 1).alias("ends"), F.ascii(c).alias("cp")))
+    shape = F.zip_with(gaps, hits, lambda g, c: F.struct(F.length(g).alias("gap"), line_ends(g).alias("ends"), F.ascii(c).alias("cp")))
     return some.select(*_PART, shape.alias("shape"))
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import brackets
-from .brackets import AFTER_END as _AFTER_END
 from .brackets import CONTROL as _CONTROL
+from .brackets import LINE as _LINE_OF
 from .brackets import UNIT
 from .brackets import cut as _cut
 from .findings import CIRCUMSTANTIAL, DIRECT, findings
@@ -26,7 +26,7 @@ _LINE = (*UNIT, "line")
 
 def _lines(units: DataFrame, pattern: str) -> DataFrame:
     """The lines that match: line from 0, and body, without a carriage return or line feed at its end."""
-    some = units.where(F.col("text").rlike(pattern)).select(*UNIT, "page", F.posexplode(F.split("text", _AFTER_END, -1)).alias("line", "raw"))
+    some = units.where(F.col("text").rlike(pattern)).select(*UNIT, "page", F.posexplode(F.regexp_extract_all("text", F.lit(_LINE_OF), F.lit(0))).alias("line", "raw"))
     return some.where(F.col("raw").rlike(pattern)).select(*_LINE, "page", F.regexp_replace("raw", r"(?:\r\n|[\r\n])\z", "").alias("body"))
 
 
