@@ -66,6 +66,28 @@ def test_batches_hold_rows_of_many_files():
     assert [b.num_rows for b in few] == [500] and few[0].column("units")[7].as_py()["text"] == "text 7\nline"
 
 
+def test_only_wanted_record_tables_are_sent_and_stored(spark, tmp_path):
+    """Neither batches nor stored files have columns of the others; what they hold is the same, also of carried packages."""
+    data = container(3)
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"]), pa.array([data], pa.binary())], names=["rel_path", "content"])
+    assert {tuple(b.schema.names) for b in C._parser(frozenset(["units", "revisions"]), False)(iter([batch]))} == {("file_id", "inside", "record", "units", "revisions")}
+    some, every = (C.Records(files(spark, f=data), f"file://{tmp_path}/{n}", only) for n, only in (("some", ["revisions", "units"]), ("all", None)))
+    assert set(spark.read.parquet(f"file://{tmp_path}/some").columns) == {"file_id", "inside", "record", "units", "revisions", "carried"}
+    for record in ("units", "revisions"):
+        assert some[record].count() == 4 and sorted(some[record].collect()) == sorted(every[record].collect())
+    assert some["meta_fields"].count() == 0 and every["meta_fields"].count() == 4
+
+
+def test_changes_of_formatting_alone_and_within_others():
+    """A part without tracked text still says that its formatting was changed; a change inside another is not counted again."""
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    run = lambda tag, text: f"<w:r><w:{tag}>{text}</w:{tag}></w:r>"
+    body = f"<w:p>{run('t', 'kept')}<w:del w:author='A'>{run('delText', 'gone')}<w:ins>{run('t', 'within')}</w:ins></w:del></w:p>"
+    out = C.read_one(P._zip({"word/document.xml": f"<w:d {w}>{body}</w:d>", "word/header1.xml": f"<w:h {w}><w:p><w:rPrChange/>{run('t', 'head')}</w:p></w:h>"}))
+    assert [(x["kind"], x["text"], x["author"]) for x in out.rows["revisions"]] == [("deletion", "gonewithin", "A")]
+    assert [x["text"] for x in out.rows["units"]] == ["keptwithin", "head"] and len(out.rows["remarks"]) == 1
+
+
 def test_a_stream_is_read_whole_or_not_at_all(monkeypatch):
     data = P.portable({"key": "1", "id": 1, "name": "Someone " * 50, "segment": "s", "author": "A"})
     whole = C.read_one(data)

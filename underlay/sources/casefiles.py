@@ -81,10 +81,17 @@ _ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double"
 #: (name, type) of the record tables' own columns, and their Arrow types.
 FIELDS = {record: [tuple(part.rsplit(" ", 1)) for part in ddl.split("inside string, ", 1)[1].split(", ")] for record, ddl in SCHEMAS.items()}
 TYPES = {record: pa.struct([(name.strip("`"), _ARROW[t]) for name, t in fields]) for record, fields in FIELDS.items()}
-STORED = "file_id string, inside string, record string, " + ", ".join(f"{record} struct<{', '.join(f'{name}: {t}' for name, t in fields)}>" for record, fields in FIELDS.items()).replace(": long", ": bigint")
 BATCH_ROWS = 20_000
 
 
+def _stored(only: Iterable[str] | None = None) -> str:
+    """The columns of those record tables; of all, if none are named."""
+    return ", ".join(["file_id string, inside string, record string", *(f"{record} struct<{', '.join(f'{name}: {t}' for name, t in fields)}>".replace(": long", ": bigint") for record, fields in FIELDS.items() if only is None or record in only)])
+
+
+STORED = _stored()
+
+
 def _columns(record: str, rows: list[dict]) -> pa.Array:
     """Rows of one record table as a struct array, made column by column."""
     fields = list(TYPES[record])
@@ -92,27 +99,28 @@ def _columns(record: str, rows: list[dict]) -> pa.Array:
 
 
 def _parser(only: frozenset[str] | None, nested: bool):
-    """Batches of rows of one record table each, gathered over files; the columns of the others are null and cost nothing.
+    """Batches of rows of one record table each, gathered over files; the columns of the other wanted ones are null, and there are none of the rest.
 
     A task reads one file after another.  Nested: of packages (file_id, name, content), which carry no others.
     """
-    names = ["file_id", "inside", "record", *TYPES]
+    types = {record: t for record, t in TYPES.items() if only is None or record in only}
+    names = ["file_id", "inside", "record", *types]
 
     def gathered(held: dict[str, list[tuple[str, str, dict]]]) -> Iterator[pa.RecordBatch]:
         for record, every in held.items():
             for lo in range(0, len(every), BATCH_ROWS):
                 some = every[lo : lo + BATCH_ROWS]
                 n = len(some)
-                own = {name: _columns(record, [r for _, _, r in some]) if name == record else pa.nulls(n, t) for name, t in TYPES.items()}
+                own = {name: _columns(record, [r for _, _, r in some]) if name == record else pa.nulls(n, t) for name, t in types.items()}
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in some], pa.string()), pa.array([i for _, i, _ in some], pa.string()), pa.array([record] * n, pa.string()), *own.values()], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[str, str, dict]]] = {}
         rows = carried = 0
         for batch in batches:
-            for at in range(batch.num_rows):
-                key, content = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
-                out = read_one(content, batch.column(2)[at].as_py() if nested else "")
+            for key, content, *inside in zip(*batch.columns):
+                key = key.as_py()
+                out = read_one(content.as_py(), inside[0].as_py() if nested else "")
                 if not nested:
                     for name, data in out.carried:
                         out.add("carried", name=name, length=len(data), content=data)
@@ -130,16 +138,18 @@ def _parser(only: frozenset[str] | None, nested: bool):
 
 
 def parsed(files: DataFrame, only: Iterable[str] | None = None) -> DataFrame:
-    """What the parsers give for files (rel_path, content): file_id, inside, record, and a column for each record table.
+    """What the parsers give for files (rel_path, content): file_id, inside, record, and a column for each record table wanted.
 
     Packages that a file carries are rows of the record table `carried`, for parsed_inside.
     """
-    return files.select("rel_path", "content").mapInArrow(_parser(None if only is None else frozenset(only), False), STORED)
+    only = None if only is None else frozenset(only)
+    return files.select("rel_path", "content").mapInArrow(_parser(only, False), _stored(only))
 
 
 def parsed_inside(carried: DataFrame, only: Iterable[str] | None = None) -> DataFrame:
     """The same for carried packages (file_id, name, content), one level down."""
-    return carried.select("file_id", "content", "name").mapInArrow(_parser(None if only is None else frozenset(only), True), STORED)
+    only = None if only is None else frozenset(only)
+    return carried.select("file_id", "content", "name").mapInArrow(_parser(only, True), _stored(only))
 
 
 class Records:
