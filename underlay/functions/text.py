@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "⟨", "⟩"
@@ -117,6 +118,23 @@ def alphanumeric(text: Column) -> Column:
     return F.when(F.translate(low, _PLAIN, "") == "", low).otherwise(_alphanumeric(text))
 
 
+@functools.cache
+def known_letters(spark: SparkSession) -> tuple[str, dict[int, str]]:
+    """All letters and digits that alphanumeric() keeps, and the characters whose lower case Spark knows and Python does not, or another:
+    the JVM and Spark go by versions of Unicode of their own."""
+    c = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    rows = spark.range(1, 0x110000).where(~F.col("id").between(0xD800, 0xDFFF)).select("id", c.alias("c"), F.lower(c).alias("low"), c.rlike(r"^[\p{L}\p{N}]").alias("kept"))
+    found = rows.where("kept or low <> c").collect()
+    low = {r.id: r.low for r in found}
+    theirs = {p: chr(p) for p in range(0x110000) if chr(p).lower() != chr(p) and p not in low}
+    return "".join(r.c for r in found if r.kept), theirs | {p: x for p, x in low.items() if chr(p).lower() != x}
+
+
+def letters(text: str, known: frozenset[str], low: dict[int, str]) -> str:
+    """alphanumeric() of one text, where it lies already."""
+    return "".join(c for c in (text if text.isascii() else text.translate(low)).lower() if c in known)
+
+
 def plural(n: Column, word: str) -> Column:
     return F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
 

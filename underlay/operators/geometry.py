@@ -23,6 +23,7 @@ from ..functions import text as T
 from ..sources.shared import Bucketed, buckets_for
 from . import page_join as J
 from . import page_text as P
+from . import strips as S
 from .findings import CIRCUMSTANTIAL, DIRECT, findings
 
 PAGE = ("file_id", "inside", "page")
@@ -100,7 +101,8 @@ SHAPE = ("s_kind", "s_alpha", "s_ord", "s_x0", "s_y0", "s_x1", "s_y1", "s_r", "s
 
 def line_texts(glyphs: DataFrame) -> DataFrame:
     """PAGE, angle, across and text of each line."""
-    return J.lines(lines(glyphs))
+    laid = _glyphs(lay(glyphs))
+    return J.lines(laid if S.in_strips(laid) else numbered(laid))
 
 
 def _shapes(shapes: DataFrame) -> DataFrame:
@@ -121,16 +123,27 @@ def _points(text: str) -> Column:
 
 def spans(laid: DataFrame, pages: DataFrame | None, wanted: tuple[str, ...]) -> DataFrame:
     """What the wanted detectors find of laid, in one pass of it: PAGE and page_text.SPAN.  pages: for those that need a page's box."""
+    rows = _for_pass(laid, wanted)
+    if {P.COVERED, P.UNDER_IMAGE, P.OFF_PAGE} & set(wanted):
+        # By page alone, and merged, the laid rows stay where and as they are.
+        rows = rows.join(pages.select(*PAGE, "bx0", "by0", "bx1", "by1").hint("merge"), list(PAGE), "left" if {P.INVISIBLE, P.LOW_CONTRAST} & set(wanted) else "inner")
+    return P.found(rows, wanted, COVERAGE, CONTRAST, JOIN_GAP)
+
+
+def _for_pass(laid: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
+    """The rows, of glyphs or of strips, and the columns that the wanted detectors look at."""
     kinds = [k for k, of in (("fill", (P.COVERED, P.LOW_CONTRAST)), ("image", (P.UNDER_IMAGE, P.LOW_CONTRAST))) if set(of) & set(wanted)]
     glyph = ~F.col("side")
     why = F.when(~F.col("mode").isin(*PAINTING), F.col("mode")).when(F.col("alpha") <= CLEAR, P.CLEAR).when(F.col("alpha") <= FAINT, P.FAINT).otherwise(P.SEEN)
     needed = F.lit(False)
     for name in wanted:
         needed = needed | (F.lit(True) if name == P.OFF_PAGE else why != P.SEEN if name == P.INVISIBLE else F.coalesce(_painted(), F.lit(False)))
-    rows = numbered(laid.where(F.when(F.col("side"), F.col("s_kind").isin(*kinds)).otherwise(needed) if kinds else glyph & needed))
+    rows = laid.where(F.when(F.col("side"), F.col("s_kind").isin(*kinds)).otherwise(needed) if kinds else glyph & needed)
+    strips = S.in_strips(rows)
+    rows = rows if strips else numbered(rows)
     # A shape's box, order, number, colour and kind stand in the columns of a glyph's own.
     either = lambda own, shape: F.when(F.col("side"), shape).otherwise(own) if kinds else own
-    take = {"side": F.col("side"), "n": F.col("n"), "ch": either(F.col("ch"), F.col("s_kind")), "run_no": either(F.col("run_no"), F.col("shape_no"))}
+    take = {"side": F.col("side")} | (S.places(rows) if strips else {"n": F.col("n")}) | {"ch": either(F.col("ch"), F.col("s_kind")), "run_no": either(F.col("run_no"), F.col("shape_no"))}
     take |= {c: either(F.col(c), F.col(f"s_{c}")) for c in ("x0", "y0", "x1", "y1")}
     if kinds:
         stroked = F.col("mode").isin(1, 5)
@@ -140,11 +153,7 @@ def spans(laid: DataFrame, pages: DataFrame | None, wanted: tuple[str, ...]) ->
         take |= {"why": why.cast("int"), "size": F.col("size"), "alpha": F.col("alpha")}
     if P.OFF_PAGE in wanted:
         take |= {c: F.col(c) for c in ("cx0", "cy0", "cx1", "cy1")}
-    rows = rows.select(*PAGE, *(c.alias(name) for name, c in take.items()))
-    if {P.COVERED, P.UNDER_IMAGE, P.OFF_PAGE} & set(wanted):
-        # By page alone, and merged, the laid rows stay where and as they are.
-        rows = rows.join(pages.select(*PAGE, "bx0", "by0", "bx1", "by1").hint("merge"), list(PAGE), "left" if {P.INVISIBLE, P.LOW_CONTRAST} & set(wanted) else "inner")
-    return P.found(rows, wanted, COVERAGE, CONTRAST, JOIN_GAP)
+    return rows.select(*PAGE, *(c.alias(name) for name, c in take.items()))
 
 
 def _told_under(image: Column) -> tuple[Column, Column]:
@@ -229,6 +238,8 @@ def invisible_text(glyphs: DataFrame) -> DataFrame:
 
 def invisible(laid: DataFrame) -> DataFrame:
     """By line and reason; a gap in the line becomes a space."""
+    if S.in_strips(laid):
+        return on_pages(laid, None, P.INVISIBLE)
     why = F.when(~F.col("mode").isin(*PAINTING), F.concat(F.lit("mode-"), F.col("mode").cast("string"))).when(F.col("alpha") <= CLEAR, "clear").when(F.col("alpha") <= FAINT, "faint")
     some = numbered(_glyphs(laid).withColumn("why", why).where("why is not null"))
     key = [*LINE, "why"]
@@ -291,9 +302,22 @@ def _in_words(laid: DataFrame, painted_only: bool) -> DataFrame:
 
 def words_of(laid: DataFrame, painted_only: bool = True) -> DataFrame:
     """Words of lines, across drawing operations: word_no in reading order, text and box."""
+    if S.in_strips(laid):
+        return J.strip_words(_glyphs(laid).where(_painted() if painted_only else F.lit(True)), WORD_GAP)
     return J.words(_in_words(_glyphs(laid), painted_only)).drop("side")
 
 
+def _strips_and_readings(laid: DataFrame, readings: DataFrame, painted_only: bool) -> DataFrame:
+    """The strips of a page, and beside them (side) its readings, a row a page (columns r_*)."""
+    wanted = ("size", "ch", "run_no", "x0", "y0", "x1", "y1")
+    strips = _glyphs(laid).where(_painted() if painted_only else F.lit(True)).select(*PAGE, "angle", "across", "along", "side", *wanted, *(c for c in (*S.PLACES, *S.STEPS) if c != "angle"))
+    read = readings.select(*PAGE, *(F.col(c).alias(f"r_{c}") for c in ("word_no", "text", "x0", "y0", "x1", "y1", "conf")))
+    both = _laid(_beside(strips, read))
+    # Readings are one row, which stands for no glyph.
+    own = {"run_no": F.coalesce("run_no", F.lit(0)), **S.places(both)}
+    return both.select(*PAGE, "side", *(own.pop(c, F.col(c)).alias(c) for c in wanted), *(c.alias(name) for name, c in own.items()), *(c for c in read.columns if c.startswith("r_")))
+
+
 def _words_and_readings(laid: DataFrame, readings: DataFrame, painted_only: bool) -> DataFrame:
     """The words of a page, and beside them (side) its readings, in one pass: neither leaves its task."""
     glyphs = _glyphs(laid).select(*ORDER, "side", "ch", "x0", "y0", "x1", "y1", "dx", "dy", "size", "mode", "alpha")
@@ -307,9 +331,15 @@ def unrendered_text(glyphs: DataFrame, ocr: DataFrame) -> DataFrame:
 
 def unrendered(laid: DataFrame, ocr: DataFrame) -> DataFrame:
     """Runs of at least UNREAD_RUN words that no reading of the page near them holds; pages without any reading are silent."""
+    if S.in_strips(laid):
+        df = J.strips_unread(_strips_and_readings(laid, ocr, True), UNREAD_RUN, WORD_GAP)
+        return _told_unrendered(df)
     read = ocr.withColumn("text", F.coalesce(T.alphanumeric(F.col("text")), F.lit("")))
     both = _words_and_readings(laid, read, True).withColumn("key", F.when(F.col("side"), F.col("text")).otherwise(T.alphanumeric(F.col("text"))))
-    df = J.unread(both.where(F.col("side") | (F.col("key") != "")), UNREAD_RUN)
+    return _told_unrendered(J.unread(both.where(F.col("side") | (F.col("key") != "")), UNREAD_RUN))
+
+
+def _told_unrendered(df: DataFrame) -> DataFrame:
     summary = F.concat(F.col("k").cast("string"), F.lit(" words in a row are in the file and were not read off a rendering of the page; a reader that fails looks the same"))
     return findings(df, "ocr", "unrendered-text", CIRCUMSTANTIAL, summary, F.col("words"), seq=F.col("page").cast("long") * (1 << 32) + F.col("from"), page=F.col("page"))
 
@@ -320,8 +350,11 @@ def unextractable_text(glyphs: DataFrame, ocr: DataFrame) -> DataFrame:
 
 def unextractable(laid: DataFrame, ocr: DataFrame) -> DataFrame:
     """One row a page with at least UNREAD_RUN confident readings that lie on no word of the file."""
-    sure = ocr.where((F.col("conf") >= CONFIDENT) & (T.alphanumeric(F.col("text")) != ""))
-    df = J.unfound(_words_and_readings(laid, sure, False), UNREAD_RUN)
+    if S.in_strips(laid):
+        df = J.strips_unfound(_strips_and_readings(laid, ocr, False), UNREAD_RUN, WORD_GAP, CONFIDENT)
+    else:
+        sure = ocr.where((F.col("conf") >= CONFIDENT) & (T.alphanumeric(F.col("text")) != ""))
+        df = J.unfound(_words_and_readings(laid, sure, False), UNREAD_RUN)
     summary = F.concat(F.col("k").cast("string"), F.lit(" words were read off a rendering of the page with no text of the file under them; a scan without a text layer looks the same"))
     return findings(df, "ocr", "unextractable-text", CIRCUMSTANTIAL, summary, "", F.col("words"), seq=F.col("page").cast("long") * (1 << 32) + (1 << 31), page=F.col("page"))
 
@@ -342,8 +375,7 @@ def remarks(glyphs: DataFrame, shapes: DataFrame, annotations: DataFrame) -> Dat
 
 def page_remarks(laid: DataFrame, annotations: DataFrame) -> DataFrame:
     """remarks(file_id, inside, seq, text): what could not be established of a page."""
-    unknown = F.col("shape_no").isNotNull() & ((F.col("s_kind") == "image") | F.col("s_r").isNull())
-    on = backgrounds(laid).where(~_blank_char() & unknown).groupBy(*PAGE).agg(F.count("*").alias("n"))
+    on = P.unclear(_for_pass(laid, (P.LOW_CONTRAST,)), COVERAGE)
     picture = on.select("file_id", "inside", (F.col("page") * 2 + 1).cast("long").alias("seq"), F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(" has "), T.plural(F.col("n"), "character"), F.lit(" on a picture or a fill of unstated colour; whether they can be read was not established")).alias("text"))
     drawn = annotations.where("has_appearance and subtype <> 'Popup'").groupBy(*PAGE).agg(F.count("*").alias("n"))
     notes = drawn.select("file_id", "inside", (F.col("page") * 2).cast("long").alias("seq"), F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(" has "), F.col("n").cast("string"), F.lit(" annotation(s) with an appearance of their own, which was not interpreted")).alias("text"))

@@ -20,7 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PAGE = ("file_id", "inside", "page")
+from ..functions import text as T
+from . import strips as S
+from .strips import PAGE, _one
+from .strips import changes as _changes
+
 BLOCK, CHUNK, SLICE = 512, 64, 2048
 #: Fixed value: the share of a page's width and height from which on a shape is a background.
 PAGE_SIZED = 0.9
@@ -43,12 +47,17 @@ class Boxes:
     def column(self, name: str) -> np.ndarray:
         return self.table[name].to_numpy()
 
-    @property
-    def area(self) -> np.ndarray:
-        return np.maximum(self.x1 - self.x0, 0.0) * np.maximum(self.y1 - self.y0, 0.0)
+    def area(self, at: np.ndarray | slice) -> np.ndarray:
+        return np.maximum(self.x1[at] - self.x0[at], 0.0) * np.maximum(self.y1[at] - self.y0[at], 0.0)
 
 
 Pick = Callable[[Boxes, Boxes], tuple[np.ndarray, np.ndarray]]
+#: PAGE of the rows at some places.
+Keys = Callable[[np.ndarray], dict]
+#: What text.letters() goes by.
+Known = tuple[frozenset[str], dict[int, str]]
+
+
 def join(rows: DataFrame, left: list[str], right: list[str], pick: Pick, reads: tuple[str, ...] = ()) -> DataFrame:
     """PAGE, left columns and right columns of the pairs that pick finds; a right place of -1 is no partner (nulls).
 
@@ -81,10 +90,6 @@ def _sides(table: pa.Table, own: tuple[str, ...] = _OWN, theirs: tuple[str, ...]
     return tuple(_boxes(table.filter(pa.array(s)), page[s], names) for s, names in ((~side, own), (side, theirs)))
 
 
-def _one(column: pa.ChunkedArray | pa.Array) -> pa.Array:
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-
-
 def _taken(column: pa.ChunkedArray, places: np.ndarray) -> pa.Array:
     return _one(column.take(pa.array(places)))
 
@@ -104,17 +109,112 @@ def _lines(a: Boxes, *more: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lines(rows: DataFrame) -> DataFrame:
-    """PAGE, angle, across and text of the lines of rows that lie along them."""
+    """PAGE, angle, across and text of the lines of rows that lie along them, or of strips."""
+    strips = S.in_strips(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_pages(batches):
-            page = np.concatenate([[0], np.cumsum(_changes(table))])
-            _, first = _lines(Boxes(page, page, page, page, page, table))
-            found = {c: _taken(table[c], first) for c in (*PAGE, "angle", "across")} | {"text": _joined(_one(table["ch"]), first)}
-            yield from pa.table(found).to_batches(max_chunksize=10_000)
+        for pages in _rows(batches, strips):
+            first = np.flatnonzero(np.diff(pages.line, prepend=-1))
+            found = pages.keys(first) | {c: pa.array(pages.of(c, first).astype(np.int64)) for c in ("angle", "across")}
+            found["text"] = _joined(pages.texts(np.arange(len(pages.line))), first)
+            yield from pa.table(found | {"angle": found["angle"].cast(pa.int32())}).combine_chunks().to_batches(max_chunksize=10_000)
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.select(*PAGE, "angle", "across", "ch", "n").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in (*PAGE, "angle", "across")) + ", text string")
+    wanted = ("side", "ch", "run_no", *S.PLACES, *S.STEPS) if strips else ("side", "angle", "across", "ch", "n")
+    return rows.select(*PAGE, *wanted).mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in PAGE) + ", angle int, across long, text string")
+
+
+def _words(pages: S.Strips, gap: float) -> tuple[Boxes, np.ndarray]:
+    """Words of strips' glyphs, across drawing operations, in reading order: boxes with text and word_no, and the place of each one's
+    first glyph.  A word ends at a blank, and where the next glyph is a share of its size away."""
+    g = np.flatnonzero(~pages.side)
+    page, line, along, text = pages.page[g], pages.line[g], pages.along[g], pages.texts(g)
+    x0, y0, x1, y1, dx, dy, size = (pages.of(c, g) for c in (*_OWN, "dx", "dy", "size"))
+    end = along + (np.abs((x1 - x0) * dx) + np.abs((y1 - y0) * dy))
+    apart = S.white(S.joined(text))
+    inked = np.flatnonzero(~apart)
+    apart[1:] |= (line[1:] != line[:-1]) | (along[1:] - end[:-1] > size[1:] * gap)
+    word = np.cumsum(apart)[inked]
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    at = inked[first]
+    said = _joined(text if len(inked) == len(g) else text.take(pa.array(inked)), first)
+    box = [f.reduceat(c[inked], first) if len(first) else c[:0] for f, c in ((np.minimum, x0), (np.minimum, y0), (np.maximum, x1), (np.maximum, y1))]
+    across, angle = pages.across[g[at]], pages.of("angle", g[at])
+    same = page[at][1:] == page[at][:-1]
+    if (same & ((angle[1:] != angle[:-1]) | (across[1:] != across[:-1]))).any():
+        # Lines run down the page.
+        down = np.lexsort((np.arange(len(first)), -across, -angle, page[at]))
+        at, said, box = at[down], said.take(pa.array(down)), [c[down] for c in box]
+    number = np.arange(1, len(at) + 1) - np.searchsorted(page[at], page[at], "left")
+    return Boxes(page[at], *box, pa.table({"text": said, "word_no": pa.array(number, pa.int64())})), g[at]
+
+
+def strip_words(rows: DataFrame, gap: float) -> DataFrame:
+    """PAGE, word_no, text and box of the words of strips."""
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pages in _rows(batches, True):
+            a, at = _words(pages, gap)
+            found = pages.keys(at) | {c: a.table[c] for c in ("word_no", "text")} | {c: pa.array(getattr(a, c)) for c in _OWN}
+            yield from pa.table(found).combine_chunks().to_batches(max_chunksize=10_000)
+
+    return rows.select(*PAGE, "side", "ch", "run_no", *S.PLACES, *S.STEPS, *_OWN, "size").mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in PAGE), "word_no long, text string", *(f"{c} double" for c in _OWN)]))
+
+
+def _readings(pages: S.Strips) -> tuple[Boxes, np.ndarray]:
+    """The readings of pages (columns r_*, an array a row), and the place of the row of each."""
+    at = np.flatnonzero(pages.side)
+    some = pages.table.take(pa.array(pages.row[at]))
+    many = pc.fill_null(pc.list_value_length(_one(some["r_text"])), 0).to_numpy(zero_copy_only=False)
+    flat = {c: pc.list_flatten(_one(some[f"r_{c}"])) for c in ("word_no", "text", "conf", *_OWN)}
+    place = np.repeat(at, many)
+    return Boxes(pages.page[place], *(flat[c].to_numpy(zero_copy_only=False) for c in _OWN), pa.table({c: flat[c] for c in ("word_no", "text", "conf")})), place
+
+
+def _keys(text: pa.ChunkedArray, known: Known) -> pa.Array:
+    """The letters and digits of texts, each text that repeats worked out once."""
+    told = pc.dictionary_encode(_one(pc.fill_null(text, "")))
+    return pa.array([T.letters(t, *known) for t in told.dictionary.to_pylist()], pa.string()).take(told.indices)
+
+
+def _some(a: Boxes, keep: np.ndarray) -> Boxes:
+    return a if keep.all() else Boxes(a.page[keep], a.x0[keep], a.y0[keep], a.x1[keep], a.y1[keep], a.table.filter(pa.array(keep)))
+
+
+def strips_unread(rows: DataFrame, least: int, gap: float) -> DataFrame:
+    """unread() of strips and of readings that lie beside them."""
+
+    def told(pages: S.Strips, known: Known) -> Iterator[pa.RecordBatch]:
+        (a, at), (b, _) = _words(pages, gap), _readings(pages)
+        a, b = (Boxes(c.page, c.x0, c.y0, c.x1, c.y1, c.table.append_column("key", _keys(c.table["text"], known))) for c in (a, b))
+        keep = pc.not_equal(a.table["key"], "").to_numpy()
+        return _unread(_some(a, keep), b, least, lambda some: pages.keys(at[keep][some]))
+
+    return _beside_strips(rows, told, ", k long, `from` int, words string")
+
+
+def strips_unfound(rows: DataFrame, least: int, gap: float, confident: float) -> DataFrame:
+    """unfound() of strips and of the confident readings that lie beside them."""
+
+    def told(pages: S.Strips, known: Known) -> Iterator[pa.RecordBatch]:
+        b, place = _readings(pages)
+        keep = (b.table["conf"].to_numpy() >= confident) & pc.not_equal(_keys(b.table["text"], known), "").to_numpy(zero_copy_only=False)
+        return _unfound(_words(pages, gap)[0], _some(b, keep), least, lambda some: pages.keys(place[keep][some]))
+
+    return _beside_strips(rows, told, ", k long, words string")
+
+
+def _beside_strips(rows: DataFrame, told: Callable[[S.Strips, Known], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    letters, low = T.known_letters(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frozenset(letters), low
+        for pages in _rows(batches, True):
+            yield from told(pages, known)
+
+    return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in PAGE) + ddl)
 
 
 def words(rows: DataFrame) -> DataFrame:
@@ -156,27 +256,31 @@ def unread(rows: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_pages(batches):
             a, b = _sides(table, theirs=_OWN)
-            if not len(a) or not len(b):
-                continue
-            i, j = pairs(touching)(a, b)
-            order = np.lexsort((b.column("word_no")[j], i))
-            i, j = i[order], j[order]
-            near = np.full(len(a), "", object)
-            starts = np.flatnonzero(np.diff(i, prepend=-1))
-            near[i[starts]] = _joined(_taken(b.table["key"], j), starts).to_pylist()
-            lost = np.flatnonzero(np.fromiter((k not in t for k, t in zip(a.table["key"].to_pylist(), near)), bool, len(a)) & np.isin(a.page, b.page))
-            if not len(lost):
-                continue
-            opens = np.flatnonzero(np.concatenate([[True], (np.diff(lost) != 1) | (np.diff(a.page[lost]) != 0)]))
-            k = np.diff(np.append(opens, len(lost)))
-            long = k >= least
-            head = lost[opens][long]
-            found = {c: a.table[c].take(pa.array(head)) for c in PAGE} | {"k": pa.array(k[long], pa.int64()), "from": pa.array(head - np.searchsorted(a.page, a.page[head], "left") + 1, pa.int32())}
-            yield from pa.table(found | {"words": _joined(_taken(a.table["text"], lost), opens, " ").filter(pa.array(long))}).combine_chunks().to_batches(max_chunksize=10_000)
+            yield from _unread(a, b, least, lambda some, a=a: {c: a.table[c].take(pa.array(some)) for c in PAGE})
 
     return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in PAGE) + ", k long, `from` int, words string")
 
 
+def _unread(a: Boxes, b: Boxes, least: int, keys: Keys) -> Iterator[pa.RecordBatch]:
+    if not len(a) or not len(b):
+        return
+    i, j = pairs(touching)(a, b)
+    order = np.lexsort((b.column("word_no")[j], i))
+    i, j = i[order], j[order]
+    near = np.full(len(a), "", object)
+    starts = np.flatnonzero(np.diff(i, prepend=-1))
+    near[i[starts]] = _joined(_taken(b.table["key"], j), starts).to_pylist()
+    lost = np.flatnonzero(np.fromiter((k not in t for k, t in zip(a.table["key"].to_pylist(), near)), bool, len(a)) & np.isin(a.page, b.page))
+    if not len(lost):
+        return
+    opens = np.flatnonzero(np.concatenate([[True], (np.diff(lost) != 1) | (np.diff(a.page[lost]) != 0)]))
+    k = np.diff(np.append(opens, len(lost)))
+    long = k >= least
+    head = lost[opens][long]
+    found = keys(head) | {"k": pa.array(k[long], pa.int64()), "from": pa.array(head - np.searchsorted(a.page, a.page[head], "left") + 1, pa.int32())}
+    yield from pa.table(found | {"words": _joined(_taken(a.table["text"], lost), opens, " ").filter(pa.array(long))}).combine_chunks().to_batches(max_chunksize=10_000)
+
+
 def unfound(rows: DataFrame, least: int) -> DataFrame:
     """Of words with the readings of their page: PAGE, k and words of pages with at least so many readings that touch no word."""
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -184,30 +288,26 @@ def unfound(rows: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_pages(batches):
             a, b = _sides(table, theirs=_OWN)
-            if not len(b):
-                continue
-            on = np.zeros(len(b), bool)
-            if len(a):
-                on[pairs(touching)(a, b)[1]] = True
-            lost = np.flatnonzero(~on)
-            lost = lost[np.lexsort((b.column("word_no")[lost], b.page[lost]))]
-            if not len(lost):
-                continue
-            opens = np.flatnonzero(np.diff(b.page[lost], prepend=-1))
-            k = np.diff(np.append(opens, len(lost)))
-            long = k >= least
-            found = {c: b.table[c].take(pa.array(lost[opens][long])) for c in PAGE} | {"k": pa.array(k[long], pa.int64())}
-            yield from pa.table(found | {"words": _joined(_taken(b.table["text"], lost), opens, " ").filter(pa.array(long))}).combine_chunks().to_batches(max_chunksize=10_000)
+            yield from _unfound(a, b, least, lambda some, b=b: {c: b.table[c].take(pa.array(some)) for c in PAGE})
 
     return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in PAGE) + ", k long, words string")
 
 
-def _changes(table: pa.Table) -> np.ndarray:
-    """For each row after the first, whether its page is another."""
-    out = np.zeros(max(table.num_rows - 1, 0), bool)
-    for c in PAGE:
-        out |= pc.not_equal(table[c].slice(1), table[c].slice(0, table.num_rows - 1)).to_numpy() if len(out) else False
-    return out
+def _unfound(a: Boxes, b: Boxes, least: int, keys: Keys) -> Iterator[pa.RecordBatch]:
+    if not len(b):
+        return
+    on = np.zeros(len(b), bool)
+    if len(a):
+        on[pairs(touching)(a, b)[1]] = True
+    lost = np.flatnonzero(~on)
+    lost = lost[np.lexsort((b.column("word_no")[lost], b.page[lost]))]
+    if not len(lost):
+        return
+    opens = np.flatnonzero(np.diff(b.page[lost], prepend=-1))
+    k = np.diff(np.append(opens, len(lost)))
+    long = k >= least
+    found = keys(lost[opens][long]) | {"k": pa.array(k[long], pa.int64())}
+    yield from pa.table(found | {"words": _joined(_taken(b.table["text"], lost), opens, " ").filter(pa.array(long))}).combine_chunks().to_batches(max_chunksize=10_000)
 
 
 def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -231,6 +331,15 @@ def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _rows(batches: Iterator[pa.RecordBatch], strips: bool) -> Iterator[S.Rows]:
+    """A task's rows by whole pages, those of strips glyph by glyph."""
+    for table in _whole_pages(batches):
+        if strips:
+            yield from map(S.Strips, S.pages_of(table))
+        else:
+            yield S.Rows(table)
+
+
 def _boxes(table: pa.Table, page: np.ndarray, names: tuple[str, ...]) -> Boxes:
     return Boxes(page, *(table[c].to_numpy() for c in names), table)
 
@@ -284,7 +393,7 @@ def covered_later(share: float, order: str = "ord", their_order: str = "s_ord"):
     """Left boxes of which a right one, not painted before, covers the share; one without area is where its corner is."""
 
     def test(a: Boxes, i: np.ndarray, b: Boxes, j: np.ndarray) -> np.ndarray:
-        area = a.area[i]
+        area = a.area(i)
         x, y = a.x0[i][:, None], a.y0[i][:, None]
         corner = (x >= b.x0[j]) & (x <= b.x1[j]) & (y >= b.y0[j]) & (y <= b.y1[j])
         covered = np.where((area <= 0)[:, None], corner, _overlap(a, i, b, j) >= (area * share)[:, None])
@@ -306,7 +415,7 @@ def topmost(share: float, order: str = "ord", their_order: str = "s_ord", number
             return np.arange(len(a)), out
         down = np.lexsort((b.column(number), -b.column(their_order), b.page))
         b = type(b)(b.page[down], b.x0[down], b.y0[down], b.x1[down], b.y1[down], b.table)
-        painted, theirs, area = a.column(order), b.column(their_order)[down], a.area
+        painted, theirs, area = a.column(order), b.column(their_order)[down], a.area(slice(None))
         for some in _blocks(a):
             near = _reaching(a, some, b)
             if (area[some] <= 0).any():

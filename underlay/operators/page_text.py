@@ -14,11 +14,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import page_join as J
+from . import strips as S
 
 COVERED, UNDER_IMAGE, INVISIBLE, LOW_CONTRAST, OFF_PAGE = "covered-text", "text-under-image", "invisible-text", "low-contrast-text", "off-page-text"
 #: Codes of `why` beside render modes that paint nothing: painted, painted at no opacity, at little.
 SEEN, CLEAR, FAINT = 1 << 30, (1 << 30) + 1, (1 << 30) + 2
-_WHITE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 #: Of each span, beside its page: rank (its place among the detector's on the page), text, and what the detectors say of it.
 SPAN = {
     "detector": "string", "rank": "long", "text": "string", "rest": "string", "estimated": "boolean", "kind": "string", "r": "double", "g": "double", "b": "double",
@@ -48,7 +48,7 @@ class _Glyphs:
         self.end = np.cumsum(size)
         self.start = self.end - size
         self.text = J._joined(self.ch, np.zeros(1, np.int64))[0].as_py() if len(at) else ""
-        inked = np.append(0, np.cumsum(~_WHITE[np.minimum(np.frombuffer(self.text.encode("utf-32-le"), np.uint32), len(_WHITE) - 1)]))
+        inked = np.append(0, np.cumsum(~S.white(self.text)))
         self.blank = inked[self.end] == inked[self.start]
 
     def __len__(self) -> int:
@@ -88,44 +88,32 @@ def found(rows: DataFrame, wanted: tuple[str, ...], coverage: float, contrast: f
     names = {f.name: f.dataType.simpleString() for f in rows.schema}
     fields = [*((c, names[c]) for c in J.PAGE), *SPAN.items()]
 
-    def spans(table: pa.Table) -> Iterator[pa.Table]:
-        page = np.concatenate([[0], np.cumsum(J._changes(table))])
-        side = table["side"].to_numpy()
+    def spans(rows: S.Rows) -> Iterator[pa.Table]:
+        page, side = rows.page, rows.side
         g, s = np.flatnonzero(~side), np.flatnonzero(side)
         if not len(g):
             return
-        held: dict[str, np.ndarray] = {}
-
-        def all_of(name: str) -> np.ndarray:
-            if name not in held:
-                held[name] = table[name].to_numpy()
-            return held[name]
-
-        of: Callable[[str], np.ndarray] = lambda name: all_of(name)[g]
-        line, ch = np.cumsum(of("n") == 1), pc.fill_null(J._one(table["ch"].take(pa.array(g)) if len(s) else table["ch"]), "")
+        of: Callable[[str], np.ndarray] = lambda name: rows.of(name, g)
+        line, ch = rows.line[g], rows.texts(g)
 
         def out(detector: str, at: np.ndarray, rank: np.ndarray, text: list[str], **more) -> pa.Table:
             """at: of each span, a glyph on its page, among all."""
             own = {"detector": pa.array([detector] * len(at), pa.string()), "rank": pa.array(rank, pa.int64()), "text": pa.array(text, pa.string())}
             own |= {c: pa.array(v, _ARROW[SPAN[c]], from_pandas=True) for c, v in more.items()}
-            return pa.table({c: table[c].take(pa.array(g[at])) for c in J.PAGE} | {c: own[c] if c in own else pa.nulls(len(at), _ARROW[t]) for c, t in SPAN.items()})
+            return pa.table(rows.keys(g[at]) | {c: own[c] if c in own else pa.nulls(len(at), _ARROW[t]) for c, t in SPAN.items()})
 
         if {COVERED, UNDER_IMAGE, LOW_CONTRAST} & set(wanted):
             a = _Glyphs(np.flatnonzero(of("painted")), line, ch)
             at = g[a.at]
-            boxes = _Columns(page[at], *(all_of(c)[at] for c in J._OWN), {"ord": all_of("ord")[at]})
-
-            def shapes(some: np.ndarray) -> _Columns:
-                return _Columns(page[some], *(all_of(c)[some] for c in J._OWN), {"s_ord": all_of("ord")[some], "shape_no": all_of("run_no")[some]})
-
-            image = pc.equal(J._one(table["ch"].take(pa.array(s))), "image").to_numpy(zero_copy_only=False) if len(s) else np.zeros(0, bool)
+            boxes, shapes, image = _glyph_boxes(rows, at), lambda some: _shape_boxes(rows, some), _pictures(rows, s)
             for detector, pictures in ((COVERED, False), (UNDER_IMAGE, True)):
                 if detector not in wanted or not len(a) or not len(s):
                     continue
                 some = s[image == pictures]
-                wide, high = all_of("bx1") - all_of("bx0"), all_of("by1") - all_of("by0")
-                whole = (all_of("x1") - all_of("x0") >= wide * J.PAGE_SIZED) & (all_of("y1") - all_of("y0") >= high * J.PAGE_SIZED)
-                some = some[~np.isnan(wide[some]) & ~np.isnan(high[some]) & ~whole[some]]
+                x0, y0, x1, y1, bx0, by0, bx1, by1 = (rows.of(c, some) for c in (*J._OWN, "bx0", "by0", "bx1", "by1"))
+                wide, high = bx1 - bx0, by1 - by0
+                whole = (x1 - x0 >= wide * J.PAGE_SIZED) & (y1 - y0 >= high * J.PAGE_SIZED)
+                some = some[~np.isnan(wide) & ~np.isnan(high) & ~whole]
                 i, j = J.pairs(J.covered_later(coverage))(boxes, shapes(some))
                 order = np.lexsort((i, j))
                 i, j = i[order], j[order]
@@ -140,21 +128,21 @@ def found(rows: DataFrame, wanted: tuple[str, ...], coverage: float, contrast: f
                 if not len(lo):
                     continue
                 top, left = _within(np.maximum, boxes.y1, lo, hi), _within(np.minimum, boxes.x0, lo, hi)
-                order, rank = _ranked(boxes.page[lo], -top, left, all_of("run_no")[over], -a.line[lo], lo)
+                order, rank = _ranked(boxes.page[lo], -top, left, rows.of("run_no", over), -a.line[lo], lo)
                 lo, hi, over = lo[order], hi[order], over[order]
                 ends = zip(a.start[a.first[lo]].tolist(), a.start[lo].tolist(), a.end[hi].tolist(), a.end[a.last[lo]].tolist())
-                colours = {c: all_of(f"i_{c}")[over] for c in "rgb"}
+                colours = {c: rows.of(f"i_{c}", over) for c in "rgb"}
                 rest = [a.text[w:x] + a.text[y:z] for w, x, y, z in ends]
-                yield out(detector, a.at[lo], rank, a.said(lo, hi), rest=rest, estimated=a.any(of("widths_estimated")[a.at])[lo], kind=["image" if pictures else "fill"] * len(lo), **colours)
+                yield out(detector, a.at[lo], rank, a.said(lo, hi), rest=rest, estimated=a.any(rows.of("widths_estimated", at))[lo], kind=["image" if pictures else "fill"] * len(lo), **colours)
             if LOW_CONTRAST in wanted and len(a):
                 _, j = J.topmost(coverage)(boxes, shapes(s))
                 gaps = []
                 for c in "rgb":
                     under = np.ones(len(a))
                     if len(s):
-                        known = np.where(image, np.nan, all_of(f"i_{c}")[s])
+                        known = np.where(image, np.nan, rows.of(f"i_{c}", s))
                         under = np.where(j < 0, 1.0, known[j])
-                    gaps.append(np.abs(all_of(f"i_{c}")[at] - under))
+                    gaps.append(np.abs(rows.of(f"i_{c}", at) - under))
                 gap = np.maximum.reduce(gaps)
                 i = np.flatnonzero(gap <= contrast)
                 if len(i):
@@ -166,8 +154,8 @@ def found(rows: DataFrame, wanted: tuple[str, ...], coverage: float, contrast: f
                     order, rank = _ranked(boxes.page[lo][keep], -a.line[lo][keep], lo[keep])
                     places = np.flatnonzero(keep)[order]
                     lo, paper = lo[places], j[lo[places]] < 0
-                    more = {f"ink_{c}": all_of(f"i_{c}")[at[lo]] for c in "rgb"}
-                    more |= {c: np.where(paper, 1.0, all_of(f"i_{c}")[s][j[lo]] if len(s) else 1.0) for c in "rgb"}
+                    more = {f"ink_{c}": rows.of(f"i_{c}", at[lo]) for c in "rgb"}
+                    more |= {c: np.where(paper, 1.0, rows.of(f"i_{c}", s)[j[lo]] if len(s) else 1.0) for c in "rgb"}
                     yield out(LOW_CONTRAST, a.at[lo], rank, [text[k] for k in places.tolist()], worst=worst[places], paper=paper, **more)
         if INVISIBLE in wanted:
             why = of("why")
@@ -192,7 +180,7 @@ def found(rows: DataFrame, wanted: tuple[str, ...], coverage: float, contrast: f
         if OFF_PAGE in wanted:
             every = _Glyphs(np.arange(len(g)), line, ch)
             runs, number = of("run_no"), page[g]
-            order = np.lexsort((runs, number)) if (np.diff(number * 1.0) + (np.diff(runs) > 0) <= 0).any() else np.arange(len(g))
+            order = np.lexsort((runs, number)) if ((np.diff(number) == 0) & (np.diff(runs) < 0)).any() else np.arange(len(g))
             opens = np.flatnonzero(np.append(True, (np.diff(runs[order]) != 0) | (np.diff(number[order]) != 0)))
             solid = np.empty(len(g), bool)
             # Runs of blanks alone do not count.
@@ -214,9 +202,43 @@ def found(rows: DataFrame, wanted: tuple[str, ...], coverage: float, contrast: f
                     places = np.flatnonzero(keep)[order]
                     yield out(OFF_PAGE, a.at[lo[places]], rank, [text[k] for k in places.tolist()], remains=remains[lo[places]])
 
+    strips = S.in_strips(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in J._whole_pages(batches):
-            for part in spans(table):
+        for pages in J._rows(batches, strips):
+            for part in spans(pages):
                 yield from part.combine_chunks().to_batches(max_chunksize=10_000)
 
     return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in fields))
+
+
+def _glyph_boxes(rows: S.Rows, at: np.ndarray) -> _Columns:
+    return _Columns(rows.page[at], *(rows.of(c, at) for c in J._OWN), {"ord": rows.of("ord", at)})
+
+
+def _shape_boxes(rows: S.Rows, at: np.ndarray) -> _Columns:
+    return _Columns(rows.page[at], *(rows.of(c, at) for c in J._OWN), {"s_ord": rows.of("ord", at), "shape_no": rows.of("run_no", at)})
+
+
+def _pictures(rows: S.Rows, at: np.ndarray) -> np.ndarray:
+    return pc.equal(rows.texts(at), "image").to_numpy(zero_copy_only=False) if len(at) else np.zeros(0, bool)
+
+
+def unclear(rows: DataFrame, coverage: float) -> DataFrame:
+    """PAGE and n: the glyphs of a page, blanks apart, that lie on a picture or on a shape of unstated colour; rows as for LOW_CONTRAST."""
+    names = {f.name: f.dataType.simpleString() for f in rows.schema}
+    strips = S.in_strips(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pages in J._rows(batches, strips):
+            g, s = np.flatnonzero(~pages.side & pages.all_of("painted")), np.flatnonzero(pages.side)
+            if not len(g) or not len(s):
+                continue
+            unknown = _pictures(pages, s) | np.isnan(pages.of("i_r", s))
+            _, j = J.topmost(coverage)(_glyph_boxes(pages, g), _shape_boxes(pages, s))
+            on = g[(j >= 0) & unknown[j]]
+            on = on[~pages.blank(on)]
+            first, n = np.unique(pages.page[on], return_index=True, return_counts=True)[1:]
+            yield from pa.table(pages.keys(on[first]) | {"n": pa.array(n, pa.int64())}).combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {names[c]}" for c in J.PAGE) + ", n long")

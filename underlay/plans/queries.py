@@ -18,12 +18,12 @@ ORACLE: dict[str, str] = {}
 BASE = ("file_id", "basis", "human_sees", "machine_reads")
 
 
-def register(name: str, oracle: str | None, *tables: str):
-    """A query over the named derived tables, which the oracle's WITH names too."""
+def register(name: str, oracle: str | None, *tables: str, packed: bool = False):
+    """A query over the named derived tables, which the oracle's WITH names too; packed: in rows of many glyphs or readings."""
 
     def wrap(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(*(C.load(spark, sf_dir, t) for t in tables))
+            return f(*(C.load(spark, sf_dir, C.STANDS_FOR.get(t, t) if packed else t) for t in tables))
 
         run.__doc__ = f.__doc__
         QUERIES[name] = run
@@ -457,6 +457,7 @@ def ocr_unrendered(g: DataFrame, o: DataFrame) -> DataFrame:
 SELECT file_id, 'circumstantial' AS basis, string_agg(text, ' ' ORDER BY word_no) AS human_sees, '' AS machine_reads, count(*) || ' words were read off a rendering of the page with no text of the file under them; a scan without a text layer looks the same' AS summary FROM o GROUP BY file_id HAVING count(*) >= 3""",
     "apart_glyphs",
     "ocr_words",
+    packed=True,
 )
 def ocr_unextractable(g: DataFrame, o: DataFrame) -> DataFrame:
     return shown(geometry.unextractable_text(g, o))
