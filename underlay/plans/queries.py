@@ -503,6 +503,7 @@ SELECT 'off-page-text' AS detector, file_id, CASE WHEN remains THEN 'circumstant
     "glyphs",
     "shapes",
     "drawn_pages",
+    packed=True,
 )
 def page_detectors(g: DataFrame, s: DataFrame, p: DataFrame) -> DataFrame:
     """All detectors of text on pages, by their names in the registry: lines are exchanged, glyphs laid out where those lie, once for all."""
