@@ -446,6 +446,7 @@ h AS (SELECT *, n - row_number() OVER (PARTITION BY file_id ORDER BY n) AS islan
 SELECT file_id, 'circumstantial' AS basis, '' AS human_sees, string_agg(ch, ' ' ORDER BY n) AS machine_reads, count(*) || ' words in a row are in the file and were not read off a rendering of the page; a reader that fails looks the same' AS summary FROM h GROUP BY file_id, island HAVING count(*) >= 3""",
     "apart_glyphs",
     "ocr_words",
+    packed=True,
 )
 def ocr_unrendered(g: DataFrame, o: DataFrame) -> DataFrame:
     return shown(geometry.unrendered_text(g, o))
