@@ -429,6 +429,7 @@ def pdf_annotation_comment(a: DataFrame) -> DataFrame:
     """SELECT file_id, count(*) AS words, string_agg(w, ' ' ORDER BY i) AS text FROM (SELECT file_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM
  (SELECT file_id, list_filter(string_split(string_agg(CASE WHEN painted THEN ch ELSE ' ' END, '' ORDER BY ox), ' '), lambda x: x <> '') AS ws FROM (SELECT *, mode IN (0, 1, 2, 4, 5, 6) AND alpha > 0.01 AS painted FROM glyphs) GROUP BY file_id)) GROUP BY file_id""",
     "glyphs",
+    packed=True,
 )
 def pdf_words(g: DataFrame) -> DataFrame:
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda w: w["text"]), " ")
