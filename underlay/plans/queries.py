@@ -365,7 +365,7 @@ SELECT c.file_id, 'direct' AS basis, repeat(block, length(said)) AS human_sees,
  {_count("length(said)", "character")} || ' under ' || what || CASE WHEN coalesce(rest, '') = '' THEN '' ELSE '; the line goes on "' || rest || '"' END AS summary FROM c JOIN l ON c.file_id = l.file_id AND c.lo = l.lo WHERE said <> ''"""
 
 
-@register("pdf_covered", _under_oracle("fill"), "glyphs", "shapes", "drawn_pages")
+@register("pdf_covered", _under_oracle("fill"), "glyphs", "shapes", "drawn_pages", packed=True)
 def pdf_covered(g: DataFrame, s: DataFrame, p: DataFrame) -> DataFrame:
     return shown(geometry.covered_text(g, s, p))
 
