@@ -370,7 +370,7 @@ def pdf_covered(g: DataFrame, s: DataFrame, p: DataFrame) -> DataFrame:
     return shown(geometry.covered_text(g, s, p))
 
 
-@register("pdf_under_image", _under_oracle("image"), "glyphs", "shapes", "drawn_pages")
+@register("pdf_under_image", _under_oracle("image"), "glyphs", "shapes", "drawn_pages", packed=True)
 def pdf_under_image(g: DataFrame, s: DataFrame, p: DataFrame) -> DataFrame:
     return shown(geometry.text_under_image(g, s, p))
 
