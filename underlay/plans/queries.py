@@ -400,6 +400,7 @@ SELECT file_id, 'direct' AS basis, '' AS human_sees, string_agg(ch, '' ORDER BY
  || CASE WHEN arg_min(paper, n) THEN 'the paper' ELSE 'a shape painted before' END AS summary FROM h GROUP BY file_id, island HAVING trim(string_agg(ch, '' ORDER BY n)) <> ''""",
     "glyphs",
     "shapes",
+    packed=True,
 )
 def pdf_low_contrast(g: DataFrame, s: DataFrame) -> DataFrame:
     return shown(geometry.low_contrast_text(g, s))
