@@ -484,6 +484,7 @@ SELECT * FROM n UNION ALL SELECT file_id, 'page 1 has ' || n || ' character' ||
     "glyphs",
     "shapes",
     "annotations",
+    packed=True,
 )
 def pdf_page_remarks(g: DataFrame, s: DataFrame, a: DataFrame) -> DataFrame:
     return geometry.remarks(g, s, a).select("file_id", "text")
