@@ -375,7 +375,7 @@ def pdf_under_image(g: DataFrame, s: DataFrame, p: DataFrame) -> DataFrame:
     return shown(geometry.text_under_image(g, s, p))
 
 
-@register("pdf_lines", "SELECT file_id, 0 AS angle, 100::BIGINT AS across, string_agg(ch, '' ORDER BY ox) AS text FROM glyphs GROUP BY file_id", "glyphs")
+@register("pdf_lines", "SELECT file_id, 0 AS angle, 100::BIGINT AS across, string_agg(ch, '' ORDER BY ox) AS text FROM glyphs GROUP BY file_id", "glyphs", packed=True)
 def pdf_lines(g: DataFrame) -> DataFrame:
     return geometry.line_texts(g).select("file_id", "angle", "across", "text")
 
