@@ -124,7 +124,7 @@ def test_letters_of_a_text_are_those_of_the_column(spark):
 
 
 #: Queries whose passes work on strips.
-PACKED = ["ocr_unextractable", "page_detectors", "ocr_unrendered", "pdf_words", "pdf_covered", "pdf_under_image", "pdf_low_contrast", "pdf_page_remarks", "pdf_lines"]
+PACKED = ["ocr_unextractable", "page_detectors", "ocr_unrendered", "pdf_words", "pdf_covered", "pdf_under_image", "pdf_low_contrast", "pdf_page_remarks", "pdf_lines", "pdf_off_page"]
 
 
 @pytest.mark.parametrize("name", PACKED)

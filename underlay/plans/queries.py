@@ -414,10 +414,11 @@ SELECT file_id, CASE WHEN remains THEN 'circumstantial' ELSE 'direct' END AS bas
  {_count("length(text)", "character")} || ' wholly outside the visible area' || CASE WHEN remains THEN '; the rest of the line is on the page, so it may be an overflow' ELSE '' END AS summary FROM r WHERE trim(text) <> ''""",
     "glyphs",
     "drawn_pages",
+    packed=True,
 )
 def pdf_off_page(g: DataFrame, p: DataFrame) -> DataFrame:
     """A glyph that is a blank alone is a drawing operation of blanks; such glyphs do not count."""
-    return shown(geometry.off_page_text(g.withColumn("run_no", F.lit(1)), p))
+    return shown(geometry.off_page_text(g.withColumn("run_no", F.lit(1)).withColumn("step_run", F.lit(0)), p))
 
 
 @register("pdf_annotation_comment", "SELECT file_id, 'direct' AS basis, '' AS human_sees, contents AS machine_reads, 'a /' || subtype || ' annotation by ' || author || ', attached to the page and no part of it' AS summary FROM annotations WHERE subtype IN ('Text', 'Highlight') AND trim(contents) <> ''", "annotations")
